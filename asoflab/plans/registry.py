@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ()
+_MODULES = ("features", "joins", "market")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
