@@ -12,7 +12,7 @@ is the share of positives among the labelled training rows unless it is given.
 
 Training uses a bounded sample (``max_positive``, ``max_unlabelled``: the rows with
 the smallest hash of their id, all of them if there are fewer). Only features that
-occur in two positives of the sample or more get weights. Scoring reads every
+clearly more positives than unlabelled texts hold get weights. Scoring reads every
 whole text. Null and empty texts score as a text without features: the bias.
 Without positives every score is the prior.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,28 @@ from . import common
 
 WORDS = re.compile(r"[^\W\d_]+")
 SPACE = 1 << 31
+LIFT = 5.0
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the text's words and of their first four letters."""
-    words = set(WORDS.findall((text or "").lower()))
-    words |= {"^" + w[:4] for w in words if len(w) > 3}
-    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & (SPACE - 1) for w in words), np.int64, len(words)))
+    """Sorted distinct hashes of the text's words, of word beginnings, of beginnings that come
+    twice or three times, and of how thickly those that come again are spread."""
+    words = WORDS.findall((text or "").lower())
+    counts = Counter(words)
+    heads: Counter[str] = Counter()
+    for w, n in counts.items():
+        if len(w) > 4:
+            heads[w[:4]] += n
+            if len(w) > 6:
+                heads[w[:6]] += n
+    out = [*counts, *("^" + h for h in heads)]
+    for h, n in heads.items():
+        if n > 1:
+            out.append(f"2{h}")
+            if n > 2:
+                out.append(f"3{h}")
+            out.append(f"@{(len(words) // n).bit_length()}{h}")
+    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & (SPACE - 1) for w in out), np.int64, len(out)))
 
 
 def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,20 +78,28 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
+def distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """One of the rows that share their four smallest features (mixed anew): copies would count as many examples of a chance word."""
+    kept = {}
+    for x in rows:
+        mixed = (x * 0x9E3779B1) & 0xFFFFFFFF
+        kept.setdefault(tuple(np.sort(mixed)[:4].tolist()), x)
+    return list(kept.values())
+
+
 def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, rate: float = 0.15, decay: float = 1e-4, batch: int = 2048, seed: int = 11) -> Linear:
     """Adam on the non-negative risk with the logistic loss."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     if not positives:
         return Linear(np.empty(0, np.int64), np.empty(0), float(np.log(prior / (1 - prior))))
+    positives, unlabelled = distinct(positives), distinct(unlabelled)
     found, often = np.unique(np.concatenate(positives), return_counts=True)
-    at = found[often >= min(2, len(positives))]
-    # of features that come with positives, those that unlabelled text has as often say nothing
-    common_at, common_n = np.unique(np.concatenate([*unlabelled, np.empty(0, np.int64)]), return_counts=True)
-    in_u = np.zeros(len(at))
-    here = np.isin(at, common_at)
-    in_u[here] = common_n[np.searchsorted(common_at, at[here])]
-    share = in_u / max(1, len(unlabelled))
-    at = at[often[np.isin(found, at)] / len(positives) > 1.5 * share]
+    seen, times = np.unique(np.concatenate([*unlabelled, np.empty(0, np.int64)]), return_counts=True)
+    at_seen = np.minimum(np.searchsorted(seen, found), max(0, len(seen) - 1))
+    in_u = np.where(seen[at_seen] == found, times[at_seen], 0) if len(seen) else np.zeros(len(found))
+    # features that positives hold clearly more often than unlabelled text of the same size would
+    expected = len(positives) * in_u / max(1, len(unlabelled))
+    at = found[(often >= min(3, len(positives))) & (often - expected > 4 * np.sqrt(expected + 0.25)) & (often > LIFT * expected)]
     model = Linear(at, np.zeros(len(at)), float(np.log(prior / (1 - prior))))
     rows_p, rows_u = [model.columns(x) for x in positives], [model.columns(x) for x in unlabelled]
     rng = np.random.default_rng(seed)
