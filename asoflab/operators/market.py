@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from asoflab.functions.columns import change, col, ratio
 
-DAYS = Window.orderBy("trade_date")  # only over frames of one row for each day
+
+def days() -> WindowSpec:
+    """Dates in order, without a partition: only over frames of one row for each day."""
+    return Window.orderBy("trade_date")
 
 
 def market_breadth(stock: DataFrame) -> DataFrame:
@@ -20,7 +23,7 @@ def market_breadth(stock: DataFrame) -> DataFrame:
     )
     return day.withColumns({
         "advance_ratio": ratio("advancers", "valid"), "decline_ratio": ratio("decliners", "valid"), "strength": ratio(F.col("advancers") - F.col("decliners"), "valid"),
-        "coverage": ratio("valid", "members"), "turnover_change": change("turnover", F.lag("turnover").over(DAYS)),
+        "coverage": ratio("valid", "members"), "turnover_change": change("turnover", F.lag("turnover").over(days())),
     })
 
 
@@ -35,7 +38,7 @@ def breadth_with_limits(stock: DataFrame, limit: float = 0.095, n: int = 20) ->
         F.count_if(up).alias("limit_up"), F.count_if(F.col("ret") <= -limit).alias("limit_down"), F.count_if(touched & ~up).alias("broken"),
         F.sum("amount").alias("amount"), F.sum(F.when(F.col("ret") > 0, F.col("amount"))).alias("amount_up"), F.max("limit_streak").alias("longest"),
     )
-    prior = DAYS.rowsBetween(-n, -1)
+    prior = days().rowsBetween(-n, -1)
     return day.withColumns({"broken_rate": ratio("broken", F.col("broken") + F.col("limit_up")), "amount_ratio": F.when(F.count("amount").over(prior) == n, ratio("amount", F.avg("amount").over(prior))), "up_share": ratio("amount_up", "amount")})
 
 
@@ -76,7 +79,7 @@ def coverage(rows: DataFrame, slices: dict[str, Column], matched: Column, key: s
 
 def regime(day: DataFrame, n: int = 20, prior: int = 60, trend: float = 0.05) -> DataFrame:
     """day(trade_date, mean_return) with its regime: volatility above the 75th percentile of the prior window, else trend, else sideways."""
-    w, before = DAYS.rowsBetween(-(n - 1), 0), DAYS.rowsBetween(-prior, -1)
+    w, before = days().rowsBetween(-(n - 1), 0), days().rowsBetween(-prior, -1)
     out = day.withColumns({"log_sum": F.when(F.count("mean_return").over(w) == n, F.sum(F.ln(F.greatest(1 + F.col("mean_return"), F.lit(1e-8)))).over(w)), "vol": F.when(F.count("mean_return").over(w) == n, F.stddev_samp("mean_return").over(w))})
     out = out.withColumn("vol_q75", F.percentile("vol", F.lit(0.75)).over(before))
     named = F.when(F.col("vol").isNull(), "UNKNOWN").when(F.col("vol") > F.col("vol_q75"), "HIGH_VOLATILITY").when(F.col("log_sum") > trend, "TREND_UP").when(F.col("log_sum") < -trend, "TREND_DOWN").otherwise("SIDEWAY")

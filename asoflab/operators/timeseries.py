@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 from asoflab.functions.columns import change, clip, col, full, ratio, trailing
 
-SYMBOL = Window.partitionBy("symbol").orderBy("trade_date")
 
+def __getattr__(name: str) -> WindowSpec:
+    """SYMBOL: a symbol's rows by date. Windows need a session, so it is made when asked for."""
+    if name == "SYMBOL":
+        return Window.partitionBy("symbol").orderBy("trade_date")
+    raise AttributeError(name)
 
-def path_features(bars: DataFrame, by: WindowSpec = SYMBOL) -> DataFrame:
+
+def _by(by: WindowSpec | None) -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("trade_date") if by is None else by
+
+
+def path_features(bars: DataFrame, by: WindowSpec | None = None) -> DataFrame:
     """Returns, gap, intraday move, amplitude, close location and volume change; each NULL on a zero or missing base."""
+    by = _by(by)
     pc = F.lag("close").over(by)
     with_previous = bars.withColumn("previous_close", pc).withColumn("previous_volume", F.lag("volume").over(by))
     return with_previous.withColumns({
@@ -99,8 +109,9 @@ def volatility(by: WindowSpec, log_return: str = "log_return", n: int = 20, year
     return full(F.stddev_samp(log_return).over(frame) * F.sqrt(F.lit(float(year))), F.col(log_return), frame, n)
 
 
-def with_streak(df: DataFrame, condition: Column, name: str, by: WindowSpec = SYMBOL) -> DataFrame:
+def with_streak(df: DataFrame, condition: Column, name: str, by: WindowSpec | None = None) -> DataFrame:
     """df with the running length of the condition, by the index of its last break."""
+    by = _by(by)
     held = F.coalesce(condition, F.lit(False))
     numbered = df.withColumn("_n", F.row_number().over(by)).withColumn("_break", F.when(~held, F.col("_n")))
     last = F.coalesce(F.max("_break").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
