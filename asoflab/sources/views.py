@@ -31,7 +31,7 @@ SQL = {
          round(sum(o_totalprice) * 3, 2) AS assets, CAST(max(o_orderdate) AS DATE) + 30 AS available FROM orders GROUP BY 1, 2)""",
     "trades": """trades AS (
   SELECT l_suppkey AS portfolio, l_partkey % 10 AS symbol, CASE l_returnflag WHEN 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity AS quantity,
-         l_extendedprice / l_quantity AS price, round(l_extendedprice * l_tax, 2) AS fee, CAST(l_shipdate AS DATE) AS traded_on,
+         l_extendedprice / l_quantity AS price, l_extendedprice * l_tax AS fee, CAST(l_shipdate AS DATE) AS traded_on,
          (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS trade_id FROM lineitem)""",
 }
 
@@ -84,4 +84,4 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey")
     side = F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY")
-    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("portfolio"), (F.col("l_partkey") % 10).alias("symbol"), side.alias("side"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.round(F.col("l_extendedprice") * F.col("l_tax"), 2).alias("fee"), F.to_date("l_shipdate").alias("traded_on"), key.alias("trade_id"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("portfolio"), (F.col("l_partkey") % 10).alias("symbol"), side.alias("side"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_extendedprice") * F.col("l_tax")).alias("fee"), F.to_date("l_shipdate").alias("traded_on"), key.alias("trade_id"))
