@@ -19,8 +19,11 @@ A document longer than a block is a block of its own.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,10 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_IDS = 1 << 18
-CACHE = 400_000
+CACHE = 1_000_000  # pieces that a worker remembers: about 160 bytes each
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+SHAPE = re.compile(rf"([{LATIN}]+)([.,])?(?:\n([{LATIN}]+)([.,])?)?")
+SINGLE = re.compile(r"(?<=\S) (?=\S)")
 END = 0
 FIELDS = "shard int, block int, bits int, n_ids long, nameless int, doc_ids array<long>, offsets binary, payload binary"
 
@@ -55,41 +61,74 @@ def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
 
 
+class _Loose(Exception):
+    """A piece begins or ends with white space: its text can't be cut at every space."""
+
+
+class _Pieces(dict):
+    """Ids, as bytes, of pieces that stand after ``mark`` (a space, or nothing); a missing one is encoded when asked for."""
+
+    def __init__(self, owner: Encoder, mark: str) -> None:
+        self.owner, self.mark, self.strict = owner, mark, True
+
+    def __missing__(self, piece: str) -> bytes:
+        own = self.owner
+        if m := SHAPE.fullmatch(piece):
+            word, stop, next_word, next_stop = m.groups()
+            if stop or next_word:
+                start = own.starts
+                out = self[word] + (start[stop] if stop else b"") + (start["\n"] + start[next_word] if next_word else b"") + (start[next_stop] if next_stop else b"")
+            else:
+                out = array("I", [t.id for t in own.model.tokenize((self.mark + word).translate(own.level))]).tobytes()
+        elif self.strict and piece != "\n" and (piece[:1].isspace() or piece[-1:].isspace() or (not piece and self.mark)):
+            raise _Loose
+        else:
+            out = array("I", own.tokenizer.encode(self.mark + piece, add_special_tokens=False).ids).tobytes()
+        if len(self) >= CACHE:
+            self.clear()
+        self[piece] = out
+        return out
+
+
 class Encoder:
-    """The tokenizer, asked once for each distinct piece between single spaces.
+    """The tokenizers library, asked once for each distinct piece between single spaces.
 
     The vocabulary's own pre-tokenizer always cuts before a space that stands
     between two characters that aren't white space, so pieces encode as in the
     whole text; texts with other white space around a space are cut only there.
+    A word of Latin letters is one pre-token, so it goes to the BPE model directly,
+    and a piece of such words, full stops, commas and a line end is the sum of its parts.
     """
 
     def __init__(self, path: str) -> None:
-        import os
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
-        self.loose = re.compile(r"\s\s|^\s|\s$")
-        self.single = re.compile(r"(?<=\S) (?=\S)")
-
-    def pieces(self, text: str) -> list[str]:
-        parts = self.single.split(text) if self.loose.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.pieces(t) for t in texts]
-        new = list({p for s in split for p in s} - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({p for s in split for p in s})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: a character's bytes as the model's alphabet writes them
+        self.level = {c: "".join(t for t, _ in level.pre_tokenize_str(chr(c))) for c in range(0x250)}
+        self.starts, self.spaced = _Pieces(self, ""), _Pieces(self, " ")  # pieces at a text's or line's start; after a space
+
+    def _ids(self, parts: list[str]) -> np.ndarray:
+        return np.frombuffer(self.starts[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:])), "<u4")
+
+    def encode(self, text: str) -> np.ndarray:
+        if text[:1].isspace() or text[-1:].isspace():
+            return self._loose(text)
+        try:
+            return self._ids(text.split(" "))
+        except _Loose:
+            return self._loose(text)
+
+    def _loose(self, text: str) -> np.ndarray:
+        self.starts.strict = self.spaced.strict = False
+        try:
+            return self._ids(SINGLE.split(text))
+        finally:
+            self.starts.strict = self.spaced.strict = True
 
 
 _encoders: dict[str, Encoder] = {}
@@ -117,7 +156,8 @@ def _blocks(path: str):
             for at in range(0, len(f), 256):
                 part = f.iloc[at : at + 256]
                 shard = int(part["shard"].iat[0])
-                for i, x in zip(part["doc_id"].astype("Int64"), own.encode([t or "" for t in part["text"]]), strict=True):
+                for i, t in zip(part["doc_id"].astype("Int64"), part["text"], strict=True):
+                    x = own.encode(t or "")
                     if ids and held + len(x) + 1 > BLOCK_IDS:
                         yield block()
                         number, held, ids, docs, nameless = number + 1, 0, [], [], 0
