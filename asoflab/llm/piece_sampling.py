@@ -28,8 +28,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,7 @@ from . import common
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+MOST_WORDS = 120_000  # whose lattices a worker keeps: about 1 KB each
 CHUNK = 1_500_000  # characters whose lattices are in memory together
 UNUSED = -1e8  # pieces of a lower score count as characters outside the vocabulary do
 BASE = np.uint64(0x100000001B3)
@@ -88,6 +90,11 @@ class Vocabulary:
         self.singles = singles
         self.raw = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) or self.model.is_unknown(i) else p.encode() for i, p in enumerate(pieces)]
 
+        self.raw_n = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_at = np.cumsum(self.raw_n) - self.raw_n
+        self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.store = Store(self)
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
@@ -146,8 +153,11 @@ class Lattices:
         log_p = weight + self.beta[self.end] - self.beta[self.start]
         self.log_p = np.minimum(log_p, 0.0)
         self.p = np.exp(self.log_p)
-        sums = np.cumsum(self.p)
-        before = np.concatenate([[0.0], sums])[self.row[self.start]]
+        place = np.arange(len(self.start)) - self.row[self.start]
+        self.below = self.p.copy()  # p summed up to an edge within its node, so that neighbours don't matter
+        for k in range(1, int(place.max(initial=0)) + 1):
+            at = np.flatnonzero(place == k)
+            self.below[at] += self.below[at - 1]
         # log of the mass of a node's other edges; summed apart for its likeliest edge, where 1 - p would cancel
         node, begin = np.unique(self.start, return_index=True)
         n = np.diff(np.append(begin, len(self.start)))
@@ -156,7 +166,6 @@ class Lattices:
         rest = np.repeat(np.add.reduceat(np.where(top, 0.0, self.p), begin), n) if len(begin) else self.p
         with np.errstate(divide="ignore"):
             self.log_others = np.log(np.where(top, rest, np.maximum(1 - self.p, 0.0)))
-        self.below = sums - before
 
     def _completions(self, weight: np.ndarray, left: np.ndarray, total: int) -> np.ndarray:
         """Log of the summed weight of all ways from a node to its word's end, for nodes ever farther from it."""
@@ -173,6 +182,55 @@ class Lattices:
             beta[v] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), at))
         return beta
 
+
+class Store:
+    """Lattices and best encodings of the words met so far, side by side; emptied when there are MOST_WORDS."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = defaultdict(count().__next__)
+        self.known = 0
+        none = np.empty(0, np.int64)
+        self.start = self.end = self.piece = none.astype(np.int32)
+        self.log_p = self.p = self.below = self.log_others = none.astype(float)
+        self.row, self.first, self.last = np.zeros(1, np.int64), none, none
+        self.best, self.best_n = none.astype(np.int32), none
+
+    def kinds(self, split: list[list[str]]) -> np.ndarray:
+        """The words' numbers, new words added."""
+        if len(self.index) > MOST_WORDS:
+            self.clear()
+        get = self.index.__getitem__
+        out = np.fromiter(chain.from_iterable(map(get, s) for s in split), np.int64, sum(map(len, split)))
+        if new := list(islice(self.index, self.known, None)):
+            self._add(new)
+        return out
+
+    def _add(self, words: list[str]) -> None:
+        lat = Lattices(words, self.vocabulary)
+        nodes, edges = len(self.row) - 1, len(self.start)
+        for name, more, by in (("start", lat.start, nodes), ("end", lat.end, nodes), ("piece", lat.piece, 0)):
+            setattr(self, name, np.concatenate([getattr(self, name), (more + by).astype(np.int32)]))
+        for name in ("log_p", "p", "below", "log_others"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(lat, name)]))
+        self.row = np.concatenate([self.row[:-1], lat.row + edges])
+        self.first, self.last = np.concatenate([self.first, lat.first + nodes]), np.concatenate([self.last, lat.last + nodes])
+        model = self.vocabulary.model
+        best = [b or [model.piece_to_id(SPACE)] for b in model.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)]
+        n = np.fromiter(map(len, best), np.int64, len(best))
+        self.best = np.concatenate([self.best, np.fromiter(chain.from_iterable(best), np.int32, int(n.sum()))])
+        self.best_n = np.concatenate([self.best_n, n])
+        self.known += len(words)
+
+    def best_of(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best ids of the words one after the other, and where each word's end."""
+        n = self.best_n[kind]
+        ends = np.cumsum(n)
+        return self.best[np.repeat((np.cumsum(self.best_n) - self.best_n)[kind] - (ends - n), n) + np.arange(int(n.sum()))], ends
+
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         e, last = self.row[node], self.row[node + 1] - 1
         ahead = np.flatnonzero((u > self.below[e]) & (e < last))
@@ -196,7 +254,7 @@ class Paths:
         self.at = np.searchsorted(self.doc, np.arange(docs + 1))
 
 
-def _extended(lat: Lattices, doc, word, node, step, final, key, rank, total_docs):
+def _extended(lat: Store, doc, word, node, step, final, key, rank):
     """Draws the rest of every word from its node; the choices made."""
     out = []
     live = np.flatnonzero(node != final)
@@ -213,119 +271,100 @@ def _extended(lat: Lattices, doc, word, node, step, final, key, rank, total_docs
 def sample(texts: list[str], keys: list[int], vocabulary: Vocabulary, samples: int) -> list[dict]:
     """For each of 1,000 texts at most its best encoding and its sampled segmentations, best key first."""
     docs = len(texts)
-    index: dict[str, int] = {}
-    split = [[index.setdefault(w, len(index)) for w in words_of(t)] for t in texts]
+    split = [words_of(t) for t in texts]
     sizes = np.array([len(s) for s in split], np.int64)
-    out: list[dict] = [{"best": np.empty(0, np.int32), "samples": []} for _ in texts]
-    first_word = np.concatenate([[0], np.cumsum(sizes)])
-    best = vocabulary.model.encode([w[1:].replace(SPACE, " ") for w in index], num_threads=1) if index else []
-    if not index:
-        for o in out:
-            o["samples"] = [(np.empty(0, np.int32), 0.0, 0.0, 0.0)]
+    out: list[dict] = [{"best": np.empty(0, np.int32), "samples": [] if n else [(np.empty(0, np.int32), 0.0, 0.0, 0.0)]} for n in sizes]
+    if not sizes.any():
         return out
-    lat = Lattices(list(index), vocabulary)
-    kind = np.concatenate([np.array(s, np.int64) for s in split])
+    lat = vocabulary.store
+    kind = lat.kinds(split)
+    first_word = np.concatenate([[0], np.cumsum(sizes)])
     doc = np.repeat(np.arange(docs), sizes)
     word = np.arange(len(kind)) - first_word[doc]
     key = np.array(keys, np.uint64)
     first, final = lat.first[kind], lat.last[kind]
     paths: list[Paths] = []
-    values: list[list[np.ndarray]] = [[] for _ in texts]  # by text: keys of what leaves each path at each choice
-    prefixes: list[np.ndarray] = []
-    removed: list[list[tuple[int, list[int]]]] = [[] for _ in texts]  # by path: where it left its parent, edges gone there
-    bound = -np.log(-np.log(mixed(key, np.uint64(1 << 40))))  # the largest perturbed log-probability of all, whose mass is 1
+    values: list[list[np.ndarray]] = [[] for _ in texts]  # by text and round: keys of what leaves that round's path at each choice
+    left: list[list[tuple[int, list[int]]]] = [[] for _ in texts]  # by text and round: where its path left its parent, edges gone there
     took: list[list[float]] = [[] for _ in texts]
+    bound = -np.log(-np.log(mixed(key, np.uint64(1 << 40))))  # the largest perturbed log-probability of all, whose mass is 1
     live = [d for d in range(docs) if sizes[d]]
-    start = (doc, np.zeros(len(doc), np.int64), word, None)
     for rank in range(samples + 1):
         node, step = first.copy(), np.zeros(len(first), np.int64)
         head: list[tuple] = []
         active = np.zeros(docs, bool)
         if rank == 0:
             active[live] = True
+            for d in live:
+                left[d].append((0, []))
+                took[d].append(float(bound[d]))
         for d in list(live) if rank else []:
-            tops = [(float(v.max(initial=-np.inf)), s) for s, v in enumerate(values[d])]
-            top, s = max(tops)
+            top, s = max((float(v.max(initial=-np.inf)), s) for s, v in enumerate(values[d]))
             if top == -np.inf:  # every segmentation has been drawn
                 live.remove(d)
                 continue
-            bound[d] = top
             took[d].append(top)
             if rank == samples:
                 continue
+            bound[d], active[d] = top, True
             j = int(np.argmax(values[d][s]))
             values[d][s][j] = -np.inf
-            # path s of a text may itself be absent in rounds where the text was done: rows are by round
             own = paths[s]
             a = own.at[d]
-            left_at, gone = removed[d][s]
-            gone = [*gone, int(own.edge[a + j])] if j == left_at else [int(own.edge[a + j])]
+            begin, gone = left[d][s]
+            gone = [*gone, int(own.edge[a + j])] if j == begin else [int(own.edge[a + j])]
             v = int(lat.start[own.edge[a + j]])
             options = [e for e in range(lat.row[v], lat.row[v + 1]) if e not in gone]
             mass = np.cumsum(lat.p[options])
             u = float(mixed(key[d], np.uint64(rank), np.uint64(1 << 41), np.uint64(j)))
             e = options[min(int(np.searchsorted(mass, u * mass[-1])), len(options) - 1)]
-            base = first_word[d]
-            kept = slice(a, a + j)
+            base, kept = first_word[d], slice(a, a + j)
             node[base + own.word[kept]] = lat.end[own.edge[kept]]
             step[base + own.word[kept]] = own.step[kept] + 1
             w = int(own.word[a + j])
             node[base + w], step[base + w] = lat.end[e], own.step[a + j] + 1
             head += [(own.doc[kept], own.step[kept], own.word[kept], own.edge[kept]), (np.array([d]), own.step[a + j : a + j + 1], np.array([w]), np.array([e]))]
-            active[d] = True
-            # words behind the choice have not reached its step in the kept part
-            removed[d].append((j, gone))
+            left[d].append((j, gone))
         if rank == samples:
             break
-        some = active[doc]
-        rest = _extended(lat, doc[some], word[some], node[some], step[some], final[some], key, rank, docs)
-        parts = [np.concatenate([*(h[k] for h in head), rest[k]]).astype(np.int64) for k in range(4)]
-        path = Paths(*parts, docs)
+        some = np.flatnonzero(active[doc])
+        rest = _extended(lat, doc[some], word[some], node[some], step[some], final[some], key, rank)
+        path = Paths(*[np.concatenate([*(h[k] for h in head), rest[k]]).astype(np.int64) for k in range(4)], docs)
         paths.append(path)
-        logs = lat.log_p[path.edge]
-        ahead = np.cumsum(logs) - logs
-        sums = np.append(np.cumsum(logs), 0.0)
-        by_text = np.argsort((path.doc << 52) | (path.word << 26) | path.step, kind="stable")
-        piece = lat.piece[path.edge[by_text]]
-        others = lat.log_others[path.edge]
+        logs, locations = lat.log_p[path.edge], lat.log_others[path.edge]
+        piece = lat.piece[path.edge[np.argsort((path.doc << 52) | (path.word << 26) | path.step, kind="stable")]]
+        outside = np.flatnonzero(piece < 0)
+        on = [d for d in range(docs) if active[d]]
+        total = {}
+        for d in on:  # sums within a text alone: they don't depend on its neighbours
+            a, b = path.at[d], path.at[d + 1]
+            sums = np.cumsum(logs[a:b])
+            total[d] = float(sums[-1])
+            locations[a:b] += sums - logs[a:b]
+            begin, gone = left[d][rank]
+            if rank:
+                e = path.edge[a + begin]
+                v = lat.start[e]
+                others = [x for x in range(lat.row[v], lat.row[v + 1]) if x not in gone and x != e]
+                locations[a + begin] = sums[begin] - logs[a + begin] + np.log(max(lat.p[others].sum(), 1e-300)) if others else -np.inf
+                locations[a : a + begin] = -np.inf
         u = mixed(key[path.doc], np.uint64(rank), np.uint64(1 << 42), np.arange(len(path.doc)) - path.at[path.doc])
+        with np.errstate(invalid="ignore"):
+            v = np.where(np.isneginf(locations), -np.inf, truncated(locations, bound[path.doc], u))
+        cut = np.searchsorted(outside, path.at)
         for d in range(docs):
-            if not active[d]:
-                values[d].append(np.empty(0))
-                if len(removed[d]) <= rank:
-                    removed[d].append((-1, []))
-                continue
             a, b = path.at[d], path.at[d + 1]
-            mass = ahead[a:b] - (ahead[a] if b > a else 0.0)
-            locations = mass + others[a:b]
-            begin = 0
-            if rank == 0:
-                removed[d].append((-1, []))
-                took[d].append(float(bound[d]))
-            else:
-                begin, gone = removed[d][rank]
-                v = lat.start[path.edge[a + begin]]
-                left = [e for e in range(lat.row[v], lat.row[v + 1]) if e not in gone and e != path.edge[a + begin]]
-                locations[begin] = mass[begin] + np.log(max(lat.p[left].sum(), 1e-300)) if left else -np.inf
-            with np.errstate(invalid="ignore"):
-                v = np.where(np.isneginf(locations), -np.inf, truncated(locations, bound[d], u[a:b]))
-            v[:begin] = -np.inf
-            values[d].append(v)
-            log_prob = float(sums[b - 1] - (ahead[a] if b > a else 0.0)) if b > a else 0.0
-            out[d]["samples"].append((_ids(piece[a:b], vocabulary), log_prob, float(bound[d])))
-    n = np.fromiter(map(len, best), np.int64, len(best))
-    flat = np.fromiter(chain.from_iterable(best), np.int32, int(n.sum()))
-    own_n = n[kind]
-    ends = np.cumsum(own_n)
-    every = flat[np.repeat((np.cumsum(n) - n)[kind] - (ends - own_n), own_n) + np.arange(int(own_n.sum()))]
+            values[d].append(v[a:b])
+            if active[d]:
+                ids = piece[a:b] if cut[d] == cut[d + 1] else _ids(piece[a:b], vocabulary)
+                out[d]["samples"].append((ids, total[d], float(bound[d])))
+    every, ends = lat.best_of(kind)
     cuts = np.concatenate([[0], ends])[first_word]
     for d in range(docs):
-        if not sizes[d]:
-            out[d]["samples"] = [(np.empty(0, np.int32), 0.0, 0.0, 0.0)]
-            continue
-        out[d]["best"] = every[cuts[d] : cuts[d + 1]]
-        below = took[d][samples] if len(took[d]) > samples else -np.inf
-        out[d]["samples"] = [(i, p, g, inclusion(p, below)) for i, p, g in out[d]["samples"]]
+        if sizes[d]:
+            out[d]["best"] = every[cuts[d] : cuts[d + 1]]
+            below = took[d][samples] if len(took[d]) > samples else -np.inf
+            out[d]["samples"] = [(i, p, g, inclusion(p, below)) for i, p, g in out[d]["samples"]]
     return out
 
 
@@ -339,8 +378,6 @@ def inclusion(log_prob: float, below: float) -> float:
 
 def _ids(piece: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     outside = np.flatnonzero(piece < 0)
-    if not len(outside):
-        return piece.astype(np.int32)
     parts, at = [], 0
     for k in outside.tolist():
         parts += [piece[at:k], vocabulary.byte[list(chr(-1 - int(piece[k])).encode("utf-8", "surrogatepass"))]]
@@ -392,17 +429,43 @@ def sampled(docs: DataFrame, model: str, samples: int = 3, alpha: float = 5e-4,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sampled(model, alpha, samples, seed), f"doc_id long, {FIELDS}")
 
 
+def _decode_to(texts: list[str], encodings: list[list[np.ndarray]], vocabulary: Vocabulary) -> np.ndarray:
+    """Whether each text's encodings all decode to it; bytes of pieces are compared for all texts at once."""
+    raw = [(SPACE + t.replace(" ", SPACE)).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    good = np.ones(len(texts), bool)
+    whole = np.frombuffer(b"".join(raw), np.uint8)
+    sizes = np.array([len(r) for r in raw], np.int64)
+    for each in encodings:
+        n = np.array([len(i) for i in each], np.int64)
+        ids = np.concatenate([*each, np.empty(0, np.int32)])
+        length = vocabulary.raw_n[ids]
+        ends = np.cumsum(length)
+        of = np.add.reduceat(np.append(length, 0), np.minimum(np.cumsum(n) - n, len(ids))) * (n > 0) if len(n) else n
+        fits = of == sizes
+        good &= fits
+        if fits.all() and len(whole):
+            made = vocabulary.raw_flat[np.repeat(vocabulary.raw_at[ids] - (ends - length), length) + np.arange(int(length.sum()))]
+            wrong = np.flatnonzero(made != whole)
+            good[np.searchsorted(np.cumsum(sizes), wrong, side="right")] = False
+        else:
+            for d in np.flatnonzero(fits):
+                good[d] &= b"".join(map(vocabulary.raw.__getitem__, each[d].tolist())) == raw[d]
+    return good
+
+
 def _digests(path: str, alpha: float, samples: int, seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = vocabulary(path, alpha)
         for f in frames:
             ids, texts = list(f["doc_id"].astype("Int64")), [t or "" for t in f["text"]]
             for part in chunks(texts):
+                found = sample(texts[part], [row_key(x, seed) for x in ids[part]], own, samples)
+                same = [[o["best"] for o in found], *[[o["samples"][k][0] if k < len(o["samples"]) else o["best"] for o in found] for k in range(samples)]]
+                whole = _decode_to(texts[part], same, own)
                 rows = []
-                for i, t, o in zip(ids[part], texts[part], sample(texts[part], [row_key(x, seed) for x in ids[part]], own, samples), strict=True):
-                    crc = [zlib.crc32(s[0].astype("<u4").tobytes()) for s in o["samples"]]
-                    whole = all(own.decode(s[0].tolist()) == t for s in o["samples"]) and own.decode(o["best"].tolist()) == t
-                    rows.append((i, len(o["best"]), zlib.crc32(o["best"].astype("<u4").tobytes()), len(crc), [len(s[0]) for s in o["samples"]], crc, [s[1] for s in o["samples"]], [s[2] for s in o["samples"]], [s[3] for s in o["samples"]], whole))
+                for i, o, ok in zip(ids[part], found, whole.tolist(), strict=True):
+                    crc = [zlib.crc32(s[0]) for s in o["samples"]]
+                    rows.append((i, len(o["best"]), zlib.crc32(o["best"]), len(crc), [len(s[0]) for s in o["samples"]], crc, [s[1] for s in o["samples"]], [s[2] for s in o["samples"]], [s[3] for s in o["samples"]], ok))
                 yield pd.DataFrame(rows, columns=["doc_id", "n_best", "best_crc32", "n_samples", "n_pieces", "crc32s", "log_probs", "perturbed", "log_inclusions", "round_trip"]).astype({"doc_id": "Int64"})
 
     return run
