@@ -151,7 +151,7 @@ def test_streams(spark, quotes):
     assert last == want
     ups = {r["symbol"]: r["reports"] for r in drained(spark, S.event_upserts(stream(), "symbol"), "complete")}
     assert ups == {0: 8, 1: 8, 2: 8}
-    counts = drained(spark, S.windowed_counts(stream(), ["symbol"], "1 day"), "append")
+    counts = drained(spark, S.windowed_counts(stream(), ["symbol"], "1 day", delay="5 minutes"), "append")
     assert sum(r["n"] for r in counts) == 16  # the last day's windows are still open
     assert len(drained(spark, S.distinct_content(stream(), "source"), "append")) >= 2
     assert drained(spark, S.event_sessions(stream(), ["symbol"]), "append") is not None
