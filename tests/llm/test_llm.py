@@ -294,7 +294,7 @@ def test_token_file_matches_whole_text_encoding(spark, monkeypatch):
 
 def test_mixing_meets_marginals_and_is_stable(spark):
     texts = [prose(k, 5 + k % 40) + (" | x" if k % 5 == 0 else "") for k in range(900)] + [None, ""]
-    df = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").when(F.col("doc_id") % 97 == 0, None).otherwise("en"))
+    df = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "de").when(F.col("doc_id") % 7 == 0, None).otherwise("en"))
     targets = {"source": {"src0": 0.2, "src1": 0.3, "src2": 0.5}, "lang": {"de": 0.6, "en": 0.3, "other": 0.1}, "topic": None}
     cells = mixing.mixed(df, targets).groupBy("source", "lang", "topic").agg(F.max("weight").alias("w")).collect()
     for name, want in (("source", targets["source"]), ("lang", targets["lang"])):
@@ -364,7 +364,7 @@ def test_secrets_base_and_structure(spark):
         assert got[i]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
         assert set(told.split(",")) - {""} <= set(got[i]["spans"].split(","))
     kinds = {i: {s.split(":")[0] for s in r["spans"].split(",") if s} for i, r in got.items()}
-    assert kinds[8] == {"jwt"} and kinds[9] == {"der"} and kinds[10] == {"der"} and kinds[11] == {"ssh"} and kinds[12] == {"der"}
+    assert kinds[8] == {"jwt"} and kinds[9] == {"der"} and kinds[10] == {"der"} and kinds[11] == {"ssh"} and kinds[12] == {"der", "hex"}
     assert not kinds[13] and not kinds[14] and not kinds[0] and not kinds[1] and not kinds[2]
     clean = {r["doc_id"]: r for r in secrets.redacted(docs(spark, texts)).collect()}
     assert clean[0]["text"] is None and clean[3]["text"] == "[SECRET]\"" and clean[8]["text"] == "x [SECRET] y" and clean[8]["n_chars"] == len("x [SECRET] y")
