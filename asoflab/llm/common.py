@@ -49,6 +49,17 @@ def crc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def bounded_sample(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """The ``most`` rows of ids(doc_id, ...) with the smallest hash of their id; all of them if there are fewer.
+
+    Only ids travel, and of those only about as many as are wanted.
+    """
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
+    n = ids.count()
+    share = 1_000_000 if n <= 4 * most else int(1_000_000 * most / n * 1.5) + 100
+    return ids.where(place < share).orderBy(place, F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b); component is the smallest node reached.
 

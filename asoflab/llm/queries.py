@@ -31,7 +31,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = common.crc_remainder(F.col("doc_id"), 5) == 0
-    model = toxicity.train(docs.where(~held_out).join(labels.where(~held_out), "doc_id", "left"))
+    model = toxicity.train(docs.where(~held_out), labels.where(~held_out))
     return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
@@ -51,7 +51,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     held_out = common.crc_remainder(F.col("doc_id"), 4) == 2
-    model = quality.train(docs.where(~held_out).join(labels.where(~held_out), "doc_id"))
+    model = quality.train(docs.where(~held_out), labels.where(~held_out))
     return quality.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

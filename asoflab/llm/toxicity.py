@@ -139,16 +139,22 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return model
 
 
-def train(examples: DataFrame, prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 12000) -> Linear:
-    """examples(doc_id, text, toxic): toxic 1 is a positive, anything else is unlabelled."""
-    common.importable(examples.sparkSession)
-    rows = examples.select("doc_id", "text", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("positive"), F.col("toxic").isNotNull().alias("labelled"))
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 12000) -> Linear:
+    """docs(doc_id, text), labels(doc_id, toxic): toxic 1 is a positive, every other document is unlabelled.
+
+    The sample is drawn from ids; only its documents' texts move.
+    """
+    common.importable(docs.sparkSession)
+    known = labels.select("doc_id", (F.col("toxic") == 1).alias("positive")).where("positive is not null").dropDuplicates(["doc_id"])
     if prior is None:
-        n = rows.agg(F.count_if("positive").alias("p"), F.count_if("labelled").alias("n")).first()
+        n = known.agg(F.count_if("positive").alias("p"), F.count("*").alias("n")).first()
         prior = n["p"] / n["n"] if n["n"] else 0.1
-    bounded = [rows.where(F.col("positive") == own).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(most) for own, most in ((True, max_positive), (False, max_unlabelled))]
-    sample = bounded[0].unionByName(bounded[1]).select("positive", "text").repartition(24).mapInPandas(_featured, "positive boolean, features array<int>").collect()  # max_positive + max_unlabelled rows
-    own = [[np.array(r["features"], np.int64) for r in sample if r["positive"] == kind] for kind in (True, False)]
+    positive = known.where("positive").select("doc_id")
+    others = docs.select("doc_id").join(positive, "doc_id", "left_anti")
+    picked = [common.bounded_sample(ids, most, 5).withColumn("positive", F.lit(kind)) for ids, most, kind in ((positive, max_positive, True), (others, max_unlabelled, False))]
+    chosen = common.written(picked[0].union(picked[1]), "chosen")  # max_positive + max_unlabelled rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(_featured, "positive boolean, features array<int>").collect()
+    own = [sorted((np.array(r["features"], np.int64) for r in sample if r["positive"] == kind), key=lambda x: x.tobytes()) for kind in (True, False)]
     return fit(*own, prior=prior)
 
 

@@ -181,25 +181,25 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
         rows.append((k, text, (1 if bad else None) if k % 2 else None))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     labelled = df.withColumn("toxic", F.when((F.col("doc_id") % 6 == 0) & (F.col("doc_id") % 4 < 3), 1).when(F.col("doc_id") % 5 == 0, 0))
-    model = toxicity.train(labelled, prior=1 / 6)
+    model = toxicity.train(df, labelled, prior=1 / 6)
     got = toxicity.scored(df, model).collect()
     assert np.mean([r["predicted"] == (r["doc_id"] % 6 == 0) for r in got]) > 0.97
     odd = toxicity.scored(docs(spark, [None, "", "é" * 50000]).drop("score"), model).collect()
     assert len({r["score"] for r in odd}) == 1 and all(0 <= r["score"] <= 1 for r in odd)
-    none = toxicity.train(df.where("false").withColumn("toxic", F.lit(None).cast("int")))
+    none = toxicity.train(df.where("false"), df.where("false"))
     assert toxicity.scored(df.limit(2), none).count() == 2
 
 
 def test_quality_ranks_and_thresholds(spark):
     rows = [(k, prose(k, 80), 1) for k in range(80)] + [(100 + k, "*** ".join(prose(k, 80).split()) + " $$$", 0) for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    model = quality.train(df)
+    model = quality.train(df, df)
     got = quality.scored(df, model).collect()
     assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.97
     assert len(quality.features(None)) == len(quality.NAMES) == len(quality.features("a\n\nb"))
     odd = quality.scored(docs(spark, [None, "", "x" * 100000]).drop("score"), model).collect()
     assert all(0 <= r["score"] <= 1 for r in odd)
-    alone = quality.train(df.where("quality = 1"))
+    alone = quality.train(df, df.where("quality = 1"))
     assert quality.scored(df, alone).where("predicted = 0").count() == 0
 
 
