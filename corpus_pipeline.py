@@ -13,7 +13,7 @@ ORACLE_SQL = None  # a trained classifier and sampled segmentations are beyond S
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of docs that the ranking, learned from the labels of docs, does not reject."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality.train(docs, labels)
     return quality.scored(docs, model).where("predicted = 1").select(docs.columns)
 
 
