@@ -59,7 +59,7 @@ def features(text: str | None) -> np.ndarray:
 
 def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        yield pd.DataFrame({"positive": f["positive"], "features": [features(t).astype(np.int32) for t in f["text"]]})
+        yield pd.DataFrame({"positive": f["positive"], "features": [features(t).astype(np.int32).tobytes() for t in f["text"]]})
 
 
 class Linear:
@@ -82,7 +82,7 @@ def distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
     """One of the rows that share their four smallest features (mixed anew): copies would count as many examples of a chance word."""
     kept = {}
     for x in rows:
-        mixed = (x * 0x9E3779B1) & 0xFFFFFFFF
+        mixed = (x.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF
         kept.setdefault(tuple(np.sort(mixed)[:4].tolist()), x)
     return list(kept.values())
 
@@ -94,7 +94,7 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return Linear(np.empty(0, np.int64), np.empty(0), float(np.log(prior / (1 - prior))))
     positives, unlabelled = distinct(positives), distinct(unlabelled)
     found, often = np.unique(np.concatenate(positives), return_counts=True)
-    seen, times = np.unique(np.concatenate([*unlabelled, np.empty(0, np.int64)]), return_counts=True)
+    seen, times = np.unique(np.concatenate([*unlabelled, np.empty(0, np.int32)]), return_counts=True)
     at_seen = np.minimum(np.searchsorted(seen, found), max(0, len(seen) - 1))
     in_u = np.where(seen[at_seen] == found, times[at_seen], 0) if len(seen) else np.zeros(len(found))
     # features that positives hold clearly more often than unlabelled text of the same size would
@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
     others = docs.select("doc_id").join(positive, "doc_id", "left_anti")
     picked = [common.bounded_sample(ids, most, 5).withColumn("positive", F.lit(kind)) for ids, most, kind in ((positive, max_positive, True), (others, max_unlabelled, False))]
     chosen = common.written(picked[0].union(picked[1]), "chosen")  # max_positive + max_unlabelled rows
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(_featured, "positive boolean, features array<int>").collect()
-    own = [sorted((np.array(r["features"], np.int64) for r in sample if r["positive"] == kind), key=lambda x: x.tobytes()) for kind in (True, False)]
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(_featured, "positive boolean, features binary").collect()
+    own = [[np.frombuffer(x, np.int32) for x in sorted(bytes(r["features"]) for r in sample if r["positive"] == kind)] for kind in (True, False)]
     return fit(*own, prior=prior)
 
 
