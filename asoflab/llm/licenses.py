@@ -14,8 +14,8 @@ rarest word as the block's first match leaves at most |T| - k template words, so
 places are compared only if that still reaches the threshold.
 
 Templates are few and fixed: they are literals in the plan, nothing is broadcast.
-Null texts count as empty. Scores are the best containment over all blocks, 0 to 1,
-and 1 where a base phrase stands. Rows with equal ids are scanned one by one.
+Null texts count as empty. Scores are the best containment over all blocks, 0 where
+none reaches the threshold, and 1 where a base phrase stands. Rows with equal ids are scanned one by one.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def word_order(docs: DataFrame, text: str = "text") -> list[str]:
 
 
 def _containment(own: Column, template: str, order: list[str], containment: float, slack: int) -> Column:
-    """The best containment of the template over the blocks that the filters leave, or 0."""
+    """The best containment of the template over all blocks if it reaches the threshold, or 0."""
     distinct = set(template.split())
     ranked = [w for w in order if w in distinct]
     n, width = len(ranked), len(template.split()) + slack
@@ -85,8 +85,9 @@ def _containment(own: Column, template: str, order: list[str], containment: floa
         starts = F.sequence(F.greatest(i - width + 1, F.lit(0)), i)
         return F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice(own, s + 1, width), every))))
 
-    scores = F.transform(places, best)
-    return F.when((F.size(held) >= need) & F.arrays_overlap(own, rare), F.coalesce(F.array_max(scores), F.lit(0)) / F.lit(float(n))).otherwise(F.lit(0.0))
+    found = F.coalesce(F.array_max(F.transform(places, best)), F.lit(0))
+    enough = (F.size(held) >= need) & F.arrays_overlap(own, rare)
+    return F.when(enough, F.when(found >= need, found / F.lit(float(n))).otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def scan(docs: DataFrame, containment: float = 0.8, slack: int = 4) -> DataFrame:
