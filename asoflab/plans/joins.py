@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from asoflab.functions import columns as C
 from asoflab.functions import filters as X
 from asoflab.operators import landing, pit
 from asoflab.operators import timeseries as T
-from asoflab.plans.features import A, B, BY, RETS, r, rets
+from asoflab.plans.features import A, B, BY, RETS, rets
 from asoflab.plans.registry import query
 from asoflab.sources import views as V
 

@@ -117,6 +117,13 @@ def test_q_values_and_ridge(spark):
     assert p and all(abs(r["prediction"] - r["y"]) < 1e-3 for r in p)
 
 
+def test_components_of_a_chain(spark):
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="asoflab-test-"))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(80)], "a long, b long")
+    got = E.components(edges, spark.range(90).withColumnRenamed("id", "node")).collect()
+    assert {r["node"]: r["component"] for r in got} == {k: 0 for k in range(81)} | {k: k for k in range(81, 90)}
+
+
 def test_future_rows_do_not_change_the_past(spark):
     rows = [(1, d, float(d % 5 + 1)) for d in range(30)]
     df = lambda n: spark.createDataFrame(rows[:n], "symbol int, trade_date int, close double")
