@@ -78,5 +78,5 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         jumped = written(hooked.join(up, "component").select("node", F.col("up").alias("component"), "was"), "jumped")
         labels = jumped.select("node", "component")
         if jumped.where("component <> was").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
