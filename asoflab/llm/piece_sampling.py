@@ -102,7 +102,12 @@ class Vocabulary:
 
 def words_of(text: str) -> list[str]:
     """The text as words that no piece crosses; one space is put before it, as the model does."""
-    return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    if not text:
+        return []
+    parts = text.split(" ")
+    if "" in parts or SPACE in text:
+        return WORD.findall(SPACE + text.replace(" ", SPACE))
+    return [SPACE + p for p in parts]
 
 
 class Lattices:
@@ -143,12 +148,18 @@ class Lattices:
             pieces.append(ids[good])
             weights.append(w[good])
             own, h = own[alive], h[alive]
-        start = np.concatenate(starts)
-        # a node's likeliest edges are its longest ones: they come first
-        order = np.lexsort((-np.concatenate(ends), start))
-        self.start, self.end, self.piece = start[order], np.concatenate(ends)[order], np.concatenate(pieces)[order]
-        weight = np.concatenate(weights)[order]
-        self.row = np.searchsorted(self.start, np.arange(total + 1))  # edges of node v: row[v] .. row[v + 1]
+        # edges go to their nodes' places, a node's longest first: those are its likeliest
+        many = np.zeros(total + 1, np.int64)
+        for own in starts:
+            many[own + 1] += 1
+        self.row = np.cumsum(many)  # edges of node v: row[v] .. row[v + 1]
+        free = self.row[:-1].copy()
+        edges = int(self.row[-1])
+        self.start, self.end, self.piece, weight = (np.empty(edges, kind) for kind in (np.int64, np.int64, np.int64, float))
+        for own, end, piece, w in zip(reversed(starts), reversed(ends), reversed(pieces), reversed(weights), strict=True):
+            at = free[own]
+            self.start[at], self.end[at], self.piece[at], weight[at] = own, end, piece, w
+            free[own] += 1
         self.beta = self._completions(weight, left, total)
         log_p = weight + self.beta[self.end] - self.beta[self.start]
         self.log_p = np.minimum(log_p, 0.0)
@@ -159,8 +170,8 @@ class Lattices:
             at = np.flatnonzero(place == k)
             self.below[at] += self.below[at - 1]
         # log of the mass of a node's other edges; summed apart for its likeliest edge, where 1 - p would cancel
-        node, begin = np.unique(self.start, return_index=True)
-        n = np.diff(np.append(begin, len(self.start)))
+        n = many[1:][many[1:] > 0]
+        begin = self.row[:-1][many[1:] > 0]
         top = self.p == np.repeat(np.maximum.reduceat(self.p, begin), n) if len(begin) else self.p > 2
         top &= np.concatenate([[True], (self.start[1:] != self.start[:-1]) | ~top[:-1]]) if len(top) else top
         rest = np.repeat(np.add.reduceat(np.where(top, 0.0, self.p), begin), n) if len(begin) else self.p
