@@ -3,8 +3,9 @@
 Documents fall into cells of source, language and topic. Token weights of the
 cells are raked: each sweep scales them to the target share of every source, then
 of every language, then of every topic. A document is kept with its cell's
-calibrated probability, weight over tokens, scaled so that the neediest cell keeps
-all it has; a hash of the document's id decides, so any re-run keeps the same rows.
+calibrated probability: KEEP times its wanted over its actual share of tokens, 1 at
+most; a hash of the document's id decides, so any re-run keeps the same rows. A cell
+that wants more than 1 / KEEP times what it has keeps all and falls short of its target.
 
 The raking runs on the table of cells (pre-aggregated, at most sources x languages
 x topics rows, in one partition); documents are only counted and filtered. All of
@@ -26,6 +27,7 @@ from . import common
 
 SWEEPS = 12
 MOST_CELLS = 50_000
+KEEP = 0.5  # of a cell that already has its share
 DIMENSIONS = ("source", "lang", "topic")
 
 #: Topics by marks in the text; the first that holds decides.
@@ -75,7 +77,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps:
     cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), total), F.lit(0.0)))
     need = F.coalesce(F.try_divide(F.col("weight"), F.col("tokens").cast("double")), F.lit(0.0))
     cells = cells.withColumn("need", need)
-    return cells.withColumn("probability", F.coalesce(F.try_divide(F.col("need"), F.max("need").over(every)), F.lit(0.0))).drop("need", *[f"want_{n}" for n in DIMENSIONS])
+    wanted = F.col("need") * F.sum("tokens").over(every) * KEEP
+    return cells.withColumn("probability", F.coalesce(F.least(F.lit(1.0), wanted), F.lit(0.0))).drop("need", *[f"want_{n}" for n in DIMENSIONS])
 
 
 def draw(doc_id: Column, seed: int) -> Column:

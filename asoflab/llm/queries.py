@@ -99,7 +99,7 @@ def _mixing_sql() -> str:
     steps += [
         f"shares AS (SELECT *, weight / sum(weight) OVER () AS share FROM w{k})",
         "needs AS (SELECT *, coalesce(share / nullif(tokens, 0), 0) AS need FROM shares)",
-        "final AS (SELECT source, lang, topic, share AS weight, need / max(need) OVER () AS probability FROM needs)",
+        f"final AS (SELECT source, lang, topic, share AS weight, least(1.0::DOUBLE, need * sum(tokens) OVER () * {mixing.KEEP}) AS probability FROM needs)",
         "drawn AS (SELECT *, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS drawn FROM docs)",
     ]
     return f"WITH {', '.join(steps)} SELECT doc_id, source, lang, topic, n_tokens, round(weight, 9) AS weight, round(probability, 9) AS probability, round(drawn, 9) AS drawn, drawn < probability AS kept FROM drawn JOIN final USING (source, lang, topic)"
