@@ -2,10 +2,11 @@
 
 Documents fall into cells of source, language and topic. Token weights of the
 cells are raked: each sweep scales them to the target share of every source, then
-of every language, then of every topic. A document is kept with its cell's
-calibrated probability: KEEP times its wanted over its actual share of tokens, 1 at
-most; a hash of the document's id decides, so any re-run keeps the same rows. A cell
-that wants more than 1 / KEEP times what it has keeps all and falls short of its target.
+of every language, then of every topic. A cell's documents are expected KEEP times
+its wanted over its actual share of tokens times in the sample: each is there as many
+times as that number has wholes, and once more with the rest as probability; a hash of
+the document's id decides, so any re-run draws the same rows. No cell is cut at what it
+has, so the sample meets the targets and holds about KEEP of all tokens.
 
 The raking runs on the table of cells (pre-aggregated, at most sources x languages
 x topics rows, in one partition); documents are only counted and filtered. All of
@@ -14,6 +15,8 @@ it is DataFrame expressions.
 Sources, languages and topics without a target, and null ones, are the value
 "other". Targets are shares of what is there: a target whose value doesn't occur
 is spread over the others. Without targets every value that occurs gets the same share.
+"other" has no share where its dimension's targets name none; with keep_other it has its
+actual share of tokens there, and the targets share the rest.
 Empty texts hold no tokens, weigh nothing, and are kept with their cell's
 probability (0 in a cell without tokens). Null ids draw as the empty text does.
 """
@@ -53,8 +56,9 @@ def _named(value: Column, targets: dict[str, float] | None) -> Column:
     return value if targets is None else F.when(value.isin([*targets]), value).otherwise(F.lit("other"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps: int = SWEEPS) -> DataFrame:
-    """cells(source, lang, topic, tokens) with weight: the raked share of all tokens that each cell should have."""
+def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps: int = SWEEPS, keep_other: bool = False) -> DataFrame:
+    """cells(source, lang, topic, tokens) with weight, the raked share of all tokens that each cell should have,
+    expected, how many times a document of the cell should be in the sample, and probability, that it is there at all."""
     every = Window.partitionBy(F.lit(0))
     for name in DIMENSIONS:
         wanted = targets.get(name)
@@ -67,7 +71,12 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps:
                 own = F.when(F.col(name) == value, F.lit(float(share))).otherwise(own)
             cells = cells.withColumn("own", own).withColumn("one", F.lit(1.0) / F.count("*").over(by))
             total = F.sum(F.col("own") * F.col("one")).over(every)
-            cells = cells.withColumn(f"want_{name}", F.try_divide(F.col("own"), total)).drop("own", "one")
+            want = F.try_divide(F.col("own"), total)
+            if keep_other and "other" not in wanted:
+                other = F.sum(F.when(F.col(name) == "other", F.col("tokens")).otherwise(0)).over(every)
+                other = F.coalesce(F.try_divide(other.cast("double"), F.sum("tokens").over(every).cast("double")), F.lit(0.0))
+                want = F.when(F.col(name) == "other", other).otherwise(want * (1 - other))
+            cells = cells.withColumn(f"want_{name}", want).drop("own", "one")
     cells = cells.withColumn("weight", F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(every).cast("double")))
     for _ in range(sweeps):
         for name in DIMENSIONS:
@@ -78,7 +87,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps:
     need = F.coalesce(F.try_divide(F.col("weight"), F.col("tokens").cast("double")), F.lit(0.0))
     cells = cells.withColumn("need", need)
     wanted = F.col("need") * F.sum("tokens").over(every) * KEEP
-    return cells.withColumn("probability", F.coalesce(F.least(F.lit(1.0), wanted), F.lit(0.0))).drop("need", *[f"want_{n}" for n in DIMENSIONS])
+    cells = cells.withColumn("expected", F.coalesce(wanted, F.lit(0.0))).withColumn("probability", F.coalesce(F.least(F.lit(1.0), wanted), F.lit(0.0)))
+    return cells.drop("need", *[f"want_{n}" for n in DIMENSIONS])
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -87,29 +97,37 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
+def copies(expected: Column, drawn: Column) -> Column:
+    """How many times a document is in the sample: the wholes of expected, and one more by the draw."""
+    return F.floor(expected) + (drawn < expected - F.floor(expected)).cast("long")
+
+
 def _small(shares: DataFrame) -> DataFrame:
     """The raked cells, written once; broadcast only if they are few, which is counted."""
     shares = common.written(shares, "cells")
     return F.broadcast(shares) if shares.count() <= MOST_CELLS else shares
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, seed: int = 17, sweeps: int = SWEEPS) -> DataFrame:
-    """docs(doc_id, text, source, lang) as (doc_id, source, lang, topic, n_tokens, weight, probability, drawn, kept)."""
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, seed: int = 17, sweeps: int = SWEEPS, keep_other: bool = False) -> DataFrame:
+    """docs(doc_id, text, source, lang) as (doc_id, source, lang, topic, n_tokens, weight, probability, drawn, kept, copies)."""
     targets = targets or {}
     named = [_named(F.col(n), targets.get(n)).alias(n) for n in ("source", "lang")]
     rows = docs.select("doc_id", *named, _named(topic_of(F.col("text")), targets.get("topic")).alias("topic"), token_count(F.col("text")).alias("n_tokens"))
+    rows = common.written(rows, "rows")  # texts are read once
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).coalesce(1)
-    shares = rake(cells, targets, sweeps).select(*DIMENSIONS, "weight", "probability")
+    shares = rake(cells, targets, sweeps, keep_other).select(*DIMENSIONS, "weight", "expected", "probability")
     out = rows.join(_small(shares), [*DIMENSIONS])
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", draw(F.col("doc_id"), seed).alias("drawn")).withColumn("kept", F.col("drawn") < F.col("probability"))
+    out = out.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", draw(F.col("doc_id"), seed).alias("drawn"), "expected")
+    return out.withColumn("kept", F.col("drawn") < F.col("probability")).withColumn("copies", copies(F.col("expected"), F.col("drawn"))).drop("expected")
 
 
-def sampled(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, seed: int = 17) -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
+def sampled(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, seed: int = 17, keep_other: bool = False) -> DataFrame:
+    """The sample: rows of docs with their own columns, each as many times as its copies."""
     targets = targets or {}
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), "text", "source", "lang")
     values = [_named(F.col(n), targets.get(n)).alias(f"cell_{n}") for n in ("source", "lang")]
     marked = marked.select("row", draw(F.col("doc_id"), seed).alias("drawn"), *values, _named(topic_of(F.col("text")), targets.get("topic")).alias("cell_topic"), token_count(F.col("text")).alias("n_tokens"))
     cells = marked.groupBy(*[F.col(f"cell_{n}").alias(n) for n in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens")).coalesce(1)
-    shares = rake(cells, targets).select(*[F.col(n).alias(f"cell_{n}") for n in DIMENSIONS], "probability")
-    return marked.join(_small(shares), [f"cell_{n}" for n in DIMENSIONS]).where("drawn < probability").select("row.*")
+    shares = rake(cells, targets, keep_other=keep_other).select(*[F.col(n).alias(f"cell_{n}") for n in DIMENSIONS], "expected")
+    drawn = marked.join(_small(shares), [f"cell_{n}" for n in DIMENSIONS]).withColumn("copies", copies(F.col("expected"), F.col("drawn")))
+    return drawn.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")

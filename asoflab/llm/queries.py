@@ -63,7 +63,7 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"), TARGETS).withColumns({c: F.round(c, 9) for c in ("weight", "probability", "drawn")})
+    return mixing.mixed(table(spark, sf_dir, "documents"), TARGETS).drop("copies").withColumns({c: F.round(c, 9) for c in ("weight", "probability", "drawn")})
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

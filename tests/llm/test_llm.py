@@ -309,6 +309,28 @@ def test_mixing_meets_marginals_and_is_stable(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def shares_of(rows, column):
+    total, out = sum(len(r["text"].split()) for r in rows), collections.Counter()
+    for r in rows:
+        out[r[column]] += len(r["text"].split()) / total
+    return out
+
+
+def test_mixing_sample_has_the_wanted_shares(spark):
+    texts = [prose(k, 5 + k % 40) + (" | x" if k % 50 == 0 else "") for k in range(3000)]
+    df = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 20 == 1, "de").when(F.col("doc_id") % 10 == 7, None).otherwise("en"))
+    targets = {"source": None, "lang": {"de": 0.5, "en": 0.5}, "topic": {"prose": 0.8, "table": 0.2}}
+    rows = mixing.sampled(df, targets, keep_other=True).collect()
+    tokens = sum(len(t.split()) for t in texts)
+    assert abs(sum(len(r["text"].split()) for r in rows) / tokens - mixing.KEEP) < 0.05
+    other = shares_of(df.collect(), "lang")[None]
+    for value, want in ((None, other), ("de", (1 - other) / 2), ("en", (1 - other) / 2)):
+        assert abs(shares_of(rows, "lang")[value] - want) < 0.03
+    assert abs(sum(len(r["text"].split()) for r in rows if " | " in r["text"]) / sum(len(r["text"].split()) for r in rows) - 0.2) < 0.03
+    told = {r["doc_id"]: r["copies"] for r in mixing.mixed(df, targets, keep_other=True).collect()}
+    assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter({i: n for i, n in told.items() if n})
+
+
 # 8
 
 
