@@ -6,8 +6,12 @@ hex of 32 or more digits). Further kinds are reported only if a candidate's
 decoded bytes have the structure of a key:
 
 * ``jwt``: three dot-separated base64url parts whose first is a JSON object with "alg";
-* ``der``: base64 (also inside PEM armour) or hex that is one ASN.1 SEQUENCE whose nested lengths fill it exactly;
-* ``ssh``: base64 of length-prefixed fields that fill it exactly, the first naming a key type.
+* ``der``: base64 (also inside PEM armour) or hex that is one ASN.1 SEQUENCE whose nested lengths fill it exactly,
+  or PEM armour of whole cipher blocks whose header lines name the cipher;
+* ``ssh``: base64 (also inside PEM armour) of length-prefixed fields that fill it exactly, the first naming a key
+  type, or of an OpenSSH private key.
+
+Base64 may be of either alphabet, wrapped, and have escaped line ends, as in JSON strings.
 
 Positions are code points, ends exclusive. Null texts count as empty. Whole texts
 are scanned, whatever their length; overlapping spans of different kinds all stay.
@@ -19,6 +23,7 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,10 +39,18 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:MI|MF|MH|MC|MD|ME|AAAA)[A-Za-z0-9+/]{20,}={0,2}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----((?:[^-]++|-(?!----))*+)-----END \1-----")
+DEK = re.compile(r"DEK-Info:[ \t]*[A-Za-z0-9-]+,[ \t]*[0-9A-Fa-f]{16,}")
+#: How base64 of a SEQUENCE (0x30), of a short length prefix or of "ope" can begin; more of it must follow on the line.
+BASE64 = re.compile(r"(?:M[A-P]|AAAA|b3Bl)(?=[A-Za-z0-9+/_-]{20})")
+BASE64_PLAIN = re.compile(r"[A-Za-z0-9+/]+")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+BASE64_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+LINE_END = re.compile(r"[ \t]*\r?\n[ \t]*|(?:\\+r)?\\+n|\\+r")
+PADDING = re.compile(r"={0,2}")
 DER_HEX = re.compile(r"(?<![0-9a-fA-F])30[0-9a-fA-F]{30,}")
 SSH_TYPES = (b"ssh-", b"ecdsa-", b"sk-")
+OPENSSH = b"openssh-key-v1\0"
 
 
 def decoded(text: str) -> bytes | None:
@@ -93,6 +106,97 @@ def is_ssh(data: bytes | None) -> bool:
     return len(fields) > 1 and fields[0].startswith(SSH_TYPES)
 
 
+def openssh_end(data: bytes) -> tuple[int, bool]:
+    """Where an OpenSSH private key ends (cipher, derivation, its options, public keys, private part),
+    as far as data tells, and whether that is its end."""
+    at, fields, wanted = len(OPENSSH), [], 3
+    while len(fields) < wanted:
+        n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if at + n > len(data):
+            return at + n, False
+        fields.append(data[at : at + n])
+        at += n
+        if len(fields) == 3:
+            wanted, at = 4 + int.from_bytes(data[at : at + 4], "big"), at + 4
+    return at, len(fields) > 4 and len(fields[-1]) > 0 and all(map(is_ssh, fields[3:-1]))
+
+
+def is_openssh(data: bytes | None) -> bool:
+    """Some ciphers leave a tag of 16 bytes after the private part."""
+    if not data or not data.startswith(OPENSSH):
+        return False
+    end, whole = openssh_end(data)
+    return whole and len(data) - end in (0, 16)
+
+
+def sizes(data: bytes) -> tuple[int, float]:
+    """The least and the most bytes that the structure which begins with data can have; (0, 0) if it begins none."""
+    if data[:1] == b"\x30":
+        size = data[1] & 0x7F if data[1] & 0x80 else 0
+        if size > 4 or data[1] == 0x80:
+            return 0, 0
+        n = 2 + size + (int.from_bytes(data[2 : 2 + size], "big") if size else data[1])
+        return n, n
+    if data.startswith(OPENSSH):
+        end, whole = openssh_end(data)
+        return end, end + 16 if whole or end <= len(data) else math.inf
+    if not data[4:].startswith(SSH_TYPES):
+        return 0, 0
+    at = 0
+    while at + 4 <= len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at, math.inf
+
+
+def kind_of(data: bytes | None) -> int | None:
+    """The place in KINDS of the structure that fills data."""
+    if is_der(data):
+        return 4
+    return 5 if is_ssh(data) or is_openssh(data) else None
+
+
+def kind_of_pem(label: str, body: str) -> int | None:
+    """The kind of what stands in PEM armour; ciphertext, which has no structure, by its header lines."""
+    rows = [r.strip() for r in LINE_END.split(body.strip().replace("\\/", "/"))]
+    while rows and not rows[0]:
+        rows = rows[1:]
+    n = 0
+    if rows and ":" in rows[0]:
+        n = rows.index("") if "" in rows else next((k for k, r in enumerate(rows) if ":" not in r), len(rows))
+    data = decoded("".join(rows[n:]))
+    if label.endswith("PRIVATE KEY") and any(map(DEK.match, rows[:n])):
+        return 4 if data and len(data) % 8 == 0 else None
+    return kind_of(data)
+
+
+def base64_span(text: str, start: int) -> tuple[int, int] | None:
+    """End and kind of the structure that base64 from start on holds, on one line or wrapped.
+
+    The structure ends where a line does; its own lengths tell how many lines are taken.
+    """
+    least, most = sizes(decoded(text[start : start + 20]))
+    at, chars = start, ""
+    while most and (line := BASE64_LINE.match(text, at)):
+        if (least - len(chars) * 3 // 4) * 4 // 3 > len(text) - at:
+            return None
+        for part in dict.fromkeys((BASE64_PLAIN.match(line[0]), line)):
+            if not part or (len(chars) + len(part[0])) * 3 // 4 < least:
+                continue
+            end, data = at + len(part[0]), decoded(chars + part[0])
+            if text[end : end + 1] not in BASE64_CHARS and (kind := kind_of(data)) is not None:
+                return PADDING.match(text, end).end(), kind
+        chars += line[0]
+        if len(chars) * 3 // 4 >= least:
+            least, most = sizes(decoded(chars[: len(chars) // 4 * 4]))
+            if len(chars) * 3 // 4 > most:
+                return None
+        more = LINE_END.match(text, line.end())
+        if not more:
+            return None
+        at = more.end()
+    return None
+
+
 def is_jwt(text: str) -> bool:
     head, body, _ = text.split(".", 2)
     raw = decoded(head)
@@ -120,14 +224,24 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     more: set[tuple[int, int, int]] = set()
     if "eyJ" in text:
         more |= {(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_jwt(m[0])}
+    armoured: list[tuple[int, int]] = []
     if "-----BEGIN" in text:
-        more |= {(m.start(), 4, m.end()) for m in PEM.finditer(text) if is_der(decoded(m[2]))}
+        for m in PEM.finditer(text):
+            kind = kind_of_pem(m[1], m[2])
+            if kind is not None:
+                more.add((m.start(), kind, m.end()))
+                armoured.append((m.start(), m.end()))
+    last = 0
     for m in BASE64.finditer(text):
-        data = decoded(m[0])
-        if is_der(data):
-            more.add((m.start(), 4, m.end()))
-        elif is_ssh(data):
-            more.add((m.start(), 5, m.end()))
+        at = m.start()
+        while armoured and armoured[0][1] <= at:
+            armoured.pop(0)
+        if at < last or (armoured and armoured[0][0] <= at) or (text[at - 1 : at] in BASE64_CHARS and text[at - 2 : at] not in ("\\n", "\\r")):
+            continue
+        found = base64_span(text, at)
+        if found:
+            last = found[0]
+            more.add((at, found[1], last))
     for m in DER_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der(bytes.fromhex(m[0])):
             more.add((m.start(), 4, m.end()))

@@ -393,6 +393,55 @@ def test_secrets_base_and_structure(spark):
     assert secrets.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def field(body):
+    return len(body).to_bytes(4, "big") + body
+
+
+PUBLIC = field(b"ssh-ed25519") + field(b"\x07" * 32)
+OPENSSH = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(PUBLIC) + field(bytes(range(136)))
+SHORT = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(6, b"\x2b\x81")) + der(4, b"\xfb\xff" * 42))  # length byte 0x60 to 0x6f
+
+
+def wrapped(data, end="\n", width=64, encode=base64.b64encode):
+    text = encode(data).decode()
+    return end.join(text[k : k + width] for k in range(0, len(text), width))
+
+
+def test_secrets_structure_in_every_form(spark):
+    armour = lambda label, body, end="\n": f"-----BEGIN {label}-----{end}{body}{end}-----END {label}-----"
+    assert 0x60 <= SHORT[1] <= 0x6F and len(base64.b64encode(KEY)) > 64
+    plain = base64.b64encode(SHORT).decode()
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    secret = {
+        "openssh": (armour("OPENSSH PRIVATE KEY", wrapped(OPENSSH, width=70)), "ssh"),
+        "openssh with tag": (armour("OPENSSH PRIVATE KEY", wrapped(OPENSSH + bytes(16), width=70)), "ssh"),
+        "openssh bare": (wrapped(OPENSSH, width=70), "ssh"),
+        "escaped": (armour("PRIVATE KEY", wrapped(KEY, "\\n"), "\\n"), "der"),
+        "escaped twice": (armour("PRIVATE KEY", wrapped(KEY, "\\\\n"), "\\\\n"), "der"),
+        "headers": (armour("RSA PRIVATE KEY", headers + wrapped(bytes(range(160)))), "der"),
+        "escaped headers": (armour("RSA PRIVATE KEY", headers.replace("\n", "\\n") + wrapped(bytes(range(160)), "\\n"), "\\n"), "der"),
+        "short": (plain, "der"),
+        "wrapped": (wrapped(KEY), "der"),
+        "wrapped, carriage returns": (wrapped(KEY, "\r\n  "), "der"),
+        "wrapped, escaped": (wrapped(KEY, "\\n"), "der"),
+        "url-safe": (wrapped(SHORT, encode=base64.urlsafe_b64encode).replace("\n", ""), "der"),
+        "public, wrapped": (wrapped(field(b"ssh-rsa") + field(b"\1\0\1") + field(b"\x05" * 257)), "ssh"),
+    }
+    assert "-" in secret["url-safe"][0] or "_" in secret["url-safe"][0]
+    for name, (text, kind) in secret.items():
+        # a line of other base64 characters follows, which is no part of the key
+        for before, after in (("", ""), ("key: ", "\nplainword here"), ("zz\\n", "\n")):
+            got = [s for s in secrets.spans(before + text + after)[1] if s[1] > 2]
+            assert got == [(len(before), secrets.KINDS.index(kind), len(before + text))], (name, before)
+    for text in (
+        armour("RSA PRIVATE KEY", headers + wrapped(bytes(range(161)))), armour("OPENSSH PRIVATE KEY", wrapped(OPENSSH[:-1])), armour("PRIVATE KEY", wrapped(KEY + b"x")),
+        armour("PRIVATE KEY", "Comment: none\n\nabcd"), wrapped(KEY)[:-8], "x" + plain, plain + "x", "MANY" * 12, "AAAA" * 2000, "MAAA" * 2000,
+    ):
+        assert not [s for s in secrets.spans(text)[1] if s[1] > 2], text[:80]
+    rows = {r["doc_id"]: r for r in secrets.redacted(docs(spark, [f"a {t} b" for t, _ in secret.values()])).collect()}
+    assert {r["text"] for r in rows.values()} == {"a [SECRET] b"}
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 900), (900, 500)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.connected_components(edges).collect()}
