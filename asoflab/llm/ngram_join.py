@@ -241,6 +241,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component has a smaller id; one row of each repeated id stays."""
-    kept = jaccard_components(docs, width, percent).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(common.written(kept, "kept"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One row of docs for each component: the smallest id, null ids last, then the smallest hash of the text.
+
+    Rows are numbered first and compared by number, so rows of one id and rows without
+    an id are compared like any others. Rows without words link with nothing and all stay.
+    """
+    numbered = common.written(docs.withColumn("keep_one_row", F.monotonically_increasing_id()), "numbered")
+    placed = jaccard_components(numbered.select(F.col("keep_one_row").alias("doc_id"), "text"), width, percent)
+    order = numbered.select("keep_one_row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "keep_one_row").alias("place"))
+    kept = placed.select(F.col("doc_id").alias("keep_one_row"), "component_id").join(order, "keep_one_row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return numbered.join(common.written(kept.select("place.keep_one_row"), "kept"), "keep_one_row", "left_semi").select(docs.columns)

@@ -92,6 +92,17 @@ def test_jaccard_odd_tables(spark):
 # 9 and 4
 
 
+def test_keep_one_row_of_each_component(spark):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    texts = [a, a, edited(a, 1, 1), b, edited(b, 2, 1), c, c, edited(c, 3, 1), "", None, None]
+    ids = [5, 5, 9, 7, 5, None, None, None, 11, 12, 12]
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs(spark, texts, ids)).collect()]
+    assert sorted(i for i, _ in got if i is not None) == [5, 5, 11, 12, 12]
+    assert sum(t == a for _, t in got) == 1 and sum(t == edited(b, 2, 1) for _, t in got) == 1
+    assert len([i for i, _ in got if i is None]) == 1 and len(got) == 6
+    assert ngram_join.keep_one(docs(spark, texts, ids)).columns == docs(spark, texts, ids).columns
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, raw string, key long, id long")
 
