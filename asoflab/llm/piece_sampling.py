@@ -6,34 +6,42 @@ proportional to exp(alpha * sum of its pieces' scores). ``samples`` distinct
 segmentations of each whole text are drawn by Gumbel top-k: each segmentation's
 log-probability is perturbed by Gumbel noise and the largest come out in order.
 
-The search is A* over subtrees of choices. A subtree's key is the maximum of its
-perturbed leaves, which the exact completion mass of the lattice gives without
-visiting them, so the subtree taken from the queue always holds the next sample.
-Taking one means: choose the first piece that differs by its remaining mass, draw
-the rest from the lattice, and queue what leaves the new path at each later choice
-(a Gumbel of that mass, cut off at the sample's own key). Choices are ordered by
-their number within a word, then by word; as no piece crosses a word's start,
-this is a tree, and all words of many texts advance together in numpy.
-
-Random numbers are hashes of (seed, row key, sample, word, step): a row's samples
+The search is A* over regions. A region holds all segmentations that leave a path
+already taken, at any of its choices. Its key is the maximum of its perturbed leaves,
+which its exact mass gives without visiting them (a Gumbel of that mass, cut off at
+the last sample's key), so the region taken from the queue always holds the next
+sample. Taking one means: choose where the new path leaves the old one by mass, choose
+the piece there, draw the rest from the lattice, and queue what is left of the region
+and the region of the new path. Choices are in reading order; only as many of them
+are looked at as hold mass that a double can tell from none.
+
+Texts are cut at characters which stand side by side in no vocabulary piece: no piece
+crosses such a place, so the cuts' lattices are independent, and a worker keeps those
+of parts met before (recognised by 64-bit hashes), in arrays of bounded size.
+
+Random numbers are hashes of (seed, row key, sample, part, step): a row's samples
 don't depend on partitions, batches or retries. ``log_inclusion`` is the log of the
 probability that a segmentation enters the sample given the next key below it
 (Horvitz-Thompson weights; 0 if all segmentations were drawn).
 
 Null and empty texts have one empty segmentation. Rows with the same key and text
-have the same samples. A null key counts as an empty key.
+have the same samples. A null key counts as an empty key. A text that holds U+2581
+decodes to a space there. Extra columns are ignored; an empty table gives no rows. A
+text longer than a chunk is a chunk of its own.
 """
 
 from __future__ import annotations
 
-import re
+import math
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,24 +49,28 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-MOST_WORDS = 120_000  # whose lattices a worker keeps: about 1 KB each
-CHUNK = 1_500_000  # characters whose lattices are in memory together
+MOST_EDGES = 4_000_000  # of the lattices that a worker keeps: 32 bytes each
+CHUNK = 400_000  # characters whose samples are drawn together
 UNUSED = -1e8  # pieces of a lower score count as characters outside the vocabulary do
+AHEAD = 512  # choices of a path that are looked at first
+NEGLIGIBLE = 1e-18
 BASE = np.uint64(0x100000001B3)
 FIELDS = "best array<int>, samples array<struct<rank:int,ids:array<int>,log_prob:double,perturbed:double,log_inclusion:double>>"
 
 
-def mixed(*parts) -> np.ndarray:
-    """Uniform numbers in (0, 1) from whole numbers."""
-    z = np.uint64(0)
+def spread(z: np.ndarray) -> np.ndarray:
+    """Whole numbers, mixed."""
     with np.errstate(over="ignore"):
-        for p in parts:
-            z = (z ^ np.asarray(p).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
-            z ^= z >> np.uint64(31)
-            z = z * np.uint64(0xBF58476D1CE4E5B9)
-            z ^= z >> np.uint64(29)
-    return ((z >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def uniform(seed: np.ndarray, n) -> np.ndarray:
+    """Numbers in (0, 1) from mixed seeds and whole numbers."""
+    with np.errstate(over="ignore"):
+        z = seed + (np.asarray(n).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((spread(z) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 class Vocabulary:
@@ -83,13 +95,22 @@ class Vocabulary:
             known[len(pieces[i])][h] = i
         self.weight = alpha * scores
         self.known = {k: (np.array(hs := sorted(v), np.uint64), np.array([v[h] for h in hs], np.int64)) for k, v in known.items()}
-        singles = np.full(0x110000, -1, np.int32)
+        singles = np.full(0x110000, -1, np.int64)
         for i in plain:
             if len(pieces[i]) == 1:
                 singles[ord(pieces[i])] = i
         self.singles = singles
+        # characters that stand side by side in a piece
+        inside = sorted({c for i in plain if len(pieces[i]) > 1 for c in pieces[i]})
+        self.group = np.zeros(0x110000, np.int16)
+        self.group[[ord(c) for c in inside]] = np.arange(1, len(inside) + 1)
+        self.joined = np.zeros((len(inside) + 1, len(inside) + 1), bool)
+        for i in plain:
+            own = self.group[[ord(c) for c in pieces[i]]]
+            self.joined[own[:-1], own[1:]] = True
+        self.mark = next(c for c in map(chr, range(1, 32)) if not self.group[ord(c)] and len(self.model.encode(c + "a")) > len(self.model.encode(c)))
+        self.mark_n = len(self.model.encode(self.mark))
         self.raw = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) or self.model.is_unknown(i) else p.encode() for i, p in enumerate(pieces)]
-
         self.raw_n = np.array([len(r) for r in self.raw], np.int64)
         self.raw_at = np.cumsum(self.raw_n) - self.raw_n
         self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
@@ -100,47 +121,60 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
-def words_of(text: str) -> list[str]:
-    """The text as words that no piece crosses; one space is put before it, as the model does."""
-    if not text:
-        return []
-    parts = text.split(" ")
-    if "" in parts or SPACE in text:
-        return WORD.findall(SPACE + text.replace(" ", SPACE))
-    return [SPACE + p for p in parts]
+def parts_of(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' characters one after the other (a space before each, as the model puts one), the
+    starts of the parts that no piece crosses and their end, and each text's first part and their end."""
+    sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    joined = "".join(SPACE + t.replace(" ", SPACE) for t in texts if t)
+    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    group = vocabulary.group[chars]
+    cut = np.ones(len(chars) + 1, bool)
+    if len(chars):
+        cut[1:-1] = ~vocabulary.joined[group[:-1], group[1:]]
+    ends = np.cumsum(sizes)
+    cut[ends] = True
+    starts = np.flatnonzero(cut)
+    return chars, starts, np.searchsorted(starts, np.concatenate([[0], ends]))
+
+
+def hashes(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each part, of its characters and their places."""
+    if len(starts) < 2:
+        return np.empty(0, np.uint64)
+    place = np.arange(len(chars)) - np.repeat(starts[:-1], np.diff(starts))
+    return np.add.reduceat(spread((place.astype(np.uint64) << np.uint64(21)) + chars + np.uint64(1)), starts[:-1])
 
 
 class Lattices:
-    """The lattices of distinct words side by side. A word of n characters has n + 1 nodes; edges are sorted by node.
+    """The lattices of parts side by side. A part of n characters has n + 1 nodes; edges are sorted by node.
 
     piece >= 0 is a vocabulary id, -1 - c the bytes of character c.
     """
 
-    def __init__(self, words: list[str], vocabulary: Vocabulary) -> None:
-        sizes = np.array([len(w) for w in words], np.int64)
-        self.first = np.cumsum([0, *(sizes + 1)])[:-1]
+    def __init__(self, chars: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> None:
+        self.first = np.cumsum(sizes + 1) - (sizes + 1)
         self.last = self.first + sizes
-        total = int(sizes.sum() + len(words))
-        chars = np.zeros(total, np.uint64)
+        total = int(sizes.sum() + len(sizes))
         inside = np.ones(total, bool)
         inside[self.last] = False
-        chars[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.chars = chars.astype(np.int64)
-        left = np.repeat(self.last, sizes + 1) - np.arange(total)  # characters from a node to its word's end
+        at_node = np.zeros(total, np.uint64)
+        at_node[inside] = chars
+        left = np.repeat(self.last, sizes + 1) - np.arange(total)  # characters from a node to its part's end
         own, h = np.flatnonzero(inside), np.zeros(int(inside.sum()), np.uint64)
         starts, ends, pieces, weights = [], [], [], []
         for k in range(1, len(vocabulary.known) + 1):
-            h = h * BASE + chars[own + k - 1] + np.uint64(1)
+            h = h * BASE + at_node[own + k - 1] + np.uint64(1)
             if k == 1:
-                ids = vocabulary.singles[self.chars[own]].astype(np.int64)
+                c = at_node[own].astype(np.int64)
+                ids = vocabulary.singles[c]
                 w = np.where(ids < 0, vocabulary.outside, vocabulary.weight[ids])
                 alive = left[own] > 1
-                ids = np.where(ids < 0, -1 - self.chars[own], ids)
+                ids = np.where(ids < 0, np.where(c < 128, vocabulary.byte[np.minimum(c, 127)], -1 - c), ids)
                 good = slice(None)
             else:
-                hashes, which = vocabulary.known[k]
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                prefix = hashes[at] == h
+                found, which = vocabulary.known[k]
+                at = np.minimum(np.searchsorted(found, h), len(found) - 1)
+                prefix = found[at] == h
                 own, h, ids = own[prefix], h[prefix], which[at[prefix]]
                 good, w, alive = ids >= 0, vocabulary.weight[ids], left[own] > k
             starts.append(own[good])
@@ -155,31 +189,33 @@ class Lattices:
         self.row = np.cumsum(many)  # edges of node v: row[v] .. row[v + 1]
         free = self.row[:-1].copy()
         edges = int(self.row[-1])
-        self.start, self.end, self.piece, weight = (np.empty(edges, kind) for kind in (np.int64, np.int64, np.int64, float))
+        start, self.end, self.piece, weight = (np.empty(edges, kind) for kind in (np.int64, np.int64, np.int64, float))
         for own, end, piece, w in zip(reversed(starts), reversed(ends), reversed(pieces), reversed(weights), strict=True):
             at = free[own]
-            self.start[at], self.end[at], self.piece[at], weight[at] = own, end, piece, w
+            start[at], self.end[at], self.piece[at], weight[at] = own, end, piece, w
             free[own] += 1
         self.beta = self._completions(weight, left, total)
-        log_p = weight + self.beta[self.end] - self.beta[self.start]
-        self.log_p = np.minimum(log_p, 0.0)
-        self.p = np.exp(self.log_p)
-        place = np.arange(len(self.start)) - self.row[self.start]
-        self.below = self.p.copy()  # p summed up to an edge within its node, so that neighbours don't matter
+        self.log_p = np.minimum(weight + self.beta[self.end] - self.beta[start], 0.0)
+        p = np.exp(self.log_p)
+        self.below = p.copy()  # p summed up to an edge within its node, so that neighbours don't matter
+        place = np.arange(edges) - self.row[start]
         for k in range(1, int(place.max(initial=0)) + 1):
             at = np.flatnonzero(place == k)
             self.below[at] += self.below[at - 1]
         # log of the mass of a node's other edges; summed apart for its likeliest edge, where 1 - p would cancel
         n = many[1:][many[1:] > 0]
         begin = self.row[:-1][many[1:] > 0]
-        top = self.p == np.repeat(np.maximum.reduceat(self.p, begin), n) if len(begin) else self.p > 2
-        top &= np.concatenate([[True], (self.start[1:] != self.start[:-1]) | ~top[:-1]]) if len(top) else top
-        rest = np.repeat(np.add.reduceat(np.where(top, 0.0, self.p), begin), n) if len(begin) else self.p
+        if edges:
+            top = p == np.repeat(np.maximum.reduceat(p, begin), n)
+            top &= np.concatenate([[True], (start[1:] != start[:-1]) | ~top[:-1]])
+            rest = np.repeat(np.add.reduceat(np.where(top, 0.0, p), begin), n)
+        else:
+            top, rest = p > 2, p
         with np.errstate(divide="ignore"):
-            self.log_others = np.log(np.where(top, rest, np.maximum(1 - self.p, 0.0)))
+            self.log_others = np.log(np.where(top, rest, np.maximum(1 - p, 0.0)))
 
     def _completions(self, weight: np.ndarray, left: np.ndarray, total: int) -> np.ndarray:
-        """Log of the summed weight of all ways from a node to its word's end, for nodes ever farther from it."""
+        """Log of the summed weight of all ways from a node to its part's end, for nodes ever farther from it."""
         beta = np.zeros(total)
         nodes = np.argsort(left, kind="stable")
         bounds = np.searchsorted(left[nodes], np.arange(1, int(left.max(initial=0)) + 2))
@@ -194,188 +230,252 @@ class Lattices:
         return beta
 
 
+class Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self, kind, *start) -> None:
+        self.room, self.n = np.array(start, kind), len(start)
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            room = np.empty(max(2 * len(self.room), self.n + len(more)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Store:
-    """Lattices and best encodings of the words met so far, side by side; emptied when there are MOST_WORDS."""
+    """Lattices and best encodings of the parts met so far, side by side; emptied when there are MOST_EDGES."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = defaultdict(count().__next__)
-        self.known = 0
-        none = np.empty(0, np.int64)
-        self.start = self.end = self.piece = none.astype(np.int32)
-        self.log_p = self.p = self.below = self.log_others = none.astype(float)
-        self.row, self.first, self.last = np.zeros(1, np.int64), none, none
-        self.best, self.best_n = none.astype(np.int32), none
-
-    def kinds(self, split: list[list[str]]) -> np.ndarray:
-        """The words' numbers, new words added."""
-        if len(self.index) > MOST_WORDS:
-            self.clear()
-        get = self.index.__getitem__
-        out = np.fromiter(chain.from_iterable(map(get, s) for s in split), np.int64, sum(map(len, split)))
-        if new := list(islice(self.index, self.known, None)):
-            self._add(new)
-        return out
+        self.hashes, self.kinds = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted by hash
+        self.end, self.piece, self.log_p, self.below, self.log_others = map(Grown, (np.int32, np.int32, float, float, float))
+        self.row, self.first, self.last, self.best, self.best_at = Grown(np.int64, 0), Grown(np.int64), Grown(np.int64), Grown(np.int32), Grown(np.int64, 0)
 
-    def _add(self, words: list[str]) -> None:
-        lat = Lattices(words, self.vocabulary)
-        nodes, edges = len(self.row) - 1, len(self.start)
-        for name, more, by in (("start", lat.start, nodes), ("end", lat.end, nodes), ("piece", lat.piece, 0)):
-            setattr(self, name, np.concatenate([getattr(self, name), (more + by).astype(np.int32)]))
-        for name in ("log_p", "p", "below", "log_others"):
-            setattr(self, name, np.concatenate([getattr(self, name), getattr(lat, name)]))
-        self.row = np.concatenate([self.row[:-1], lat.row + edges])
-        self.first, self.last = np.concatenate([self.first, lat.first + nodes]), np.concatenate([self.last, lat.last + nodes])
-        model = self.vocabulary.model
-        best = [b or [model.piece_to_id(SPACE)] for b in model.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)]
+    def of(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The parts' numbers, new parts added."""
+        if self.end.n > MOST_EDGES:
+            self.clear()
+        every, place, inverse = np.unique(hashes(chars, starts), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, every)
+        new = np.ones(len(every), bool)
+        in_range = at < len(self.hashes)
+        new[in_range] = self.hashes[at[in_range]] != every[in_range]
+        if new.any():
+            n = len(self.hashes)
+            own = place[new]
+            self._add(chars, starts[own], starts[own + 1] - starts[own])
+            self.hashes, self.kinds = np.insert(self.hashes, at[new], every[new]), np.insert(self.kinds, at[new], n + np.arange(int(new.sum())))
+            at = np.searchsorted(self.hashes, every)
+        return self.kinds[at][inverse]
+
+    def _add(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        ends = np.cumsum(sizes)
+        own = chars[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        lat = Lattices(own, sizes, self.vocabulary)
+        nodes, edges = self.row.n - 1, self.end.n
+        self.end.add(lat.end + nodes)
+        self.first.add(lat.first + nodes)
+        self.last.add(lat.last + nodes)
+        self.row.add(lat.row[1:] + edges)
+        for name in ("piece", "log_p", "below", "log_others"):
+            getattr(self, name).add(getattr(lat, name))
+        text = own.tobytes().decode("utf-32-le", "surrogatepass")
+        v = self.vocabulary
+        words = [text[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        # the model puts a space before a text: one that begins with it is given without, others behind a mark that no piece holds
+        found = v.model.encode([(w[1:] if w[0] == SPACE else v.mark + w).replace(SPACE, " ") for w in words], num_threads=1)
+        lone = [v.model.piece_to_id(SPACE)]
+        best = [(b or lone) if w[0] == SPACE else b[v.mark_n :] for w, b in zip(words, found, strict=True)]
         n = np.fromiter(map(len, best), np.int64, len(best))
-        self.best = np.concatenate([self.best, np.fromiter(chain.from_iterable(best), np.int32, int(n.sum()))])
-        self.best_n = np.concatenate([self.best_n, n])
-        self.known += len(words)
+        self.best_at.add(self.best_at.room[self.best_at.n - 1] + np.cumsum(n))
+        self.best.add(np.fromiter(chain.from_iterable(best), np.int32, int(n.sum())))
 
     def best_of(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best ids of the words one after the other, and where each word's end."""
-        n = self.best_n[kind]
+        """Best ids of the parts one after the other, and where each part's end."""
+        begin = self.best_at.room[kind]
+        n = self.best_at.room[kind + 1] - begin
         ends = np.cumsum(n)
-        return self.best[np.repeat((np.cumsum(self.best_n) - self.best_n)[kind] - (ends - n), n) + np.arange(int(n.sum()))], ends
+        return self.best.room[np.repeat(begin - (ends - n), n) + np.arange(int(n.sum()))], ends
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        e, last = self.row[node], self.row[node + 1] - 1
-        ahead = np.flatnonzero((u > self.below[e]) & (e < last))
+        row, below = self.row.room, self.below.room
+        e, last = row[node], row[node + 1] - 1
+        ahead = np.flatnonzero((u > below[e]) & (e < last))
         while len(ahead):  # nodes have few edges
             e[ahead] += 1
-            ahead = ahead[(u[ahead] > self.below[e[ahead]]) & (e[ahead] < last[ahead])]
+            ahead = ahead[(u[ahead] > below[e[ahead]]) & (e[ahead] < last[ahead])]
         return e
 
+    def others(self, edge: int, gone: list[int]) -> tuple[list[int], np.ndarray]:
+        """The edges beside one that are not gone, and their probabilities."""
+        v = int(self.row.room[: self.row.n].searchsorted(edge, "right")) - 1
+        a, b = self.row.room[v : v + 2].tolist()
+        own = [e for e in range(a, b) if e != edge and e not in gone]
+        return own, np.exp(self.log_p.room[own])
 
-def truncated(location, bound, u):
-    """A Gumbel variable of a location, given that it is at most bound."""
-    return location - np.log(np.exp(np.clip(location - bound, -700, 700)) - np.log(u))
 
+def truncated(location: float, bound: float, u: float) -> float:
+    """A Gumbel variable of a location, given that it is at most bound."""
+    if location == -np.inf:
+        return -np.inf
+    return location - math.log(math.exp(min(max(location - bound, -700.0), 700.0)) - math.log(u))
+
+
+@dataclass
+class Path:
+    """A sample of each text: edges in reading order, where each text's begin, and where each part's begin."""
+
+    edge: np.ndarray
+    at: np.ndarray
+    part_at: np.ndarray
+
+
+@dataclass
+class Region:
+    """Segmentations that leave a text's path at its choice ``begin`` or later, without those gone at a choice."""
+
+    path: int
+    begin: int
+    start: float  # log-probability of the path's choices before begin
+    gone: dict[int, list[int]] = field(default_factory=dict)
+    key: float = -np.inf
+    masses: np.ndarray = field(default_factory=lambda: np.empty(0))  # of its choices relative to start, as far as looked at
+    beyond: float = 1.0  # what is left of the path's own mass there; 0 at its end
+
+    def log_mass(self, lat: Store, own: np.ndarray) -> float:
+        """Log of the region's mass; looks at more choices while those beyond may matter."""
+        while self.beyond > NEGLIGIBLE * (total := float(self.masses.sum())):
+            part = own[self.begin : self.begin + max(AHEAD, 8 * len(self.masses))]
+            if not len(part):
+                self.beyond = 0.0
+                continue
+            p = lat.log_p.room[part]
+            reach = p.cumsum()
+            self.masses = np.exp(lat.log_others.room[part] + (reach - p))
+            self.beyond = float(np.exp(reach[-1])) if self.begin + len(part) < len(own) else 0.0
+            for j, gone in self.gone.items():
+                at = j - self.begin
+                self.masses[at] = lat.others(int(own[j]), gone)[1].sum() * np.exp(reach[at] - p[at])
+        return self.start + float(np.log(total)) if total > 0 else -np.inf
 
-class Paths:
-    """Choices of one sample for all texts, sorted by text, step and word; ``at`` cuts them by text."""
+    def left_at(self, j: int, edge: int, share: float) -> None:
+        """The part that leaves the path at j by the edge is gone; what else leaves there keeps the share."""
+        self.gone.setdefault(j, []).append(edge)
+        self.masses[j - self.begin] *= share
 
-    def __init__(self, doc, step, word, edge, docs: int) -> None:
-        order = np.argsort((doc << 52) | (step << 26) | word, kind="stable")
-        self.doc, self.step, self.word, self.edge = doc[order], step[order], word[order], edge[order]
-        self.at = np.searchsorted(self.doc, np.arange(docs + 1))
 
+@dataclass
+class Drawn:
+    """A text's best encoding and its samples: (ids, log-probability, perturbed, log of the inclusion probability)."""
 
-def _extended(lat: Store, doc, word, node, step, final, key, rank):
-    """Draws the rest of every word from its node; the choices made."""
-    out = []
-    live = np.flatnonzero(node != final)
-    node, step = node.copy(), step.copy()
-    while len(live):
-        e = lat.pick(node[live], mixed(key[doc[live]], rank, word[live], step[live]))
-        out.append((doc[live], step[live], word[live], e))
-        node[live] = lat.end[e]
-        step[live] += 1
-        live = live[node[live] != final[live]]
-    return [np.concatenate([*(o[k] for o in out), np.empty(0, np.int64)]) for k in range(4)]
+    best: np.ndarray
+    samples: list[tuple[np.ndarray, float, float, float]]
 
 
-def sample(texts: list[str], keys: list[int], vocabulary: Vocabulary, samples: int) -> list[dict]:
-    """For each of 1,000 texts at most its best encoding and its sampled segmentations, best key first."""
+def sample(texts: list[str], keys: list[int], vocabulary: Vocabulary, samples: int) -> list[Drawn]:
+    """For each text its best encoding and its sampled segmentations, best key first."""
     docs = len(texts)
-    split = [words_of(t) for t in texts]
-    sizes = np.array([len(s) for s in split], np.int64)
-    out: list[dict] = [{"best": np.empty(0, np.int32), "samples": [] if n else [(np.empty(0, np.int32), 0.0, 0.0, 0.0)]} for n in sizes]
+    chars, starts, first = parts_of(texts, vocabulary)
+    none = np.empty(0, np.int32)
+    sizes = np.diff(first)
+    out = [Drawn(none, [] if n else [(none, 0.0, 0.0, 0.0)]) for n in sizes]
     if not sizes.any():
         return out
     lat = vocabulary.store
-    kind = lat.kinds(split)
-    first_word = np.concatenate([[0], np.cumsum(sizes)])
+    kind = lat.of(chars, starts)
     doc = np.repeat(np.arange(docs), sizes)
-    word = np.arange(len(kind)) - first_word[doc]
-    key = np.array(keys, np.uint64)
-    first, final = lat.first[kind], lat.last[kind]
-    paths: list[Paths] = []
-    values: list[list[np.ndarray]] = [[] for _ in texts]  # by text and round: keys of what leaves that round's path at each choice
-    left: list[list[tuple[int, list[int]]]] = [[] for _ in texts]  # by text and round: where its path left its parent, edges gone there
-    took: list[list[float]] = [[] for _ in texts]
-    bound = -np.log(-np.log(mixed(key, np.uint64(1 << 40))))  # the largest perturbed log-probability of all, whose mass is 1
-    live = [d for d in range(docs) if sizes[d]]
-    for rank in range(samples + 1):
-        node, step = first.copy(), np.zeros(len(first), np.int64)
-        head: list[tuple] = []
-        active = np.zeros(docs, bool)
-        if rank == 0:
-            active[live] = True
-            for d in live:
-                left[d].append((0, []))
-                took[d].append(float(bound[d]))
-        for d in list(live) if rank else []:
-            top, s = max((float(v.max(initial=-np.inf)), s) for s, v in enumerate(values[d]))
-            if top == -np.inf:  # every segmentation has been drawn
-                live.remove(d)
+    local = (np.arange(len(kind)) - first[doc]).astype(np.uint64) << np.uint64(32)
+    begin, final = lat.first.room[kind], lat.last.room[kind]
+    key = spread(np.array(keys, np.uint64))
+    live = np.flatnonzero(sizes).tolist()
+    paths: list[Path] = []
+    regions: list[list[Region]] = [[] for _ in texts]
+    below = np.full(docs, -np.inf)  # the key that comes after a text's samples
+    for rank in range(samples):
+        with np.errstate(over="ignore"):
+            seed = spread(key + np.uint64(rank + 1) * np.uint64(0xD6E8FEB86659FD93))
+        fresh = uniform(seed, np.uint64(1 << 63))
+        bound = -np.log(-np.log(fresh))  # of the first sample: the largest of all, whose mass is 1
+        node, step = final.copy(), np.zeros(len(kind), np.int64)
+        count = np.zeros(len(kind), np.int64)
+        heads: dict[int, tuple[Region, int, int, float]] = {}  # by text: region taken, choice, edge, log-probability up to it
+        for d in list(live):
+            if not rank:
+                node[first[d] : first[d + 1]] = begin[first[d] : first[d + 1]]
                 continue
-            took[d].append(top)
-            if rank == samples:
+            region = max(regions[d], key=lambda r: r.key)
+            if region.key == -np.inf:  # every segmentation has been drawn
+                live.remove(d)
                 continue
-            bound[d], active[d] = top, True
-            j = int(np.argmax(values[d][s]))
-            values[d][s][j] = -np.inf
-            own = paths[s]
-            a = own.at[d]
-            begin, gone = left[d][s]
-            gone = [*gone, int(own.edge[a + j])] if j == begin else [int(own.edge[a + j])]
-            v = int(lat.start[own.edge[a + j]])
-            options = [e for e in range(lat.row[v], lat.row[v + 1]) if e not in gone]
-            mass = np.cumsum(lat.p[options])
-            u = float(mixed(key[d], np.uint64(rank), np.uint64(1 << 41), np.uint64(j)))
-            e = options[min(int(np.searchsorted(mass, u * mass[-1])), len(options) - 1)]
-            base, kept = first_word[d], slice(a, a + j)
-            node[base + own.word[kept]] = lat.end[own.edge[kept]]
-            step[base + own.word[kept]] = own.step[kept] + 1
-            w = int(own.word[a + j])
-            node[base + w], step[base + w] = lat.end[e], own.step[a + j] + 1
-            head += [(own.doc[kept], own.step[kept], own.word[kept], own.edge[kept]), (np.array([d]), own.step[a + j : a + j + 1], np.array([w]), np.array([e]))]
-            left[d].append((j, gone))
-        if rank == samples:
-            break
-        some = np.flatnonzero(active[doc])
-        rest = _extended(lat, doc[some], word[some], node[some], step[some], final[some], key, rank)
-        path = Paths(*[np.concatenate([*(h[k] for h in head), rest[k]]).astype(np.int64) for k in range(4)], docs)
+            bound[d] = region.key
+            parent = paths[region.path]
+            a = int(parent.at[d])
+            own = parent.edge[a : int(parent.at[d + 1])]
+            u = uniform(seed[d], np.arange(1, 4, dtype=np.uint64) << np.uint64(60))
+            mass = region.masses.cumsum()
+            j = region.begin + min(int(mass.searchsorted(u[0] * mass[-1])), len(mass) - 1)
+            options, p = lat.others(int(own[j]), region.gone.get(j, []))
+            upto = p.cumsum()
+            k = min(int(upto.searchsorted(u[1] * upto[-1])), len(options) - 1)
+            before = region.start + float(lat.log_p.room[own[region.begin : j]].sum())
+            heads[d] = (region, j, options[k], before + float(lat.log_p.room[options[k]]))
+            region.left_at(j, options[k], float((upto[k - 1] if k else 0.0) + p[k + 1 :].sum()) / float(upto[-1]))
+            region.key = truncated(region.log_mass(lat, own), bound[d], float(u[2]))
+            part_at = parent.part_at[first[d] : first[d + 1] + 1]
+            w = int(np.searchsorted(part_at, a + j, "right")) - 1
+            w0 = int(first[d]) + w
+            count[first[d] : w0] = np.diff(part_at[: w + 1])
+            step[w0] = a + j - int(part_at[w]) + 1
+            node[w0 : first[d + 1]] = begin[w0 : first[d + 1]]
+            node[w0] = lat.end.room[options[k]]
+        count += step
+        # the rest of every part is drawn from its node
+        moves = []
+        open_parts = np.flatnonzero(node != final)
+        while len(open_parts):
+            at = doc[open_parts]
+            e = lat.pick(node[open_parts], uniform(seed[at], local[open_parts] + step[open_parts].astype(np.uint64)))
+            moves.append((open_parts, step[open_parts], e))
+            node[open_parts] = lat.end.room[e]
+            step[open_parts] += 1
+            count[open_parts] += 1
+            open_parts = open_parts[node[open_parts] != final[open_parts]]
+        part_at = np.concatenate([[0], np.cumsum(count)])
+        edge = np.empty(int(part_at[-1]), np.int32)
+        for own, s, e in moves:
+            edge[part_at[own] + s] = e
+        path = Path(edge, part_at[first], part_at)
+        for d, (region, j, e, _) in heads.items():
+            parent, a, b = paths[region.path], int(path.at[d]), int(paths[region.path].at[d])
+            edge[a : a + j] = parent.edge[b : b + j]
+            edge[a + j] = e
         paths.append(path)
-        logs, locations = lat.log_p[path.edge], lat.log_others[path.edge]
-        piece = lat.piece[path.edge[np.argsort((path.doc << 52) | (path.word << 26) | path.step, kind="stable")]]
-        outside = np.flatnonzero(piece < 0)
-        on = [d for d in range(docs) if active[d]]
-        total = {}
-        for d in on:  # sums within a text alone: they don't depend on its neighbours
-            a, b = path.at[d], path.at[d + 1]
-            sums = np.cumsum(logs[a:b])
-            total[d] = float(sums[-1])
-            locations[a:b] += sums - logs[a:b]
-            begin, gone = left[d][rank]
-            if rank:
-                e = path.edge[a + begin]
-                v = lat.start[e]
-                others = [x for x in range(lat.row[v], lat.row[v + 1]) if x not in gone and x != e]
-                locations[a + begin] = sums[begin] - logs[a + begin] + np.log(max(lat.p[others].sum(), 1e-300)) if others else -np.inf
-                locations[a : a + begin] = -np.inf
-        u = mixed(key[path.doc], np.uint64(rank), np.uint64(1 << 42), np.arange(len(path.doc)) - path.at[path.doc])
-        with np.errstate(invalid="ignore"):
-            v = np.where(np.isneginf(locations), -np.inf, truncated(locations, bound[path.doc], u))
-        cut = np.searchsorted(outside, path.at)
-        for d in range(docs):
+        piece = lat.piece.room[edge]
+        outside = np.searchsorted(np.flatnonzero(piece < 0), path.at)
+        filled = np.flatnonzero(np.diff(path.at))
+        total = np.zeros(docs)
+        total[filled] = np.add.reduceat(lat.log_p.room[edge], path.at[filled])
+        u = uniform(seed, np.uint64(1 << 62) + np.uint64(1))
+        for d in filled.tolist():
             a, b = path.at[d], path.at[d + 1]
-            values[d].append(v[a:b])
-            if active[d]:
-                ids = piece[a:b] if cut[d] == cut[d + 1] else _ids(piece[a:b], vocabulary)
-                out[d]["samples"].append((ids, total[d], float(bound[d])))
+            region = Region(rank, heads[d][1] + 1, heads[d][3]) if rank else Region(rank, 0, 0.0)
+            region.key = truncated(region.log_mass(lat, edge[a:b]), bound[d], float(u[d]))
+            regions[d].append(region)
+            ids = piece[a:b] if outside[d] == outside[d + 1] else _ids(piece[a:b], vocabulary)
+            out[d].samples.append((ids, float(total[d]), float(bound[d]), 0.0))
+    for d in live:
+        below[d] = max(r.key for r in regions[d])
     every, ends = lat.best_of(kind)
-    cuts = np.concatenate([[0], ends])[first_word]
+    cuts = np.concatenate([[0], ends])[first]
     for d in range(docs):
-        if sizes[d]:
-            out[d]["best"] = every[cuts[d] : cuts[d + 1]]
-            below = took[d][samples] if len(took[d]) > samples else -np.inf
-            out[d]["samples"] = [(i, p, g, inclusion(p, below)) for i, p, g in out[d]["samples"]]
+        out[d].best = every[cuts[d] : cuts[d + 1]]
+        out[d].samples = [(i, p, g, inclusion(p, below[d])) for i, p, g, _ in out[d].samples]
     return out
 
 
@@ -406,30 +506,46 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
     return _vocabularies[path, alpha]
 
 
-def chunks(texts: list[str], most: int = CHUNK) -> Iterator[slice]:
+def chunks(sizes: list[int], most: int = CHUNK) -> Iterator[slice]:
     """Consecutive texts of about ``most`` characters, and at most 1,000 of them; a longer text is its own chunk."""
-    a = size = 0
-    for k, t in enumerate(texts):
-        if k > a and (size + len(t) > most or k - a >= 1000):
+    a = held = 0
+    for k, n in enumerate(sizes):
+        if k > a and (held + n > most or k - a >= 1000):
             yield slice(a, k)
-            a, size = k, 0
-        size += len(t)
-    if a < len(texts):
-        yield slice(a, len(texts))
+            a, held = k, 0
+        held += n
+    if a < len(sizes):
+        yield slice(a, len(sizes))
 
 
 def row_key(doc_id, seed: int) -> int:
     return xxhash.xxh64_intdigest("" if doc_id is None or doc_id is pd.NA else str(doc_id), seed)
 
 
+def _rows(batches: Iterator[pa.RecordBatch], own: Vocabulary, samples: int, seed: int) -> Iterator[tuple[pa.Array, list[str], list[Drawn]]]:
+    """Ids, texts and samples of a chunk of rows at a time."""
+    for batch in batches:
+        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()
+        for part in chunks(lengths):
+            ids = batch.column("doc_id").slice(part.start, part.stop - part.start)
+            texts = [t or "" for t in batch.column("text").slice(part.start, part.stop - part.start).to_pylist()]
+            yield ids, texts, sample(texts, [row_key(i, seed) for i in ids.to_pylist()], own, samples)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*arrays, np.empty(0, np.int32)]).astype(np.int32)))
+
+
 def _sampled(path: str, alpha: float, samples: int, seed: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, alpha)
-        for f in frames:
-            ids, texts = list(f["doc_id"].astype("Int64")), [t or "" for t in f["text"]]
-            for part in chunks(texts):
-                found = sample(texts[part], [row_key(i, seed) for i in ids[part]], own, samples)
-                yield pd.DataFrame({"doc_id": pd.array(ids[part], "Int64"), "best": [o["best"] for o in found], "samples": [[{"rank": r, "ids": i, "log_prob": p, "perturbed": g, "log_inclusion": q} for r, (i, p, g, q) in enumerate(o["samples"], 1)] for o in found]})
+        for ids, _, found in _rows(batches, own, samples, seed):
+            flat = [(r, *s) for o in found for r, s in enumerate(o.samples, 1)]
+            columns = [pa.array([x[0] for x in flat], pa.int32()), _lists([x[1] for x in flat]), *(pa.array([x[k] for x in flat], pa.float64()) for k in (2, 3, 4))]
+            held = pa.StructArray.from_arrays(columns, ["rank", "ids", "log_prob", "perturbed", "log_inclusion"])
+            at = pa.array(np.cumsum([0, *(len(o.samples) for o in found)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, _lists([o.best for o in found]), pa.ListArray.from_arrays(at, held)], ["doc_id", "best", "samples"])
 
     return run
 
@@ -437,7 +553,7 @@ def _sampled(path: str, alpha: float, samples: int, seed: int):
 def sampled(docs: DataFrame, model: str, samples: int = 3, alpha: float = 5e-4, seed: int = 1) -> DataFrame:
     """(doc_id, best, samples) of docs(doc_id, text): ids of the model's own encoding and of the samples."""
     common.importable(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sampled(model, alpha, samples, seed), f"doc_id long, {FIELDS}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sampled(model, alpha, samples, seed), f"doc_id long, {FIELDS}")
 
 
 def _decode_to(texts: list[str], encodings: list[list[np.ndarray]], vocabulary: Vocabulary) -> np.ndarray:
@@ -464,20 +580,26 @@ def _decode_to(texts: list[str], encodings: list[list[np.ndarray]], vocabulary:
     return good
 
 
+DIGEST = "doc_id long, n_best long, best_crc32 long, n_samples int, n_pieces array<long>, crc32s array<long>, log_probs array<double>, perturbed array<double>, log_inclusions array<double>, round_trip boolean"
+
+
 def _digests(path: str, alpha: float, samples: int, seed: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, alpha)
-        for f in frames:
-            ids, texts = list(f["doc_id"].astype("Int64")), [t or "" for t in f["text"]]
-            for part in chunks(texts):
-                found = sample(texts[part], [row_key(x, seed) for x in ids[part]], own, samples)
-                same = [[o["best"] for o in found], *[[o["samples"][k][0] if k < len(o["samples"]) else o["best"] for o in found] for k in range(samples)]]
-                whole = _decode_to(texts[part], same, own)
-                rows = []
-                for i, o, ok in zip(ids[part], found, whole.tolist(), strict=True):
-                    crc = [zlib.crc32(s[0]) for s in o["samples"]]
-                    rows.append((i, len(o["best"]), zlib.crc32(o["best"]), len(crc), [len(s[0]) for s in o["samples"]], crc, [s[1] for s in o["samples"]], [s[2] for s in o["samples"]], [s[3] for s in o["samples"]], ok))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_best", "best_crc32", "n_samples", "n_pieces", "crc32s", "log_probs", "perturbed", "log_inclusions", "round_trip"]).astype({"doc_id": "Int64"})
+        for ids, texts, found in _rows(batches, own, samples, seed):
+            same = [[o.best for o in found], *[[o.samples[k][0] if k < len(o.samples) else o.best for o in found] for k in range(samples)]]
+            whole = _decode_to(texts, same, own)
+            number = lambda k: pa.array([[x[k] for x in o.samples] for o in found], pa.list_(pa.float64()))
+            columns = [
+                ids,
+                pa.array([len(o.best) for o in found], pa.int64()),
+                pa.array([zlib.crc32(np.ascontiguousarray(o.best)) for o in found], pa.int64()),
+                pa.array([len(o.samples) for o in found], pa.int32()),
+                pa.array([[len(s[0]) for s in o.samples] for o in found], pa.list_(pa.int64())),
+                pa.array([[zlib.crc32(np.ascontiguousarray(s[0])) for s in o.samples] for o in found], pa.list_(pa.int64())),
+                number(1), number(2), number(3), pa.array(whole.tolist()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in DIGEST.split(", ")])
 
     return run
 
@@ -485,5 +607,4 @@ def _digests(path: str, alpha: float, samples: int, seed: int):
 def digests(docs: DataFrame, model: str, samples: int = 3, alpha: float = 5e-4, seed: int = 1) -> DataFrame:
     """One row for each document: its encodings' sizes, checksums, scores, and whether all decode to the text."""
     common.importable(docs.sparkSession)
-    schema = "doc_id long, n_best long, best_crc32 long, n_samples int, n_pieces array<long>, crc32s array<long>, log_probs array<double>, perturbed array<double>, log_inclusions array<double>, round_trip boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digests(model, alpha, samples, seed), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_digests(model, alpha, samples, seed), DIGEST)

@@ -219,50 +219,91 @@ def test_quality_ranks_and_thresholds(spark):
 MODEL, BPE = tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.json")
 
 
-def segmentations(word, v):
-    lat = piece_sampling.Lattices([word], v)
-
-    def walk(n, lp):
-        if n == lat.last[0]:
-            yield lp, ()
-            return
-        for e in range(lat.row[n], lat.row[n + 1]):
-            for l, rest in walk(lat.end[e], lp + lat.log_p[e]):
-                yield l, (int(lat.piece[e]), *rest)
-
-    return {ids: np.exp(l) for l, ids in walk(lat.first[0], 0.0)}
-
-
-def test_piece_samples_follow_the_lattice():
-    v = piece_sampling.vocabulary(MODEL, 2e-5)
-    exact = segmentations("▁cat", v)
-    assert abs(sum(exact.values()) - 1) < 1e-9
-    n, first, pairs = 6000, collections.Counter(), collections.Counter()
+def segmentations(text, v):
+    """All ways to write a text by pieces, with exact probabilities, by plain recursion over the vocabulary."""
+    whole = piece_sampling.SPACE + text.replace(" ", piece_sampling.SPACE)
+    ids = {v.model.id_to_piece(i): i for i in range(v.model.get_piece_size()) if not (v.model.is_control(i) or v.model.is_unknown(i) or v.model.is_byte(i))}
+
+    def walk(at):
+        if at == len(whole):
+            yield 0.0, ()
+        for end in range(at + 1, len(whole) + 1):
+            part = whole[at:end]
+            if part in ids:
+                own, w = (ids[part],), v.weight[ids[part]]
+            elif len(part) == 1:
+                own, w = tuple(int(v.byte[b]) for b in part.encode()), v.outside
+            else:
+                continue
+            for rest_w, rest in walk(end):
+                yield w + rest_w, own + rest
+
+    found = {own: w for w, own in walk(0)}
+    total = np.logaddexp.reduce(list(found.values()))
+    return {own: float(np.exp(w - total)) for own, w in found.items()}
+
+
+@pytest.mark.parametrize(("text", "alpha"), [("cat", 2e-5), ("a-b c", 2e-5), ("ab é\nhi", 1e-4)])
+def test_piece_samples_follow_the_lattice(text, alpha):
+    v = piece_sampling.vocabulary(MODEL, alpha)
+    exact = segmentations(text, v)
+    n, first, pairs, estimate, squares = 6000, collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
     for a in range(0, n, 1000):
-        for o in piece_sampling.sample(["cat"] * 1000, list(range(a, a + 1000)), v, 2):
-            x, y = (tuple(s[0].tolist()) for s in o["samples"])
+        for o in piece_sampling.sample([text] * 1000, list(range(a, a + 1000)), v, 4):
+            x, y, *_ = ids = [tuple(s[0].tolist()) for s in o.samples]
+            assert len(set(ids)) == 4 and sorted((s[2] for s in o.samples), reverse=True) == [s[2] for s in o.samples]
             first[x] += 1
             pairs[x, y] += 1
-            assert o["samples"][0][2] >= o["samples"][1][2] and x != y
+            for own, (_, log_p, _, log_inclusion) in zip(ids, o.samples, strict=True):
+                assert abs(log_p - np.log(exact[own])) < 1e-9
+                share = np.exp(log_p - log_inclusion)
+                estimate[own] += share
+                squares[own] += share**2
     for ids, p in exact.items():
-        assert abs(first[ids] / n - p) < 4 * np.sqrt(p * (1 - p) / n) + 1e-3
+        assert abs(first[ids] / n - p) < 4.5 * np.sqrt(p * (1 - p) / n) + 1e-3
+        mean = estimate[ids] / n  # Horvitz-Thompson: the expectation is p
+        assert abs(mean - p) < 5 * np.sqrt(max(squares[ids] / n - mean**2, 0) / n) + 3e-3
     for (x, y), c in pairs.items():
         p = exact[x] * exact[y] / (1 - exact[x])
         assert abs(c / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-3
 
 
+def test_inclusion_is_told_from_the_next_key():
+    v = piece_sampling.vocabulary(MODEL, 5e-4)
+    texts = [prose(k, 3 + 40 * k) for k in range(8)]
+    three, four = (piece_sampling.sample(texts, list(range(8)), v, k) for k in (3, 4))
+    for x, y in zip(three, four, strict=True):
+        below = y.samples[3][2]
+        for (a, p, g, q), (b, _, h, _) in zip(x.samples, y.samples[:3], strict=True):
+            assert a.tolist() == b.tolist() and g == h > below
+            assert abs(np.exp(q) - (1 - np.exp(-np.exp(p - below)))) < 1e-9
+
+
+def test_samples_of_a_text_do_not_depend_on_what_was_met_before(monkeypatch):
+    v = piece_sampling.vocabulary(MODEL, 5e-4)
+    texts = [prose(k, 60) + f" x{k}, y" for k in range(12)]
+    once = piece_sampling.sample(texts, list(range(12)), v, 3)
+    monkeypatch.setattr(piece_sampling, "MOST_EDGES", 1)
+    for k in reversed(range(12)):
+        (again,) = piece_sampling.sample([texts[k]], [k], v, 3)
+        assert again.best.tolist() == once[k].best.tolist() == v.model.encode(texts[k])
+        assert [(s[0].tolist(), *s[1:]) for s in again.samples] == [(s[0].tolist(), *s[1:]) for s in once[k].samples]
+
+
 def test_piece_samples_are_distinct_complete_and_decode(spark):
     v = piece_sampling.vocabulary(MODEL, 5e-4)
-    every = segmentations("▁ab", v)
+    every = segmentations("ab", v)
     o = piece_sampling.sample(["ab"], [9], v, 50)[0]
-    assert len(o["samples"]) == len(every) == len({tuple(s[0].tolist()) for s in o["samples"]}) and all(s[3] == 0 for s in o["samples"])
+    assert len(o.samples) == len(every) == len({tuple(s[0].tolist()) for s in o.samples}) and all(s[3] == 0 for s in o.samples)
     texts = [None, "", "two  spaces ", " lead", "tab\tnew\nline", "☃ é 漢字 \U0001f600", prose(1, 400), "x" * 3000, "▁ mark"]
     got = {r["doc_id"]: r for r in piece_sampling.digests(docs(spark, texts), MODEL, samples=3).collect()}
     assert all(r["round_trip"] for i, r in got.items() if i != 8)
     assert got[0]["n_pieces"] == got[1]["n_pieces"] == [0]
     again = piece_sampling.digests(docs(spark, texts[::-1], list(range(9))[::-1]).repartition(1), MODEL, samples=3).collect()
     assert {r["doc_id"]: r for r in again} == got
-    assert v.model.encode("the cat sat") == piece_sampling.sample(["the cat sat"], [1], v, 1)[0]["best"].tolist()
+    assert v.model.encode("the cat sat") == piece_sampling.sample(["the cat sat"], [1], v, 1)[0].best.tolist()
+    whole = {r["doc_id"]: r for r in piece_sampling.sampled(docs(spark, texts), MODEL).collect()}
+    assert all([len(x["ids"]) for x in whole[i]["samples"]] == r["n_pieces"] and [x["log_prob"] for x in whole[i]["samples"]] == r["log_probs"] for i, r in got.items())
     assert piece_sampling.sampled(docs(spark, [""]).limit(0), MODEL).count() == 0
 
 
