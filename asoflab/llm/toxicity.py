@@ -12,9 +12,13 @@ is the share of positives among the labelled training rows unless it is given.
 
 Training uses a bounded sample (``max_positive``, ``max_unlabelled``: the rows with
 the smallest hash of their id, all of them if there are fewer). Only features that
-clearly more positives than unlabelled texts hold get weights. Scoring reads every
-whole text. Null and empty texts score as a text without features: the bias.
-Without positives every score is the prior.
+clearly more positives than unlabelled texts hold get weights; Spark counts them, and
+the driver gets only each sampled row's columns among them (``max_features`` at most,
+the clearest first), so what it holds does not grow with the texts. Scoring reads every
+whole text, long ones too. Null and empty texts score as a text without features: the
+bias. Without positives every score is the prior. Repeated rows are scored alike, each
+on its own; an empty table gives no rows. The input's columns
+stay beside score and predicted, but for its own ones of these two names.
 """
 
 from __future__ import annotations
@@ -57,9 +61,24 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & (SPACE - 1) for w in out), np.int64, len(out)))
 
 
+def alike(x: np.ndarray) -> bytes:
+    """The four smallest features (mixed anew): copies share them, and would count as many examples of a chance word."""
+    mixed = (x.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF
+    return np.sort(mixed)[:4].tobytes()
+
+
 def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        yield pd.DataFrame({"positive": f["positive"], "features": [features(t).astype(np.int32).tobytes() for t in f["text"]]})
+        found = [features(t) for t in f["text"]]
+        yield pd.DataFrame({"positive": f["positive"], "alike": [alike(x) for x in found], "features": [x.astype(np.int32) for x in found]})
+
+
+def _columns(at: np.ndarray):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"positive": f["positive"], "columns": [np.flatnonzero(np.isin(at, x, assume_unique=True)).astype(np.int32).tobytes() for x in f["features"]]})
+
+    return run
 
 
 class Linear:
@@ -78,68 +97,66 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """One of the rows that share their four smallest features (mixed anew): copies would count as many examples of a chance word."""
-    kept = {}
-    for x in rows:
-        mixed = (x.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF
-        kept.setdefault(tuple(np.sort(mixed)[:4].tolist()), x)
-    return list(kept.values())
+class Rows:
+    """Sparse rows of ones: columns one row after the other."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.n = len(rows)
+        self.columns = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+        self.owner = np.repeat(np.arange(self.n), [len(r) for r in rows])
+
+    def margins(self, theta: np.ndarray) -> np.ndarray:
+        return theta[-1] + np.bincount(self.owner, theta[self.columns], self.n)
+
+    def gradient(self, per_row: np.ndarray, size: int) -> np.ndarray:
+        return np.append(np.bincount(self.columns, per_row[self.owner], size - 1), per_row.sum())
+
 
+def step(theta: np.ndarray, p: Rows, u: Rows, prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk on positives, the estimated risk on negatives, and the direction of descent:
+    the gradient of their sum, or against that of the second where it is negative."""
+    z_p, z_u = p.margins(theta), u.margins(theta)
+    plus = prior * np.logaddexp(0, -z_p).mean()
+    minus = -prior * np.logaddexp(0, z_p).mean() + (np.logaddexp(0, z_u).mean() if u.n else 0.0)
+    s_p, s_u = 1 / (1 + np.exp(-z_p)), 1 / (1 + np.exp(-z_u))
+    down = p.gradient(-prior * s_p / p.n, len(theta)) + (u.gradient(s_u / u.n, len(theta)) if u.n else 0.0)
+    return plus, minus, p.gradient(-prior * (1 - s_p) / p.n, len(theta)) + down if minus >= 0 else -down
 
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, rate: float = 0.15, decay: float = 1e-4, batch: int = 2048, seed: int = 11) -> Linear:
-    """Adam on the non-negative risk with the logistic loss."""
+
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], at: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.15, decay: float = 1e-4, batch: int = 2048, seed: int = 11) -> Linear:
+    """Adam on the non-negative risk with the logistic loss; rows are columns of ``at``."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
-    if not positives:
-        return Linear(np.empty(0, np.int64), np.empty(0), float(np.log(prior / (1 - prior))))
-    positives, unlabelled = distinct(positives), distinct(unlabelled)
-    found, often = np.unique(np.concatenate(positives), return_counts=True)
-    seen, times = np.unique(np.concatenate([*unlabelled, np.empty(0, np.int32)]), return_counts=True)
-    at_seen = np.minimum(np.searchsorted(seen, found), max(0, len(seen) - 1))
-    in_u = np.where(seen[at_seen] == found, times[at_seen], 0) if len(seen) else np.zeros(len(found))
-    # features that positives hold clearly more often than unlabelled text of the same size would
-    expected = len(positives) * in_u / max(1, len(unlabelled))
-    at = found[(often >= min(3, len(positives))) & (often - expected > 4 * np.sqrt(expected + 0.25)) & (often > LIFT * expected)]
     model = Linear(at, np.zeros(len(at)), float(np.log(prior / (1 - prior))))
-    rows_p, rows_u = [model.columns(x) for x in positives], [model.columns(x) for x in unlabelled]
+    if not positives:
+        return model
     rng = np.random.default_rng(seed)
     theta = np.append(model.weights, model.bias)
-    m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
-
-    def margins(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(r) for r in rows])
-        cols, owner = np.concatenate([*rows, np.empty(0, np.int64)]), np.repeat(np.arange(len(rows)), sizes)
-        return theta[-1] + np.bincount(owner, theta[cols], len(rows)), cols, owner
-
-    def gradient(per_row: np.ndarray, cols: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(cols, per_row[owner], len(theta) - 1), per_row.sum())
-
-    batches = max(1, -(-(len(rows_p) + len(rows_u)) // batch))
+    m, v, n = np.zeros_like(theta), np.zeros_like(theta), 0
+    batches = max(1, -(-(len(positives) + len(unlabelled)) // batch))
     for _ in range(epochs):
-        parts_p, parts_u = (np.array_split(rng.permutation(len(x)), batches) for x in (rows_p, rows_u))
+        parts_p, parts_u = (np.array_split(rng.permutation(len(x)), batches) for x in (positives, unlabelled))
         for own_p, own_u in zip(parts_p, parts_u, strict=True):
-            bp = [rows_p[i] for i in own_p] or rows_p
-            z_p, c_p, o_p = margins(bp)
-            s_p = 1 / (1 + np.exp(-z_p))
-            plus = gradient(-prior * (1 - s_p) / len(bp), c_p, o_p)
-            minus_p = gradient(-prior * s_p / len(bp), c_p, o_p)
-            risk = -prior * np.logaddexp(0, z_p).mean()
-            grad_u = 0
-            if len(own_u):
-                bu = [rows_u[i] for i in own_u]
-                z_u, c_u, o_u = margins(bu)
-                grad_u = gradient(1 / (1 + np.exp(-z_u)) / len(bu), c_u, o_u)
-                risk += np.logaddexp(0, z_u).mean()
-            g = plus + minus_p + grad_u if risk >= 0 else -(minus_p + grad_u)
+            _, _, g = step(theta, Rows([positives[i] for i in own_p] or positives), Rows([unlabelled[i] for i in own_u]), prior)
             g[:-1] += decay * theta[:-1]
-            step += 1
+            n += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            theta = theta - rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8)
     model.weights, model.bias = theta[:-1], float(theta[-1])
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 12000) -> Linear:
+def chosen_features(rows: DataFrame, positives: int, unlabelled: int, most: int) -> np.ndarray:
+    """Features of rows(positive, features) that positives hold clearly more often than unlabelled text of the same size would."""
+    held = rows.select("positive", F.explode("features").alias("feature")).groupBy("feature")
+    held = held.agg(F.count_if("positive").alias("often"), F.count_if(~F.col("positive")).alias("times"))
+    held = held.withColumn("expected", positives * F.col("times") / F.lit(float(max(1, unlabelled))))
+    excess = F.col("often") - F.col("expected")
+    clear = held.where((F.col("often") >= min(3, positives)) & (excess > 4 * F.sqrt(F.col("expected") + 0.25)) & (F.col("often") > LIFT * F.col("expected")))
+    found = clear.orderBy((excess / F.sqrt(F.col("expected") + 0.25)).desc(), "feature").limit(most).select("feature").collect()
+    return np.sort(np.array([r["feature"] for r in found], np.int64))
+
+
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 12000, max_features: int = 20000) -> Linear:
     """docs(doc_id, text), labels(doc_id, toxic): toxic 1 is a positive, every other document is unlabelled.
 
     The sample is drawn from ids; only its documents' texts move.
@@ -149,17 +166,22 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
     if prior is None:
         n = known.agg(F.count_if("positive").alias("p"), F.count("*").alias("n")).first()
         prior = n["p"] / n["n"] if n["n"] else 0.1
-    positive = known.where("positive").select("doc_id")
-    others = docs.select("doc_id").join(positive, "doc_id", "left_anti")
+    positive = known.where("positive").select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    others = docs.select("doc_id").join(positive, "doc_id", "left_anti").distinct()
     picked = [common.bounded_sample(ids, most, 5).withColumn("positive", F.lit(kind)) for ids, most, kind in ((positive, max_positive, True), (others, max_unlabelled, False))]
     chosen = common.written(picked[0].union(picked[1]), "chosen")  # max_positive + max_unlabelled rows
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(_featured, "positive boolean, features binary").collect()
-    own = [[np.frombuffer(x, np.int32) for x in sorted(bytes(r["features"]) for r in sample if r["positive"] == kind)] for kind in (True, False)]
-    return fit(*own, prior=prior)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = texts.mapInPandas(_featured, "positive boolean, alike binary, features array<int>").groupBy("positive", "alike")
+    sample = common.written(sample.agg(F.min("features").alias("features")), "features")
+    sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    at = chosen_features(sample, sizes.get(True, 0), sizes.get(False, 0), max_features)
+    found = sample.select("positive", "features").mapInPandas(_columns(at), "positive boolean, columns binary").collect()
+    own = [[np.frombuffer(x, np.int32) for x in sorted(bytes(r["columns"]) for r in found if r["positive"] == kind)] for kind in (True, False)]
+    return fit(*own, at=at, prior=prior)
 
 
 def scored(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFrame:
-    """docs(doc_id, text, ...) with score and predicted."""
+    """docs(doc_id, text, ...) with score and predicted in place of columns of these names."""
     common.importable(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -167,4 +189,4 @@ def scored(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFrame:
     def score(text: pd.Series) -> pd.Series:
         return pd.Series([held.value.score(features(t)) for t in text], dtype="float64")
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in ("score", "predicted")], score("text").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
