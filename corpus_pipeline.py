@@ -14,7 +14,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents of docs that the ranking, learned from the labels of docs, does not reject."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.train(docs, labels)
-    return quality.scored(docs, model).where("predicted = 1").select(docs.columns)
+    return quality.accepted(docs, model)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
