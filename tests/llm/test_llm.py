@@ -279,8 +279,65 @@ def test_embedding_components_match_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_embedding_pairs_at_the_edge_of_the_threshold(spark):
+    """Doubles whose cosine is 1e-10 above or below, and labels that are text."""
+    r, rows = np.random.default_rng(3), []
+    for k in range(80):
+        x, y = r.standard_normal(16), r.standard_normal(16)
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        y /= np.linalg.norm(y)
+        c = 0.98 + (1e-10 if k % 2 else -1e-10)
+        rows += [(2 * k, (3 * x).tolist(), f"l{k}"), (2 * k + 1, (2 * (c * x + math.sqrt(1 - c * c) * y)).tolist(), f"l{k}")]
+    rows += [(500, rows[0][1], "other"), (500, rows[0][1], "other"), (501, rows[0][1], "l0.5"), (502, rows[0][1], "l0.50")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = embedding_dedup.near_components(df).collect()
+    links = {r["vec_id"]: r["n_links"] for r in got}
+    assert len(got) == len(rows) and all(links[2 * k] == links[2 * k + 1] == k % 2 for k in range(80))
+    assert links[500] == 1 and links[501] == links[502] == 0
+    assert embedding_dedup.near_components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("density", [0.0, 0.9])
+def test_embedding_passes_find_lone_pairs_of_large_labels(spark, density, monkeypatch):
+    """Recall of pairs at the threshold that nothing else links; the label is compared by passes, not in full."""
+    monkeypatch.setattr(embedding_dedup, "LEAST_PASSES", 4)
+    r, n, pairs, dim = np.random.default_rng(9), 2400, 200, 32
+    middle = r.standard_normal(dim)
+    middle *= math.sqrt(density) / np.linalg.norm(middle)
+    x = r.standard_normal((n, dim))
+    x = middle + x / np.linalg.norm(x, axis=1)[:, None] * math.sqrt(1 - density)
+    own = x[:pairs] / np.linalg.norm(x[:pairs], axis=1)[:, None]
+    side = r.standard_normal((pairs, dim))
+    side -= (side * own).sum(axis=1)[:, None] * own
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    near = 0.9802 * own + math.sqrt(1 - 0.9802**2) * side
+    rows = [(k, v.tolist(), 1) for k, v in enumerate([*x, *near])]
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = {i: int(c) - 1 for i, c in enumerate((unit @ unit.T >= 0.98).sum(axis=1))}
+    assert embedding_dedup.passes_for(len(rows), density, 0.98, 4) > 0
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5), window=4).collect()}
+    assert all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.9 * sum(want.values()) >= 0.9 * 2 * pairs
+
+
+def test_embedding_windows_go_over_the_edges_of_partitions(spark):
+    x = np.random.default_rng(2).standard_normal(8).astype("<f8").tobytes()
+    keyed = spark.createDataFrame([(0, "a", 8, k, k, x) for k in range(60)], "pass int, label string, dim int, key long, id long, raw binary")
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = embedding_dedup.window_links(keyed, 2, 0.98, "<f8")
+        got = {r["node"]: r["component"] for r in common.connected_components(links).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert got == dict.fromkeys(range(60), 0)
+
+
 def test_embedding_blocks_count_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "CELL", 16)
+    monkeypatch.setattr(embedding_dedup, "PACK", 8)
     r = np.random.default_rng(1)
     c = r.standard_normal(16)
     rows = [(k, (c + r.standard_normal(16) * 0.02).astype(np.float32).tolist(), 0, "", 1, 2) for k in range(60)]
