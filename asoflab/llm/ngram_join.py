@@ -11,15 +11,21 @@ Set relations are what keeps the work linear:
   entry is compared only when its position leaves room for the needed overlap
   (whole blocks are skipped by size, entries inside by position).
 * Each block has a pivot, the entry with the smallest position: the most central
-  set of the list. A set that is highly similar to the pivot takes over the
-  pivot's answer (its component); only sets of other components still need to be
-  compared, and only with entries that their positions allow.
+  set of the list. The pivot's answers are computed first: its overlaps with all sets
+  that it may link with. A set that links with the pivot takes over the pivot's
+  component; only sets of other components still need to be compared, and only with
+  entries that their positions allow.
+* Their answers are derived from those of the pivot b most similar to the set a, by
+  what a and b do not share: |a & c| is at least |a & b| + |c & b| - |b| and at most
+  |c & b| + |a - b| and |a & b| + |c - b|. That settles a pair either way, or leaves
+  it to be verified on whole texts.
 
 Tokens are ordered by corpus frequency, rare first. The frequency is read from a
 counting sketch of fixed size over all documents, so that what is broadcast does
 not grow; collisions move a token in the order, which costs time, never links.
-Shingles are compared as 64-bit hashes.
+Shingles are compared as 64-bit hashes, so "exact" holds but for their collisions.
 
+Extra columns are ignored; an empty table gives no rows.
 Nulls, empty and white-space texts have empty sets and link with nothing. Rows
 with the same id and the same text are copies of each other. Long texts are
 processed whole. A null id stays, linked with nothing.
@@ -73,14 +79,6 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int = 80) -> bool:
-    """Whether two sorted sets link."""
-    if not len(x) or not len(y):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
 def _profile(width: int):
     """A row with signature and size for each document, then the partition's counters by block."""
 
@@ -141,8 +139,9 @@ def _prefixes(counts, width: int, percent: int):
     return run
 
 
-def _size_block(n):
-    return F.floor(F.log(n.cast("double")) / math.log(1.25)).cast("int")
+def _size_block(n, percent: int):
+    """Sets that can link have sizes of 100 / percent times each other at most: they are in the same block or the next."""
+    return F.floor(F.log(n.cast("double")) / math.log(max(1.01, 100 / percent))).cast("int")
 
 
 def _possible(percent: int) -> str:
@@ -160,25 +159,41 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _verifier(width: int, percent: int):
+def _overlaps(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             kept: dict[str, np.ndarray] = {}
-            good = []
-            for a, b, x, y in zip(f["a"], f["b"], f["text_a"], f["text_b"], strict=True):
+            both = []
+            for b, x, y in zip(f["b"], f["text_a"], f["text_b"], strict=True):
                 if b not in kept:
                     kept = {b: shingles(y, width)} if len(kept) > 256 else kept | {b: shingles(y, width)}
-                good.append(linked(shingles(x, width), kept[b], percent))
-            yield f.loc[good, ["a", "b"]]
+                both.append(len(np.intersect1d(shingles(x, width), kept[b], assume_unique=True)))
+            yield pd.DataFrame({"a": f["a"], "b": f["b"], "n": f["n"], "m": f["m"], "both": both})
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts link."""
+def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """pairs (a, b, n, m) with the number of shingles that their whole texts share."""
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     full = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInPandas(_verifier(width, percent), "a long, b long")
+    return full.select("a", "b", "n", "m", "text_a", "text_b").mapInPandas(_overlaps(width), "a long, b long, n long, m long, both long")
+
+
+def _links(both: str, percent: int) -> str:
+    """Whether sets of n and m shingles link that share so many."""
+    return f"100 * {both} >= {percent} * (n + m - {both})"
+
+
+def derived(rest: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
+    """rest(a, b, n, m) with ``sure`` (links), or without a row where no link is possible, from the answers of the pivot most similar to a."""
+    guides = answers.groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("pivot"), F.col("m").alias("size"), F.col("both").alias("own")), F.struct("both", "b")).alias("guide"))
+    guided = rest.join(guides, "a", "left").select("a", "b", "n", "m", "guide.pivot", "guide.size", "guide.own")
+    known = answers.select(F.col("a").alias("b"), F.col("b").alias("pivot"), F.col("both").alias("other"))
+    told = guided.join(known, ["b", "pivot"], "left")
+    told = told.withColumn("least", F.greatest(F.lit(0), F.col("own") + F.col("other") - F.col("size"))).withColumn("most", F.least(F.expr("other + n - own"), F.expr("own + m - other"), F.least("n", "m")))
+    told = told.where(f"other is null or {_links('most', percent)}")
+    return told.select("a", "b", "n", "m", F.expr(f"other is not null and {_links('least', percent)}").alias("sure"))
 
 
 def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -208,15 +223,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     prefixes = named.mapInPandas(_prefixes(counts, width, percent), "doc_id long, sig binary, n long, prefix array<long>")
     sets = common.written(prefixes.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
 
-    entries = sets.select("id", "n", _size_block(F.col("n")).alias("size_block"), F.posexplode("prefix").alias("pos", "token"))
+    entries = sets.select("id", "n", _size_block(F.col("n"), percent).alias("size_block"), F.posexplode("prefix").alias("pos", "token"))
     lists = common.written(entries.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1").select("token"), "lists")
     # only lists with two entries or more can link; pivots are one for each block of such a list
     shared = common.written(entries.join(lists, "token"), "index")
     pivots = shared.groupBy("token", "size_block").agg(F.count("*").alias("entries"), F.min(F.struct("pos", "n", "id")).alias("pivot")).where("entries > 1")
     pivots = common.written(pivots.select("token", "size_block", F.col("pivot.id").alias("b"), F.col("pivot.n").alias("m"), F.col("pivot.pos").alias("at")), "pivots")
     near = shared.join(pivots, ["token", "size_block"]).where(f"id <> b and {_possible(percent)}")
-    near = common.written(near.select(F.col("id").alias("a"), "b").distinct(), "near")
-    links = common.written(verified(near, _texts_of(docs, near), width, percent), "links")
+    near = common.written(near.select(F.col("id").alias("a"), "b", "n", "m").distinct(), "near")
+    answers = common.written(overlaps(near, _texts_of(docs, near), width), "pivot-answers")
+    links = answers.where(_links("both", percent)).select("a", "b")
 
     known = common.connected_components(links)
     placed = shared.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -229,9 +245,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     minor = minor.withColumn("size_block", F.explode(F.sequence(F.col("size_block") - 1, F.col("size_block") + 1)))
     others = open_lists.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("d"), "main", "size_block")
     rest = minor.join(others, ["token", "size_block"]).where(f"c <> d and (d = main or a < b) and {_possible(percent)}")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = common.written(rest.join(near, ["a", "b"], "left_anti").join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
-    more = common.written(verified(rest, _texts_of(docs, rest), width, percent), "more")
+    ordered = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "n", "m")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("n").alias("m")))
+    rest = rest.select(ordered.alias("pair")).select("pair.*").distinct()
+    rest = rest.join(near, ["a", "b"], "left_anti").join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    rest = common.written(derived(rest, answers, percent), "rest")
+    unsure = rest.where("not sure")
+    more = overlaps(unsure, _texts_of(docs, unsure), width).where(_links("both", percent)).select("a", "b").union(rest.where("sure").select("a", "b"))
+    more = common.written(more, "more")
 
     joined = common.connected_components(more.select("a", "b").union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))).union(links))
     by_sig = common.written(sets.select("sig", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("sig", F.coalesce("component", "id").alias("component_id")), "answers")

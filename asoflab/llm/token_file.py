@@ -19,6 +19,7 @@ A document longer than a block is a block of its own.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -90,6 +91,16 @@ class _Pieces(dict):
         return out
 
 
+def by_pieces(told: dict) -> bool:
+    """Whether a tokenizer (its own description) is byte-level BPE that cuts texts as Encoder does: nothing is
+    normalised, cut off or dropped, and no added token holds white space or could be part of a word."""
+    model, cuts = told["model"], told["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    level = cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space", True)
+    added = all(not re.search(r"\s", t["content"]) and re.search(rf"[^{LATIN}.,]", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in told["added_tokens"])
+    return bool(plain and level and added and not told["normalizer"] and not told["truncation"] and not told["padding"])
+
+
 class Encoder:
     """The tokenizers library, asked once for each distinct piece between single spaces.
 
@@ -98,6 +109,8 @@ class Encoder:
     whole text; texts with other white space around a space are cut only there.
     A word of Latin letters is one pre-token, so it goes to the BPE model directly,
     and a piece of such words, full stops, commas and a line end is the sum of its parts.
+    That holds for byte-level BPE as ``by_pieces`` tells; texts are encoded whole with
+    any other tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -105,6 +118,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.whole = not by_pieces(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -116,6 +130,8 @@ class Encoder:
         return np.frombuffer(self.starts[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:])), "<u4")
 
     def encode(self, text: str) -> np.ndarray:
+        if self.whole:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if text[:1].isspace() or text[-1:].isspace():
             return self._loose(text)
         try:

@@ -6,12 +6,17 @@ at least. In a bucket whose longest vector has length L, a query q then needs a
 cosine of at least theta / (|q| L): above 1 the bucket is skipped (already in
 the join, from bucket and block bounds alone); a high local threshold prunes by
 coordinates (the unit vectors' range on the query's largest coordinates), a low
-one by length. What is left is verified by exact integer products.
+one by length. What is left is verified by exact integer products, one matrix product
+for each pair of a block of queries and a bucket; a query's threshold rises with the
+buckets that a task has done. Blocks and buckets travel in the narrowest integers that
+hold them.
 
 Components are floor(1024 * x). Vectors that are null, or hold null or
 non-finite components, take no part; vectors of different lengths don't meet.
 An empty vector takes part and scores 0. A query's own row (its id) is no
-candidate. Ties go to the smaller id. Products are exact while they fit a long.
+candidate; rows that repeat an id are candidates of their own. Ties go to the smaller id.
+Products are exact while they fit a long. Extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKET, BLOCK, SEED = 512, 256, 4096
+BUCKET, BLOCK, SEED = 2048, 1024, 4096
 FOCUS = 4
 SLACK = 1e-9
 
@@ -36,8 +41,19 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (q.astype(float) @ c.astype(float).T).astype(np.int64) if top < 2**53 else q @ c.T
 
 
+def narrow(z: np.ndarray) -> bytes:
+    """The numbers in the narrowest integers that hold them, the width in front."""
+    top = int(max(z.max(initial=0), -(z.min(initial=0) + 1)))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w - 1))
+    return bytes([width]) + z.astype(f"<i{width}").tobytes()
+
+
+def _vector(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64)
+
+
 def _matrix(parts: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), np.int64).reshape(len(parts), dim)
+    return np.stack([_vector(p) for p in parts]).reshape(len(parts), dim) if len(parts) else np.empty((0, dim), np.int64)
 
 
 def _ints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,19 +63,11 @@ def _ints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = np.array([np.nan if c is None else c for c in v] if v.dtype == object else v, np.float64)
             if np.isfinite(x).all():
                 z = np.floor(1024 * x).astype(np.int64)
-                for k, y in zip(out, (i, len(z), float(np.sqrt((z.astype(float) ** 2).sum())), z.tobytes()), strict=True):
+                for k, y in zip(out, (i, len(z), float(np.sqrt((z.astype(float) ** 2).sum())), narrow(z)), strict=True):
                     out[k].append(y)
         yield pd.DataFrame(out)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    if len(ids) > 4 * k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= floor)
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
-
-
 def _bounds(seed, k: int):
     """Each block of queries with theta: the k-th best score over the seed, the query's own row left out."""
 
@@ -78,48 +86,71 @@ def _bounds(seed, k: int):
                 thetas.append(theta.tolist())
                 # the shortest vector that any query of this block can still use
                 least.append(float(np.where(theta > 0, theta / np.maximum(qn, 1e-300), 0).min()))
-            yield f.assign(thetas=thetas, least=least)
+            raws = [narrow(_matrix(r.q_raws, r.dim).ravel()) for r in f.itertuples()]
+            yield pd.DataFrame({"dim": f["dim"], "qb": f["qb"], "q_ids": f["q_ids"], "q_norms": f["q_norms"], "q_raw": raws, "thetas": thetas, "least": least})
 
     return run
 
 
-def survivors(q: np.ndarray, q_norm: float, theta: float, c: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Rows of a bucket (longest first) whose product with q can reach theta."""
-    if theta <= 0 or q_norm == 0:
-        return np.arange(len(c)) if theta <= 0 else np.arange(0)
-    local = theta / (q_norm * norms[0]) if norms[0] else np.inf
-    if local > 1 + SLACK:
-        return np.arange(0)
-    if local < 0.5:  # length pruning
-        return np.arange(np.searchsorted(-norms, -(theta / q_norm) * (1 - SLACK), side="right"))
-    unit = q / q_norm
-    alive = np.arange(len(c))
-    for f in np.argsort(-np.abs(unit))[:FOCUS]:  # coordinate pruning
-        reach = np.sqrt(max(0.0, 1 - local**2) * max(0.0, 1 - unit[f] ** 2)) + SLACK
-        p = c[alive, f] / np.maximum(norms[alive], 1e-300)
-        low, high = unit[f] * local - reach, unit[f] * local + reach
-        ok = p >= low if unit[f] >= local else (p <= high if unit[f] <= -local else (p >= low) & (p <= high))
-        alive = alive[ok]
+def survivors(q: np.ndarray, q_norms: np.ndarray, thetas: np.ndarray, c: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """For each query (rows) which rows of a bucket, longest first, its product can reach theta with."""
+    alive = np.ones((len(q), len(c)), bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        least = np.where(thetas > 0, thetas / np.maximum(q_norms, 1e-300), 0.0)  # the length that a candidate needs
+        local = np.where(least > 0, least / norms[0] if norms[0] else np.inf, 0.0)
+    alive[local > 1 + SLACK] = False
+    short = np.flatnonzero((local > 0) & (local < 0.5))  # length pruning
+    alive[short] = norms[None, :] >= least[short, None] * (1 - SLACK)
+    sharp = np.flatnonzero((local >= 0.5) & (local <= 1 + SLACK))  # coordinate pruning
+    if len(sharp) and q.shape[1]:
+        unit = q[sharp] / q_norms[sharp, None]
+        units = (c / np.maximum(norms, 1e-300)[:, None]).T
+        t = local[sharp]
+        for place in np.argsort(-np.abs(unit), axis=1)[:, :FOCUS].T:
+            x = unit[np.arange(len(sharp)), place]
+            reach = np.sqrt(np.maximum(0.0, 1 - t**2) * np.maximum(0.0, 1 - x**2)) + SLACK
+            low = np.where(x <= -t, -np.inf, x * t - reach)
+            high = np.where(x >= t, np.inf, x * t + reach)
+            p = units[place]
+            alive[sharp] &= (p >= low[:, None]) & (p <= high[:, None])
     return alive
 
 
+def best_of(scores: np.ndarray, able: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best able scores of each row (all, if fewer), ties to smaller ids, as rows, columns and the rows' k-th scores."""
+    at, column = np.nonzero(able)
+    own = scores[at, column]
+    order = np.lexsort((ids[column], -own, at))
+    at, column, own = at[order], column[order], own[order]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    floors = np.full(len(scores), -np.inf)
+    last = np.flatnonzero(rank == k - 1)
+    floors[at[last]] = own[last]
+    return at[rank < k], column[rank < k], floors
+
+
 def _scored(k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        risen: dict[tuple[int, int], np.ndarray] = {}  # thresholds of the blocks of queries that this task has met
         for f in frames:
-            out: list[pd.DataFrame] = []
             for r in f.itertuples():
-                q, c = _matrix(r.q_raws, r.dim), _matrix(r.c_raws, r.dim)
+                q_ids, q_norms, thetas = np.asarray(r.q_ids), np.asarray(r.q_norms), risen.get((r.dim, r.qb), np.asarray(r.thetas))
                 norms, ids = np.asarray(r.c_norms), np.asarray(r.c_ids)
-                for j, (qid, qn, theta) in enumerate(zip(r.q_ids, r.q_norms, r.thetas, strict=True)):
-                    alive = survivors(q[j], qn, theta, c, norms)
-                    alive = alive[ids[alive] != qid]
-                    s = products(q[j : j + 1], c[alive])[0]
-                    good = s >= theta
-                    s, own = s[good], ids[alive[good]]
-                    top = _best(s, own, k)
-                    out.append(pd.DataFrame({"query_id": qid, "vec_id": own[top], "score": s[top]}))
-            if out:
-                yield pd.concat(out).astype(np.int64)
+                q, c = _vector(r.q_raw).reshape(len(q_ids), r.dim), _vector(r.c_raw).reshape(len(ids), r.dim)
+                alive = survivors(q, q_norms, thetas, c, norms) & (q_ids[:, None] != ids[None, :])
+                own, met = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+                if not len(own):
+                    continue
+                scores = products(q[own], c[met])
+                able = alive[np.ix_(own, met)] & (scores >= thetas[own, None])
+                if scores.shape[1] > k:  # only what reaches the k-th of this bucket is sorted
+                    held = np.where(able, scores, np.iinfo(np.int64).min)
+                    able &= scores >= np.partition(held, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+                at, column, floors = best_of(scores, able, q_ids[own], ids[met], k)
+                thetas = thetas.copy()
+                thetas[own] = np.maximum(thetas[own], floors)
+                risen[r.dim, r.qb] = thetas
+                yield pd.DataFrame({"query_id": q_ids[own[at]], "vec_id": ids[met[column]], "score": scores[at, column]}).astype(np.int64)
 
     return run
 
@@ -128,7 +159,7 @@ def _buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a sorted partition as packed buckets of BUCKET rows of one dimension at most."""
 
     def pack(g: pd.DataFrame) -> dict:
-        return {"dim": int(g["dim"].iat[0]), "longest": float(g["norm"].iat[0]), "c_ids": g["vec_id"].tolist(), "c_norms": g["norm"].tolist(), "c_raws": g["raw"].tolist()}
+        return {"dim": int(g["dim"].iat[0]), "longest": float(g["norm"].iat[0]), "c_ids": g["vec_id"].tolist(), "c_norms": g["norm"].tolist(), "c_raw": narrow(_matrix(g["raw"].tolist(), int(g["dim"].iat[0])).ravel())}
 
     kept = None
     for f in frames:
@@ -157,11 +188,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     blocks = max(1, -(-queries.count() // BLOCK))
     held = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "qb")
     held = held.agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("norm").alias("q_norms"), F.collect_list("raw").alias("q_raws"))
-    fields = "dim int, qb int, q_ids array<long>, q_norms array<double>, q_raws array<binary>, thetas array<double>, least double"
+    fields = "dim int, qb int, q_ids array<long>, q_norms array<double>, q_raw binary, thetas array<double>, least double"
     held = common.written(held.mapInPandas(_bounds(spark.sparkContext.broadcast(seed), k), fields), "queries")
 
     ordered = points.repartitionByRange("dim", F.desc("norm"), "vec_id").sortWithinPartitions("dim", F.desc("norm"), "vec_id")
-    buckets = ordered.mapInPandas(_buckets, "dim int, longest double, c_ids array<long>, c_norms array<double>, c_raws array<binary>")
+    buckets = ordered.mapInPandas(_buckets, "dim int, longest double, c_ids array<long>, c_norms array<double>, c_raw binary")
     buckets = common.written(buckets.withColumn("bucket", F.monotonically_increasing_id()), "buckets")
     # every block of queries meets the buckets that are long enough for one of its queries; bounds alone decide that
     heads = buckets.select("bucket", "dim", "longest").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

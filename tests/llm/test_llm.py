@@ -185,7 +185,7 @@ def brute_sets(texts):
     return out
 
 
-def brute_components(sets):
+def brute_components(sets, percent=80):
     up = {i: i for i in sets}
 
     def root(x):
@@ -195,7 +195,7 @@ def brute_components(sets):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
             up[max(root(a), root(b))] = min(root(a), root(b))
     return {i: root(i) for i in sets}
 
@@ -208,6 +208,31 @@ def jaccard_texts():
     return [*texts, None, "", "  \n", "one two", "ONE two", "é É", "İ", prose(4, 3000)]
 
 
+@pytest.mark.parametrize("percent", [50, 60, 90, 100])
+def test_jaccard_components_at_other_thresholds(spark, percent):
+    base = [prose(k, 60) for k in range(4)]
+    texts = [edited(base[k % 4], k, k % 7) for k in range(40)] + [base[0][: len(base[0]) * 2 // 3], base[1] + " " + prose(77, 30), base[0] + " " + base[1]]
+    want = brute_components(brute_sets(enumerate(texts)), percent)
+    assert len(set(want.values())) < len(texts)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs(spark, texts), percent=percent).collect()}
+    assert got == want
+
+
+def test_answers_derived_from_a_pivot_are_those_of_brute_force(spark):
+    r = random.Random(6)
+    base = set(range(100))
+    sets = [frozenset(r.sample(sorted(base), 100 - k % 30)) | frozenset(range(1000 + 50 * k, 1000 + 50 * k + k % 25)) for k in range(60)]
+    pivots, rows = [0, 7], []
+    for b in pivots:
+        rows += [(k, b, len(sets[k]), len(sets[b]), len(sets[k] & sets[b])) for k in range(60) if k != b and k % 5]
+    answers = spark.createDataFrame(rows, "a long, b long, n long, m long, both long")
+    pairs = [(a, b, len(sets[a]), len(sets[b])) for a, b in itertools.combinations(range(60), 2)]
+    told = {(x["a"], x["b"]): x["sure"] for x in ngram_join.derived(spark.createDataFrame(pairs, "a long, b long, n long, m long"), answers, 80).collect()}
+    links = {(a, b): 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b, *_ in pairs}
+    assert all(links[p] for p, sure in told.items() if sure) and not any(links[p] for p in links if p not in told)
+    assert sum(told.values()) > 20 and len(told) < len(pairs) - 50
+
+
 def test_jaccard_components_match_brute_force(spark):
     texts = jaccard_texts()
     got = {r["doc_id"]: r for r in ngram_join.jaccard_components(docs(spark, texts)).collect()}
@@ -512,6 +537,25 @@ def test_bit_packing_round_trip(bits):
     assert (token_file.unpack(raw, bits, 333, 77) == ids[333:410]).all()
 
 
+def test_token_file_of_another_tokenizer_and_very_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    assert not token_file.encoder(BPE).whole
+    other = tokenizer("word_bpe_49k.json")
+    for path in (other, BPE):
+        t = Tokenizer.from_file(path)
+        texts = ["Hello  World", "a.\nB", None, "", "long word " * 60000, "x" * 20000, "a\tb " * 3]
+        folder = token_file.new_path(spark)
+        token_file.write(docs(spark, texts), folder, path)
+        got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_file.read_digests(spark, folder).collect()}
+        for i, text in enumerate(texts):
+            x = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+            assert got[i] == (len(x), zlib.crc32(x.tobytes()))
+    assert token_file.encoder(other).whole
+    model = json.loads(Tokenizer.from_file(BPE).to_str())
+    assert not token_file.by_pieces(model | {"added_tokens": [{"content": "word", "lstrip": False, "rstrip": False, "single_word": False}]})
+
+
 def test_token_file_matches_whole_text_encoding(spark, monkeypatch):
     from tokenizers import Tokenizer
 
