@@ -9,8 +9,8 @@ the document's id decides, so any re-run draws the same rows. No cell is cut at
 has, so the sample meets the targets and holds about KEEP of all tokens.
 
 The raking runs on the table of cells (pre-aggregated, at most sources x languages
-x topics rows, in one partition); documents are only counted and filtered. All of
-it is DataFrame expressions.
+x topics rows); documents are only counted and filtered. All of it is DataFrame
+expressions. ``marginals`` tells the shares that a sample has next to those wanted.
 
 Sources, languages and topics without a target, and null ones, are the value
 "other". Targets are shares of what is there: a target whose value doesn't occur
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SWEEPS = 12
+SWEEPS = 12  # of a round
+MOST_ROUNDS = 6
+TOLERANCE = 2e-3  # of a marginal, as a share of its target
 MOST_CELLS = 50_000
 KEEP = 0.5  # of a cell that already has its share
 DIMENSIONS = ("source", "lang", "topic")
@@ -56,39 +58,64 @@ def _named(value: Column, targets: dict[str, float] | None) -> Column:
     return value if targets is None else F.when(value.isin([*targets]), value).otherwise(F.lit("other"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps: int = SWEEPS, keep_other: bool = False) -> DataFrame:
-    """cells(source, lang, topic, tokens) with weight, the raked share of all tokens that each cell should have,
-    expected, how many times a document of the cell should be in the sample, and probability, that it is there at all."""
-    every = Window.partitionBy(F.lit(0))
+def _shares(cells: DataFrame, targets: dict[str, dict[str, float] | None], keep_other: bool) -> DataFrame:
+    """cells with want_source, want_lang and want_topic; of all cells one row comes to the driver, and of each dimension with targets its values there."""
+    told = cells.agg(F.sum("tokens").alias("tokens"), *[F.count_distinct(n).alias(n) for n in DIMENSIONS]).first()
     for name in DIMENSIONS:
         wanted = targets.get(name)
-        by = Window.partitionBy(name)
         if wanted is None:
-            cells = cells.withColumn(f"want_{name}", F.lit(1.0) / F.size(F.collect_set(name).over(every)))
-        else:
-            own = F.lit(0.0)
-            for value, share in wanted.items():
-                own = F.when(F.col(name) == value, F.lit(float(share))).otherwise(own)
-            cells = cells.withColumn("own", own).withColumn("one", F.lit(1.0) / F.count("*").over(by))
-            total = F.sum(F.col("own") * F.col("one")).over(every)
-            want = F.try_divide(F.col("own"), total)
-            if keep_other and "other" not in wanted:
-                other = F.sum(F.when(F.col(name) == "other", F.col("tokens")).otherwise(0)).over(every)
-                other = F.coalesce(F.try_divide(other.cast("double"), F.sum("tokens").over(every).cast("double")), F.lit(0.0))
-                want = F.when(F.col(name) == "other", other).otherwise(want * (1 - other))
-            cells = cells.withColumn(f"want_{name}", want).drop("own", "one")
-    cells = cells.withColumn("weight", F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(every).cast("double")))
-    for _ in range(sweeps):
-        for name in DIMENSIONS:
-            scale = F.try_divide(F.col(f"want_{name}"), F.sum("weight").over(Window.partitionBy(name)))
-            cells = cells.withColumn("weight", F.coalesce(F.col("weight") * scale, F.lit(0.0)))
-    total = F.sum("weight").over(every)
-    cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), total), F.lit(0.0)))
+            cells = cells.withColumn(f"want_{name}", F.lit(1.0 / max(1, told[name])))
+            continue
+        there = {r[name]: r["tokens"] for r in cells.groupBy(name).agg(F.sum("tokens").alias("tokens")).collect()}  # targets and "other" at most
+        total = sum(share for value, share in wanted.items() if value in there)
+        other = there.get("other", 0) / told["tokens"] if keep_other and "other" not in wanted and told["tokens"] else 0.0
+        want = F.lit(other)
+        for value, share in wanted.items():
+            want = F.when(F.col(name) == value, F.lit(share / total * (1 - other) if total else 0.0)).otherwise(want)
+        cells = cells.withColumn(f"want_{name}", F.when(F.col(name).isin([*wanted, "other"]), want).otherwise(F.lit(0.0)))
+    return cells.withColumn("weight", F.try_divide(F.col("tokens").cast("double"), F.lit(float(told["tokens"] or 0))))
+
+
+def residual(cells: DataFrame) -> float:
+    """By how much, as a share of it, the weights of a source, language or topic differ most from what it should have; 0 where it can't have any."""
+    parts = [cells.groupBy(n).agg(F.sum("weight").alias("has"), F.first(f"want_{n}").alias("want")).select("has", "want") for n in DIMENSIONS]
+    off = F.when((F.col("has") > 0) & (F.col("want") > 0), F.abs(F.col("has") / F.col("want") - 1)).otherwise(0.0)
+    return parts[0].union(parts[1]).union(parts[2]).agg(F.max(off).alias("off")).first()["off"] or 0.0
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps: int = SWEEPS, keep_other: bool = False, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells(source, lang, topic, tokens) with weight, the raked share of all tokens that each cell should have,
+    expected, how many times a document of the cell should be in the sample, and probability, that it is there at all.
+
+    Rounds of so many sweeps go on until no marginal is farther from its target than the tolerance; as targets may
+    be impossible together, MOST_ROUNDS at most. The cells are one partition only if they are few, which is counted.
+    """
+    cells = common.written(cells, "cells")
+    few = cells.count() <= MOST_CELLS
+    cells = _shares(cells, targets, keep_other)
+    for _ in range(MOST_ROUNDS):
+        cells = cells.coalesce(1) if few else cells
+        for _ in range(sweeps):
+            for name in DIMENSIONS:
+                scale = F.try_divide(F.col(f"want_{name}"), F.sum("weight").over(Window.partitionBy(name)))
+                cells = cells.withColumn("weight", F.coalesce(F.col("weight") * scale, F.lit(0.0)))
+        cells = common.written(cells, "raked")
+        if residual(cells) <= tolerance:
+            break
+    total = cells.agg(F.sum("weight").alias("weight"), F.sum("tokens").alias("tokens")).first()
+    cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), F.lit(total["weight"] or 0.0)), F.lit(0.0)))
     need = F.coalesce(F.try_divide(F.col("weight"), F.col("tokens").cast("double")), F.lit(0.0))
-    cells = cells.withColumn("need", need)
-    wanted = F.col("need") * F.sum("tokens").over(every) * KEEP
-    cells = cells.withColumn("expected", F.coalesce(wanted, F.lit(0.0))).withColumn("probability", F.coalesce(F.least(F.lit(1.0), wanted), F.lit(0.0)))
-    return cells.drop("need", *[f"want_{n}" for n in DIMENSIONS])
+    wanted = F.coalesce(need * F.lit(float(total["tokens"] or 0)) * KEEP, F.lit(0.0))
+    return cells.withColumn("expected", wanted).withColumn("probability", F.least(F.lit(1.0), wanted))
+
+
+def marginals(rows: DataFrame) -> DataFrame:
+    """(dimension, value, had, wanted, got) of a result of mixed: shares of tokens in the table, as raked, and in the sample."""
+    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("had"), F.first("weight").alias("wanted"), F.sum(F.col("n_tokens") * F.col("copies")).alias("got"))
+    cells = common.written(cells, "marginals")
+    total = cells.agg(*[F.sum(c).cast("double").alias(c) for c in ("had", "wanted", "got")]).first()
+    parts = [cells.groupBy(F.col(n).alias("value")).agg(*[F.try_divide(F.sum(c).cast("double"), F.lit(total[c])).alias(c) for c in ("had", "wanted", "got")]).select(F.lit(n).alias("dimension"), "value", "had", "wanted", "got") for n in DIMENSIONS]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -114,7 +141,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None =
     named = [_named(F.col(n), targets.get(n)).alias(n) for n in ("source", "lang")]
     rows = docs.select("doc_id", *named, _named(topic_of(F.col("text")), targets.get("topic")).alias("topic"), token_count(F.col("text")).alias("n_tokens"))
     rows = common.written(rows, "rows")  # texts are read once
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).coalesce(1)
+    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     shares = rake(cells, targets, sweeps, keep_other).select(*DIMENSIONS, "weight", "expected", "probability")
     out = rows.join(_small(shares), [*DIMENSIONS])
     out = out.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", draw(F.col("doc_id"), seed).alias("drawn"), "expected")
@@ -127,7 +154,8 @@ def sampled(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), "text", "source", "lang")
     values = [_named(F.col(n), targets.get(n)).alias(f"cell_{n}") for n in ("source", "lang")]
     marked = marked.select("row", draw(F.col("doc_id"), seed).alias("drawn"), *values, _named(topic_of(F.col("text")), targets.get("topic")).alias("cell_topic"), token_count(F.col("text")).alias("n_tokens"))
-    cells = marked.groupBy(*[F.col(f"cell_{n}").alias(n) for n in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens")).coalesce(1)
+    marked = common.written(marked, "marked")  # texts are read once
+    cells = marked.groupBy(*[F.col(f"cell_{n}").alias(n) for n in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens"))
     shares = rake(cells, targets, keep_other=keep_other).select(*[F.col(n).alias(f"cell_{n}") for n in DIMENSIONS], "expected")
     drawn = marked.join(_small(shares), [f"cell_{n}" for n in DIMENSIONS]).withColumn("copies", copies(F.col("expected"), F.col("drawn")))
     return drawn.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")

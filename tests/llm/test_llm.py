@@ -616,10 +616,19 @@ def test_mixing_sample_has_the_wanted_shares(spark):
     for value, want in ((None, other), ("de", (1 - other) / 2), ("en", (1 - other) / 2)):
         assert abs(shares_of(rows, "lang")[value] - want) < 0.03
     assert abs(sum(len(r["text"].split()) for r in rows if " | " in r["text"]) / sum(len(r["text"].split()) for r in rows) - 0.2) < 0.03
+    for r in mixing.marginals(mixing.mixed(df, targets, keep_other=True)).collect():
+        assert abs(r["got"] - r["wanted"]) < 0.03 and abs(r["wanted"] - {"de": (1 - other) / 2, "en": (1 - other) / 2, "prose": 0.8, "table": 0.2}.get(r["value"], r["wanted"])) < 2e-3
     told = {r["doc_id"]: r["copies"] for r in mixing.mixed(df, targets, keep_other=True).collect()}
     assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter({i: n for i, n in told.items() if n})
 
 
+def test_mixing_of_repeated_rows_and_targets_that_exclude_each_other(spark):
+    df = docs(spark, ["a b c", "a b c", "d | e", None], [1, 1, 2, None])
+    rows = mixing.mixed(df, {"lang": {"en": 1.0}, "topic": {"prose": 0.5, "table": 0.5}})
+    assert rows.count() == 4 and len({(r["drawn"], r["copies"]) for r in rows.where("doc_id = 1").collect()}) == 1
+    assert mixing.sampled(df, {"source": {"nowhere": 1.0}}).count() == 0
+
+
 # 8
 
 
