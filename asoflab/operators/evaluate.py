@@ -106,6 +106,39 @@ def bootstrap(daily: DataFrame, value: str, reps: int = 500, block: int = 1, see
     return means.agg(F.count("*").alias("reps"), ends.alias("e")).select("reps", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
 
 
+def tail_sums(df: DataFrame, value: str, sizes: Sequence[int]) -> list[float]:
+    """Sums of the largest so many values, without sorting them into one task.
+
+    The value at each cut comes from a histogram that is refined until its bin is one value or holds few
+    rows; what lies above it is summed, and ties fill what is left.
+    """
+    out = []
+    x = df.select(col(value).cast("double").alias("v")).where("v IS NOT NULL").persist()
+    bounds = x.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
+    for size in sizes:
+        if size <= 0 or bounds["a"] is None:
+            out.append(0.0)
+            continue
+        low, high, left = bounds["a"], bounds["b"], size  # the cut is in [low, high], ``left`` values of that range are wanted
+        while True:
+            width = (high - low) / 1024
+            part = x.where(F.col("v").between(low, high))
+            if width <= 0 or low + width == low:
+                break
+            bins = part.groupBy(F.least(F.lit(1023), F.floor((F.col("v") - low) / width)).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+            for r in sorted(bins.collect(), key=lambda r: -r["bin"]):  # 1,024 rows
+                if r["n"] >= left:
+                    low, high = r["a"], r["b"]
+                    break
+                left -= r["n"]
+            if low == high:
+                break
+        above = x.where(F.col("v") > high).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("s")).first()["s"]
+        out.append(above + left * high)
+    x.unpersist()
+    return out
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str], least: int = 20) -> DataFrame:
     """Pairs (a, b, n, pearson, spearman) from one pass of sums; Spearman ranks each column over its own non-nulls."""
     ranked = _ranked(df, columns)

@@ -55,17 +55,32 @@ def ema_finite(x: str | Column, by: WindowSpec, period: int, n: int = 60) -> Col
     return F.when(F.size(values) == n, F.aggregate(F.zip_with(values, weights, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v))
 
 
-def macd(values: Column) -> Column:
-    """Struct (dif, dea) of an array, oldest first: 12/26 means seeded with the first value, signal 9 seeded with 0."""
-    start = F.struct(F.get(values, F.lit(0)).alias("fast"), F.get(values, F.lit(0)).alias("slow"), F.lit(0.0).alias("dea"))
-
-    def step(s: Column, v: Column) -> Column:
-        fast = s["fast"] * (11.0 / 13) + v * (2.0 / 13)
-        slow = s["slow"] * (25.0 / 27) + v * (2.0 / 27)
-        return F.struct(fast.alias("fast"), slow.alias("slow"), (s["dea"] * 0.8 + (fast - slow) * 0.2).alias("dea"))
-
-    end = F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), start, step)
-    return F.when(F.size(values) > 0, F.struct((end["fast"] - end["slow"]).alias("dif"), end["dea"].alias("dea")))
+def macd_weights(n: int = 60) -> dict[str, list[float]]:
+    """MACD is linear in the values of a window: weights of DIF (12/26 means seeded with the oldest value) and
+    DEA (9, seeded with 0) by age, and what the oldest value gets besides, by the number of values."""
+    fast, slow, signal = 11.0 / 13, 25.0 / 27, 0.8
+    dif = [(1 - fast) * fast**k - (1 - slow) * slow**k for k in range(n)]
+    seed = [fast**k - slow**k for k in range(n)]  # of the oldest value in DIF, k values after it
+    smooth = lambda own, upto: sum((1 - signal) * signal ** (upto - i) * own[i] for i in range(upto + 1))
+    dea = [smooth(dif, k) for k in range(n)]
+    dea_seed = [smooth([0.0, *seed[1:]], k) for k in range(n)]
+    return {"dif": dif, "dea": dea, "dif_more": [s - d for s, d in zip(seed, dif, strict=True)], "dea_more": [s - d for s, d in zip(dea_seed, dea, strict=True)]}
+
+
+def macd(values: Column, n: int = 60) -> Column:
+    """Struct (dif, dea, histogram, state) of an array of at most n values, oldest first: histogram is twice
+    DIF less DEA; state GOLDEN or DEAD by its sign, else FLAT."""
+    w = {k: F.array(*[F.lit(x) for x in v]) for k, v in macd_weights(n).items()}
+    size = F.size(values)
+    newest_first = F.reverse(values)
+
+    def weighed(name: str) -> Column:
+        products = F.zip_with(newest_first, F.slice(w[name], 1, size), lambda v, x: v * x)
+        return F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + F.get(values, F.lit(0)) * F.get(w[f"{name}_more"], size - 1)
+
+    pair = F.transform(F.array(F.struct(weighed("dif").alias("dif"), weighed("dea").alias("dea"))), lambda m: F.struct(m["dif"].alias("dif"), m["dea"].alias("dea"), ((m["dif"] - m["dea"]) * 2).alias("histogram")))[0]
+    whole = F.transform(F.array(pair), lambda m: F.struct(m["dif"].alias("dif"), m["dea"].alias("dea"), m["histogram"].alias("histogram"), F.when(F.round(m["histogram"], 4) > 0, "GOLDEN").when(F.round(m["histogram"], 4) < 0, "DEAD").otherwise("FLAT").alias("state")))[0]
+    return F.when(size > 0, whole)
 
 
 def rsi_simple(x: str, by: WindowSpec, n: int = 14) -> Column:

@@ -296,7 +296,7 @@ def moving_averages(spark, sf):
     return df.select("symbol", "trade_date", *[F.round(f"sma{n}", 6).alias(f"sma{n}") for n in (5, 10, 20, 60)], (F.col("close") > F.col("sma20")).alias("above_sma20"), stack.alias("bullish"))
 
 
-W12 = "[" + ", ".join(f"{w!r}::DOUBLE" for w in T.ema_weights(12, 60)) + "]"
+W12, W26 = ("[" + ", ".join(f"{w!r}::DOUBLE" for w in T.ema_weights(n, 60)) + "]" for n in (12, 26))
 
 
 @query("TS_2_ema_finite", f"""{A}, s AS (SELECT symbol, trade_date, list(close) {BY} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS v FROM bars_a) SELECT symbol, trade_date, CASE WHEN len(v) = 60 THEN round(list_dot_product(v, {W12}), 5) END AS ema12 FROM s""")
@@ -306,11 +306,20 @@ def ema_finite(spark, sf):
 
 @query("TS_3_macd", f"""{A}, s AS (SELECT symbol, trade_date, list(close) {BY} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS v FROM bars_a),
 m AS (SELECT symbol, trade_date, list_reduce(list_transform(v, lambda x: {{'f': x, 's': x, 'd': 0.0::DOUBLE}}), lambda a, b: {{'f': a.f * (11.0 / 13)::DOUBLE + b.f * (2.0 / 13)::DOUBLE, 's': a.s * (25.0 / 27)::DOUBLE + b.s * (2.0 / 27)::DOUBLE,
- 'd': a.d * 0.8 + (a.f * (11.0 / 13)::DOUBLE + b.f * (2.0 / 13)::DOUBLE - a.s * (25.0 / 27)::DOUBLE - b.s * (2.0 / 27)::DOUBLE) * 0.2}}) AS e FROM s WHERE trade_date >= DATE '2000-01-01')
-SELECT symbol, trade_date, round(e.f - e.s, 4) AS dif, round(e.d, 4) AS dea FROM m""")
+ 'd': a.d * 0.8 + (a.f * (11.0 / 13)::DOUBLE + b.f * (2.0 / 13)::DOUBLE - a.s * (25.0 / 27)::DOUBLE - b.s * (2.0 / 27)::DOUBLE) * 0.2}}) AS e FROM s)
+SELECT symbol, trade_date, round(e.f - e.s, 4) AS dif, round(e.d, 4) AS dea, round(2 * (e.f - e.s - e.d), 3) AS histogram FROM m""")
 def macd(spark, sf):
-    m = V.bars_a(spark, sf).withColumn("v", T.history("close", T.SYMBOL, 60)).where("trade_date >= '2000-01-01'").withColumn("m", T.macd(F.col("v")))
-    return r(m, ["symbol", "trade_date"], 4, dif=F.col("m.dif"), dea=F.col("m.dea"))
+    m = V.bars_a(spark, sf).select("symbol", "trade_date", T.history("close", T.SYMBOL, 60).alias("v")).withColumn("m", T.macd(F.col("v")))
+    return m.select("symbol", "trade_date", F.round("m.dif", 4).alias("dif"), F.round("m.dea", 4).alias("dea"), F.round("m.histogram", 3).alias("histogram"))
+
+
+@query("TS_3_macd_states", f"""{A}, s AS (SELECT symbol, list(close) {BY} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS v FROM bars_a),
+m AS (SELECT symbol, list_reduce(list_transform(v, lambda x: {{'f': x, 's': x, 'd': 0.0::DOUBLE}}), lambda a, b: {{'f': a.f * (11.0 / 13)::DOUBLE + b.f * (2.0 / 13)::DOUBLE, 's': a.s * (25.0 / 27)::DOUBLE + b.s * (2.0 / 27)::DOUBLE,
+ 'd': a.d * 0.8 + (a.f * (11.0 / 13)::DOUBLE + b.f * (2.0 / 13)::DOUBLE - a.s * (25.0 / 27)::DOUBLE - b.s * (2.0 / 27)::DOUBLE) * 0.2}}) AS e FROM s), h AS (SELECT symbol, round(2 * (e.f - e.s - e.d), 4) AS h FROM m)
+SELECT symbol, CASE WHEN h > 0 THEN 'GOLDEN' WHEN h < 0 THEN 'DEAD' ELSE 'FLAT' END AS state, count(*) AS n FROM h GROUP BY 1, 2""")
+def macd_states(spark, sf):
+    m = V.bars_a(spark, sf).select("symbol", T.macd(T.history("close", T.SYMBOL, 60)).alias("m"))
+    return m.groupBy("symbol", F.col("m.state").alias("state")).agg(F.count("*").alias("n"))
 
 
 @query("TS_4_rsi_simple", f"""{A}, d AS (SELECT symbol, trade_date, close - lag(close) {BY}) AS d FROM bars_a), g AS (SELECT symbol, trade_date, count(d) OVER w AS n, avg(CASE WHEN d IS NOT NULL THEN greatest(d, 0) END) OVER w AS up, avg(CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END) OVER w AS down
@@ -320,9 +329,12 @@ def rsi_simple(spark, sf):
     return r(df, ["symbol", "trade_date"], 4, rsi=T.rsi_simple("delta", T.SYMBOL))
 
 
-@query("TS_5_rsi_wilder")
+@query("TS_5_rsi_wilder", f"""{A}, s AS (SELECT symbol, trade_date, list(close) {BY} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS v FROM bars_a),
+d AS (SELECT symbol, trade_date, len(v) AS n, list_transform(range(2, len(v) + 1), lambda i: v[i] - v[i - 1]) AS d FROM s),
+g AS (SELECT symbol, trade_date, n, list_reduce(list_prepend({{'u': list_sum(list_transform(d[1:14], lambda x: greatest(x, 0.0::DOUBLE))) / 14, 'l': list_sum(list_transform(d[1:14], lambda x: greatest(-x, 0.0::DOUBLE))) / 14}}, list_transform(d[15:], lambda x: {{'u': x, 'l': x}})), lambda a, b: {{'u': (a.u * 13 + greatest(b.u, 0.0::DOUBLE)) / 14, 'l': (a.l * 13 + greatest(-b.l, 0.0::DOUBLE)) / 14}}) AS e FROM d WHERE n > 14)
+SELECT symbol, trade_date, round(CASE WHEN n > 14 THEN CASE WHEN e.l = 0 THEN 100 ELSE 100 - 100 / (1 + e.u / e.l) END END, 3) AS rsi FROM s LEFT JOIN g USING (symbol, trade_date)""")
 def rsi_wilder(spark, sf):
-    return r(V.bars_a(spark, sf), ["symbol", "trade_date"], 4, rsi=T.rsi_wilder(T.history("close", T.SYMBOL, 60)))
+    return r(V.bars_a(spark, sf), ["symbol", "trade_date"], 3, rsi=T.rsi_wilder(T.history("close", T.SYMBOL, 60)))
 
 
 @query("TS_6_kdj", f"""{A}, x AS (SELECT symbol, trade_date, coalesce((close - min(low) {BY} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)) / nullif(max(high) {BY} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) - min(low) {BY} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW), 0) * 100, 50) AS rsv FROM bars_a),
@@ -355,11 +367,15 @@ def volatility(spark, sf):
     return r(df, ["symbol", "trade_date"], 5, vol=T.volatility(T.SYMBOL))
 
 
-@query("TS_11_technical_score")
+@query("TS_11_technical_score", f"""{A}, x AS (SELECT symbol, trade_date, close, close - lag(close) {BY}) AS d FROM bars_a),
+s AS (SELECT symbol, trade_date, list(close) {BY} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS v, avg(close) {BY} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m20, avg(close) {BY} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS m60, count(d) {BY} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS n,
+ avg(CASE WHEN d IS NOT NULL THEN greatest(d, 0) END) {BY} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS up, avg(CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END) {BY} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS down FROM x),
+t AS (SELECT *, CASE WHEN n >= 14 THEN CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END END AS rsi, least(1, greatest(-1, (m20 / nullif(m60, 0) - 1) * 12)) AS trend, least(1, greatest(-1, (list_dot_product(v, {W12}) / nullif(list_dot_product(v, {W26}), 0) - 1) * 25)) AS momentum FROM s WHERE len(v) = 60)
+SELECT symbol, trade_date, CASE WHEN trend IS NOT NULL AND momentum IS NOT NULL AND rsi IS NOT NULL THEN round(least(1, greatest(-1, trend * 0.5 + momentum * 0.35 + CASE WHEN rsi > 75 THEN -0.5 ELSE least(1, greatest(-1, (rsi - 50) / 25)) END * 0.15)), 5) END AS score FROM s LEFT JOIN t USING (symbol, trade_date)""")
 def technical_score(spark, sf):
     df = V.bars_a(spark, sf).withColumn("delta", F.col("close") - F.lag("close").over(T.SYMBOL))
     df = df.withColumns({"sma20": C.sma("close", T.SYMBOL, 20), "sma60": C.sma("close", T.SYMBOL, 60), "ema12": T.ema_finite("close", T.SYMBOL, 12), "ema26": T.ema_finite("close", T.SYMBOL, 26), "rsi": T.rsi_simple("delta", T.SYMBOL)})
-    return r(df, ["symbol", "trade_date"], score=T.technical_score("sma20", "sma60", "ema12", "ema26", "rsi"))
+    return r(df, ["symbol", "trade_date"], 5, score=T.technical_score("sma20", "sma60", "ema12", "ema26", "rsi"))
 
 
 @query("TS_13_regime", f"""{A}, x AS (SELECT symbol, trade_date, close / nullif(lag(close, 20) {BY}), 0) - 1 AS x FROM bars_a) SELECT symbol, CASE WHEN x IS NULL THEN 'UNKNOWN' WHEN x >= 0.05 THEN 'RISING' WHEN x <= -0.05 THEN 'FALLING' ELSE 'SIDEWAYS' END AS regime, count(*) AS n FROM x GROUP BY ALL""")

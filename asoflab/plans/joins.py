@@ -50,10 +50,10 @@ def comments(spark, sf):
     return coded.groupBy(F.coalesce("error_code", F.lit("OK")).alias("error_code")).agg(F.count("*").alias("n"))
 
 
-@query("SNK_1_append_new", f"""{A} SELECT symbol, trade_date FROM bars_a WHERE trade_date >= DATE '2000-01-01' AND NOT (symbol % 2 = 0)""")
+@query("SNK_1_append_new", f"""{A} SELECT symbol, trade_date FROM bars_a WHERE NOT (symbol % 2 = 0)""")
 def append_new(spark, sf):
     bars = V.bars_a(spark, sf).select("symbol", "trade_date")
-    return pit.append_new(bars.where("trade_date >= '2000-01-01'"), bars.where("symbol % 2 = 0"), ["symbol", "trade_date"])
+    return pit.append_new(bars, bars.where("symbol % 2 = 0"), ["symbol", "trade_date"])
 
 
 @query("SNK_2_merge_by_hash", f"""{A}, n AS (SELECT symbol, trade_date, close, CASE WHEN symbol % 3 = 0 THEN 'a' ELSE 'b' END AS h FROM bars_a WHERE trade_date >= DATE '1999-01-01'), o AS (SELECT symbol, trade_date, close - 1 AS close, 'a' AS h FROM bars_a WHERE trade_date < DATE '2000-01-01')

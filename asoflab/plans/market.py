@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from asoflab.functions import columns as C
+from asoflab.operators import evaluate as E
 from asoflab.operators import market as M
 from asoflab.operators import pit
 from asoflab.operators import timeseries as T
@@ -119,9 +120,9 @@ def sectors(spark, sf):
     return s.select("trade_date", "sector", "members", "observed", "advancers", "leader", *[F.round(c, 6).alias(c) for c in ("mean_return", "median_return", "top_mean", "relative")])
 
 
-@query("AGG_22_sector_overview", f"""{V.ctes('bars_a', 'industries')}, {PATH}, {ARETS} SELECT industry, count(DISTINCT symbol) AS members, round(median(ret), 6) AS med, round(sum(amount), 2) AS amount FROM arets JOIN industries USING (symbol) WHERE trade_date >= DATE '2000-01-01' GROUP BY 1""")
+@query("AGG_22_sector_overview", f"""{V.ctes('bars_a', 'industries')}, {PATH}, {ARETS} SELECT industry, count(DISTINCT symbol) AS members, round(median(ret), 6) AS med, round(sum(amount), 2) AS amount FROM arets JOIN industries USING (symbol) GROUP BY 1""")
 def sector_overview(spark, sf):
-    x = arets(spark, sf).where("trade_date >= '2000-01-01'").join(V.industries(spark, sf), "symbol")
+    x = arets(spark, sf).join(V.industries(spark, sf), "symbol")
     return x.groupBy("industry").agg(F.countDistinct("symbol").alias("members"), F.round(F.percentile("ret", F.lit(0.5)), 6).alias("med"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
@@ -175,9 +176,10 @@ def compounding(spark, sf):
 @query("AGG_32_distribution", f"""{B}, {RETS}, k AS (SELECT ret, row_number() OVER (ORDER BY ret DESC, symbol, trade_date) AS k, count(*) OVER () AS n FROM rets WHERE ret IS NOT NULL) SELECT round(quantile_cont(ret, 0.1), 6) AS p10, round(quantile_cont(ret, 0.5), 6) AS p50, round(quantile_cont(ret, 0.9), 6) AS p90, round(min(ret), 6) AS low, round(max(ret), 6) AS high, round(sum(ret) FILTER (WHERE k <= n * 0.01) / sum(ret), 5) AS top1_share, round(avg(ret) FILTER (WHERE k > n * 0.05), 6) AS mean_without5 FROM k""")
 def distribution(spark, sf):
     x = rets(spark, sf).where("ret IS NOT NULL")
-    by = Window.partitionBy(F.lit(0)).orderBy(F.desc("ret"), "symbol", "trade_date")
-    k = x.withColumn("k", F.row_number().over(by)).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    return k.agg(*[F.round(F.percentile("ret", F.lit(q)), 6).alias(n) for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))], F.round(F.min("ret"), 6).alias("low"), F.round(F.max("ret"), 6).alias("high"), F.round(F.sum(F.when(F.col("k") <= F.col("n") * 0.01, F.col("ret"))) / F.sum("ret"), 5).alias("top1_share"), F.round(F.avg(F.when(F.col("k") > F.col("n") * 0.05, F.col("ret"))), 6).alias("mean_without5"))
+    n = x.count()
+    cuts = E.tail_sums(x, "ret", [int(n * 0.01), int(n * 0.05)])  # sums of the largest 1 % and 5 %, one row
+    t = x.agg(*[F.percentile("ret", F.lit(q)).alias(c) for q, c in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))], F.min("ret").alias("low"), F.max("ret").alias("high"), F.sum("ret").alias("total"), F.count("*").alias("n"))
+    return t.select(*[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90", "low", "high")], F.round(F.lit(cuts[0]) / F.col("total"), 5).alias("top1_share"), F.round((F.col("total") - cuts[1]) / (F.col("n") - int(n * 0.05)), 6).alias("mean_without5"))
 
 
 @query("AGG_34_json_arrays", """WITH e AS (SELECT event_type, 'a' || (json_extract_string(props, '$.k')::INTEGER % 3) || ',b' || (user_id % 2) AS tags FROM events), x AS (SELECT unnest(string_split(tags, ',')) AS tag FROM e) SELECT tag, count(*) AS n FROM x GROUP BY 1""")

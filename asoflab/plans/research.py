@@ -180,10 +180,14 @@ def event_score(spark, sf):
     return V.read(spark, sf, "events").select("event_id", F.round(C.clip(s), 6).alias("score"))
 
 
-@query("DOM_40_positions")
+@query("DOM_40_positions", f"""{V.ctes('trades')}, t AS (SELECT portfolio, symbol, list({{'q': CASE side WHEN 'BUY' THEN quantity ELSE -quantity END::DOUBLE, 'x': price::DOUBLE, 'c': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'f': fee::DOUBLE}} ORDER BY traded_on, trade_id) AS v FROM trades WHERE trade_id % 50 <> 0 GROUP BY 1, 2),
+e AS (SELECT portfolio, symbol, list_reduce(list_prepend({{'q': 0.0::DOUBLE, 'x': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'f': 0.0::DOUBLE}}, v), lambda a, b: {{'q': a.q + b.q, 'x': b.x,
+ 'c': CASE WHEN a.q + b.q = 0 THEN 0 WHEN a.q * b.q >= 0 THEN (a.q * a.c + b.q * b.x) / (a.q + b.q) WHEN a.q * (a.q + b.q) > 0 THEN a.c ELSE b.x END::DOUBLE,
+ 'p': a.p + CASE WHEN a.q * b.q >= 0 THEN 0 ELSE least(abs(a.q), abs(b.q)) * (b.x - a.c) * sign(a.q) END::DOUBLE, 'f': a.f + b.f}}) AS e FROM t)
+SELECT portfolio, symbol, round(e.q, 2) AS quantity, round(e.c, 3) AS average_cost, round(e.p, 1) AS realised, round(e.f, 4) AS fees FROM e""")
 def positions(spark, sf):
     t = V.trades(spark, sf).withColumn("status", F.when(F.col("trade_id") % 50 == 0, "REVERSED"))
-    return E.folded_positions(t).select("portfolio", "symbol", *[F.round(c, 2).alias(c) for c in ("quantity", "average_cost", "realised", "fees")])
+    return E.folded_positions(t).select("portfolio", "symbol", *[F.round(c, n).alias(c) for c, n in (("quantity", 2), ("average_cost", 3), ("realised", 1), ("fees", 4))])
 
 
 @query("DOM_40_position_quantities", f"""{V.ctes('trades')} SELECT portfolio, symbol, round(sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END), 2) AS quantity, round(sum(fee), 4) AS fees FROM trades WHERE trade_id % 50 <> 0 GROUP BY 1, 2""")

@@ -12,7 +12,7 @@ from asoflab.operators import timeseries as T
 from asoflab.plans.features import A, B, BY, PATH, RETS, r, rets
 from asoflab.plans.registry import query
 from asoflab.plans.research import BDAYS, EVAL, scored
-from asoflab.sources import files
+from asoflab.sources import files, shared
 from asoflab.sources import views as V
 
 
@@ -85,10 +85,7 @@ def model_comparison(spark, sf):
 
 @query("DOM_23_feature_families", f"""{B}, {RETS}, c AS (SELECT abs(corr(amount, volume)) AS av FROM rets) SELECT 'amount' AS feature, 'amount' AS family UNION ALL SELECT 'volume', CASE WHEN av > 0.5 THEN 'amount' ELSE 'volume' END FROM c UNION ALL SELECT 'half_amount', 'amount'""")
 def feature_families(spark, sf):
-    from tempfile import mkdtemp
-
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="asoflab-"))
+    shared.checkpoint_dir(spark)
     names = ["amount", "half_amount", "volume"]
     m = E.corr_matrix(rets(spark, sf).withColumn("half_amount", F.col("amount") / 2), names)
     edges = m.where("abs(pearson) > 0.5").select("a", "b")
@@ -146,8 +143,8 @@ def tiers(spark, sf):
     return g.agg(F.count("fwd").alias("n"), F.round(F.avg("fwd"), 5).alias("mean"), F.round(C.ratio(F.avg("fwd"), F.stddev_samp("fwd")) * F.sqrt(F.count("fwd").cast("double")), 3).alias("t"))
 
 
-@query("DOM_78_replay_inputs", f"""{A}, k AS (SELECT symbol, trade_date, close, list(close) {BY} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS past, list(close) {BY} ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING) AS ahead FROM bars_a) SELECT symbol, trade_date, len(past) AS n_past, coalesce(len(ahead), 0) AS n_ahead, round(past[1], 6) AS oldest, round(ahead[-1], 6) AS newest FROM k WHERE trade_date >= DATE '2001-01-01'""")
+@query("DOM_78_replay_inputs", f"""{A}, k AS (SELECT symbol, trade_date, close, list(close) {BY} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS past, list(close) {BY} ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING) AS ahead FROM bars_a) SELECT symbol, trade_date, len(past) AS n_past, coalesce(len(ahead), 0) AS n_ahead, round(past[1], 8) AS oldest, round(ahead[-1], 8) AS newest FROM k""")
 def replay_inputs(spark, sf):
-    k = V.bars_a(spark, sf).withColumns({"past": T.history("close", T.SYMBOL, 60), "ahead": F.collect_list("close").over(T.SYMBOL.rowsBetween(1, 21))}).where("trade_date >= DATE '2001-01-01'")
+    k = V.bars_a(spark, sf).withColumns({"past": T.history("close", T.SYMBOL, 60), "ahead": F.collect_list("close").over(T.SYMBOL.rowsBetween(1, 21))})
     last = F.when(F.size("ahead") > 0, F.element_at("ahead", -1))
-    return k.select("symbol", "trade_date", F.size("past").cast("long").alias("n_past"), F.size("ahead").cast("long").alias("n_ahead"), F.round(F.element_at("past", 1), 6).alias("oldest"), F.round(last, 6).alias("newest"))
+    return k.select("symbol", "trade_date", F.size("past").cast("long").alias("n_past"), F.size("ahead").cast("long").alias("n_ahead"), F.round(F.element_at("past", 1), 8).alias("oldest"), F.round(last, 8).alias("newest"))

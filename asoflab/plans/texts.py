@@ -12,6 +12,7 @@ from asoflab.operators import text as X
 from asoflab.operators import timeseries as T
 from asoflab.plans.features import A, B, BY, PATH, RETS, r, rets
 from asoflab.plans.registry import query
+from asoflab.sources import shared
 from asoflab.sources import views as V
 
 
@@ -39,10 +40,7 @@ def canonical_records(spark, sf):
 
 @query("DOM_32_34_clusters", """WITH RECURSIVE k AS (SELECT doc_id, md5(text) AS h, lang || substr(text, 1, 60) AS t FROM documents), e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.h = b.h UNION SELECT a.doc_id, b.doc_id FROM k a JOIN k b ON a.t = b.t), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT a AS doc_id, min(b) AS cluster FROM reach GROUP BY 1""")
 def clusters(spark, sf):
-    from tempfile import mkdtemp
-
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="asoflab-"))
+    shared.checkpoint_dir(spark)
     docs = V.read(spark, sf, "documents").select("doc_id", "lang", "text")
     return X.clusters(docs, [F.md5(F.col("text").cast("binary")), F.concat("lang", F.substring("text", 1, 60))])
 
@@ -60,7 +58,7 @@ def event_ids(spark, sf):
     return k.groupBy(F.sha2(F.concat("lang", F.lit(":"), F.array_join("v", ",")), 256).alias("event_key")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
-@query("DOM_38_keyword_veto", """WITH h AS (SELECT source, doc_id, CASE WHEN contains(lower(text), 'worthless') THEN 1 WHEN contains(lower(text), 'scum') THEN 2 WHEN contains(lower(text), 'trash') THEN 3 END AS p FROM documents) SELECT source, CASE WHEN min(p) IS NULL THEN 'CLEAR' WHEN min(p) = 1 THEN 'VETO' ELSE 'WARN' END AS status, count(p) AS hits, arg_min(doc_id, p * 1000000000 + doc_id) FILTER (WHERE p IS NOT NULL) AS worst FROM h GROUP BY 1""")
+@query("DOM_38_keyword_veto", """WITH h AS (SELECT source, doc_id, CASE WHEN contains(lower(text), 'worthless') THEN 1 WHEN contains(lower(text), 'scum') THEN 2 WHEN contains(lower(text), 'trash') THEN 3 END AS p FROM documents) SELECT source, CASE WHEN min(p) IS NULL THEN 'CLEAR' WHEN min(p) = 1 THEN 'VETO' ELSE 'WARN' END AS status, count(p) AS hits, arg_min(doc_id, p * 1000000000::BIGINT + doc_id) FILTER (WHERE p IS NOT NULL) AS worst FROM h GROUP BY 1""")
 def keyword_veto(spark, sf):
     low = F.lower("text")
     p = F.when(low.contains("worthless"), 1).when(low.contains("scum"), 2).when(low.contains("trash"), 3)
@@ -89,7 +87,16 @@ def composite(spark, sf):
     return long.groupBy("symbol", "trade_date").agg(F.round(C.ratio(F.sum(F.col("v") * F.col("c") * F.col("w")), F.sum(F.col("c") * F.col("w"))), 6).alias("composite"), F.count("v").alias("factors"))
 
 
-@query("DOM_52_capped_weights")
+def _capped_sql(cap: float, rounds: int) -> str:
+    """Each round cuts at the cap and gives what is cut to the others in proportion."""
+    steps = ["w0 AS (SELECT trade_date, symbol, amount / sum(amount) OVER (PARTITION BY trade_date) AS w FROM top)"]
+    for k in range(rounds):
+        over, free = (f"sum({x}) OVER (PARTITION BY trade_date)" for x in (f"greatest(w - {cap}, 0)", f"CASE WHEN w < {cap} THEN w ELSE 0 END"))
+        steps.append(f"w{k + 1} AS (SELECT trade_date, symbol, CASE WHEN w >= {cap} THEN {cap} ELSE w + coalesce(w * {over} / nullif({free}, 0), 0) END AS w FROM w{k})")
+    return f"""{B}, {RETS}, top AS (SELECT trade_date, symbol, amount FROM rets QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY amount DESC, symbol) <= 10), {', '.join(steps)} SELECT trade_date, symbol, round(w, 6) AS weight FROM w{rounds}"""
+
+
+@query("DOM_52_capped_weights", _capped_sql(0.15, 8))
 def capped_weights(spark, sf):
     top = rets(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("amount"), "symbol"))).where("k <= 10")
     own = top.groupBy("trade_date").agg(F.array_sort(F.collect_list(F.struct("k", "symbol", "amount"))).alias("a"))
@@ -139,10 +146,10 @@ def latest_modules(spark, sf):
     return l.groupBy("user_id").agg(one("view"), one("click"), F.count_if(~F.col("fresh")).alias("stale"))
 
 
-@query("DOM_73_claims", f"""{V.ctes('bars_a')}, c AS (SELECT symbol, trade_date, close * CASE WHEN symbol % 3 = 0 THEN 1.5 ELSE 1.0001 END AS claim FROM bars_a WHERE trade_date >= DATE '2000-06-01'), v AS (SELECT c.symbol, CASE WHEN abs(claim - close) <= 0.001 * greatest(abs(claim), abs(close)) THEN 'VERIFIED' ELSE 'CONFLICTING' END AS verdict FROM c JOIN bars_a b ON c.symbol = b.symbol AND c.trade_date = b.trade_date) SELECT symbol, verdict, count(*) AS n FROM v GROUP BY 1, 2""")
+@query("DOM_73_claims", f"""{V.ctes('bars_a')}, c AS (SELECT symbol, trade_date, close * CASE WHEN symbol % 3 = 0 THEN 1.5 ELSE 1.0001 END AS claim FROM bars_a), v AS (SELECT c.symbol, CASE WHEN abs(claim - close) <= 0.001 * greatest(abs(claim), abs(close)) THEN 'VERIFIED' ELSE 'CONFLICTING' END AS verdict FROM c JOIN bars_a b ON c.symbol = b.symbol AND c.trade_date = b.trade_date) SELECT symbol, verdict, count(*) AS n FROM v GROUP BY 1, 2""")
 def claims(spark, sf):
     bars = V.bars_a(spark, sf).select("symbol", "trade_date", "close")
-    c = bars.where("trade_date >= '2000-06-01'").select("symbol", "trade_date", (F.col("close") * F.when(F.col("symbol") % 3 == 0, 1.5).otherwise(1.0001)).alias("claim"))
+    c = bars.select("symbol", "trade_date", (F.col("close") * F.when(F.col("symbol") % 3 == 0, 1.5).otherwise(1.0001)).alias("claim"))
     j = c.join(bars, ["symbol", "trade_date"])
     return j.groupBy("symbol", F.when(C.close_enough("claim", "close", 0.0, 0.001), "VERIFIED").otherwise("CONFLICTING").alias("verdict")).agg(F.count("*").alias("n"))
 
