@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("features", "joins", "market", "research", "texts", "more", "rest")
+_MODULES = ("features", "joins", "market", "research", "texts", "more", "rest", "deeper")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
