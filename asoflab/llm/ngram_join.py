@@ -270,4 +270,6 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     placed = jaccard_components(numbered.select(F.col("keep_one_row").alias("doc_id"), "text"), width, percent)
     order = numbered.select("keep_one_row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "keep_one_row").alias("place"))
     kept = placed.select(F.col("doc_id").alias("keep_one_row"), "component_id").join(order, "keep_one_row").groupBy("component_id").agg(F.min("place").alias("place"))
-    return numbered.join(common.written(kept.select("place.keep_one_row"), "kept"), "keep_one_row", "left_semi").select(docs.columns)
+    # the kept numbers grow with the rows: never broadcast, whatever a small table would allow
+    kept = common.written(kept.select("place.keep_one_row"), "kept").hint("merge")
+    return numbered.join(kept, "keep_one_row", "left_semi").select(docs.columns)
