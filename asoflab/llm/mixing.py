@@ -5,8 +5,10 @@ cells are raked: each sweep scales them to the target share of every source, the
 of every language, then of every topic. A cell's documents are expected KEEP times
 its wanted over its actual share of tokens times in the sample: each is there as many
 times as that number has wholes, and once more with the rest as probability; a hash of
-the document's id decides, so any re-run draws the same rows. No cell is cut at what it
-has, so the sample meets the targets and holds about KEEP of all tokens.
+the document's id decides, so any re-run draws the same rows. A cell may need more than it
+has, so the sample meets the targets and holds about KEEP of all tokens; but the raking
+gives no cell more than MOST_COPIES times KEEP of what it has: a value that a handful of
+documents hold is not made a twentieth of the sample by copying them thousands of times.
 
 The raking runs on the table of cells (pre-aggregated, at most sources x languages
 x topics rows); documents are only counted and filtered. All of it is DataFrame
@@ -23,6 +25,8 @@ probability (0 in a cell without tokens). Null ids draw as the empty text does.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,7 @@ SWEEPS = 12  # of a round
 MOST_ROUNDS = 6
 TOLERANCE = 2e-3  # of a marginal, as a share of its target
 MOST_CELLS = 50_000
+MOST_COPIES = 16  # of a document: what rare cells lack beyond that stays lacking, as marginals tells
 KEEP = 0.5  # of a cell that already has its share
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -88,24 +93,28 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps:
     expected, how many times a document of the cell should be in the sample, and probability, that it is there at all.
 
     Rounds of so many sweeps go on until no marginal is farther from its target than the tolerance; as targets may
-    be impossible together, MOST_ROUNDS at most. The cells are one partition only if they are few, which is counted.
+    be impossible together, no longer than a round brings them nearer, and MOST_ROUNDS at most. The cells are one partition only if they are few, which is counted.
     """
     cells = common.written(cells, "cells")
     few = cells.count() <= MOST_CELLS
     cells = _shares(cells, targets, keep_other)
+    most, before = F.col("weight") * (MOST_COPIES / KEEP), math.inf
+    cells = cells.withColumn("most", most)
     for _ in range(MOST_ROUNDS):
         cells = cells.coalesce(1) if few else cells
         for _ in range(sweeps):
             for name in DIMENSIONS:
                 scale = F.try_divide(F.col(f"want_{name}"), F.sum("weight").over(Window.partitionBy(name)))
-                cells = cells.withColumn("weight", F.coalesce(F.col("weight") * scale, F.lit(0.0)))
+                cells = cells.withColumn("weight", F.least("most", F.coalesce(F.col("weight") * scale, F.lit(0.0))))
         cells = common.written(cells, "raked")
-        if residual(cells) <= tolerance:
+        off = residual(cells)
+        if off <= tolerance or off > 0.9 * before:  # met, or as near as it gets
             break
+        before = off
     total = cells.agg(F.sum("weight").alias("weight"), F.sum("tokens").alias("tokens")).first()
     cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), F.lit(total["weight"] or 0.0)), F.lit(0.0)))
     need = F.coalesce(F.try_divide(F.col("weight"), F.col("tokens").cast("double")), F.lit(0.0))
-    wanted = F.coalesce(need * F.lit(float(total["tokens"] or 0)) * KEEP, F.lit(0.0))
+    wanted = F.least(F.lit(float(MOST_COPIES)), F.coalesce(need * F.lit(float(total["tokens"] or 0)) * KEEP, F.lit(0.0)))
     return cells.withColumn("expected", wanted).withColumn("probability", F.least(F.lit(1.0), wanted))
 
 
