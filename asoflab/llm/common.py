@@ -7,15 +7,15 @@ and the deterministic held-out split.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from asoflab.sources import shared
+
 ROOT = str(Path(__file__).resolve().parents[2])
-_own_folder: list[str] = []
 
 
 def importable(spark: SparkSession) -> None:
@@ -27,13 +27,8 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset, a temporary folder of this driver."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="asoflab-"))
-    return _own_folder[0]
+    """spark.checkpoint.dir; where that is unset, a temporary folder of a local session, or an error on a cluster."""
+    return shared.folder(spark)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

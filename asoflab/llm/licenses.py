@@ -9,9 +9,7 @@ All of it is DataFrame expressions. Template words are ordered by how many
 documents hold them (counted over the whole table), rare first. Prefix filter: a
 block that reaches the threshold holds one of the |T| - ceil(c |T|) + 1 rarest
 words, so only blocks around those places are built. Length filter: texts with
-fewer words than the needed overlap are left out. Positional filter: the k-th
-rarest word as the block's first match leaves at most |T| - k template words, so
-places are compared only if that still reaches the threshold.
+fewer words than the needed overlap are left out.
 
 Templates are few and fixed: they are literals in the plan, nothing is broadcast.
 Null texts count as empty. Scores are the best containment over all blocks, 0 where
