@@ -243,8 +243,8 @@ def min_variance(spark, sf):
 
 @query("DOM_57_58_segment_nav")
 def segment_nav(spark, sf):
-    prices = grid(spark, sf).where("symbol < 5").withColumn("close", F.last("close", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("trade_index").rowsBetween(Window.unboundedPreceding, 0)))
-    held = prices.where("trade_index IN (10, 20) AND close IS NOT NULL").select(F.col("trade_index").alias("rebalance_index"), "symbol")
+    prices = grid(spark, sf).withColumn("close", F.last("close", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("trade_index").rowsBetween(Window.unboundedPreceding, 0)))
+    held = prices.where("trade_index % 10 = 0 AND close IS NOT NULL").select(F.col("trade_index").alias("rebalance_index"), "symbol")
     targets = held.withColumn("weight", F.lit(0.8) / F.count("*").over(Window.partitionBy("rebalance_index")))
     return r(E.segment_nav(prices, targets, 0.001), ["trade_date"], nav=F.col("nav"))
 
