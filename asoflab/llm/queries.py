@@ -109,20 +109,22 @@ def _licenses_sql(containment: float = 0.8, slack: int = 4) -> str:
     """Every window of every text against every template."""
     literal = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
     places = [f"list_filter(range(0, len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {literal(p.split())})" for p in licenses.PHRASES]
-    best = []
+    best, blocks = [], []
     for t in licenses.TEMPLATES:
         d = sorted(set(t.split()))
         need, width = ceil(containment * len(d) - 1e-9), len(t.split()) + slack
-        top = f"list_max(list_transform(range(0, len(w)), lambda s: len(list_intersect(w[s + 1 : s + {width}], {literal(d)}))))"
+        each = f"list_transform(range(0, len(w)), lambda s: len(list_intersect(w[s + 1 : s + {width}], {literal(d)})))"
+        top = f"list_max({each})"
+        blocks.append(f"CASE WHEN len(list_intersect(w, {literal(d)})) >= {need} THEN len(list_filter({each}, lambda x: x >= {need})) ELSE 0 END")
         best.append(f"CASE WHEN len(list_intersect(w, {literal(d)})) >= {need} THEN CASE WHEN {top} >= {need} THEN {top} / {len(d)}.0::DOUBLE ELSE 0 END ELSE 0 END")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     base = "list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{v}' END" for k, v in enumerate(licenses.PHRASES.values())) + "], lambda x: x IS NOT NULL)"
     more = "list_filter([" + ", ".join(f"CASE WHEN c[{k + 1}] > 0 THEN '{v}' END" for k, v in enumerate(licenses.TEMPLATES.values())) + "], lambda x: x IS NOT NULL)"
     return f"""WITH words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
-found AS (SELECT doc_id, len(w) AS n_words, {', '.join(f'{p} AS p{k}' for k, p in enumerate(places))}, [{', '.join(best)}] AS c FROM words),
+found AS (SELECT doc_id, len(w) AS n_words, {', '.join(f'{p} AS p{k}' for k, p in enumerate(places))}, [{', '.join(best)}] AS c, {' + '.join(blocks)} AS n_blocks FROM words),
 starts AS (SELECT *, list_concat({', '.join(f'p{k}' for k in range(len(places)))}) AS s, {base} AS b, {more} AS m FROM found)
 SELECT doc_id, n_words, len(s) AS n_base, list_min(s) AS first_word, list_max(s) AS last_word, array_to_string(list_sort(list_distinct(b)), ',') AS base_labels,
-array_to_string(list_sort(list_distinct(list_concat(b, m))), ',') AS labels, CASE WHEN len(s) > 0 THEN 1.0::DOUBLE ELSE list_max(c)::DOUBLE END AS score FROM starts"""
+array_to_string(list_sort(list_distinct(list_concat(b, m))), ',') AS labels, CASE WHEN len(s) > 0 THEN 1.0::DOUBLE ELSE list_max(c)::DOUBLE END AS score, n_blocks FROM starts"""
 
 
 _JACCARD_SQL = """

@@ -641,30 +641,71 @@ def test_mixing_does_not_copy_a_rare_cell_without_end(spark):
 # 8
 
 
-def brute_license(text, order, containment=0.8, slack=4):
+def brute_license(text, containment=0.8, slack=4):
     own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hits = [(k, l) for p, l in licenses.PHRASES.items() for k in range(len(own)) if own[k : k + len(p.split())] == p.split()]
-    labels, best = {l for _, l in hits}, 0.0
+    labels, best, blocks = {l for _, l in hits}, 0.0, set()
     for t, l in licenses.TEMPLATES.items():
         d, width = set(t.split()), len(t.split()) + slack
-        c = max((len(d & set(own[s : s + width])) / len(d) for s in range(len(own))), default=0.0)
-        if c >= containment - 1e-9:
-            labels.add(l)
-            best = max(best, c)
+        for s in range(len(own)):
+            c = len(d & set(own[s : s + width])) / len(d)
+            if c >= containment - 1e-9:
+                labels.add(l)
+                best = max(best, c)
+                blocks.add((t, s))
     starts = [k for k, _ in hits]
-    return (len(own), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({l for _, l in hits})), ",".join(sorted(labels)))
+    row = (len(own), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({l for _, l in hits})), ",".join(sorted(labels)), 1.0 if hits else best, len(blocks))
+    return row, blocks
+
+
+def notice_texts():
+    """Every template in full and with words taken out around the threshold, between other words, twice, and cut at the end."""
+    draw = random.Random(5)
+    out = [prose(1, 400)]
+    for k, t in enumerate(licenses.TEMPLATES):
+        w = t.split()
+        for share in (0.0, 0.12, 0.2, 0.25, 0.4):
+            less = [x for x in w if draw.random() >= share]
+            out.append(f"{prose(k, 40)} {' '.join(less)}. {prose(k + 1, 30)}")
+        out.append(f"{t} {prose(k, 9)} {t.upper()}\n{' '.join(w[: int(len(w) * 0.9)])}")
+    return out
 
 
 def test_licenses_match_brute_force(spark):
     texts = [None, "", "MIT", "Released under the MIT License.", "under the mit license under-the MIT license, cc-by-nc", "Apache License, Version 2.0 applies", prose(1, 30) + " this work was licensed under GNU general public license, version 3 " + prose(2, 30), "ünder the mit license", "K under the mit license", "permission is granted free of charge to any person obtaining copy of this software " * 3, "license " * 500]
+    texts += notice_texts()
     got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         r = got[i]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) == brute_license(t, None), t
-        assert 0 <= r["score"] <= 1
+        row = tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_blocks"))
+        assert row == pytest.approx(brute_license(t)[0]), t
     assert licenses.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_license_runs_tell_every_block(spark):
+    texts = notice_texts()
+    widths = {t: len(t.split()) + 4 for t in licenses.TEMPLATES}
+    for r in licenses.blocks(docs(spark, texts)).collect():
+        row, blocks = brute_license(texts[r["doc_id"]])
+        want = []
+        for t, label in licenses.TEMPLATES.items():
+            starts = {s for b, s in blocks if b == t}
+            for s in sorted(x for x in starts if x - 1 not in starts):
+                last = next(x for x in range(s, row[0] + 1) if x + 1 not in starts)
+                want.append((label, s, min(last + widths[t], row[0]), last - s + 1))
+        assert [(x["label"], x["start"], x["end"], x["blocks"]) for x in r["runs"]] == want
+
+
+def test_licenses_of_repeated_rows_long_texts_and_clashing_columns(spark):
+    notice = [t for t, label in licenses.TEMPLATES.items() if label == "isc"][0]
+    rows = [(1, notice, "a", 7), (1, notice, "a", 7), (None, "under the mit license", None, None), (2, (prose(3, 2000) + " " + notice + " ") * 10, "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, words string, score int")
+    got = sorted(((r["doc_id"], r["labels"], r["score"]) for r in licenses.scan(df).collect()), key=str)
+    assert got == sorted([(1, "isc", 1.0), (1, "isc", 1.0), (None, "mit", 1.0), (2, "isc", 1.0)], key=str)
+    runs = [len(r["runs"]) for r in licenses.blocks(df).where("doc_id = 2").collect()]
+    assert runs == [10]
+
+
 # 10
 
 
