@@ -6,7 +6,6 @@ import functools
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,25 +255,6 @@ def capped_weights(raw: Column, cap: float, rounds: int = 8) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, lambda w, _: again(w))
 
 
-def optimised_weights(returns: DataFrame, method: str = "min_variance") -> DataFrame:
-    """(rebalance, symbol, weight) from returns(rebalance, symbol, trade_date, ret): minimum variance or maximum Sharpe, long only.
-
-    A group is one rebalance of a chosen list of assets (tens), not of a market.
-    """
-
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
-        wide = f.pivot_table(index="trade_date", columns="symbol", values="ret").dropna()
-        if not len(wide) or wide.shape[1] == 0:
-            return pd.DataFrame({"rebalance": [], "symbol": [], "weight": []})
-        cov = np.atleast_2d(np.cov(wide.to_numpy().T)) + 1e-8 * np.eye(wide.shape[1])
-        aim = np.ones(len(cov)) if method == "min_variance" else wide.mean().to_numpy()
-        w = np.maximum(np.linalg.solve(cov, aim), 0)
-        w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
-        return pd.DataFrame({"rebalance": f["rebalance"].iat[0], "symbol": wide.columns.to_numpy(), "weight": w})
-
-    return returns.groupBy("rebalance").applyInPandas(solve, "rebalance int, symbol long, weight double")
-
-
 def segment_nav(prices: DataFrame, targets: DataFrame, cost: float = 0.0) -> DataFrame:
     """(trade_date, nav): weights drift between rebalances, turnover costs at each; closed form by segment, no loop over days.
 

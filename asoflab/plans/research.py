@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from asoflab.functions import columns as C
 from asoflab.operators import evaluate as E
 from asoflab.operators import market as M
+from asoflab.operators import optimise as O
 from asoflab.operators import pit
 from asoflab.operators import timeseries as T
 from asoflab.plans.features import A, B, BY, FACTORS, PATH, RETS, r, rets
@@ -227,18 +228,34 @@ def selection_rules(spark, sf):
     return k.unpivot(["trade_date", "symbol"], ["AMOUNT", "MOMENTUM", "ACTIVITY"], "rule", "place").where("place <= 5")
 
 
-@query("DOM_55_inverse_volatility", f"""{A}, {PATH}, g AS (SELECT symbol, stddev_samp((close - pc) / nullif(pc, 0)) AS sd FROM path WHERE trade_date < DATE '2000-01-01' AND symbol < 20 GROUP BY 1), w AS (SELECT symbol, 1 / nullif(sd, 0) AS x FROM g) SELECT symbol, round(x / sum(x) OVER (), 6) AS weight FROM w""")
+@query("DOM_55_inverse_volatility", f"""{A}, {PATH}, g AS (SELECT symbol, stddev_samp((close - pc) / nullif(pc, 0)) AS sd FROM path GROUP BY 1), w AS (SELECT symbol, 1 / nullif(sd, 0) AS x FROM g) SELECT symbol, round(x / (SELECT sum(x) FROM w), 6) AS weight FROM w""")
 def inverse_volatility(spark, sf):
-    g = T.path_features(V.bars_a(spark, sf)).where("trade_date < DATE '2000-01-01' AND symbol < 20").groupBy("symbol").agg(F.stddev_samp("ret").alias("sd"))
-    x = C.ratio(F.lit(1.0), "sd")
-    return r(g, ["symbol"], weight=C.ratio(x, F.sum(x).over(Window.partitionBy(F.lit(0)))))
+    g = T.path_features(V.bars_a(spark, sf)).groupBy("symbol").agg(F.stddev_samp("ret").alias("sd")).select("symbol", C.ratio(F.lit(1.0), "sd").alias("x"))
+    return r(g.crossJoin(F.broadcast(g.agg(F.sum("x").alias("total")))), ["symbol"], weight=C.ratio("x", "total"))  # one row of the total
+
+
+ASSETS = 25  # a portfolio is 25 symbols next to each other; every symbol is in one
+
+
+def optimised(spark, sf, method: str) -> DataFrame:
+    x = pit.with_trade_index(rets(spark, sf)).select(F.floor(F.col("symbol") / ASSETS).alias("portfolio"), "symbol", "trade_index", "ret")
+    w = O.optimised_weights(O.lookback_rows(x, window=10, step=5), [method], least=8)
+    return r(w, ["portfolio", "rebalance", "symbol"], 5, weight=F.col("weight"))
 
 
 @query("DOM_56_min_variance")
 def min_variance(spark, sf):
-    x = pit.with_trade_index(rets(spark, sf)).where("symbol < 30 AND volume >= 1").withColumn("rebalance", F.floor(F.col("trade_index") / 10).cast("int"))
-    dense = x.join(x.groupBy("rebalance", "symbol").agg(F.count("ret").alias("c")).where("c >= 9").drop("c"), ["rebalance", "symbol"], "left_semi")
-    return r(E.optimised_weights(dense.select("rebalance", "symbol", "trade_date", "ret")), ["rebalance", "symbol"], weight=F.col("weight"))
+    return optimised(spark, sf, "MIN_VARIANCE")
+
+
+@query("DOM_56_max_sharpe")
+def max_sharpe(spark, sf):
+    return optimised(spark, sf, "MAX_SHARPE")
+
+
+@query("DOM_56_risk_parity")
+def risk_parity(spark, sf):
+    return optimised(spark, sf, "HRP")
 
 
 @query("DOM_57_58_segment_nav")
@@ -249,10 +266,10 @@ def segment_nav(spark, sf):
     return r(E.segment_nav(prices, targets, 0.001), ["trade_date"], nav=F.col("nav"))
 
 
-@query("DOM_59_stress", f"""{V.ctes('bars_a', 'industries')}, w AS (SELECT symbol, sum(amount) / sum(sum(amount)) OVER () AS w FROM bars_a WHERE trade_date >= DATE '2000-01-01' GROUP BY 1) SELECT sector, round(sum(w), 6) AS weight, round(sum(w * CASE sector WHEN 'ASIA' THEN -0.3 WHEN 'EUROPE' THEN -0.2 ELSE -0.1 END), 6) AS contribution FROM w JOIN industries USING (symbol) GROUP BY 1""")
+@query("DOM_59_stress", f"""{V.ctes('bars_a', 'industries')}, w AS (SELECT symbol, sum(amount) / sum(sum(amount)) OVER () AS w FROM bars_a GROUP BY 1) SELECT sector, round(sum(w), 6) AS weight, round(sum(w * CASE sector WHEN 'ASIA' THEN -0.3 WHEN 'EUROPE' THEN -0.2 ELSE -0.1 END), 6) AS contribution FROM w JOIN industries USING (symbol) GROUP BY 1""")
 def stress(spark, sf):
-    w = V.bars_a(spark, sf).where("trade_date >= DATE '2000-01-01'").groupBy("symbol").agg(F.sum("amount").alias("a"))
-    w = w.withColumn("w", F.col("a") / F.sum("a").over(Window.partitionBy(F.lit(0)))).join(V.industries(spark, sf), "symbol")
+    w = V.bars_a(spark, sf).groupBy("symbol").agg(F.sum("amount").alias("a"))
+    w = w.crossJoin(F.broadcast(w.agg(F.sum("a").alias("total")))).withColumn("w", F.col("a") / F.col("total")).join(V.industries(spark, sf), "symbol")  # one row of the total
     shock = F.when(F.col("sector") == "ASIA", -0.3).when(F.col("sector") == "EUROPE", -0.2).otherwise(-0.1)
     return w.groupBy("sector").agg(F.round(F.sum("w"), 6).alias("weight"), F.round(F.sum(F.col("w") * shock), 6).alias("contribution"))
 

@@ -3,6 +3,7 @@
 import math
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from asoflab.functions import columns as C
 from asoflab.functions import filters as X
 from asoflab.operators import evaluate as E
+from asoflab.operators import optimise as O
 from asoflab.operators import pit
 from asoflab.operators import timeseries as T
 from asoflab.streaming import streams as S
@@ -171,3 +173,48 @@ def test_running_positions(spark):
     df.coalesce(1).write.mode("append").parquet(folder)
     got = drained(spark, S.running_positions(S.source(spark, folder, df.schema)), "update")[-1]
     assert got["quantity"] == 6.0 and got["average_cost"] == 5.0 and abs(got["realised"] - 4.0) < 1e-9
+
+
+def grid_weights(n, cap, steps=40):
+    """All weights of three assets on a grid."""
+    return np.array([(a, b, steps - a - b) for a in range(steps + 1) for b in range(steps + 1 - a) if max(a, b, steps - a - b) <= cap * steps]) / steps
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_optimised_weights_beat_every_weight_of_a_grid(seed):
+    x = np.random.default_rng(seed).normal(0.002, 0.02, (60, 3)) * [1, 2, 0.5] + [0, 0.001, 0]
+    cov, excess = np.cov(x.T) * 252, x.mean(axis=0) * 252 - 0.02
+    low = O.weights(x, "MIN_VARIANCE", cap=0.6)
+    best = O.weights(x, "MAX_SHARPE", cap=0.6)
+    for w in (low, best):
+        assert abs(w.sum() - 1) < 1e-6 and w.min() >= 0 and w.max() <= 0.6 + 1e-9
+    for w in grid_weights(3, 0.6):
+        assert low @ cov @ low <= w @ cov @ w + 1e-9
+        assert best @ excess / np.sqrt(best @ cov @ best) >= w @ excess / np.sqrt(w @ cov @ w) - 1e-6
+
+
+def test_risk_parity_closed_forms():
+    x = np.random.default_rng(1).normal(0, 0.02, (200, 4)) * [1, 3, 1, 2]
+    cov = np.cov(x.T) * 252
+    two = O.weights(x[:, :2], "HRP")
+    assert two == pytest.approx(1 / np.diag(cov)[:2] / (1 / np.diag(cov)[:2]).sum())
+    four = O.weights(np.column_stack([x[:, 0], x[:, 1], x[:, 0] + 1e-9 * x[:, 2], x[:, 1] + 1e-9 * x[:, 3]]), "HRP")
+    assert four.sum() == pytest.approx(1) and four[0] == pytest.approx(four[2], rel=1e-3) and four[1] == pytest.approx(four[3], rel=1e-3)
+    assert O.weights(np.zeros((30, 3)), "HRP") == pytest.approx([1 / 3] * 3)
+    assert O._linked(np.array([[0, 0.9, 0.1], [0.9, 0, 0.8], [0.1, 0.8, 0]])) == [0, 2, 1]
+
+
+def test_optimised_weights_by_portfolio_and_rebalance(spark):
+    rows = [(p, s, t, 0.01 * ((s * 7 + t * 3) % 5 - 2) * (s + 1)) for p in (1, 2) for s in range(3) for t in range(1, 13)] + [(1, 9, 4, 0.1), (1, 9, 5, None)]
+    df = spark.createDataFrame(rows, "portfolio int, symbol int, trade_index int, ret double")
+    seen = O.lookback_rows(df, window=4, step=2)
+    want = sorted((p, s, t, q) for p, s, t, _ in rows for q in range(2, 13, 2) if q - 4 <= t < q)
+    assert sorted((r["portfolio"], r["symbol"], r["trade_index"], r["rebalance"]) for r in seen.collect()) == want
+    got = {(r["portfolio"], r["rebalance"], r["method"], r["symbol"]): r["weight"] for r in O.optimised_weights(seen, least=4).collect()}
+    assert {k[1] for k in got} == {6, 8, 10, 12} and {k[3] for k in got} == {0, 1, 2}  # symbol 9 has too few returns, rebalances 2 and 4 too
+    returns = {(p, s, t): x for p, s, t, x in rows}
+    for q in (6, 8, 10, 12):
+        x = np.array([[returns[1, s, t] for s in range(3)] for t in range(q - 4, q)])
+        for m in O.METHODS:
+            assert [got[1, q, m, s] for s in range(3)] == pytest.approx(O.weights(x, m))
+    assert O.optimised_weights(seen.limit(0)).count() == 0
