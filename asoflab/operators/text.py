@@ -1,4 +1,4 @@
-"""News, comments and multi-source records: linking, clustering, typing, canonical records."""
+"""News, comments and multi-source records: linking, typing, canonical records."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asoflab.functions.columns import close_enough
-from asoflab.operators.evaluate import components
 from asoflab.operators.pit import latest_revision
 
 
@@ -53,17 +52,6 @@ def canonical_records(rows: DataFrame, keys: Sequence[str], priority: Sequence[s
     return out.withColumn("verdict", verdict).withColumn("confidence", confidence)
 
 
-def clusters(docs: DataFrame, keys: Sequence[Column]) -> DataFrame:
-    """(doc_id, cluster): documents that share any key, transitively; independent of order. NULL keys share nothing.
-
-    Each key links its members to its smallest id, so links stay as many as members.
-    """
-    long = docs.select("doc_id", F.explode(F.array(*[F.concat(F.lit(f"{i}:"), k) for i, k in enumerate(keys)])).alias("key")).where("key IS NOT NULL")
-    heads = long.groupBy("key").agg(F.min("doc_id").alias("b"))
-    edges = long.join(heads, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    return components(edges, docs.select(F.col("doc_id").alias("node"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-
-
 def first_rule(text: Column, rules: Sequence[tuple[str, str]], otherwise: str) -> Column:
     """The name of the first rule (name, literal) whose literal the text contains."""
     return F.coalesce(*[F.when(F.contains(text, F.lit(mark)), F.lit(name)) for name, mark in rules], F.lit(otherwise))

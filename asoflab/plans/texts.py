@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from asoflab.functions import columns as C
 from asoflab.operators import evaluate as E
+from asoflab.operators import news as N
 from asoflab.operators import pit
 from asoflab.operators import text as X
 from asoflab.operators import timeseries as T
@@ -38,11 +39,56 @@ def canonical_records(spark, sf):
     return c.select("symbol", "month", F.round("price", 6).alias("price"), "primary_source", "sources", "verdict", F.round("confidence", 4).alias("confidence"))
 
 
-@query("DOM_32_34_clusters", """WITH RECURSIVE k AS (SELECT doc_id, md5(text) AS h, lang || substr(text, 1, 60) AS t FROM documents), e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.h = b.h UNION SELECT a.doc_id, b.doc_id FROM k a JOIN k b ON a.t = b.t), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT a AS doc_id, min(b) AS cluster FROM reach GROUP BY 1""")
+#: Keywords of the test prose, in order, for the parameters of news.extracted.
+ENTITIES = {"eau": "RIVER", "the": "BANK", "der": "TREASURY", "la": "COUNCIL", "en": "PARLIAMENT"}
+OPERATIONS = ("with", "and", "une", "que", "sch")
+UNITS = {"%": "%", "bp": "bp", "": "n"}
+
+
+def records(spark, sf):
+    """A document as a report: the first line is its title, time and symbols are those of the event of its number."""
+    e = V.read(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts", "user_id")
+    none = F.array().cast("array<bigint>")
+    symbols = F.when(F.col("user_id") % 5 == 0, none).otherwise(F.array(F.col("user_id") % 3, F.col("user_id") % 4 + 10))
+    d = V.read(spark, sf, "documents").join(e, "doc_id", "left")
+    return d.select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), "ts", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.md5(F.col("text").cast("binary")).alias("content_hash"), F.coalesce(symbols, none).alias("symbols"), (F.substring("source", 4, 9).cast("int") % 3).alias("level"))
+
+
+RECORDS = r"""r AS (SELECT d.doc_id AS id, lang AS typ, ts, epoch_us(ts) AS t, split_part(text, chr(10), 1) AS raw, regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}_]', '', 'g') AS title, md5(text) AS h,
+ coalesce(CASE WHEN user_id % 5 = 0 THEN []::BIGINT[] ELSE [user_id % 3, user_id % 4 + 10] END, []) AS s, substr(source, 4)::INT % 3 AS level FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id)"""
+CLUSTERS = f"""WITH RECURSIVE {RECORDS}, e AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.typ = b.typ AND a.id <> b.id AND abs(a.t - b.t) <= 86400000000 AND (a.h = b.h OR (a.title = b.title AND (list_has_any(a.s, b.s) OR (len(a.s) = 0 AND len(b.s) = 0))))),
+reach AS (SELECT id AS a, id AS b FROM r UNION SELECT x.a, e.b FROM reach x JOIN e ON x.b = e.a), c AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY 1)"""
+
+
+def clustered(spark, sf):
+    shared.checkpoint_dir(spark)
+    return N.event_clusters(records(spark, sf))
+
+
+@query("DOM_32_34_clusters", f"{CLUSTERS} SELECT id AS doc_id, cluster FROM c")
 def clusters(spark, sf):
+    return clustered(spark, sf).withColumnRenamed("id", "doc_id")
+
+
+@query("DOM_32_cluster_summary", f"""{CLUSTERS}, j AS (SELECT * FROM r JOIN c USING (id)), y AS (SELECT cluster, array_to_string(list_sort(list_distinct(flatten(list(s)))), ',') AS symbols FROM j GROUP BY 1)
+SELECT cluster, first(id ORDER BY level, ts, id) AS primary, count(*) AS sources, any_value(symbols) AS symbols, CASE WHEN count(*) > 1 AND min(h) = max(h) THEN 'CONTENT_HASH' ELSE 'NORMALIZED_TITLE_TIME_ENTITY' END AS method FROM j JOIN y USING (cluster) GROUP BY 1""")
+def cluster_summary(spark, sf):
+    return N.cluster_summary(records(spark, sf), clustered(spark, sf)).withColumn("symbols", F.array_join("symbols", ","))
+
+
+_NUMBERS = " || ".join(rf"list_transform(regexp_extract_all(raw, '([0-9]+(?:\.[0-9]+)?)\s*{u}', 1), lambda x: x::DOUBLE::VARCHAR || '{n}')" for u, n in UNITS.items())
+_FACTS = f"""f AS (SELECT *, CAST(ts AS DATE) AS day, CASE {' '.join(f"WHEN contains(raw, '{k}') THEN '{v}'" for k, v in ENTITIES.items())} END AS entity, CASE {' '.join(f"WHEN contains(upper(raw), '{o.upper()}') THEN '{o.upper()}'" for o in OPERATIONS)} END AS op,
+ list_distinct({_NUMBERS}) AS amounts, list_distinct(list_transform(range(1, length(title)), lambda i: substr(title, i, 2))) AS g FROM r),
+p AS (SELECT a.id AS a, b.id AS b, a.op AS oa, b.op AS ob, a.amounts AS ma, b.amounts AS mb, coalesce(len(list_intersect(a.g, b.g))::DOUBLE / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0) AS sim FROM f a JOIN f b ON a.typ = b.typ AND a.entity = b.entity AND a.id <> b.id AND abs(a.day - b.day) <= 1),
+e AS (SELECT a, b FROM p WHERE CASE WHEN len(ma) > 0 AND len(mb) > 0 THEN list_has_any(ma, mb) AND CASE WHEN oa IS NOT NULL AND ob IS NOT NULL THEN oa = ob ELSE (oa IS NULL AND ob IS NULL) OR sim >= 0.6 END WHEN oa IS NOT NULL AND ob IS NOT NULL THEN oa = ob AND sim >= 0.5 ELSE sim >= 0.8 END),
+reach AS (SELECT id AS a, id AS b FROM r UNION SELECT x.a, e.b FROM reach x JOIN e ON x.b = e.a)"""
+
+
+@query("DOM_34_merged_facts", f"""WITH RECURSIVE {RECORDS}, {_FACTS} SELECT a AS id, arg_min(b, (coalesce(day, DATE '9999-12-31'), b)) AS canonical FROM reach JOIN f ON f.id = b GROUP BY 1""")
+def merged_facts(spark, sf):
     shared.checkpoint_dir(spark)
-    docs = V.read(spark, sf, "documents").select("doc_id", "lang", "text")
-    return X.clusters(docs, [F.md5(F.col("text").cast("binary")), F.concat("lang", F.substring("text", 1, 60))])
+    x = records(spark, sf)
+    return N.merged_facts(x.select("id", F.to_date("ts").alias("day"), F.col("type").alias("category"), *N.extracted(F.col("title"), ENTITIES, OPERATIONS, UNITS), "title"))
 
 
 @query("DOM_36_document_types", """SELECT CASE WHEN contains(text, ' | ') THEN 'TABLE' WHEN contains(text, '!!') THEN 'SHOUT' WHEN contains(text, '$$$') THEN 'MARKS' WHEN contains(text, 'license') THEN 'LICENSE' ELSE 'PROSE' END AS kind, count(*) AS n, count(CASE WHEN instr(text, 'license') > 0 THEN substr(text, greatest(instr(text, 'license') - 20, 1), 60) END) AS snippets FROM documents GROUP BY 1""")
