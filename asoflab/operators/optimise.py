@@ -71,7 +71,7 @@ def weights(returns: np.ndarray, method: str, cap: float = 0.6, risk_free: float
     return _descend(sharpe, equal, cap)
 
 
-def _descend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, cap: float, rounds: int = 2000) -> np.ndarray:
+def _descend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, cap: float, rounds: int = 400) -> np.ndarray:
     """Projected descent whose step halves until the value falls; value(w) gives value and gradient."""
     now, slope = value(w)
     step = 1.0 / max(np.linalg.norm(slope), 1e-12)
@@ -85,7 +85,7 @@ def _descend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndar
         else:
             break
         moved, w, now, slope = np.abs(new - w).max(), new, then, its
-        if moved < 1e-10:
+        if moved < 1e-8:
             break
         step *= 2
     return w
@@ -94,7 +94,7 @@ def _descend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndar
 def nearest(w: np.ndarray, cap: float) -> np.ndarray:
     """The point of {0 <= x <= cap, sum(x) = 1} nearest to w: all of w less one shift, clipped; the shift is bisected."""
     low, high = w.min() - 1.0, w.max()
-    for _ in range(100):
+    for _ in range(45):
         shift = (low + high) / 2
         if np.clip(w - shift, 0.0, cap).sum() > 1.0:
             low = shift
