@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embedding_dedup, licenses, mixing, ngram_join, piece_sampling, quality, secrets, token_file, top_k, toxicity
+from . import common, decontamination, embedding_dedup, licenses, mixing, ngram_join, piece_sampling, quality, secrets, token_file, top_k, toxicity
 
 #: What sources, languages and topics should hold of all tokens.
 TARGETS = {
@@ -78,6 +78,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _mixing_sql() -> str:
     """The raking with one common table expression for each step."""
     tokens = "regexp_replace(coalesce(text, ''), '[\\x09-\\x0D\\x20]+', ' ', 'g')"
@@ -166,10 +170,32 @@ FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a
 """
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+#: Every window at every place; near ones are looked for around the window's rarest word.
+_DECONTAMINATION_SQL = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS MATERIALIZED (SELECT DISTINCT item_id, len(g) AS size, g FROM (SELECT item_id, unnest(list_transform(range(0, greatest(len(w) - 10, 0) + 1), lambda s: w[s + 1 : s + 10])) AS g FROM items WHERE len(w) > 0)),
+words AS MATERIALIZED (SELECT k, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM docs),
+grams AS (SELECT k, z.s AS s, size, z.g AS g FROM (SELECT k, size, unnest(list_transform(range(0, len(w) - size + 1), lambda s: {{'s': s, 'g': array_to_string(w[s + 1 : s + size], ' ')}})) AS z FROM docs, (SELECT DISTINCT size FROM windows))),
+found AS (SELECT DISTINCT k, s, grams.size, item_id FROM grams JOIN windows ON grams.g = array_to_string(windows.g, ' ')),
+hit AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(s, s + size)) AS p FROM found) GROUP BY k),
+named AS (SELECT k, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found WHERE item_id IS NOT NULL GROUP BY k),
+counts AS (SELECT t, count(*) AS n FROM words GROUP BY t),
+rare AS MATERIALIZED (SELECT item_id, g, list_distinct(g) AS need, arg_min(t, n) AS t FROM (SELECT item_id, g, t, coalesce(n, 0) AS n FROM (SELECT item_id, g, unnest(list_distinct(g)) AS t FROM windows) LEFT JOIN counts USING (t)) GROUP BY item_id, g),
+places AS MATERIALIZED (SELECT k, t, w[greatest(p - 19, 0) + 1 : p + 20] AS region FROM words JOIN docs USING (k) WHERE t IN (SELECT t FROM rare)),
+close AS (SELECT k, count(DISTINCT item_id) AS n_near FROM places JOIN rare USING (t) WHERE list_has_all(region, need) AND len(list_filter(range(0, 20), lambda s: list_has_all(region[s + 1 : s + 20], need))) > 0 GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near FROM docs LEFT JOIN hit USING (k) LEFT JOIN named USING (k) LEFT JOIN close USING (k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_ngram_jaccard, op3_piece_sampling, op4_top_k, op5_quality, op6_token_file, op7_mixing, op8_licenses, op9_embedding_dedup, op10_secrets)
+    own = (op1_toxicity, op2_ngram_jaccard, op3_piece_sampling, op4_top_k, op5_quality, op6_token_file, op7_mixing, op8_licenses, op9_embedding_dedup, op10_secrets, op11_decontamination)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _JACCARD_SQL, "op4_top_k": _TOP_K_SQL, "op7_mixing": _mixing_sql(), "op8_licenses": _licenses_sql(), "op9_embedding_dedup": _NEAR_SQL}
+    return {"op2_ngram_jaccard": _JACCARD_SQL, "op4_top_k": _TOP_K_SQL, "op7_mixing": _mixing_sql(), "op8_licenses": _licenses_sql(), "op9_embedding_dedup": _NEAR_SQL, "op11_decontamination": _DECONTAMINATION_SQL}
