@@ -10,7 +10,7 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from asoflab.sources import shared
@@ -75,3 +75,29 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if jumped.where("component <> was").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def global_places(table: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """A written table's rows with their place, from 1, in the order of all rows; no task gets more than its range.
+
+    Rows are sorted by ranges and written; only the number of rows of each range travels.
+    """
+    part, at = F.spark_partition_id(), F.monotonically_increasing_id()
+    ranged = written(table.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part).withColumn("_at", at), "ranges")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).select("_part", "_first", before.alias("_before"))
+    placed = ranged.join(F.broadcast(ranges), "_part")  # a row for each partition
+    return placed.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_part", "_at", "_first", "_before")
+
+
+def places_of(table: DataFrame, key: str, order: list[Column], name: str = "place") -> DataFrame:
+    """A written table's rows with their place, from 1, among those of equal key (not null); a hot key spreads over many ranges."""
+    every = [F.col(key), *order, F.monotonically_increasing_id()]  # equal rows may be cut apart as well
+    spread = table.withColumn("_salt", every[-1])
+    every[-1] = F.col("_salt")
+    ranged = written(spread.repartitionByRange(*every).sortWithinPartitions(*every).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).drop("_salt"), "ranges")
+    counts = written(ranged.groupBy(key, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")), "range-counts")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(key, "_part", "_first", before.alias("_before"))
+    placed = ranged.join(counts, [key, "_part"])
+    return placed.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_part", "_at", "_first", "_before")

@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, embedding_dedup, licenses, mixing, ngram_join, piece_sampling, quality, secrets, token_file, top_k, toxicity
+from . import common, decontamination, embedding_dedup, licenses, mixing, ngram_join, piece_sampling, prefix_trie, quality, secrets, token_file, top_k, toxicity
 
 #: What sources, languages and topics should hold of all tokens.
 TARGETS = {
@@ -82,6 +82,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def _mixing_sql() -> str:
     """The raking with one common table expression for each step."""
     tokens = "regexp_replace(coalesce(text, ''), '[\\x09-\\x0D\\x20]+', ' ', 'g')"
@@ -192,10 +196,31 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids)
 """
 
 
+#: The table of CRC-32 by byte, and the unsigned CRC-32 of a list of bytes by it.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS steps)"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda a, b: xor(steps[(xor(a, b) & 255) + 1], a >> 8)))"
+
+#: Every prefix as a list of turns; subtrees by comparing prefixes.
+_TRIE_SQL = f"""
+WITH {_CRC_TABLE},
+turns AS (SELECT conv_id, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(t ORDER BY turn NULLS FIRST, sha256(strlen(t.role)::VARCHAR || ':' || t.role || t.text)) AS w FROM turns GROUP BY conv_id),
+heads AS (SELECT conv_id, w, {_CRC.format(bytes="list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)")} % 9 AS h FROM own, crc),
+convs AS (SELECT o.conv_id, list_concat(coalesce(b.w, [])[1 : o.h], o.w[o.h + 1 :]) AS w FROM heads o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+paths AS (SELECT conv_id, len(w) AS length, d, w[1 : d] AS p FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM convs)),
+nodes AS MATERIALIZED (SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN length = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM paths GROUP BY p, d),
+children AS (SELECT p[1 : depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+weighed AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(strlen(p[-1].text), 0) AS saved FROM nodes n LEFT JOIN children USING (p)),
+sums AS (SELECT a.p, sum(b.saved)::BIGINT AS saved_tokens, count(*) FILTER (b.n_children = 0) AS n_leaves FROM weighed a JOIN weighed b ON b.depth >= a.depth AND b.p[1 : a.depth] = a.p GROUP BY a.p)
+SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM weighed w JOIN sums USING (p) LEFT JOIN nodes u ON w.depth > 0 AND u.p = w.p[1 : w.depth - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_ngram_jaccard, op3_piece_sampling, op4_top_k, op5_quality, op6_token_file, op7_mixing, op8_licenses, op9_embedding_dedup, op10_secrets, op11_decontamination)
+    own = (op1_toxicity, op2_ngram_jaccard, op3_piece_sampling, op4_top_k, op5_quality, op6_token_file, op7_mixing, op8_licenses, op9_embedding_dedup, op10_secrets, op11_decontamination, op12_prefix_trie)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _JACCARD_SQL, "op4_top_k": _TOP_K_SQL, "op7_mixing": _mixing_sql(), "op8_licenses": _licenses_sql(), "op9_embedding_dedup": _NEAR_SQL, "op11_decontamination": _DECONTAMINATION_SQL}
+    return {"op2_ngram_jaccard": _JACCARD_SQL, "op4_top_k": _TOP_K_SQL, "op7_mixing": _mixing_sql(), "op8_licenses": _licenses_sql(), "op9_embedding_dedup": _NEAR_SQL, "op11_decontamination": _DECONTAMINATION_SQL, "op12_prefix_trie": _TRIE_SQL}
