@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, embedding_dedup, licenses, mixing, ngram_join, piece_sampling, prefix_trie, quality, secrets, token_file, top_k, toxicity
+from . import common, decontamination, embedding_dedup, licenses, mixing, ngram_join, piece_sampling, prefix_trie, quality, resampling, secrets, token_file, top_k, toxicity
 
 #: What sources, languages and topics should hold of all tokens.
 TARGETS = {
@@ -86,6 +86,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def _mixing_sql() -> str:
     """The raking with one common table expression for each step."""
     tokens = "regexp_replace(coalesce(text, ''), '[\\x09-\\x0D\\x20]+', ' ', 'g')"
@@ -217,10 +222,28 @@ FROM weighed w JOIN sums USING (p) LEFT JOIN nodes u ON w.depth > 0 AND u.p = w.
 """
 
 
+_RESAMPLING_SQL = f"""
+WITH {_CRC_TABLE},
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+source_words AS MATERIALIZED (SELECT doc_id, unnest(w) AS g FROM docs),
+target_words AS (SELECT unnest({_WORDS}) AS g FROM benchmark),
+features AS (SELECT g, sum(s) AS s, sum(t) AS t FROM (SELECT g, 1 AS s, 0 AS t FROM source_words UNION ALL SELECT g, 0, 1 FROM target_words) GROUP BY g),
+hashed AS MATERIALIZED (SELECT g, s, t, {_CRC.format(bytes="list_transform(range(0, strlen(g)), lambda i: ('0x' || substr(hex(encode(g)), 2 * i + 1, 2))::BIGINT)")} % 10000 AS bucket FROM features, crc),
+held AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM hashed GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM held),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1.0)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1.0)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM held, sums),
+weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM source_words JOIN hashed USING (g) JOIN gains USING (bucket) GROUP BY doc_id),
+noise AS (SELECT doc_id, len(w) AS n_features, floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296.0::DOUBLE)))::BIGINT AS noise FROM docs),
+scored AS (SELECT doc_id, n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + noise AS score FROM noise LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_ngram_jaccard, op3_piece_sampling, op4_top_k, op5_quality, op6_token_file, op7_mixing, op8_licenses, op9_embedding_dedup, op10_secrets, op11_decontamination, op12_prefix_trie)
+    own = (op1_toxicity, op2_ngram_jaccard, op3_piece_sampling, op4_top_k, op5_quality, op6_token_file, op7_mixing, op8_licenses, op9_embedding_dedup, op10_secrets, op11_decontamination, op12_prefix_trie, op13_resampling)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _JACCARD_SQL, "op4_top_k": _TOP_K_SQL, "op7_mixing": _mixing_sql(), "op8_licenses": _licenses_sql(), "op9_embedding_dedup": _NEAR_SQL, "op11_decontamination": _DECONTAMINATION_SQL, "op12_prefix_trie": _TRIE_SQL}
+    return {"op2_ngram_jaccard": _JACCARD_SQL, "op4_top_k": _TOP_K_SQL, "op7_mixing": _mixing_sql(), "op8_licenses": _licenses_sql(), "op9_embedding_dedup": _NEAR_SQL, "op11_decontamination": _DECONTAMINATION_SQL, "op12_prefix_trie": _TRIE_SQL, "op13_resampling": _RESAMPLING_SQL}
