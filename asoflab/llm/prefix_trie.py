@@ -75,8 +75,8 @@ def _blocks(convs: DataFrame, turns: DataFrame, width: int) -> DataFrame:
     wide = rows.groupBy("conv_id", "block").agg(*[F.max(F.when(F.col("slot") == k, F.col("t"))).alias(c) for k, c in enumerate(columns)])
     none = convs.where("length = 0").select("conv_id", F.lit(0).cast("long").alias("block"), *[F.lit(None).cast(wide.schema[c].dataType).alias(c) for c in columns])
     wide = common.written(wide.union(none).join(convs, "conv_id"), "blocks")
-    # names of the nodes at the ends of blocks that others follow
-    full = wide.where((F.col("block") + 1) * width < F.col("length"))
+    # names of the nodes at the ends of whole blocks, of conversations that end there too
+    full = wide.where((F.col("block") + 1) * width <= F.col("length"))
     names = common.written(_named(full.select("conv_id", "block", *columns), columns), "names")
     step, last = 1, names.agg(F.max("block")).first()[0] or 0
     while step <= last:
