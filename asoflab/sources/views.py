@@ -2,6 +2,7 @@
 
 bars_a   long histories with gaps (gaps act as suspensions): line items by supplier and ship date
 bars_b   dense cross-sections: events by user and date
+bars_c   long and dense, with moves of a few percent: line items of eight neighbouring suppliers by ship date, prices on a log scale
 Every Spark derivation here has a common table expression of the same name in SQL.
 """
 
@@ -18,8 +19,13 @@ SQL = {
     "bars_b": """bars_b AS (
   SELECT user_id AS symbol, CAST(ts AS DATE) AS trade_date, arg_min(value, event_id) AS open, arg_max(value, event_id) AS close, max(value) AS high,
          min(value) AS low, CAST(count(*) AS DOUBLE) AS volume, round(sum(value), 2) AS amount FROM events GROUP BY ALL)""",
+    "bars_c": """bars_c AS (
+  SELECT l_suppkey // 8 AS symbol, CAST(l_shipdate AS DATE) AS trade_date, arg_min(p, k) AS open, arg_max(p, k) AS close, max(p) AS high, min(p) AS low,
+         sum(l_quantity) AS volume, round(sum(l_extendedprice), 2) AS amount
+  FROM (SELECT *, round(100 + 4 * (ln(l_extendedprice / l_quantity) - 7.5), 2) AS p, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS k FROM lineitem) GROUP BY ALL)""",
     "days_a": "days_a AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS trade_index FROM (SELECT DISTINCT trade_date FROM bars_a))",
     "days_b": "days_b AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS trade_index FROM (SELECT DISTINCT trade_date FROM bars_b))",
+    "days_c": "days_c AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS trade_index FROM (SELECT DISTINCT trade_date FROM bars_c))",
     "statuses": """statuses AS (
   SELECT o_custkey AS symbol, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS valid_from,
          CAST(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DATE) AS valid_to, o_orderkey AS status_id FROM orders)""",
@@ -61,6 +67,13 @@ def bars_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(rows.select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("trade_date"), F.col("value").alias("p"), F.col("event_id").alias("k"), F.lit(1.0).alias("volume"), F.col("value").alias("amount")))
 
 
+def bars_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem")
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey")
+    price = F.round(100 + 4 * (F.log(F.col("l_extendedprice") / F.col("l_quantity")) - 7.5), 2)
+    return _bars(rows.select(F.floor(F.col("l_suppkey") / 8).alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), price.alias("p"), key.alias("k"), F.col("l_quantity").alias("volume"), F.col("l_extendedprice").alias("amount")))
+
+
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
