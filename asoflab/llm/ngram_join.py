@@ -26,9 +26,9 @@ not grow; collisions move a token in the order, which costs time, never links.
 Shingles are compared as 64-bit hashes, so "exact" holds but for their collisions.
 
 Extra columns are ignored; an empty table gives no rows.
-Nulls, empty and white-space texts have empty sets and link with nothing. Rows
-with the same id and the same text are copies of each other. Long texts are
-processed whole. A null id stays, linked with nothing.
+Nulls, empty and white-space texts have empty sets and link with nothing. Rows of
+one id are rows of their own, each linked by its own text; a component's id is the
+smallest of its rows. Long texts are processed whole. A null id stays, linked with nothing.
 """
 
 from __future__ import annotations
@@ -212,10 +212,20 @@ def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
+    """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text); rows are compared by number, so each text of a repeated id has its own links."""
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    numbered = common.written(docs.select(F.col("doc_id").cast("long").alias("id"), number.alias("doc_id"), "text"), "rows")
+    placed = common.written(_components(numbered.select("doc_id", "text"), width, percent), "placed-rows")
+    ids = placed.where("doc_id is not null").join(numbered.where("doc_id is not null").select("doc_id", "id"), "doc_id")
+    least = ids.groupBy("component_id").agg(F.min("id").alias("least"))
+    named = ids.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+    return named.union(placed.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of docs(doc_id, text) whose ids are null or not repeated."""
     spark = docs.sparkSession
     common.importable(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = common.written(docs.mapInPandas(_profile(width), "doc_id long, sig binary, n long, block int, counts binary"), "profile")
     counts = spark.sparkContext.broadcast(sketch(profile))
 
@@ -266,10 +276,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Rows are numbered first and compared by number, so rows of one id and rows without
     an id are compared like any others. Rows without words link with nothing and all stay.
     """
-    numbered = common.written(docs.withColumn("keep_one_row", F.monotonically_increasing_id()), "numbered")
-    placed = jaccard_components(numbered.select(F.col("keep_one_row").alias("doc_id"), "text"), width, percent)
-    order = numbered.select("keep_one_row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "keep_one_row").alias("place"))
-    kept = placed.select(F.col("doc_id").alias("keep_one_row"), "component_id").join(order, "keep_one_row").groupBy("component_id").agg(F.min("place").alias("place"))
+    numbered = common.written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("own")), "numbered")
+    placed = _components(numbered.select(F.col("row").alias("doc_id"), "own.text"), width, percent)
+    order = numbered.select("row", F.struct(F.col("own.doc_id").isNull().alias("unnamed"), F.col("own.doc_id").alias("doc_id"), F.xxhash64("own.text").alias("hash"), "row").alias("place"))
+    kept = placed.select(F.col("doc_id").alias("row"), "component_id").join(order, "row").groupBy("component_id").agg(F.min("place").alias("place"))
     # the kept numbers grow with the rows: never broadcast, whatever a small table would allow
-    kept = common.written(kept.select("place.keep_one_row"), "kept").hint("merge")
-    return numbered.join(kept, "keep_one_row", "left_semi").select(docs.columns)
+    kept = common.written(kept.select("place.row"), "kept").hint("merge")
+    return numbered.join(kept, "row", "left_semi").select("own.*")

@@ -13,8 +13,9 @@ hold them.
 
 Components are floor(1024 * x). Vectors that are null, or hold null or
 non-finite components, take no part; vectors of different lengths don't meet.
-An empty vector takes part and scores 0. A query's own row (its id) is no
-candidate; rows that repeat an id are candidates of their own. Ties go to the smaller id.
+An empty vector takes part and scores 0. A query's own row is no candidate; other rows
+of its id are. Each row of a repeated id is a query with an answer of its own, under the
+same query_id. Ties go to the smaller id.
 Products are exact while they fit a long. Extra columns are ignored; an empty table
 gives no rows.
 """
@@ -78,16 +79,16 @@ def _bounds(seed, k: int):
                 q, qn = _matrix(r.q_raws, r.dim), np.asarray(r.q_norms)
                 theta = np.full(len(q), -np.inf)
                 if r.dim in seed.value:
-                    ids, c = seed.value[r.dim]
+                    rows, c = seed.value[r.dim]
                     s = products(q, c).astype(float)
-                    s[np.asarray(r.q_ids)[:, None] == ids[None, :]] = -np.inf
+                    s[np.asarray(r.q_rows)[:, None] == rows[None, :]] = -np.inf
                     if s.shape[1] >= k:
                         theta = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
                 thetas.append(theta.tolist())
                 # the shortest vector that any query of this block can still use
                 least.append(float(np.where(theta > 0, theta / np.maximum(qn, 1e-300), 0).min()))
             raws = [narrow(_matrix(r.q_raws, r.dim).ravel()) for r in f.itertuples()]
-            yield pd.DataFrame({"dim": f["dim"], "qb": f["qb"], "q_ids": f["q_ids"], "q_norms": f["q_norms"], "q_raw": raws, "thetas": thetas, "least": least})
+            yield pd.DataFrame({"dim": f["dim"], "qb": f["qb"], "q_rows": f["q_rows"], "q_ids": f["q_ids"], "q_norms": f["q_norms"], "q_raw": raws, "thetas": thetas, "least": least})
 
     return run
 
@@ -116,7 +117,7 @@ def survivors(q: np.ndarray, q_norms: np.ndarray, thetas: np.ndarray, c: np.ndar
     return alive
 
 
-def best_of(scores: np.ndarray, able: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(scores: np.ndarray, able: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best able scores of each row (all, if fewer), ties to smaller ids, as rows, columns and the rows' k-th scores."""
     at, column = np.nonzero(able)
     own = scores[at, column]
@@ -134,10 +135,10 @@ def _scored(k: int):
         risen: dict[tuple[int, int], np.ndarray] = {}  # thresholds of the blocks of queries that this task has met
         for f in frames:
             for r in f.itertuples():
-                q_ids, q_norms, thetas = np.asarray(r.q_ids), np.asarray(r.q_norms), risen.get((r.dim, r.qb), np.asarray(r.thetas))
+                q_rows, q_ids, q_norms, thetas = np.asarray(r.q_rows), np.asarray(r.q_ids), np.asarray(r.q_norms), risen.get((r.dim, r.qb), np.asarray(r.thetas))
                 norms, ids = np.asarray(r.c_norms), np.asarray(r.c_ids)
                 q, c = _vector(r.q_raw).reshape(len(q_ids), r.dim), _vector(r.c_raw).reshape(len(ids), r.dim)
-                alive = survivors(q, q_norms, thetas, c, norms) & (q_ids[:, None] != ids[None, :])
+                alive = survivors(q, q_norms, thetas, c, norms) & (q_rows[:, None] != np.asarray(r.c_rows)[None, :])
                 own, met = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
                 if not len(own):
                     continue
@@ -146,11 +147,11 @@ def _scored(k: int):
                 if scores.shape[1] > k:  # only what reaches the k-th of this bucket is sorted
                     held = np.where(able, scores, np.iinfo(np.int64).min)
                     able &= scores >= np.partition(held, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
-                at, column, floors = best_of(scores, able, q_ids[own], ids[met], k)
+                at, column, floors = best_of(scores, able, ids[met], k)
                 thetas = thetas.copy()
                 thetas[own] = np.maximum(thetas[own], floors)
                 risen[r.dim, r.qb] = thetas
-                yield pd.DataFrame({"query_id": q_ids[own[at]], "vec_id": ids[met[column]], "score": scores[at, column]}).astype(np.int64)
+                yield pd.DataFrame({"query": q_rows[own[at]], "query_id": q_ids[own[at]], "vec_id": ids[met[column]], "score": scores[at, column]}).astype(np.int64)
 
     return run
 
@@ -159,7 +160,7 @@ def _buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a sorted partition as packed buckets of BUCKET rows of one dimension at most."""
 
     def pack(g: pd.DataFrame) -> dict:
-        return {"dim": int(g["dim"].iat[0]), "longest": float(g["norm"].iat[0]), "c_ids": g["vec_id"].tolist(), "c_norms": g["norm"].tolist(), "c_raw": narrow(_matrix(g["raw"].tolist(), int(g["dim"].iat[0])).ravel())}
+        return {"dim": int(g["dim"].iat[0]), "longest": float(g["norm"].iat[0]), "c_rows": g["row"].tolist(), "c_ids": g["vec_id"].tolist(), "c_norms": g["norm"].tolist(), "c_raw": narrow(_matrix(g["raw"].tolist(), int(g["dim"].iat[0])).ravel())}
 
     kept = None
     for f in frames:
@@ -178,26 +179,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     common.importable(spark)
     able = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    points = common.written(able.mapInPandas(_ints, "vec_id long, dim int, norm double, raw binary"), "points")
+    points = common.written(able.mapInPandas(_ints, "vec_id long, dim int, norm double, raw binary").withColumn("row", F.monotonically_increasing_id()), "points")
 
     seed = {}
     longest = points.orderBy(F.desc("norm"), "vec_id").limit(SEED).toPandas()  # SEED rows
     for dim, g in longest.groupby("dim"):
-        seed[int(dim)] = (g["vec_id"].to_numpy(), _matrix(g["raw"].tolist(), int(dim)))
+        seed[int(dim)] = (g["row"].to_numpy(), _matrix(g["raw"].tolist(), int(dim)))
     queries = points.where(is_query)
     blocks = max(1, -(-queries.count() // BLOCK))
-    held = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "qb")
-    held = held.agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("norm").alias("q_norms"), F.collect_list("raw").alias("q_raws"))
-    fields = "dim int, qb int, q_ids array<long>, q_norms array<double>, q_raw binary, thetas array<double>, least double"
+    held = queries.withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).groupBy("dim", "qb")
+    held = held.agg(F.collect_list("row").alias("q_rows"), F.collect_list("vec_id").alias("q_ids"), F.collect_list("norm").alias("q_norms"), F.collect_list("raw").alias("q_raws"))
+    fields = "dim int, qb int, q_rows array<long>, q_ids array<long>, q_norms array<double>, q_raw binary, thetas array<double>, least double"
     held = common.written(held.mapInPandas(_bounds(spark.sparkContext.broadcast(seed), k), fields), "queries")
 
     ordered = points.repartitionByRange("dim", F.desc("norm"), "vec_id").sortWithinPartitions("dim", F.desc("norm"), "vec_id")
-    buckets = ordered.mapInPandas(_buckets, "dim int, longest double, c_ids array<long>, c_norms array<double>, c_raw binary")
+    buckets = ordered.mapInPandas(_buckets, "dim int, longest double, c_rows array<long>, c_ids array<long>, c_norms array<double>, c_raw binary")
     buckets = common.written(buckets.withColumn("bucket", F.monotonically_increasing_id()), "buckets")
     # every block of queries meets the buckets that are long enough for one of its queries; bounds alone decide that
     heads = buckets.select("bucket", "dim", "longest").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = heads.join(held, ["dim", "qb"]).where("longest >= least * (1 - 1e-9)")
     met = met.join(buckets.drop("dim", "longest"), "bucket")
-    best = met.mapInPandas(_scored(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = met.mapInPandas(_scored(k), "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query_id").cast("long"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -246,6 +246,11 @@ def test_jaccard_odd_tables(spark):
     assert ngram_join.jaccard_components(docs(spark, ["a b"]).limit(0)).count() == 0
     got = ngram_join.jaccard_components(docs(spark, ["same text here", "same text here", "x"], [None, 5, 5])).collect()
     assert len(got) == 3 and sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got)[0] == (-1, -1)
+    one, two = prose(31, 60), prose(32, 60)
+    got = ngram_join.jaccard_components(docs(spark, [one, two, one + " more", two + " more", two], [1, 1, 5, 7, None])).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (1, 1), (1, 1), (5, 1), (7, 1)]
+    clash = docs(spark, [one, one + " more"]).withColumnsRenamed({"score": "row", "sig": "own", "token": "keep_one_row"})
+    assert [list(r) for r in ngram_join.keep_one(clash).collect()] == [[0, one, "en", "src0", len(one), "x", "y", 7, "z"]] and ngram_join.keep_one(clash).schema == clash.schema
     kept = ngram_join.keep_one(docs(spark, jaccard_texts()))
     assert kept.columns == docs(spark, [""]).columns and kept.where("doc_id in (1, 2)").count() == 0 and kept.where("doc_id = 0").count() == 1
 
@@ -397,6 +402,9 @@ def test_top_k_odd_tables(spark):
     assert top_k.top_k(empty, F.col("vec_id") % 100 == 0).count() == 0
     few = vectors(spark, [(0, [1.0], 0, "", 1, 2), (1, [2.0], 0, "", 1, 2)])
     assert [(r["vec_id"], r["rank"]) for r in top_k.top_k(few, F.col("vec_id") % 100 == 0).collect()] == [(1, 1)]
+    twice = vectors(spark, [(100, [1.0, 0.0], 0, "", 1, 2), (100, [0.0, 1.0], 0, "", 1, 2), (7, [2.0, 3.0], 0, "", 1, 2)])
+    got = sorted(tuple(r) for r in top_k.top_k(twice, F.col("vec_id") % 100 == 0).collect())
+    assert got == [(100, 1, 7, 2 * 1024**2), (100, 1, 7, 3 * 1024**2), (100, 2, 100, 0), (100, 2, 100, 0)]
 
 
 # 1 and 5
