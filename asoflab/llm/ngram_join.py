@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,15 +161,15 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _overlaps(width: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            kept: dict[str, np.ndarray] = {}
-            both = []
-            for b, x, y in zip(f["b"], f["text_a"], f["text_b"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:  # texts become Python's one at a time
+            kept: dict[int, np.ndarray] = {}
+            both, x, y = [], f.column("text_a"), f.column("text_b")
+            for k, b in enumerate(f.column("b").to_pylist()):
                 if b not in kept:
-                    kept = {b: shingles(y, width)} if len(kept) > 256 else kept | {b: shingles(y, width)}
-                both.append(len(np.intersect1d(shingles(x, width), kept[b], assume_unique=True)))
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "n": f["n"], "m": f["m"], "both": both})
+                    kept = {b: shingles(y[k].as_py(), width)} if len(kept) > 256 else kept | {b: shingles(y[k].as_py(), width)}
+                both.append(len(np.intersect1d(shingles(x[k].as_py(), width), kept[b], assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([*(f.column(c) for c in ("a", "b", "n", "m")), pa.array(both, pa.int64())], ["a", "b", "n", "m", "both"])
 
     return run
 
@@ -177,7 +178,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """pairs (a, b, n, m) with the number of shingles that their whole texts share."""
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     full = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.select("a", "b", "n", "m", "text_a", "text_b").mapInPandas(_overlaps(width), "a long, b long, n long, m long, both long")
+    return full.select("a", "b", "n", "m", "text_a", "text_b").mapInArrow(_overlaps(width), "a long, b long, n long, m long, both long")
 
 
 def _links(both: str, percent: int) -> str:
