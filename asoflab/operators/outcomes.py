@@ -125,7 +125,7 @@ def _cohort_drawdown(rows: DataFrame, keys: Sequence[str], ret: str, span: Colum
     total = F.sum("exposure")
     day = rows.groupBy(*keys, "trade_date").agg((F.sum(F.col(ret) * F.col("exposure")) * F.when(total <= 1, F.lit(1.0)).otherwise(1 / total)).alias("r"))
     by = Window.partitionBy(*keys).orderBy("trade_date")
-    day = day.withColumn("k", F.row_number().over(by) - 1).where(F.col("k") % span == 0)
+    day = day.withColumn("_k", F.row_number().over(by) - 1).where(F.col("_k") % span == 0)
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     nav = day.withColumn("nav", F.exp(F.sum(F.ln(F.greatest(1 + F.col("r"), F.lit(1e-8)))).over(upto)))
     return nav.withColumn("d", F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(upto)) - 1).groupBy(*keys).agg(F.min("d").alias("drawdown"))
@@ -168,7 +168,7 @@ def cohorts(observations: DataFrame, keys: Sequence[str], horizon: int, rule: st
         days = own.select(*keys, F.explode(F.aggregate("days", start, step)["taken"]).alias("trade_date"))
     else:
         every = {"EVERY_HORIZON": horizon, "ALL": 1}.get(rule)
-        days = days.withColumn("k", F.row_number().over(place) - 1).where(F.col("k") % every == 0 if every else F.col("k") == 0)
+        days = days.withColumn("_k", F.row_number().over(place) - 1).where(F.col("_k") % every == 0 if every else F.col("_k") == 0)
     return days.select(*keys, "trade_date", F.row_number().over(place).alias("cohort"))
 
 
@@ -177,8 +177,8 @@ def cohort_positions(observations: DataFrame, keys: Sequence[str], horizon: int,
     benchmark, exit_date): the best ``top`` of each cohort by rank, weighted by score (or equally) with none above cap."""
     chosen = observations.join(cohorts(observations, keys, horizon, rule), [*keys, "trade_date"])
     place = F.row_number().over(Window.partitionBy(*keys, "cohort").orderBy("rank", "symbol"))
-    best = chosen.withColumn("place", place).where(F.col("place") <= top)
-    held = best.groupBy(*keys, "cohort", "trade_date").agg(F.array_sort(F.collect_list(F.struct("place", "symbol", "score", "ret", "benchmark", "exit_date"))).alias("held"))
+    best = chosen.withColumn("_place", place).where(F.col("_place") <= top)
+    held = best.groupBy(*keys, "cohort", "trade_date").agg(F.array_sort(F.collect_list(F.struct("_place", "symbol", "score", "ret", "benchmark", "exit_date"))).alias("held"))
     score = F.transform("held", lambda x: F.greatest(F.lit(0.0), F.coalesce(x["score"].cast("double"), F.lit(0.0))))
     one = F.transform("held", lambda x: F.lit(1.0))
     raw = one if equal else F.when(F.exists(score, lambda x: x > 0), score).otherwise(one)
