@@ -6,9 +6,10 @@ of every language, then of every topic. A cell's documents are expected KEEP tim
 its wanted over its actual share of tokens times in the sample: each is there as many
 times as that number has wholes, and once more with the rest as probability; a hash of
 the document's id decides, so any re-run draws the same rows. A cell may need more than it
-has, so the sample meets the targets and holds about KEEP of all tokens; but the raking
-gives no cell more than MOST_COPIES times KEEP of what it has: a value that a handful of
-documents hold is not made a twentieth of the sample by copying them thousands of times.
+has, so the sample meets the targets and holds about KEEP of all tokens, however often the
+documents of a rare cell have to be in it. A caller who wants no document more than
+``most_copies`` times says so; the raking then gives no cell more than that and shares the
+rest among the others, and ``marginals`` tells what each value lacks.
 
 The raking runs on the table of cells (pre-aggregated, at most sources x languages
 x topics rows); documents are only counted and filtered. All of it is DataFrame
@@ -20,7 +21,9 @@ is spread over the others. Without targets every value that occurs gets the same
 "other" has no share where its dimension's targets name none; with keep_other it has its
 actual share of tokens there, and the targets share the rest.
 Empty texts hold no tokens, weigh nothing, and are kept with their cell's
-probability (0 in a cell without tokens). Null ids draw as the empty text does.
+probability (0 in a cell without tokens). Null ids draw as the empty text does, and rows of
+one id draw alike. An empty table gives no rows. Other columns aren't read by ``mixed`` and
+are carried whole by ``sampled``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +39,6 @@ SWEEPS = 12  # of a round
 MOST_ROUNDS = 6
 TOLERANCE = 2e-3  # of a marginal, as a share of its target
 MOST_CELLS = 50_000
-MOST_COPIES = 16  # of a document: what rare cells lack beyond that stays lacking, as marginals tells
 KEEP = 0.5  # of a cell that already has its share
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -88,7 +90,7 @@ def residual(cells: DataFrame) -> float:
     return parts[0].union(parts[1]).union(parts[2]).agg(F.max(off).alias("off")).first()["off"] or 0.0
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps: int = SWEEPS, keep_other: bool = False, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps: int = SWEEPS, keep_other: bool = False, tolerance: float = TOLERANCE, most_copies: int | None = None) -> DataFrame:
     """cells(source, lang, topic, tokens) with weight, the raked share of all tokens that each cell should have,
     expected, how many times a document of the cell should be in the sample, and probability, that it is there at all.
 
@@ -98,14 +100,16 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps:
     cells = common.written(cells, "cells")
     few = cells.count() <= MOST_CELLS
     cells = _shares(cells, targets, keep_other)
-    most, before = F.col("weight") * (MOST_COPIES / KEEP), math.inf
-    cells = cells.withColumn("most", most)
+    before = math.inf
+    if most_copies:
+        cells = cells.withColumn("most", F.col("weight") * (most_copies / KEEP))
     for _ in range(MOST_ROUNDS):
         cells = cells.coalesce(1) if few else cells
         for _ in range(sweeps):
             for name in DIMENSIONS:
                 scale = F.try_divide(F.col(f"want_{name}"), F.sum("weight").over(Window.partitionBy(name)))
-                cells = cells.withColumn("weight", F.least("most", F.coalesce(F.col("weight") * scale, F.lit(0.0))))
+                scaled = F.coalesce(F.col("weight") * scale, F.lit(0.0))
+                cells = cells.withColumn("weight", F.least("most", scaled) if most_copies else scaled)
         cells = common.written(cells, "raked")
         off = residual(cells)
         if off <= tolerance or off > 0.9 * before:  # met, or as near as it gets
@@ -114,7 +118,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps:
     total = cells.agg(F.sum("weight").alias("weight"), F.sum("tokens").alias("tokens")).first()
     cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), F.lit(total["weight"] or 0.0)), F.lit(0.0)))
     need = F.coalesce(F.try_divide(F.col("weight"), F.col("tokens").cast("double")), F.lit(0.0))
-    wanted = F.least(F.lit(float(MOST_COPIES)), F.coalesce(need * F.lit(float(total["tokens"] or 0)) * KEEP, F.lit(0.0)))
+    wanted = F.coalesce(need * F.lit(float(total["tokens"] or 0)) * KEEP, F.lit(0.0))
+    wanted = F.least(F.lit(float(most_copies)), wanted) if most_copies else wanted
     return cells.withColumn("expected", wanted).withColumn("probability", F.least(F.lit(1.0), wanted))
 
 
@@ -144,20 +149,20 @@ def _small(shares: DataFrame) -> DataFrame:
     return F.broadcast(shares) if shares.count() <= MOST_CELLS else shares
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, seed: int = 17, sweeps: int = SWEEPS, keep_other: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, seed: int = 17, sweeps: int = SWEEPS, keep_other: bool = False, most_copies: int | None = None) -> DataFrame:
     """docs(doc_id, text, source, lang) as (doc_id, source, lang, topic, n_tokens, weight, probability, drawn, kept, copies)."""
     targets = targets or {}
     named = [_named(F.col(n), targets.get(n)).alias(n) for n in ("source", "lang")]
     rows = docs.select("doc_id", *named, _named(topic_of(F.col("text")), targets.get("topic")).alias("topic"), token_count(F.col("text")).alias("n_tokens"))
     rows = common.written(rows, "rows")  # texts are read once
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    shares = rake(cells, targets, sweeps, keep_other).select(*DIMENSIONS, "weight", "expected", "probability")
+    shares = rake(cells, targets, sweeps, keep_other, most_copies=most_copies).select(*DIMENSIONS, "weight", "expected", "probability")
     out = rows.join(_small(shares), [*DIMENSIONS])
     out = out.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", draw(F.col("doc_id"), seed).alias("drawn"), "expected")
     return out.withColumn("kept", F.col("drawn") < F.col("probability")).withColumn("copies", copies(F.col("expected"), F.col("drawn"))).drop("expected")
 
 
-def sampled(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, seed: int = 17, keep_other: bool = False) -> DataFrame:
+def sampled(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, seed: int = 17, keep_other: bool = False, most_copies: int | None = None) -> DataFrame:
     """The sample: rows of docs with their own columns, each as many times as its copies."""
     targets = targets or {}
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), "text", "source", "lang")
@@ -165,6 +170,6 @@ def sampled(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None
     marked = marked.select("row", draw(F.col("doc_id"), seed).alias("drawn"), *values, _named(topic_of(F.col("text")), targets.get("topic")).alias("cell_topic"), token_count(F.col("text")).alias("n_tokens"))
     marked = common.written(marked, "marked")  # texts are read once
     cells = marked.groupBy(*[F.col(f"cell_{n}").alias(n) for n in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens"))
-    shares = rake(cells, targets, keep_other=keep_other).select(*[F.col(n).alias(f"cell_{n}") for n in DIMENSIONS], "expected")
+    shares = rake(cells, targets, keep_other=keep_other, most_copies=most_copies).select(*[F.col(n).alias(f"cell_{n}") for n in DIMENSIONS], "expected")
     drawn = marked.join(_small(shares), [f"cell_{n}" for n in DIMENSIONS]).withColumn("copies", copies(F.col("expected"), F.col("drawn")))
     return drawn.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")

@@ -63,7 +63,7 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"), TARGETS).drop("copies").withColumns({c: F.round(c, 9) for c in ("weight", "probability", "drawn")})
+    return mixing.mixed(table(spark, sf_dir, "documents"), TARGETS, keep_other=True).withColumns({c: F.round(c, 9) for c in ("weight", "probability", "drawn")})
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,8 @@ def _mixing_sql() -> str:
         f"docs AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in named.items())}, CASE WHEN trim({tokens}) = '' THEN 0 ELSE length(trim({tokens})) - length(replace(trim({tokens}), ' ', '')) + 1 END AS n_tokens FROM documents)",
         "cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL)",
         "want_source AS (SELECT source, 1.0::DOUBLE / count(*) OVER () AS want FROM (SELECT DISTINCT source FROM cells))",
-        *[f"want_{n} AS (SELECT {n}, ({share(n)})::DOUBLE / sum({share(n)}) OVER () AS want FROM (SELECT DISTINCT {n} FROM cells))" for n in ("lang", "topic")],
+        *[f"""want_{n} AS (SELECT {n}, CASE WHEN {n} = 'other' THEN o ELSE ({share(n)})::DOUBLE / sum({share(n)}) OVER () * (1 - o) END AS want
+  FROM (SELECT DISTINCT {n} FROM cells), (SELECT coalesce(sum(tokens) FILTER ({n} = 'other'), 0) / sum(tokens) AS o FROM cells))""" for n in ("lang", "topic")],
         "w0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells)",
     ]
     k = 0
@@ -112,10 +113,10 @@ def _mixing_sql() -> str:
     steps += [
         f"shares AS (SELECT *, weight / sum(weight) OVER () AS share FROM w{k})",
         "needs AS (SELECT *, coalesce(share / nullif(tokens, 0), 0) AS need FROM shares)",
-        f"final AS (SELECT source, lang, topic, share AS weight, least(1.0::DOUBLE, need * sum(tokens) OVER () * {mixing.KEEP}) AS probability FROM needs)",
+        f"final AS (SELECT source, lang, topic, share AS weight, need * sum(tokens) OVER () * {mixing.KEEP} AS expected FROM needs)",
         "drawn AS (SELECT *, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS drawn FROM docs)",
     ]
-    return f"WITH {', '.join(steps)} SELECT doc_id, source, lang, topic, n_tokens, round(weight, 9) AS weight, round(probability, 9) AS probability, round(drawn, 9) AS drawn, drawn < probability AS kept FROM drawn JOIN final USING (source, lang, topic)"
+    return f"WITH {', '.join(steps)} SELECT doc_id, source, lang, topic, n_tokens, round(weight, 9) AS weight, round(least(1.0, expected), 9) AS probability, round(drawn, 9) AS drawn, drawn < least(1.0, expected) AS kept, floor(expected)::BIGINT + (drawn < expected - floor(expected))::BIGINT AS copies FROM drawn JOIN final USING (source, lang, topic)"
 
 
 def _licenses_sql(containment: float = 0.8, slack: int = 4) -> str:
