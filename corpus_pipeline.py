@@ -28,8 +28,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the target shares of sources, languages and topics; languages without a target keep theirs."""
-    return mixing.sampled(docs, TARGETS, keep_other=True)
+    """Documents sampled to the target shares of sources, languages and topics, none more than 16 times; languages without a target keep theirs."""
+    return mixing.sampled(docs, TARGETS, keep_other=True, most_copies=16)
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
