@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -205,34 +204,7 @@ def folds(days: DataFrame, count: int, train: int, test: int, embargo: int) -> D
     return days.select("trade_date", "trade_index", k).withColumn("role", role).where("role IS NOT NULL")
 
 
-def walk_forward_ridge(df: DataFrame, features: Sequence[str], target: str, block: int, penalty: float = 1.0, least: int = 50) -> DataFrame:
-    """(symbol, trade_date, prediction): each block of dates is predicted by a ridge on all blocks before it.
-
-    Only sums cross the shuffle: one row of cross products for each block; blocks are few.
-    df(symbol, trade_date, trade_index, features, target).
-    """
-    names = ["_1", *features]
-    ok = functools.reduce(lambda a, b: a & b, [col(f).isNotNull() for f in features])
-    rows = df.where(ok).withColumn("_1", F.lit(1.0)).withColumn("block", F.floor((F.col("trade_index") - 1) / block).cast("int"))
-    sums = [F.sum(F.when(col(target).isNotNull(), col(a) * col(b))).alias(f"s_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    sums += [F.sum(col(a) * col(target)).alias(f"t_{i}") for i, a in enumerate(names)]
-    table = rows.groupBy("block").agg(*sums).orderBy("block").toPandas()  # one row for each block of dates
-    k, betas = len(names), []
-    gram, right = np.zeros((k, k)), np.zeros(k)
-    for r in table.to_dict("records"):
-        if gram[0, 0] >= least:
-            betas.append((int(r["block"]), _ridge(gram, right, penalty).tolist()))
-        for i in range(k):
-            right[i] += np.nan_to_num(r[f"t_{i}"] or 0.0)
-            for j in range(i, k):
-                gram[i, j] += np.nan_to_num(r[f"s_{i}_{j}"] or 0.0)
-                gram[j, i] = gram[i, j]
-    fitted = df.sparkSession.createDataFrame(betas, "block int, beta array<double>")
-    inner = F.aggregate(F.zip_with(F.array(*[col(n) for n in names]), F.col("beta"), lambda x, b: x * b), F.lit(0.0), lambda a, x: a + x)
-    return rows.join(F.broadcast(fitted), "block").select("symbol", "trade_date", inner.alias("prediction"))
-
-
-def _ridge(gram: np.ndarray, right: np.ndarray, penalty: float) -> np.ndarray:
+def ridge(gram: np.ndarray, right: np.ndarray, penalty: float) -> np.ndarray:
     """Coefficients on raw features of a ridge on standardised ones; the constant isn't penalised."""
     n, mean = gram[0, 0], gram[0] / gram[0, 0]
     sd = np.sqrt(np.maximum(np.diag(gram) / n - mean**2, 1e-12))[1:]

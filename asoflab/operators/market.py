@@ -42,15 +42,19 @@ def breadth_with_limits(stock: DataFrame, limit: float = 0.095, n: int = 20) ->
     return day.withColumns({"broken_rate": ratio("broken", F.col("broken") + F.col("limit_up")), "amount_ratio": F.when(F.count("amount").over(prior) == n, ratio("amount", F.avg("amount").over(prior))), "up_share": ratio("amount_up", "amount")})
 
 
-def sector_snapshot(stock: DataFrame, market: DataFrame, by: str = "sector", top: int = 3) -> DataFrame:
-    """stock(symbol, trade_date, <by>, ret, amount) by sector and day, relative to market(trade_date, mean_return), with leader and top mean."""
+def sector_snapshot(stock: DataFrame, by: str = "sector", top: int = 3) -> DataFrame:
+    """stock(symbol, trade_date, <by>, ret, amount) by sector and day, with leader and top mean, relative to the day's mean return.
+
+    The day's mean comes from the sectors' sums, so stock is read and shuffled once.
+    """
     place = Window.partitionBy("trade_date", by).orderBy(F.col("ret").desc_nulls_last(), "symbol")
     ranked = stock.withColumn("_place", F.row_number().over(place))
     out = ranked.groupBy("trade_date", by).agg(
         F.count("*").alias("members"), F.count("ret").alias("observed"), F.count_if(F.col("ret") > 0).alias("advancers"), F.avg("ret").alias("mean_return"), F.percentile("ret", F.lit(0.5)).alias("median_return"),
-        F.sum("amount").alias("amount"), F.max(F.when((F.col("_place") == 1) & F.col("ret").isNotNull(), F.col("symbol"))).alias("leader"), F.avg(F.when(F.col("_place") <= top, F.col("ret"))).alias("top_mean"),
+        F.sum("amount").alias("amount"), F.max(F.when((F.col("_place") == 1) & F.col("ret").isNotNull(), F.col("symbol"))).alias("leader"), F.avg(F.when(F.col("_place") <= top, F.col("ret"))).alias("top_mean"), F.sum("ret").alias("_sum"),
     )
-    return out.join(market.select("trade_date", F.col("mean_return").alias("_market")), "trade_date", "left").withColumn("relative", F.col("mean_return") - F.col("_market")).drop("_market")
+    day = Window.partitionBy("trade_date")
+    return out.withColumn("relative", F.col("mean_return") - ratio(F.sum("_sum").over(day), F.sum("observed").over(day))).drop("_sum")
 
 
 def concentration(stock: DataFrame, sizes: Sequence[int] = (10, 50), value: str = "amount") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asoflab.functions.columns import col, pearson, ratio
-from asoflab.operators.evaluate import _ridge
+from asoflab.operators.evaluate import ridge
 
 #: Dates between the last training label's row and the first predicted one: labels run 20 sessions ahead.
 PURGE = 25
@@ -72,7 +72,7 @@ def purged_ridge(df: DataFrame, features: Sequence[str], target: str, window: in
                 full[np.triu_indices(k + 1)] = own
                 full = full + np.triu(full, 1).T
                 if full[0, 0] >= 1:
-                    out.append((start, _ridge(full[:k, :k], full[:k, k], penalty).tolist()))
+                    out.append((start, ridge(full[:k, :k], full[:k, k], penalty).tolist()))
             yield pd.DataFrame(out, columns=["start", "beta"])
 
     n = (k + 1) * (k + 2) // 2

@@ -426,7 +426,7 @@ FACTORS = "factors AS (SELECT symbol, trade_date, (1 + 0.01 * floor(trade_index
 g AS (SELECT symbol, count(adj_factor) = count(*) AS complete, arg_max(adj_factor, trade_date) FILTER (WHERE adj_factor IS NOT NULL) AS last FROM j GROUP BY 1)
 SELECT symbol, trade_date, round(close * CASE WHEN complete THEN adj_factor / last ELSE 1 END, 6) AS close, complete AS adjusted FROM j JOIN g USING (symbol)""")
 def forward_adjusted(spark, sf):
-    bars = pit.with_trade_index(V.bars_a(spark, sf))
+    bars = pit.with_trade_index(V.bars_a(spark, sf), pit.trading_days(V.dates_a(spark, sf)))
     factors = bars.where("NOT (symbol % 10 = 0 AND trade_index = 500)").select("symbol", "trade_date", ((1 + F.floor(F.col("trade_index") / 250) * 0.01) * (1 + F.col("symbol") % 3 * 0.01)).alias("adj_factor"))
     return r(T.forward_adjusted(bars, factors), ["symbol", "trade_date", "adjusted"], close=F.col("close"))
 

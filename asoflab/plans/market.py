@@ -116,7 +116,7 @@ SELECT trade_date, sector, count(*) AS members, count(ret) AS observed, count(*)
 FROM s JOIN day USING (trade_date) GROUP BY 1, 2""".replace("any_value(mean_return)", "any_value(day.mean_return)"))
 def sectors(spark, sf):
     stock = arets(spark, sf)
-    s = M.sector_snapshot(stock.join(V.industries(spark, sf).select("symbol", "sector"), "symbol"), M.market_breadth(stock))
+    s = M.sector_snapshot(stock.join(V.industries(spark, sf).select("symbol", "sector"), "symbol"))
     return s.select("trade_date", "sector", "members", "observed", "advancers", "leader", *[F.round(c, 6).alias(c) for c in ("mean_return", "median_return", "top_mean", "relative")])
 
 

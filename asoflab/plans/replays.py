@@ -53,7 +53,7 @@ def replay_rows(spark, sf):
 
 def replayed(spark, sf) -> DataFrame:
     bars = V.bars_c(spark, sf)
-    days = pit.trading_days(bars).select("trade_date", "trade_index")
+    days = pit.trading_days(V.dates_a(spark, sf)).select("trade_date", "trade_index")
     filed, stated, member = sides(spark, sf)
     grid = pit.dense_grid(bars.select("symbol").distinct(), days, bars).select("symbol", "trade_date", "trade_index", "open", "high", "low", "close")
     rights = {"statement": (filed, "available", ["period"]), "state": (stated, "since", ["status_id"]), "membership": (member, "since", [])}

@@ -11,6 +11,7 @@ from asoflab.operators import market as M
 from asoflab.operators import optimise as O
 from asoflab.operators import pit
 from asoflab.operators import timeseries as T
+from asoflab.operators import walkforward as W
 from asoflab.plans.features import A, B, BY, FACTORS, PATH, RETS, r, rets
 from asoflab.plans.registry import query
 from asoflab.sources import views as V
@@ -168,7 +169,7 @@ def scan(spark, sf):
 
 @query("DOM_5_replay_base", f"""{V.ctes('bars_a', 'days_a')}, {FACTORS}, {PATH} SELECT symbol, trade_date, trade_index, close, round((close - pc) / nullif(pc, 0), 6) AS ret, round(adj_factor, 6) AS adj_factor, close >= pc * 1.1 * 0.999 AS limit_up FROM path JOIN days_a USING (trade_date) LEFT JOIN factors USING (symbol, trade_date)""")
 def replay_base(spark, sf):
-    bars = pit.with_trade_index(V.bars_a(spark, sf))
+    bars = pit.with_trade_index(V.bars_a(spark, sf), pit.trading_days(V.dates_a(spark, sf)))
     factors = bars.where("NOT (symbol % 10 = 0 AND trade_index = 500)").select("symbol", "trade_date", ((1 + F.floor(F.col("trade_index") / 250) * 0.01) * (1 + F.col("symbol") % 3 * 0.01)).alias("adj_factor"))
     x = T.path_features(bars).join(factors, ["symbol", "trade_date"], "left")
     return x.select("symbol", "trade_date", F.col("trade_index").cast("long").alias("trade_index"), "close", F.round("ret", 6).alias("ret"), F.round("adj_factor", 6).alias("adj_factor"), (F.col("close") >= F.col("previous_close") * 1.1 * 0.999).alias("limit_up"))
@@ -215,8 +216,8 @@ def folds(spark, sf):
 
 @query("DOM_46_ridge")
 def ridge(spark, sf):
-    x = pit.with_trade_index(rets(spark, sf)).withColumn("fwd", F.lead("ret").over(T.SYMBOL))
-    return E.walk_forward_ridge(x, ["ret", "amount", "volume"], "fwd", 5).select("symbol", "trade_date", F.round("prediction", 6).alias("prediction"))
+    x = rets(spark, sf).withColumn("fwd", F.lead("ret").over(T.SYMBOL))
+    return W.purged_ridge(x, ["ret", "amount", "volume"], "fwd", window=10, block=5, purge=3).select("symbol", "trade_date", F.round("prediction", 6).alias("prediction"))
 
 
 @query("DOM_51_selection_rules", f"""{B}, {RETS}, k AS (SELECT symbol, trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY amount DESC, symbol) AS amount, row_number() OVER (PARTITION BY trade_date ORDER BY ret DESC NULLS LAST, symbol) AS momentum, row_number() OVER (PARTITION BY trade_date ORDER BY volume DESC, symbol) AS activity FROM rets),

@@ -34,7 +34,7 @@ frame AS (SELECT symbol, trade_date, {_signed('momentum')} AS tech, {_signed('si
 
 def frame(spark, sf) -> DataFrame:
     """(symbol, trade_date, tech, fund, sent, risk, has_event, ret): signed ranks by day of momentum, size and activity; ret runs 20 sessions ahead."""
-    bars = pit.with_trade_index(V.bars_c(spark, sf))
+    bars = pit.with_trade_index(V.bars_c(spark, sf), pit.trading_days(V.dates_a(spark, sf)))
     w = Window.partitionBy("symbol").orderBy("trade_index")
     v = w.rowsBetween(-4, 0)
     raw = bars.select(

@@ -52,7 +52,7 @@ def market_index(bars: DataFrame, days: DataFrame) -> DataFrame:
 def signals(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Observed bars with a full range of 14 bars as signals, with their future sessions; and the index."""
     bars = V.bars_c(spark, sf)
-    days = pit.trading_days(bars).select("trade_date", "trade_index")
+    days = pit.trading_days(V.dates_a(spark, sf)).select("trade_date", "trade_index")
     by = Window.partitionBy("symbol").orderBy("trade_date")
     last = by.rowsBetween(-13, 0)
     own = bars.withColumn("pc", F.lag("close").over(by))

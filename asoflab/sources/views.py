@@ -67,6 +67,11 @@ def bars_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(rows.select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("trade_date"), F.col("value").alias("p"), F.col("event_id").alias("k"), F.lit(1.0).alias("volume"), F.col("value").alias("amount")))
 
 
+def dates_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of bars_a (and bars_c), from their column alone: no bars are built for a calendar."""
+    return read(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date"))
+
+
 def bars_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem")
     key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey")
