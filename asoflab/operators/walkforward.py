@@ -176,9 +176,9 @@ def candidate_metrics(days: DataFrame, keys: Sequence[str], costs: Sequence[int]
 
 
 def family_best(metrics: DataFrame, definitions: DataFrame, cost: int = 40) -> DataFrame:
-    """The candidate of each family with the best Sharpe, then rank IC, then name. definitions(candidate, family, ...)."""
+    """The candidate of each family with the best Sharpe, then rank IC, then name; figures that agree to nine digits are equal. definitions(candidate, family, ...)."""
     at = metrics.where(F.col("cost_bp") == cost).join(F.broadcast(definitions), "candidate")
-    place = F.row_number().over(Window.partitionBy("family").orderBy(F.desc_nulls_last("sharpe"), F.desc_nulls_last("rank_ic"), "candidate"))
+    place = F.row_number().over(Window.partitionBy("family").orderBy(F.desc_nulls_last(F.round("sharpe", 9)), F.desc_nulls_last(F.round("rank_ic", 9)), "candidate"))
     return at.withColumn("_place", place).where("_place = 1").drop("_place")
 
 

@@ -24,9 +24,9 @@ wide AS (SELECT *, avg(volume) OVER before AS v5, avg(amount) OVER before AS a5,
   WINDOW before AS (PARTITION BY symbol ORDER BY trade_index ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), recent AS (PARTITION BY symbol ORDER BY trade_index ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), prior AS (PARTITION BY symbol ORDER BY trade_index ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
 features AS (SELECT symbol, trade_date, close, pc AS previous_close, amount, round(100 * ret, 6) AS change_percent, round(ret, 9) AS change, round(CASE WHEN n5 = 5 THEN volume / nullif(v5, 0) END, 9) AS volume_ratio, round(CASE WHEN n5 = 5 THEN amount / nullif(a5, 0) END, 9) AS amount_ratio, round(CASE WHEN nsd = 20 THEN sd * sqrt(252) END, 9) AS volatility,
   round(open / nullif(pc, 0) - 1, 9) AS gap, CASE WHEN np = 20 THEN close > top END AS breakout, CASE WHEN np = 20 THEN close < bottom END AS breakdown, CASE WHEN symbol % 11 <> 10 THEN 0.05 * (1 + symbol % 3) END AS limit_rate, trade_index - pi > 2 AS stale,
-  CASE WHEN n20 = 20 THEN round(least(1, greatest(-1, (close / nullif(m20, 0) - 1) * 12)), 9) END AS tech, amount_percentile FROM wide),
+  CASE WHEN n20 = 20 THEN least(1, greatest(-1, (close / nullif(m20, 0) - 1) * 12)) END AS tech, amount_percentile FROM wide),
 ready AS (SELECT *, round(volume_ratio / 40, 9) AS turnover_rate, CASE WHEN change IS NOT NULL AND volume_ratio IS NOT NULL THEN CASE WHEN change >= 0.01 THEN 'PRICE_UP' WHEN change <= -0.01 THEN 'PRICE_DOWN' ELSE 'PRICE_FLAT' END || CASE WHEN volume_ratio >= 1.2 THEN '_VOLUME_UP' WHEN volume_ratio <= 0.8 THEN '_VOLUME_DOWN' ELSE '_VOLUME_FLAT' END END AS state,
-  CASE WHEN amount_ratio > 0 THEN round(least(1, greatest(-1, log2(amount_ratio) / 2)), 9) END AS capital, (tech IS NOT NULL)::INT + (amount_ratio IS NOT NULL)::INT + (volatility IS NOT NULL)::INT + (gap IS NOT NULL)::INT + (breakout IS NOT NULL)::INT AS seen FROM features)"""
+  CASE WHEN amount_ratio > 0 THEN least(1, greatest(-1, log2(amount_ratio) / 2)) END AS capital, (tech IS NOT NULL)::INT + (amount_ratio IS NOT NULL)::INT + (volatility IS NOT NULL)::INT + (gap IS NOT NULL)::INT + (breakout IS NOT NULL)::INT AS seen FROM features)"""
 
 _PASS = "((coalesce(change_percent >= 0.5, false) OR coalesce(breakout::INT = 1, false)) AND coalesce(volume_ratio >= 1.0, false) AND coalesce(volatility BETWEEN 0.1 AND 1.5, false))"
 _OR = "(coalesce(change_percent >= 0.5, false) OR coalesce(breakout::INT = 1, false))"
@@ -61,28 +61,28 @@ def scan_features(spark, sf) -> DataFrame:
         F.round(full(C.ratio("volume", F.avg("volume").over(before)), before, 5), 9).alias("volume_ratio"), F.round(full(C.ratio("amount", F.avg("amount").over(before)), before, 5), 9).alias("amount_ratio"),
         F.round(F.when(F.count("lr").over(recent) == 20, F.stddev_samp("lr").over(recent) * F.sqrt(F.lit(252.0))), 9).alias("volatility"), F.round(C.ratio("open", "previous_close") - 1, 9).alias("gap"),
         full(F.col("close") > F.max("high").over(prior), prior, 20).alias("breakout"), full(F.col("close") < F.min("low").over(prior), prior, 20).alias("breakdown"), F.when(F.col("symbol") % 11 != 10, 0.05 * (1 + F.col("symbol") % 3)).alias("limit_rate"),
-        (F.col("trade_index") - F.col("last_index") > 2).alias("stale"), F.round(C.clip(full((C.ratio("close", F.avg("close").over(recent)) - 1) * 12, recent, 20)), 9).alias("technical_score"), (F.rank().over(day.orderBy("amount")) / F.count("*").over(day)).alias("amount_percentile"),
+        (F.col("trade_index") - F.col("last_index") > 2).alias("stale"), C.clip(full((C.ratio("close", F.avg("close").over(recent)) - 1) * 12, recent, 20)).alias("technical_score"), (F.rank().over(day.orderBy("amount")) / F.count("*").over(day)).alias("amount_percentile"),
     )
     price = F.when(F.col("change") >= 0.01, "PRICE_UP").when(F.col("change") <= -0.01, "PRICE_DOWN").otherwise("PRICE_FLAT")
     volume = F.when(F.col("volume_ratio") >= 1.2, "_VOLUME_UP").when(F.col("volume_ratio") <= 0.8, "_VOLUME_DOWN").otherwise("_VOLUME_FLAT")
     f = f.withColumns({
-        "turnover_rate": F.round(F.col("volume_ratio") / 40, 9), "price_volume_state": F.when(F.col("change").isNotNull() & F.col("volume_ratio").isNotNull(), F.concat(price, volume)), "capital_score": F.when(F.col("amount_ratio") > 0, F.round(C.clip(F.log2("amount_ratio") / 2), 9)),
+        "turnover_rate": F.round(F.col("volume_ratio") / 40, 9), "price_volume_state": F.when(F.col("change").isNotNull() & F.col("volume_ratio").isNotNull(), F.concat(price, volume)), "capital_score": F.when(F.col("amount_ratio") > 0, C.clip(F.log2("amount_ratio") / 2)),
         "coverage": sum((F.col(c).isNotNull().cast("int") for c in ("technical_score", "amount_ratio", "volatility", "gap", "breakout")), F.lit(0)) / 5.0, "suspended": F.lit(False), "breakout_n": F.col("breakout").cast("int"),
     })
     return f.withColumns({"shadow_score": (F.col("technical_score") + F.col("capital_score")) / 2, "composite_confidence": F.col("coverage")})
 
 
 @query("DOM_3_SRT_2_scan_cards", f"""{SCAN_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY trade_date, layer ORDER BY CASE WHEN layer = 'CONTROL' THEN amount ELSE 0 END DESC, score DESC, symbol) AS place FROM scored WHERE layer <> 'CORE' OR list_contains(anomalies, 'PRICE_UP_VOLUME_UP'))
-SELECT trade_date, symbol, layer, place, round(score, 6) AS score, array_to_string(anomalies, ',') AS anomalies, array_to_string(risks, ',') AS risks FROM placed WHERE place <= {TOP}""")
+SELECT trade_date, symbol, layer, place, score, array_to_string(anomalies, ',') AS anomalies, array_to_string(risks, ',') AS risks FROM placed WHERE place <= {TOP}""")
 def scan_cards(spark, sf):
     cards = S.scan(scan_features(spark, sf), PLAN, TOP, required=["PRICE_UP_VOLUME_UP"])
-    return cards.select("trade_date", "symbol", "layer", F.col("place").cast("long").alias("place"), F.round("scanner_score", 6).alias("score"), F.array_join("anomalies", ",").alias("anomalies"), F.array_join("risks", ",").alias("risks"))
+    return cards.select("trade_date", "symbol", "layer", F.col("place").cast("long").alias("place"), F.col("scanner_score").alias("score"), F.array_join("anomalies", ",").alias("anomalies"), F.array_join("risks", ",").alias("risks"))
 
 
-@query("SRT_2_scanner_scores", f"""{SCAN_SQL} SELECT symbol, trade_date, layer, round(score, 6) AS score, len(anomalies) AS n_anomalies, len(risks) AS n_risks FROM scored""")
+@query("SRT_2_scanner_scores", f"""{SCAN_SQL} SELECT symbol, trade_date, layer, score, len(anomalies) AS n_anomalies, len(risks) AS n_risks FROM scored""")
 def scanner_scores(spark, sf):
     rows = S.with_score(S.with_anomalies(filters.layered(scan_features(spark, sf), PLAN)))
-    return rows.select("symbol", "trade_date", "layer", F.round(F.round("scanner_score", 9), 6).alias("score"), F.size("anomalies").cast("long").alias("n_anomalies"), F.size("risks").cast("long").alias("n_risks"))
+    return rows.select("symbol", "trade_date", "layer", F.round("scanner_score", 9).alias("score"), F.size("anomalies").cast("long").alias("n_anomalies"), F.size("risks").cast("long").alias("n_risks"))
 
 
 @query("DOM_3_scan_summary", f"""{SCAN_SQL} SELECT trade_date, count(*) AS universe, count(*) FILTER (layer = 'CORE') AS matched, count(*) FILTER (layer = 'NEAR') AS near, round(avg((layer = 'CORE')::INT), 6) AS share FROM layered GROUP BY 1""")

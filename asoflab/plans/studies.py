@@ -177,7 +177,7 @@ def candidate_metrics(spark, sf):
 
 _NEAR = """CASE WHEN a.family = 'STATIC' THEN abs(a.w1 - b.w1) + abs(a.w2 - b.w2) + abs(a.w3 - b.w3) <= 0.2 + 1e-7 WHEN a.family LIKE 'DYNAMIC%' THEN a.method = b.method AND abs(a.wide - b.wide) <= 60 AND abs(a.shrink - b.shrink) <= 0.25 + 1e-7 ELSE true END"""
 _BEST = f"""{_scored_sql()}, {_evaluated('scored', 'candidate', 'e', '[40]')}, rated AS (SELECT * FROM metrics_e JOIN defined USING (candidate)),
-best AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY family ORDER BY sharpe DESC NULLS LAST, rank_ic DESC NULLS LAST, candidate) = 1)"""
+best AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY family ORDER BY round(sharpe, 9) DESC NULLS LAST, round(rank_ic, 9) DESC NULLS LAST, candidate) = 1)"""
 
 
 @query("DOM_48_family_best", f"""{_BEST}, neighbours AS (SELECT a.family, count(*) AS neighbours, count(*) FILTER (b.sharpe >= l.sharpe + 0.15 AND b.rank_ic >= 0.02) AS passes FROM best a JOIN rated b USING (family) CROSS JOIN (SELECT sharpe FROM rated WHERE candidate = 'LEGACY') l WHERE {_NEAR} GROUP BY 1),
