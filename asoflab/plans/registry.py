@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("features", "joins", "market", "research", "texts", "more", "rest", "deeper", "trading", "studies", "linking", "replays", "correlations", "callable", "scans", "statements", "decisions")
+_MODULES = ("features", "joins", "market", "research", "texts", "more", "rest", "deeper", "trading", "studies", "linking", "replays", "correlations", "callable", "scans", "statements", "decisions", "slices")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

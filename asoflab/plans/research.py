@@ -101,14 +101,14 @@ def quantile_returns(spark, sf):
 
 @query("DOM_17_residual", f"""{B}, {RETS}, d AS (SELECT symbol, trade_date, ret - avg(ret) OVER p AS y, amount - avg(amount) OVER p AS a, volume - avg(volume) OVER p AS b FROM rets WHERE ret IS NOT NULL WINDOW p AS (PARTITION BY trade_date)),
 m AS (SELECT *, avg(a * a) OVER p AS aa, avg(b * b) OVER p AS bb, avg(a * b) OVER p AS ab, avg(a * y) OVER p AS ay, avg(b * y) OVER p AS by FROM d WINDOW p AS (PARTITION BY trade_date))
-SELECT symbol, trade_date, round(y - (bb * ay - ab * by) / nullif(aa * bb - ab * ab, 0) * a - (aa * by - ab * ay) / nullif(aa * bb - ab * ab, 0) * b, 3) AS residual FROM m WHERE aa * bb - ab * ab > 1e-6""".replace(" AS by ", ' AS "by" ').replace("ab * by)", 'ab * "by")').replace("(aa * by", '(aa * "by"'))
+SELECT symbol, trade_date, CASE WHEN aa * bb - ab * ab > 1e-6 THEN round(y - (bb * ay - ab * by) / nullif(aa * bb - ab * ab, 0) * a - (aa * by - ab * ay) / nullif(aa * bb - ab * ab, 0) * b, 3) END AS residual FROM m""".replace(" AS by ", ' AS "by" ').replace("ab * by)", 'ab * "by")').replace("(aa * by", '(aa * "by"'))
 def residual(spark, sf):
     x = rets(spark, sf).where("ret IS NOT NULL")
     out = E.with_residual(x, "ret", "amount", "volume", ["trade_date"])
     p = Window.partitionBy("trade_date")
     flat = out.withColumns({"a": F.col("amount") - F.avg("amount").over(p), "b": F.col("volume") - F.avg("volume").over(p)})
     det = flat.withColumn("det", F.avg(F.col("a") * F.col("a")).over(p) * F.avg(F.col("b") * F.col("b")).over(p) - F.pow(F.avg(F.col("a") * F.col("b")).over(p), F.lit(2)))
-    return r(det.where("det > 1e-6"), ["symbol", "trade_date"], 3, residual=F.col("residual"))
+    return r(det, ["symbol", "trade_date"], 3, residual=F.when(F.col("det") > 1e-6, F.col("residual")))
 
 
 @query("DOM_21_q_values", """WITH t AS (SELECT o_custkey AS test, (o_custkey * 7919 % 1000) / 1000.0::DOUBLE AS p FROM orders GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (ORDER BY p, test) AS k, count(*) OVER () AS m FROM t) SELECT test, round(least(1, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q_value FROM k""")
