@@ -81,8 +81,10 @@ def zscore(x: str | Column, *keys: str | Column, sign: int = 1, flat: float | No
 def quintile(x: str | Column, *keys: str | Column, least: int = 5) -> Column:
     """least(5, ceil(5 * cume_dist)), only where there are ``least`` distinct values."""
     by = Window.partitionBy(*keys)
-    cume = F.cume_dist().over(by.orderBy(col(x).asc_nulls_last()))
-    distinct = F.size(F.collect_set(col(x)).over(by))
+    up, down = by.orderBy(col(x).asc_nulls_last()), by.orderBy(col(x).desc_nulls_last())
+    cume = F.cume_dist().over(up)
+    # places from both ends count the distinct values; a set of them would go with every row
+    distinct = F.dense_rank().over(up) + F.dense_rank().over(down) - 1
     return F.when(col(x).isNotNull() & (distinct >= least), F.least(F.lit(5), F.ceil(cume * 5)))
 
 
