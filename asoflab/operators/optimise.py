@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -45,7 +46,9 @@ def optimised_weights(rows: DataFrame, methods: Sequence[str] = METHODS, least:
         return out.assign(portfolio=key[0], rebalance=key[1])[["portfolio", "rebalance", "symbol", "method", "weight"]]
 
     given = rows.where("ret IS NOT NULL").select(F.col("portfolio").cast("long"), F.col("rebalance").cast("long"), F.col("symbol").cast("long"), "trade_index", F.col("ret").cast("double"))
-    return given.groupBy("portfolio", "rebalance").applyInPandas(solve, "portfolio long, rebalance long, symbol long, method string, weight double")
+    # few bytes, much work: as many tasks as keep every core busy, which sizes alone would not give
+    spread = given.repartition(4 * given.sparkSession.sparkContext.defaultParallelism, "portfolio", "rebalance")
+    return spread.groupBy("portfolio", "rebalance").applyInPandas(solve, "portfolio long, rebalance long, symbol long, method string, weight double")
 
 
 def weights(returns: np.ndarray, method: str, cap: float = 0.6, risk_free: float = 0.02) -> np.ndarray:
@@ -61,12 +64,18 @@ def weights(returns: np.ndarray, method: str, cap: float = 0.6, risk_free: float
         return risk_parity(returns, cov)
     cap = max(cap, 1.0 / n)
     if method == "MIN_VARIANCE":
-        return _descend(lambda w: (w @ cov @ w, 2 * cov @ w), equal, cap)
+
+        def variance(w: np.ndarray) -> tuple[float, np.ndarray]:
+            v = cov @ w
+            return w @ v, 2 * v
+
+        return _descend(variance, equal, cap)
     excess = returns.mean(axis=0) * 252 - risk_free
 
     def sharpe(w: np.ndarray) -> tuple[float, np.ndarray]:
-        gain, risk = excess @ w, np.sqrt(max(w @ cov @ w, 1e-16))
-        return -gain / risk, gain * (cov @ w) / risk**3 - excess / risk
+        v = cov @ w
+        gain, risk = excess @ w, math.sqrt(max(w @ v, 1e-16))
+        return -gain / risk, gain * v / risk**3 - excess / risk
 
     return _descend(sharpe, equal, cap)
 
@@ -79,7 +88,8 @@ def _descend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndar
         while step > 1e-14:
             new = nearest(w - step * slope, cap)
             then, its = value(new)
-            if then <= now - 1e-4 / step * np.sum((new - w) ** 2):
+            far = new - w
+            if then <= now - 1e-4 / step * (far @ far):
                 break
             step /= 2
         else:
@@ -92,15 +102,19 @@ def _descend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndar
 
 
 def nearest(w: np.ndarray, cap: float) -> np.ndarray:
-    """The point of {0 <= x <= cap, sum(x) = 1} nearest to w: all of w less one shift, clipped; the shift is bisected."""
-    low, high = w.min() - 1.0, w.max()
-    for _ in range(45):
-        shift = (low + high) / 2
-        if np.clip(w - shift, 0.0, cap).sum() > 1.0:
-            low = shift
-        else:
-            high = shift
-    return np.clip(w - (low + high) / 2, 0.0, cap)
+    """The point of {0 <= x <= cap, sum(x) = 1} nearest to w: all of w less one shift, clipped.
+
+    The clipped sum is linear between the shifts at which an entry leaves 0 or reaches cap, so one sort finds the shift.
+    """
+    n = len(w)
+    ends = np.concatenate([w, w - cap])
+    order = np.argsort(-ends)
+    ends = ends[order]
+    slope = np.cumsum(np.where(order < n, 1.0, -1.0))
+    sums = np.concatenate([[0.0], np.cumsum(slope[:-1] * (ends[:-1] - ends[1:]))])
+    k = int(np.searchsorted(sums, 1.0))
+    shift = ends[-1] if k == len(sums) else ends[k - 1] - (1.0 - sums[k - 1]) / slope[k - 1]
+    return np.minimum(np.maximum(w - shift, 0.0), cap)
 
 
 def risk_parity(returns: np.ndarray, cov: np.ndarray) -> np.ndarray:
