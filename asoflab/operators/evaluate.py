@@ -230,20 +230,21 @@ def capped_weights(raw: Column, cap: float, rounds: int = 8) -> Column:
 def segment_nav(prices: DataFrame, targets: DataFrame, cost: float = 0.0) -> DataFrame:
     """(trade_date, nav): weights drift between rebalances, turnover costs at each; closed form by segment, no loop over days.
 
-    prices(symbol, trade_date, trade_index, close); targets(rebalance_index, symbol, weight), the rest is cash.
+    prices(symbol, trade_date, trade_index, close); targets(rebalance_index, symbol, weight), the rest is cash. So is the
+    weight of a target without a positive price at its rebalance, as it can't be bought.
     """
     points = targets.select("rebalance_index").distinct().withColumn("next_index", F.lead("rebalance_index").over(Window.orderBy("rebalance_index")))
+    base = prices.where("close > 0").select("symbol", F.col("trade_index").alias("rebalance_index"), F.col("close").alias("base"))
+    targets = targets.join(base, ["rebalance_index", "symbol"])
     held = targets.join(F.broadcast(points), "rebalance_index").withColumnRenamed("rebalance_index", "segment")
-    base = prices.select("symbol", F.col("trade_index").alias("segment"), F.col("close").alias("base"))
-    held = held.join(base, ["segment", "symbol"])
-    p = prices.select("symbol", "trade_date", "trade_index", "close")
-    inside = held.join(p, (held["symbol"] == p["symbol"]) & (F.col("trade_index") >= F.col("segment")) & (F.col("next_index").isNull() | (F.col("trade_index") <= F.col("next_index")))).drop(p["symbol"])
+    p = prices.select(F.col("symbol").alias("_key"), "trade_date", "trade_index", "close")
+    inside = held.join(p, (F.col("symbol") == F.col("_key")) & (F.col("trade_index") >= F.col("segment")) & (F.col("next_index").isNull() | (F.col("trade_index") <= F.col("next_index")))).drop("_key")
     grown = inside.withColumn("value", F.col("weight") * F.col("close") / F.col("base"))
     day = grown.groupBy("segment", "trade_date", "trade_index", "next_index").agg((F.lit(1.0) + F.sum("value") - F.sum("weight")).alias("growth"))
     # turnover at a segment's end: next targets against drifted weights
     end = grown.where("trade_index = next_index").select("segment", "symbol", "value", "next_index")
     total = day.where("trade_index = next_index").select("segment", F.col("growth").alias("total"))
-    drifted = end.join(total, "segment").select(F.col("next_index").alias("rebalance_index"), "symbol", (F.col("value") / F.col("total")).alias("drifted"))
+    drifted = end.join(total, "segment").select(F.col("next_index").alias("rebalance_index"), "symbol", ratio("value", "total").alias("drifted"))
     turn = targets.join(drifted, ["rebalance_index", "symbol"], "full").groupBy("rebalance_index").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("drifted", F.lit(0.0)))).alias("turnover"))
     segments = points.join(day.where("trade_index = next_index").select(F.col("segment").alias("rebalance_index"), "growth"), "rebalance_index", "left").join(turn, "rebalance_index", "left")
     before = Window.orderBy("rebalance_index").rowsBetween(Window.unboundedPreceding, -1)
