@@ -18,13 +18,13 @@ _ENTRY, _EXIT = "('STRONG_BUY', 'BUY', 'SMALL_BUY')", "('REDUCE', 'EXIT', 'STOP_
 DECISION_SQL = f"""{V.ctes('bars_c', 'trades')}, flows AS (SELECT portfolio // 8 AS symbol, traded_on AS trade_date, sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) AS flow FROM trades GROUP BY 1, 2),
 path AS (SELECT *, lag(close) OVER w AS pc, lag(trade_date) OVER w AS pd FROM bars_c JOIN flows USING (symbol, trade_date) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
 wide AS (SELECT *, close / nullif(pc, 0) - 1 AS ret, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM path),
-calc AS (SELECT *, coalesce(avg(tr) OVER atr, 0) AS atr, min(low) OVER near AS support, max(high) OVER near AS resistance, CASE WHEN count(*) OVER near = 20 THEN least(1, greatest(-1, (close / nullif(avg(close) OVER near, 0) - 1) * 12)) END AS technical,
-  CASE WHEN count(*) OVER before = 5 THEN least(1, greatest(-1, log2(amount / nullif(avg(amount) OVER before, 0)) / 2)) END AS capital, CASE WHEN count(ret) OVER near = 20 THEN round(stddev_samp(ret) OVER near * sqrt(20), 9) END AS volatility,
+calc AS (SELECT *, coalesce(avg(tr) OVER atr, 0) AS atr, min(low) OVER near AS support, max(high) OVER near AS resistance, round(CASE WHEN count(*) OVER near = 20 THEN least(1, greatest(-1, (close / nullif(avg(close) OVER near, 0) - 1) * 12)) END, 9) AS technical,
+  round(CASE WHEN count(*) OVER before = 5 THEN least(1, greatest(-1, log2(amount / nullif(avg(amount) OVER before, 0)) / 2)) END, 9) AS capital, CASE WHEN count(ret) OVER near = 20 THEN round(stddev_samp(ret) OVER near * sqrt(20), 9) END AS volatility,
   greatest(0, coalesce(sum(flow) OVER before, 0)) AS units, avg(close) OVER before AS cost FROM wide
   WINDOW atr AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), near AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), before AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
 acct AS (SELECT *, round(0.5 * technical + 0.5 * capital, 9) AS score, round(units / (2 * sum(units) OVER d + 100), 9) AS position, round(sum(units) OVER (PARTITION BY trade_date, symbol % 3) / (2 * sum(units) OVER d + 100), 9) AS sector_position, round(1 - sum(units) OVER d / (2 * sum(units) OVER d + 100), 9) AS cash FROM calc WINDOW d AS (PARTITION BY trade_date)),
 q AS (SELECT trade_date, round(quantile_cont(score, 0.9), 9) AS strong_min, round(quantile_cont(score, 0.75), 9) AS buy_min FROM acct GROUP BY 1),
-ready AS (SELECT *, CASE WHEN technical IS NULL THEN 'FAILED' WHEN trade_date - pd > 7 THEN 'STALE' WHEN volatility IS NULL OR volume < 40 THEN 'DEGRADED' ELSE 'FRESH' END AS data_status, symbol % 13 <> 12 AS pit, CASE WHEN ret <= -0.02 THEN 'PRICE_DROP' END AS veto, units > 0 AS held, close / nullif(cost, 0) - 1 AS unrealized,
+ready AS (SELECT *, CASE WHEN technical IS NULL THEN 'FAILED' WHEN trade_date - pd > 7 THEN 'STALE' WHEN volatility IS NULL OR volume < 40 THEN 'DEGRADED' ELSE 'FRESH' END AS data_status, symbol % 13 <> 12 AS pit, CASE WHEN ret <= -0.02 THEN 'PRICE_DROP' END AS veto, units > 0 AS held, round(close / nullif(cost, 0) - 1, 9) AS unrealized,
   round(((technical IS NOT NULL)::INT + (capital IS NOT NULL)::INT + (volatility IS NOT NULL)::INT) / 3.0::DOUBLE, 9) AS sure, coalesce(ret < 0 AND volatility > 0.045, false) AS reminder, coalesce(volatility > 0.055, false) AS risky FROM acct JOIN q USING (trade_date)),
 ruled AS (SELECT *, CASE WHEN data_status = 'FAILED' THEN 'DATA_FAILED_STOP_DECISION' WHEN data_status = 'STALE' THEN 'DATA_STALE_NO_BUY' WHEN NOT pit THEN 'POINT_IN_TIME_FAILED' END AS stopped,
   CASE WHEN held THEN CASE WHEN score >= strong_min AND technical > 0 AND capital > 0 THEN 'SCORE_GE_STRONG_BUY_Q_TREND_CAPITAL_OK' WHEN score >= strong_min THEN 'SCORE_GE_STRONG_BUY_Q_NO_CONFIRM' WHEN score >= buy_min THEN 'SCORE_GE_BUY_Q_HOLD' WHEN score >= -0.5 THEN 'SCORE_BELOW_WATCH_BAND_REDUCE' WHEN unrealized < -0.15 THEN 'SCORE_LT_EXIT_MAX_LOSS_STOP_LOSS' ELSE 'SCORE_LT_EXIT_MAX_EXIT' END
@@ -53,10 +53,11 @@ def candidates(spark, sf) -> DataFrame:
     bars = V.bars_c(spark, sf).join(flows, ["symbol", "trade_date"])
     rows = D.with_levels(bars).withColumns({"ret": C.ratio("close", F.lag("close").over(by)) - 1, "gap": F.datediff("trade_date", F.lag("trade_date").over(by))})
     whole = lambda value, frame, n: F.when(F.count(F.lit(1)).over(frame) == n, value)
+    # compared with 0 or other bounds: means of frames differ in their last digits by how they are added up, so all are rounded
     rows = rows.withColumns({
-        "technical": whole(C.clip((C.ratio("close", F.avg("close").over(near)) - 1) * 12), near, 20), "capital": whole(C.clip(F.log2(C.ratio("amount", F.avg("amount").over(before))) / 2), before, 5),
+        "technical": F.round(whole(C.clip((C.ratio("close", F.avg("close").over(near)) - 1) * 12), near, 20), 9), "capital": F.round(whole(C.clip(F.log2(C.ratio("amount", F.avg("amount").over(before))) / 2), before, 5), 9),
         "volatility": F.when(F.count("ret").over(near) == 20, F.round(F.stddev_samp("ret").over(near) * F.sqrt(F.lit(20.0)), 9)), "units": F.greatest(F.lit(0.0), F.coalesce(F.sum("flow").over(before), F.lit(0.0))),
-        "unrealized": C.ratio("close", F.avg("close").over(before)) - 1,
+        "unrealized": F.round(C.ratio("close", F.avg("close").over(before)) - 1, 9),
     })
     account = 2 * F.sum("units").over(day) + 100
     rows = rows.withColumns({
