@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def gap_split(gap: str | Column, intraday: str | Column) -> tuple[Column, Column
     return F.greatest(along, F.lit(0.0)), F.greatest(-along, F.lit(0.0))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value evaluated once, however often it is used: columns are copied into each use, windows and folds too."""
+    return F.transform(F.array(value), then)[0]
+
+
 def history(x: str | Column, by: WindowSpec, n: int) -> Column:
     """The last n values, oldest first."""
     return F.collect_list(col(x)).over(trailing(by, n))
@@ -50,9 +57,8 @@ def ema_weights(period: int, n: int) -> list[float]:
 
 def ema_finite(x: str | Column, by: WindowSpec, period: int, n: int = 60) -> Column:
     """EMA over the last n values as a fixed weight vector; NULL until there are n."""
-    values = history(x, by, n)
     weights = F.array(*[F.lit(w) for w in ema_weights(period, n)])
-    return F.when(F.size(values) == n, F.aggregate(F.zip_with(values, weights, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v))
+    return once(history(x, by, n), lambda values: F.when(F.size(values) == n, F.aggregate(F.zip_with(values, weights, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)))
 
 
 def macd_weights(n: int = 60) -> dict[str, list[float]]:
@@ -71,16 +77,20 @@ def macd(values: Column, n: int = 60) -> Column:
     """Struct (dif, dea, histogram, state) of an array of at most n values, oldest first: histogram is twice
     DIF less DEA; state GOLDEN or DEAD by its sign, else FLAT."""
     w = {k: F.array(*[F.lit(x) for x in v]) for k, v in macd_weights(n).items()}
-    size = F.size(values)
-    newest_first = F.reverse(values)
 
-    def weighed(name: str) -> Column:
-        products = F.zip_with(newest_first, F.slice(w[name], 1, size), lambda v, x: v * x)
-        return F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + F.get(values, F.lit(0)) * F.get(w[f"{name}_more"], size - 1)
+    def of(values: Column) -> Column:
+        size = F.size(values)
+
+        def weighed(newest_first: Column, name: str) -> Column:
+            products = F.zip_with(newest_first, F.slice(w[name], 1, size), lambda v, x: v * x)
+            return F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + F.get(values, F.lit(0)) * F.get(w[f"{name}_more"], size - 1)
+
+        pair = once(F.reverse(values), lambda back: F.struct(weighed(back, "dif").alias("dif"), weighed(back, "dea").alias("dea")))
+        whole = once(pair, lambda m: F.struct(m["dif"].alias("dif"), m["dea"].alias("dea"), ((m["dif"] - m["dea"]) * 2).alias("histogram")))
+        state = lambda h: F.when(h > 0, "GOLDEN").when(h < 0, "DEAD").otherwise("FLAT")
+        return F.when(size > 0, once(whole, lambda m: F.struct(m["dif"].alias("dif"), m["dea"].alias("dea"), m["histogram"].alias("histogram"), state(F.round(m["histogram"], 4)).alias("state"))))
 
-    pair = F.transform(F.array(F.struct(weighed("dif").alias("dif"), weighed("dea").alias("dea"))), lambda m: F.struct(m["dif"].alias("dif"), m["dea"].alias("dea"), ((m["dif"] - m["dea"]) * 2).alias("histogram")))[0]
-    whole = F.transform(F.array(pair), lambda m: F.struct(m["dif"].alias("dif"), m["dea"].alias("dea"), m["histogram"].alias("histogram"), F.when(F.round(m["histogram"], 4) > 0, "GOLDEN").when(F.round(m["histogram"], 4) < 0, "DEAD").otherwise("FLAT").alias("state")))[0]
-    return F.when(size > 0, whole)
+    return once(values, of)
 
 
 def rsi_simple(x: str, by: WindowSpec, n: int = 14) -> Column:
@@ -92,13 +102,20 @@ def rsi_simple(x: str, by: WindowSpec, n: int = 14) -> Column:
 
 def rsi_wilder(values: Column, n: int = 14) -> Column:
     """Wilder's RSI inside an array of closes: seeded with the first n changes, then smoothed."""
-    deltas = F.zip_with(F.slice(values, 2, F.size(values) - 1), F.slice(values, 1, F.size(values) - 1), lambda b, a: b - a)
     up = lambda part, sign: F.aggregate(part, F.lit(0.0), lambda s, d: s + F.greatest(d * sign, F.lit(0.0))) / F.lit(float(n))
-    head, tail = F.slice(deltas, 1, n), F.slice(deltas, n + 1, F.greatest(F.size(deltas) - n, F.lit(0)))
-    start = F.struct(up(head, 1.0).alias("g"), up(head, -1.0).alias("l"))
     smooth = lambda s, d: F.struct(((s["g"] * (n - 1) + F.greatest(d, F.lit(0.0))) / n).alias("g"), ((s["l"] * (n - 1) + F.greatest(-d, F.lit(0.0))) / n).alias("l"))
-    end = F.aggregate(tail, start, smooth)
-    return F.when(F.size(values) > n, F.when(end["l"] == 0, 100.0).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.try_divide(end["g"], end["l"]))))
+
+    def smoothed(deltas: Column) -> Column:
+        head, tail = F.slice(deltas, 1, n), F.slice(deltas, n + 1, F.greatest(F.size(deltas) - n, F.lit(0)))
+        return once(head, lambda h: F.aggregate(tail, F.struct(up(h, 1.0).alias("g"), up(h, -1.0).alias("l")), smooth))
+
+    def of(values: Column) -> Column:
+        deltas = F.zip_with(F.slice(values, 2, F.size(values) - 1), F.slice(values, 1, F.size(values) - 1), lambda b, a: b - a)
+        end = once(deltas, smoothed)
+        told = once(end, lambda e: F.when(e["l"] == 0, 100.0).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.try_divide(e["g"], e["l"]))))
+        return F.when(F.size(values) > n, told)
+
+    return once(values, of)
 
 
 def kdj(rsv: Column) -> Column:
@@ -109,9 +126,11 @@ def kdj(rsv: Column) -> Column:
         k = s["k"] * (2.0 / 3) + v / 3.0
         return F.struct(k.alias("k"), (s["d"] * (2.0 / 3) + k / 3.0).alias("d"), s["k"].alias("k0"), s["d"].alias("d0"))
 
-    end = F.aggregate(rsv, start, step)
-    crossed = (end["k0"] >= end["d0"]) & (end["k"] < end["d"]) & (end["k0"] > 70)
-    return F.struct(end["k"].alias("k"), end["d"].alias("d"), (end["k"] * 3 - end["d"] * 2).alias("j"), crossed.alias("crossed"))
+    def told(end: Column) -> Column:
+        crossed = (end["k0"] >= end["d0"]) & (end["k"] < end["d"]) & (end["k0"] > 70)
+        return F.struct(end["k"].alias("k"), end["d"].alias("d"), (end["k"] * 3 - end["d"] * 2).alias("j"), crossed.alias("crossed"))
+
+    return once(F.aggregate(rsv, start, step), told)
 
 
 def true_range(high: str, low: str, previous_close: str) -> Column:

@@ -2,12 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from asoflab.functions import columns as C
 from asoflab.operators import evaluate as E
 from asoflab.operators import optimise as O
 from asoflab.operators import outcomes as T
+from asoflab.operators import timeseries as TS
 from asoflab.plans import trading as P
 
 
@@ -54,3 +56,14 @@ def test_entries_on_the_bound_of_the_zone_are_the_querys_and_the_sqls(spark, duc
     for k, (close, atr, entry) in enumerate(rows):
         inside = duck.execute(f"SELECT {P._INSIDE} FROM (SELECT {close!r}::DOUBLE AS close, {atr!r}::DOUBLE AS atr, [{{'o': {entry!r}::DOUBLE}}] AS f)").fetchone()[0]
         assert inside == (k in bought)
+
+
+def test_windows_and_folds_of_indicators_stand_once_in_a_plan(spark):
+    df = spark.createDataFrame([(1, k, float(10 + k * 7 % 5)) for k in range(80)], "symbol int, trade_date int, close double")
+    by = TS.history("close", Window.partitionBy("symbol").orderBy("trade_date"), 60)
+    for told in (TS.rsi_wilder(by), TS.macd(by), TS.kdj(by), TS.ema_finite("close", Window.partitionBy("symbol").orderBy("trade_date"), 12)):
+        text = plan(df.select("symbol", told.alias("x")))
+        assert text.count("collect_list") == 1, text
+    folded = df.select("symbol", TS.kdj(by).alias("e"))
+    text = plan(folded.select("e.k", "e.d", "e.j"))
+    assert text.count("aggregate(") == 1, text
