@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from asoflab.functions.columns import col, pearson, ratio
 from asoflab.operators.evaluate import ridge
+from asoflab.sources import shared
 
 #: Dates between the last training label's row and the first predicted one: labels run 20 sessions ahead.
 PURGE = 25
@@ -123,18 +124,66 @@ def rolling_weights(daily: DataFrame, factors: Sequence[str], windows: Sequence[
     return long.select("trade_date", "method", "window", "shrink", F.transform("held", lambda x: x / F.aggregate("held", F.lit(0.0), lambda s, y: s + y)).alias("weights"))
 
 
-def linear_scores(df: DataFrame, weights: DataFrame, factors: Sequence[str], risk: str) -> DataFrame:
-    """df(symbol, trade_date, factors, risk, ret) scored by each of weights(candidate, weights, penalty, risk_scale[, trade_date]).
+def _rank(x: np.ndarray) -> np.ndarray:
+    """Average rank over the number of values."""
+    order = np.argsort(x, kind="stable")
+    starts = np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]])
+    sizes = np.diff(np.r_[starts, len(x)])
+    out = np.empty(len(x))
+    out[order] = np.repeat(starts + 1 + (sizes - 1) / 2.0, sizes) / len(x)
+    return out
 
-    Weights are a row for each candidate, or for each candidate and date; both are small and broadcast.
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> float:
+    if x.min() == x.max() or y.min() == y.max():
+        return np.nan
+    a, b = x - x.mean(), y - y.mean()
+    spread = np.sqrt((a @ a) / len(a)) * np.sqrt((b @ b) / len(b))
+    return (a @ b) / len(a) / spread if spread else np.nan
+
+
+DAYS = "candidate string, trade_date date, n long, ic double, rank_ic double, spread double, selected long, gross double, exposure double"
+
+
+def _day(factors: Sequence[str]):
+    """A day's rows under the weights of all of its candidates; ranks of returns are taken once."""
+
+    def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        names, out = [c.split()[0] for c in DAYS.split(", ")], []
+        if len(rows) and len(own):
+            x, ret, risk = rows[list(factors)].to_numpy(float).T, rows["ret"].to_numpy(float), rows["risk"].to_numpy(bool)
+            ranks, mean = _rank(ret), lambda v: v.mean() if len(v) else np.nan
+            for candidate, weights, penalty, risk_scale in zip(own["candidate"], own["weights"], own["penalty"], own["risk_scale"], strict=True):
+                score = weights[0] * x[0]
+                for w, v in zip(weights[1:], x[1:], strict=True):
+                    score = score + w * v
+                score = score - penalty * risk
+                score = np.copysign(np.floor(np.abs(score) * 1e9 + 0.5) / 1e9, score)
+                scale, s = np.where(risk, risk_scale, 1.0), _rank(score)
+                best = s > 0.9
+                out.append((candidate, rows["trade_date"].iat[0], len(rows), _correlation(score, ret), _correlation(s, ranks), mean(ret[best]) - mean(ret[s <= 0.1]), int(best.sum()), mean((ret * scale)[best]), mean(scale[best])))
+        return pd.DataFrame(out, columns=names)
+
+    return run
+
+
+def scored_days(df: DataFrame, weights: DataFrame, factors: Sequence[str], risk: str) -> DataFrame:
+    """One row for each candidate and day: n, ic, rank_ic, spread of the outer tenths, size, gross return and exposure of the best tenth.
+
+    df(trade_date, factors, risk, ret) scored by weights(candidate, trade_date, weights, penalty, risk_scale), a row for each candidate
+    and date; scores are rounded to nine digits. A day's rows move once for all candidates. Rows with a NULL score or return don't count.
     """
-    own = F.broadcast(weights)
-    both = df.join(own, "trade_date") if "trade_date" in weights.columns else df.join(own)
-    parts = [F.col("weights")[k] * col(f) for k, f in enumerate(factors)]
-    score = parts[0]
-    for p in parts[1:]:
-        score = score + p
-    return both.select("candidate", "symbol", "trade_date", F.round(score - F.col("penalty") * col(risk).cast("double"), 9).alias("score"), "ret", F.when(col(risk), F.col("risk_scale")).otherwise(1.0).alias("scale"))
+    shared.importable(df.sparkSession)
+    rows = df.select("trade_date", *[col(f).cast("double").alias(f) for f in factors], col(risk).alias("risk"), "ret").dropna()
+    own = weights.select(F.col("trade_date").alias("day"), "candidate", "weights", "penalty", "risk_scale")
+    return rows.groupBy("trade_date").cogroup(own.groupBy("day")).applyInPandas(_day(factors), DAYS)
+
+
+def traded_days(days: DataFrame, keys: Sequence[str], least: int = 100, every: int = 20) -> DataFrame:
+    """Days of ``scored_days`` by keys with at least so many rows; gross and exposure stand only on every ``every``-th date of the keys."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("trade_date")) - 1
+    day = days.withColumn("traded", (place % every == 0) & (F.col("selected") > 0)).where(F.col("n") >= least)
+    return day.withColumns({c: F.when(F.col("traded"), F.col(c)) for c in ("gross", "exposure")})
 
 
 def candidate_days(scored: DataFrame, keys: Sequence[str], least: int = 100, every: int = 20) -> DataFrame:
@@ -147,9 +196,7 @@ def candidate_days(scored: DataFrame, keys: Sequence[str], least: int = 100, eve
         F.count("*").alias("n"), pearson("score", "ret").alias("ic"), pearson("_s", "_r").alias("rank_ic"), (F.avg(F.when(best, F.col("ret"))) - F.avg(F.when(worst, F.col("ret")))).alias("spread"),
         F.count_if(best).alias("selected"), F.avg(F.when(best, F.col("ret") * F.col("scale"))).alias("gross"), F.avg(F.when(best, F.col("scale"))).alias("exposure"),
     )
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("trade_date")) - 1
-    day = day.withColumn("traded", (place % every == 0) & (F.col("selected") > 0)).where(F.col("n") >= least)
-    return day.withColumns({c: F.when(F.col("traded"), F.col(c)) for c in ("gross", "exposure")})
+    return traded_days(day, keys, least, every)
 
 
 def candidate_metrics(days: DataFrame, keys: Sequence[str], costs: Sequence[int] = (0, 20, 40, 60), year: float = 252.0 / 20.0) -> DataFrame:
@@ -209,15 +256,15 @@ def neighbour_passes(best: DataFrame, metrics: DataFrame, definitions: DataFrame
     return out.withColumn("pass_ratio", F.col("passes") / F.col("neighbours"))
 
 
-def matched_baseline(best: DataFrame, days: DataFrame, legacy_scored: DataFrame, least: int, costs: Sequence[int] = (40,)) -> DataFrame:
-    """Metrics of the legacy score on the dates that each best candidate has: a semi join of dates for each family."""
-    own = days.join(F.broadcast(best.select("candidate", "family")), "candidate").select("family", "trade_date").distinct()
-    rows = legacy_scored.drop("candidate").join(F.broadcast(own), "trade_date")  # a row for each family and date
-    return candidate_metrics(candidate_days(rows, ["family"], least), ["family"], costs)
+def matched_baseline(best: DataFrame, days: DataFrame, legacy: str, least: int, costs: Sequence[int] = (40,)) -> DataFrame:
+    """Metrics of the legacy score on the dates that each best candidate has with enough rows: a join of dates for each family."""
+    own = days.where(F.col("n") >= least).join(F.broadcast(best.select("candidate", "family")), "candidate").select("family", "trade_date").distinct()
+    rows = days.where(F.col("candidate") == legacy).drop("candidate").join(F.broadcast(own), "trade_date")  # a row for each family and date
+    return candidate_metrics(traded_days(rows, ["family"], least), ["family"], costs)
 
 
-def fold_rows(scored: DataFrame, dates: DataFrame, windows: Sequence[int], block: int = 40, purge: int = PURGE) -> DataFrame:
-    """scored rows once for each training window, with train_window and fold: blocks of dates that start ``window`` + ``purge`` dates in."""
-    w = scored.join(F.broadcast(dates), "trade_date").withColumn("train_window", F.explode(F.array(*map(F.lit, windows))))
+def fold_days(days: DataFrame, dates: DataFrame, windows: Sequence[int], block: int = 40, purge: int = PURGE) -> DataFrame:
+    """Days of ``scored_days`` once for each training window, with train_window and fold: blocks of dates that start ``window`` + ``purge`` dates in."""
+    w = days.join(F.broadcast(dates), "trade_date").withColumn("train_window", F.explode(F.array(*map(F.lit, windows))))
     first = F.col("train_window") + purge
     return w.where(F.col("place") >= first).withColumn("fold", F.floor((F.col("place") - first) / block)).drop("place")

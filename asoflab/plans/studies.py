@@ -124,14 +124,17 @@ def defined(spark) -> DataFrame:
     return spark.createDataFrame(DEFINITIONS, "candidate string, family string, params map<string,double>")
 
 
-def scored(spark, f: DataFrame) -> DataFrame:
-    """All candidates' scores of frame f: (candidate, symbol, trade_date, score, ret, scale)."""
-    d = defined(spark)
+def days(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """W.scored_days of the frame, a row for each candidate and date that is read several times, and the frame's dates with their places."""
+    shared.checkpoint_dir(spark)
+    f, d = frame(spark, sf).select("trade_date", *FACTORS, "risk", "ret").checkpoint(), defined(spark)  # weights need the frame's own days first
     p = lambda name, other: F.coalesce(F.col("params")[name], F.lit(other))
     fixed = d.where("family IN ('LEGACY', 'STATIC', 'RISK_OVERLAY')").select("candidate", F.array(p("tech", 0.6), p("fund", 0.4), p("sent", 0.0)).alias("weights"), p("penalty", 0.0).alias("penalty"), p("scale", 1.0).alias("risk_scale"))
     own = d.where("family LIKE 'DYNAMIC%'").select("candidate", F.element_at(F.array(*map(F.lit, METHODS)), F.col("params")["method"].cast("int") + 1).alias("method"), F.col("params")["window"].cast("int").alias("window"), F.col("params")["shrink"].alias("shrink"), p("penalty", 0.0).alias("penalty"), p("scale", 1.0).alias("risk_scale"))
     moving = dynamic_weights(f).join(F.broadcast(own), ["method", "window", "shrink"]).select("candidate", "trade_date", "weights", "penalty", "risk_scale")
-    return W.linear_scores(f, fixed, FACTORS, "risk").unionByName(W.linear_scores(f, moving, FACTORS, "risk"))
+    dates = W.date_places(f)
+    weights = dates.drop("place").join(F.broadcast(fixed)).select(moving.columns).unionByName(moving)
+    return W.scored_days(f, weights, FACTORS, "risk").checkpoint(), dates
 
 
 def _scored_sql() -> str:
@@ -171,7 +174,7 @@ def _told(df: DataFrame, keys: list[str], names=METRICS) -> DataFrame:
 
 @query("DOM_47_candidate_metrics", f"{_scored_sql()}, {_evaluated('scored', 'candidate', 'e', '[0, 20, 40, 60]')} SELECT candidate, cost_bp, {', '.join(COUNTS)}, {_ROUNDED} FROM metrics_e")
 def candidate_metrics(spark, sf):
-    m = W.candidate_metrics(W.candidate_days(scored(spark, frame(spark, sf)), ["candidate"], LEAST), ["candidate"])
+    m = W.candidate_metrics(W.traded_days(days(spark, sf)[0], ["candidate"], LEAST), ["candidate"])
     return _told(m, ["candidate", "cost_bp", *COUNTS])
 
 
@@ -185,14 +188,11 @@ matched AS (SELECT DISTINCT family, trade_date FROM days_e JOIN best USING (cand
 SELECT family, candidate, neighbours, passes, round(passes / neighbours, 4) AS pass_ratio, round(best.sharpe, 4) AS sharpe, round(best.rank_ic, 4) AS rank_ic, metrics_m.valid_dates AS matched_dates, round(metrics_m.sharpe, 4) AS matched_sharpe, round(metrics_m.rank_ic, 4) AS matched_rank_ic, round(metrics_m.annualized_return, 4) AS matched_return
 FROM best JOIN neighbours USING (family) JOIN metrics_m USING (family)""")
 def family_best(spark, sf):
-    d = defined(spark)
-    shared.checkpoint_dir(spark)
-    s = scored(spark, frame(spark, sf))
-    days = W.candidate_days(s, ["candidate"], LEAST).checkpoint()  # a row for each candidate and date, read four times
-    m = W.candidate_metrics(days, ["candidate"], (40,)).checkpoint()
+    d, (each, _) = defined(spark), days(spark, sf)
+    m = W.candidate_metrics(W.traded_days(each, ["candidate"], LEAST), ["candidate"], (40,)).checkpoint()
     best = W.family_best(m, d)
     near = W.neighbour_passes(best, m, d, AXES, "LEGACY")
-    matched = W.matched_baseline(best, days, s.where("candidate = 'LEGACY'"), LEAST).select("family", F.col("valid_dates").alias("matched_dates"), *[F.col(c).alias(f"matched_{n}") for c, n in (("sharpe", "sharpe"), ("rank_ic", "rank_ic"), ("annualized_return", "return"))])
+    matched = W.matched_baseline(best, each, "LEGACY", LEAST).select("family", F.col("valid_dates").alias("matched_dates"), *[F.col(c).alias(f"matched_{n}") for c, n in (("sharpe", "sharpe"), ("rank_ic", "rank_ic"), ("annualized_return", "return"))])
     out = best.select("family", "candidate", "sharpe", "rank_ic").join(near, ["family", "candidate"]).join(matched, "family")
     return _told(out, ["family", "candidate", "neighbours", "passes", "matched_dates"], ("pass_ratio", "sharpe", "rank_ic", "matched_sharpe", "matched_rank_ic", "matched_return"))
 
@@ -204,11 +204,9 @@ _FOLD = ("ic", "rank_ic", "spread", "mean_return", "max_drawdown", "win_rate", "
 folded AS (SELECT * EXCLUDE (place), (place - train_window - 25) // 40 AS fold FROM (SELECT s.*, place, unnest([60, 120]) AS train_window FROM scored s SEMI JOIN best USING (candidate) JOIN places USING (trade_date)) WHERE place >= train_window + 25), {_evaluated('folded', 'candidate, train_window, fold', 'f', '[40]')}
 SELECT candidate, train_window, fold, valid_dates, periods, {', '.join(f'round({c}, 4) AS {c}' for c in _FOLD)} FROM metrics_f""")
 def fold_metrics(spark, sf):
-    f = frame(spark, sf)
-    s = scored(spark, f)
-    shared.checkpoint_dir(spark)
-    best = W.family_best(W.candidate_metrics(W.candidate_days(s, ["candidate"], LEAST).checkpoint(), ["candidate"], (40,)), defined(spark))
-    own = s.join(F.broadcast(best.select("candidate")), "candidate", "left_semi")
+    each, dates = days(spark, sf)
+    best = W.family_best(W.candidate_metrics(W.traded_days(each, ["candidate"], LEAST), ["candidate"], (40,)), defined(spark))
+    own = each.join(F.broadcast(best.select("candidate")), "candidate", "left_semi")
     keys = ["candidate", "train_window", "fold"]
-    m = W.candidate_metrics(W.candidate_days(W.fold_rows(own, W.date_places(f), WINDOWS), keys, LEAST), keys, (40,))
+    m = W.candidate_metrics(W.traded_days(W.fold_days(own, dates, WINDOWS), keys, LEAST), keys, (40,))
     return _told(m, [*keys, "valid_dates", "periods"], _FOLD)

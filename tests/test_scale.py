@@ -10,6 +10,7 @@ from asoflab.operators import evaluate as E
 from asoflab.operators import optimise as O
 from asoflab.operators import outcomes as T
 from asoflab.operators import timeseries as TS
+from asoflab.operators import walkforward as W
 from asoflab.plans import trading as P
 
 
@@ -67,3 +68,21 @@ def test_windows_and_folds_of_indicators_stand_once_in_a_plan(spark):
     folded = df.select("symbol", TS.kdj(by).alias("e"))
     text = plan(folded.select("e.k", "e.d", "e.j"))
     assert text.count("aggregate(") == 1, text
+
+
+def test_a_days_rows_move_once_for_all_candidates(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"2024-01-{d:02d}", *map(float, rng.integers(0, 6, 3)), bool(rng.random() < 0.3), None if rng.random() < 0.05 else float(rng.integers(-4, 5)) / 10) for d in range(1, 25) for _ in range(40)]
+    df = spark.createDataFrame(rows, "trade_date string, tech double, fund double, sent double, risk boolean, ret double").withColumn("trade_date", F.to_date("trade_date"))
+    own = [(f"c{k}", f"2024-01-{d:02d}", [0.1 * k, 0.5, 0.2], 0.05 * k, 1.0 - 0.2 * k) for k in range(4) for d in range(1, 25 - k)]
+    weights = spark.createDataFrame(own, "candidate string, trade_date string, weights array<double>, penalty double, risk_scale double").withColumn("trade_date", F.to_date("trade_date"))
+    told = W.scored_days(df, weights, ("tech", "fund", "sent"), "risk")
+    assert " Join " not in plan(told) and "Window" not in plan(told)
+    f = df.join(weights, "trade_date")
+    score = F.col("weights")[0] * F.col("tech") + F.col("weights")[1] * F.col("fund") + F.col("weights")[2] * F.col("sent") - F.col("penalty") * F.col("risk").cast("double")
+    plain = f.select("candidate", "trade_date", F.lit(1).alias("symbol"), F.round(score, 9).alias("score"), "ret", F.when(F.col("risk"), F.col("risk_scale")).otherwise(1.0).alias("scale"))
+    a, b = ({(r["candidate"], r["trade_date"]): r.asDict() for r in x.collect()} for x in (W.traded_days(told, ["candidate"], 30, 5), W.candidate_days(plain, ["candidate"], 30, 5)))
+    assert a.keys() == b.keys() and len(a) > 50
+    for key, x in a.items():
+        for name, value in x.items():
+            assert b[key][name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), (key, name)
