@@ -1,11 +1,13 @@
-"""Correlations of many columns at once: ranks by ranges of (column, value), cross moments of all pairs in one pass."""
+"""Correlations of many columns at once: ranks by ranges of values, rows packed as arrays, cross moments of all pairs in one pass."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ def spread_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Values become rows (column, value), are sorted by ranges and ranked inside each range; only a range's first and last value
     may go on in others, so a table of two values for each range, broadcast, tells what lies before them. A value that a third
-    of all rows share spreads over as many ranges as it fills, and nothing is joined on values.
+    of all rows share spreads over as many ranges as it fills, and nothing is joined on values. Every value travels three times as a
+    row of its own: ``pair_moments`` ranks without that.
     """
     shared.checkpoint_dir(df.sparkSession)
     numbered = df.select(F.monotonically_increasing_id().alias("row"), *[F.col(c).cast("double").alias(c) for c in columns]).checkpoint()
@@ -45,42 +48,113 @@ def spread_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return told.select("row", *columns, F.array(*[F.col("ranks")[k] for k in range(len(columns))]).alias("ranks"))
 
 
-def _partial(width: int):
-    """Sums of a task's rows: for each column a row of arrays over the other columns, of values and of ranks."""
+#: Rows that are packed together, and distinct values of a column that a range holds on average.
+CHUNK, RANGE = 1 << 17, 1 << 18
+PACKED = "chunk long, c long, rows long, marks array<double>, values binary, counts binary, codes binary, sums array<double>"
 
-    def sums(x: np.ndarray) -> np.ndarray:
-        there = ~np.isnan(x)
-        m, z = there.astype(float), np.where(there, x, 0.0)
-        return np.stack([m.T @ m, z.T @ m, m.T @ z, (z * z).T @ m, m.T @ (z * z), z.T @ z])
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """(column, columns * SUMS) of a chunk's rows."""
+    there = ~np.isnan(x)
+    m, z = there.astype(float), np.where(there, x, 0.0)
+    return np.stack([m.T @ m, z.T @ m, m.T @ z, (z * z).T @ m, m.T @ (z * z), z.T @ z]).transpose(1, 2, 0).reshape(x.shape[1], -1)
+
+
+def _packed(width: int):
+    """Chunks of a task's rows: for each column its distinct values in order, how often they come, each row's place among them (-1: NULL), and sums of values."""
+
+    def chunk(number: int, x: np.ndarray) -> pd.DataFrame:
+        out, sums = [], _sums(x)
+        for c in range(width):
+            there = ~np.isnan(x[:, c])
+            values, codes, counts = np.unique(x[there, c] + 0.0, return_inverse=True, return_counts=True)
+            own = np.full(len(x), -1, np.int32)
+            own[there] = codes
+            marks = values[np.linspace(0, len(values) - 1, min(len(values), 64)).astype(int)].tolist() if len(values) else []
+            out.append((number, c, len(values), marks, values.tobytes(), counts.astype(np.int32).tobytes(), own.tobytes(), sums[c].tolist()))
+        return pd.DataFrame(out, columns=[p.split()[0] for p in PACKED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, len(SUMS), width, width))
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
-            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[:width]]) if b.num_rows else np.empty((0, width))
-            ranks = np.array([np.nan if v is None else v for v in b.column(width).flatten().to_pylist()]).reshape(-1, width)
-            held[0] += sums(values)
-            held[1] += sums(ranks)
-        for kind in (0, 1):
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * width), pa.array(range(width)), pa.array(held[kind].transpose(1, 2, 0).reshape(width, -1).tolist(), pa.list_(pa.float64()))], ["kind", "i", "sums"])
+            held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) if b.num_rows else np.empty((0, width)))
+            n += b.num_rows
+            if n >= CHUNK:
+                yield pa.RecordBatch.from_pandas(chunk(number, np.concatenate(held)), preserve_index=False)
+                number, held, n = number + 1, [], 0
+        if n:
+            yield pa.RecordBatch.from_pandas(chunk(number, np.concatenate(held)), preserve_index=False)
+
+    return run
+
+
+def _dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A chunk's distinct values of a column, cut at the column's bounds: (c, part, chunk, values, counts)."""
+    for f in frames:
+        out = []
+        for chunk, c, raw, counts, bounds in zip(f["chunk"], f["c"], f["values"], f["counts"], f["bounds"], strict=True):
+            values, counts = np.frombuffer(raw, float), np.frombuffer(counts, np.int32)
+            part = np.searchsorted(np.unique(np.asarray(bounds, float)), values, side="right")
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+            out += [(c, int(part[i]), chunk, values[i:j].tobytes(), counts[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        yield pd.DataFrame(out, columns=["c", "part", "chunk", "values", "counts"])
+
+
+def _ranked(f: pd.DataFrame) -> pd.DataFrame:
+    """Average ranks inside a range of a column, for each chunk's values, and the range's number of rows."""
+    own = [np.frombuffer(v, float) for v in f["values"]]
+    counts = np.concatenate([np.frombuffer(v, np.int32) for v in f["counts"]])
+    distinct, at = np.unique(np.concatenate(own), return_inverse=True)
+    ties = np.bincount(at, weights=counts)
+    ranks = (np.cumsum(ties) - ties + 1 + (ties - 1) / 2.0)[at]
+    cuts = np.cumsum([len(v) for v in own])[:-1]
+    return pd.DataFrame({"c": f["c"], "part": f["part"], "chunk": f["chunk"], "ranks": [r.tobytes() for r in np.split(ranks, cuts)], "n": int(counts.sum())})
+
+
+def _rank_sums(width: int):
+    """Sums of a chunk's ranks, by its rows' places among the distinct values and these values' ranks."""
+
+    def run(key: tuple, codes: pd.DataFrame, ranks: pd.DataFrame) -> pd.DataFrame:
+        x = [np.frombuffer(v, np.int32) for v in codes.sort_values("c")["codes"]]
+        out = np.full((len(x[0]), width), np.nan)
+        for c, g in ranks.sort_values(["c", "part"]).groupby("c"):
+            own = np.concatenate([np.frombuffer(r, float) + before for r, before in zip(g["ranks"], g["before"], strict=True)])
+            there = x[c] >= 0
+            out[there, c] = own[x[c][there]]
+        return pd.DataFrame({"i": range(width), "sums": _sums(out).tolist()})
 
     return run
 
 
-def pair_moments(ranked: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(kind, i, j, n, sx, sy, sxx, syy, sxy) of pairs i < j, kind 0 of values and 1 of ranks, over rows where both are there.
+def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(kind, i, j, n, sx, sy, sxx, syy, sxy) of pairs i < j, kind 0 of values and 1 of average ranks over a column's own non-NULLs, over rows where both are there.
 
-    Tasks add up matrices and give a row for each column, so what is shuffled has as many rows as tasks times columns.
+    Rows are packed into chunks once, and only arrays move: a chunk's distinct values of a column and their counts go to ranges of values, their
+    ranks come back to the chunk, and a row's place among them is four bytes. A value that many rows share is one entry of a chunk. The ranges'
+    bounds are taken from the chunks' values; they decide who does the work, not what comes out, as equal values are in one range.
     """
     k, m = len(columns), len(SUMS)
-    parts = ranked.select(*columns, "ranks").mapInArrow(_partial(k), "kind long, i long, sums array<double>")
-    each = parts.select("kind", "i", F.posexplode("sums").alias("at", "x")).groupBy("kind", "i", "at").agg(F.sum("x").alias("x"))
+    shared.importable(df.sparkSession)
+    chunks = shared.written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(_packed(k), PACKED), "chunks")
+    total = chunks.groupBy("c").agg(F.sum("rows").alias("n"))
+    parts = chunks.select("c", F.explode("marks").alias("v")).groupBy("c").agg(F.array_sort(F.collect_set("v")).alias("v"))  # 64 values of a chunk and column
+    step = F.greatest(F.lit(1), F.floor(F.size("v") / (F.floor(F.col("n") / RANGE) + 1))).cast("int")
+    bounds = parts.join(total, "c").select("c", F.filter("v", lambda v, i: (i > 0) & (i % step == 0)).alias("bounds"))
+    dealt = chunks.where("rows > 0").select("chunk", "c", "values", "counts").join(F.broadcast(bounds), "c").mapInPandas(_dealt, "c long, part int, chunk long, values binary, counts binary")
+    ranked = shared.written(dealt.groupBy("c", "part").applyInPandas(_ranked, "c long, part int, chunk long, ranks binary, n long"), "ranks")
+    ahead = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranked.groupBy("c", "part").agg(F.max("n").alias("n")).select("c", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))  # a row for each range
+    own = ranked.join(F.broadcast(before), ["c", "part"]).select("chunk", "c", "part", "ranks", "before")
+    of_ranks = chunks.select("chunk", "c", "codes").groupBy("chunk").cogroup(own.groupBy("chunk")).applyInPandas(_rank_sums(k), "i long, sums array<double>")
+    both = chunks.select(F.lit(0).alias("kind"), F.col("c").alias("i"), "sums").unionByName(of_ranks.select(F.lit(1).alias("kind"), "i", "sums"))
+    each = both.select("kind", "i", F.posexplode("sums").alias("at", "x")).groupBy("kind", "i", "at").agg(F.sum("x").alias("x"))
     j, s = F.floor(F.col("at") / m), F.col("at") % m
     return each.groupBy("kind", "i", j.alias("j")).agg(*[F.max(F.when(s == q, F.col("x"))).alias(n) for q, n in enumerate(SUMS)]).where("i < j")
 
 
 def all_correlations(df: DataFrame, columns: Sequence[str], least: int = 20) -> DataFrame:
     """(a, b, n, pearson, spearman) of all pairs of columns over rows where both are there; NULL for fewer than ``least`` rows or a constant side."""
-    m = pair_moments(spread_ranks(df, columns), columns)
+    m = pair_moments(df, columns)
     sxx, syy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     flat = (sxx <= F.abs("sxx") * 1e-12) | (syy <= F.abs("syy") * 1e-12)
     r = F.when((F.col("n") >= least) & ~flat, ratio(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(sxx * syy)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from asoflab.functions import columns as C
 from asoflab.operators import evaluate as E
+from asoflab.operators import moments as M
 from asoflab.operators import optimise as O
 from asoflab.operators import outcomes as T
 from asoflab.operators import timeseries as TS
@@ -86,3 +87,21 @@ def test_a_days_rows_move_once_for_all_candidates(spark):
     for key, x in a.items():
         for name, value in x.items():
             assert b[key][name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), (key, name)
+
+
+def test_ranks_of_packed_chunks_are_those_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", 50)
+    monkeypatch.setattr(M, "RANGE", 40)
+    rng = np.random.default_rng(4)
+    x = [[None if v % 7 == 0 else float(v) / 4 for v in map(int, rng.integers(0, most, 900))] for most in (3, 30, 5000)]
+    x[0] = [-0.0 if k % 3 else v for k, v in enumerate(x[0])]
+    df = spark.createDataFrame(list(zip(*x)), "a double, b double, c double").repartition(3)
+    ranked = M.spread_ranks(df, ["a", "b", "c"]).collect()
+    got = {(r["kind"], r["i"], r["j"]): r for r in M.pair_moments(df, ["a", "b", "c"]).collect()}
+    assert len(got) == 6
+    for (kind, i, j), r in got.items():
+        pairs = [(v[0], v[1]) for v in ((row["ranks"][i], row["ranks"][j]) if kind else (row["abc"[i]], row["abc"[j]]) for row in ranked) if None not in v]
+        assert r["n"] == len(pairs)
+        for name, f in (("sx", lambda a, b: a), ("sy", lambda a, b: b), ("sxx", lambda a, b: a * a), ("syy", lambda a, b: b * b), ("sxy", lambda a, b: a * b)):
+            assert r[name] == pytest.approx(sum(f(a, b) for a, b in pairs))
+    assert "posexplode(array" not in plan(M.pair_moments(df, ["a", "b", "c"]))
