@@ -61,7 +61,9 @@ def scaled_rank(x: str | Column, *keys: str | Column, signed: bool = False, sing
 
 
 def average_rank(x: str | Column, *keys: str | Column) -> Column:
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, col(x)))
+    # ties are counted in the order of the rank itself, so one sort does
+    by = Window.partitionBy(*keys).orderBy(col(x).asc_nulls_last())
+    ties = F.count(F.lit(1)).over(by.rangeBetween(Window.currentRow, Window.currentRow))
     return min_rank(x, *keys) + (ties - 1) / F.lit(2.0)
 
 

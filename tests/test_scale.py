@@ -105,3 +105,12 @@ def test_ranks_of_packed_chunks_are_those_of_all_rows(spark, monkeypatch):
         for name, f in (("sx", lambda a, b: a), ("sy", lambda a, b: b), ("sxx", lambda a, b: a * a), ("syy", lambda a, b: b * b), ("sxy", lambda a, b: a * b)):
             assert r[name] == pytest.approx(sum(f(a, b) for a, b in pairs))
     assert "posexplode(array" not in plan(M.pair_moments(df, ["a", "b", "c"]))
+
+
+def test_average_ranks_of_a_key_take_one_sort(spark):
+    df = spark.createDataFrame([("a", x) for x in (2.0, 1.0, 2.0, None, 3.0, None)] + [("b", 5.0)], "d string, x double")
+    told = df.select("d", "x", C.average_rank("x", "d").alias("r"), C.pct_rank("x", "d").alias("p"))
+    text = told._jdf.queryExecution().sparkPlan().toString()
+    assert plan(told).count("Window [") == 2, text  # by the order, and the count of the key
+    got = sorted(((r["d"], r["x"] or 0.0, r["r"], r["p"]) for r in told.collect()), key=str)
+    assert got == sorted([("a", 0.0, None, None), ("a", 0.0, None, None), ("a", 1.0, 1.0, 0.25), ("a", 2.0, 2.5, 0.625), ("a", 2.0, 2.5, 0.625), ("a", 3.0, 4.0, 1.0), ("b", 5.0, 1.0, 1.0)], key=str)
