@@ -7,8 +7,12 @@ training documents' strengths (the share of quality 0 among them, unless given)
 turns strengths into scores: the quantile maps to ``cut``, so score >= cut keeps
 what lies above it.
 
-Training uses a bounded sample (``max_each`` documents of each label with the
-smallest hash of their id, all of them if there are fewer) and ``max_pairs`` pairs.
+Every labelled document is trained on. The documents are dealt to blocks of about BLOCK by
+the hash of their id, one block if there are no more; a label that is rarer than FEW a
+block goes to several blocks each. A block's weights come from ``max_pairs`` pairs drawn
+within it, every document in one at least, and the weights are the blocks' mean, each by its
+number of pairs of a good and a bad document. Middle, scale, threshold and width are those
+of all labelled documents: their order is found by Spark, by ranges.
 Scoring reads every whole text, long ones too. Null and empty texts score as a text of
 no words. If a label is missing from the training rows, there is no preference to learn:
 every document gets the same score, above the cut, and nothing is rejected. Repeated rows
@@ -19,10 +23,10 @@ ones of these two names; ``accepted`` keeps all of the input's columns and adds
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +37,8 @@ from . import common
 
 RUNS = re.compile(r"[^\w\s]{2,}")
 MARKS = '.,;:!?"|$%&#*@/\\()[]{}<>=+-_~^'
+#: Labelled documents that are trained on together, and the least of a label in a block of them.
+BLOCK, FEW = 6000, 500
 NAMES = ("words", "length", "letters", "upper", "digits", "marks", "kinds_of_words", "top_word", "repeats", "runs", "lines", "same_lines", "sentences", "squeezed", "short", *MARKS)
 
 
@@ -70,58 +76,95 @@ def gradient(weights: np.ndarray, differences: np.ndarray) -> np.ndarray:
     return -(differences / (1 + np.exp(np.clip(differences @ weights, -60, 60)))[:, None]).mean(axis=0)
 
 
-def fit(good: np.ndarray, bad: np.ndarray, cut: float, below: float | None = None, max_pairs: int = 60000, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 3) -> Ranker:
-    size = len(NAMES)
-    if not len(good) or not len(bad):
-        return Ranker(np.zeros(size), np.zeros(size), np.ones(size), -1.0, 1.0, cut)
-    both = np.concatenate([good, bad])
-    middle = np.median(good, axis=0)
-    scale = np.maximum(both.std(axis=0), 1e-3)
-    g, b = (np.clip((x - middle) / scale, -8, 8) for x in (good, bad))
+def descend(g: np.ndarray, b: np.ndarray, max_pairs: int = 60000, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 3) -> np.ndarray:
+    """Weights from pairs of a row of g and a row of b, which are scaled."""
     rng = np.random.default_rng(seed)
-    weights, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    pairs = rng.integers(0, len(g), max_pairs), rng.integers(0, len(b), max_pairs)
+    weights, m, v = (np.zeros(g.shape[1]) for _ in range(3))
+    left, right = rng.integers(0, len(g), max_pairs), rng.integers(0, len(b), max_pairs)
+    lost, missed = np.setdiff1d(np.arange(len(g)), left), np.setdiff1d(np.arange(len(b)), right)  # those that no pair drew get one
+    if len(lost) or len(missed):
+        left, right = np.concatenate([left, lost, rng.integers(0, len(g), len(missed))]), np.concatenate([right, rng.integers(0, len(b), len(lost)), missed])
     for step in range(1, steps + 1):
-        part = rng.integers(0, max_pairs, 4096)
-        grad = gradient(weights, g[pairs[0][part]] - b[pairs[1][part]]) + decay * weights
+        part = rng.integers(0, len(left), 4096)
+        grad = gradient(weights, g[left[part]] - b[right[part]]) + decay * weights
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         weights = weights - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    strong, weak = g @ weights, b @ weights
-    below = len(bad) / len(both) if below is None else below
-    # the quantile lies between two documents: the threshold takes the middle of that gap
-    ordered = np.sort(np.concatenate([strong, weak]))
-    k = min(max(1, round(below * len(ordered))), len(ordered) - 1)
-    threshold = (ordered[k - 1] + ordered[k]) / 2
-    width = max(1e-6, (np.median(strong) - np.median(weak)) / 8)
-    return Ranker(weights, middle, scale, float(threshold), float(width), cut)
+    return weights
+
+
+def _of_blocks(middle: np.ndarray, scale: np.ndarray):
+    """A block's weights, and how many pairs of a good and a bad document it has."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        own = [np.array(f.loc[f["quality"] == label, "features"].tolist()).reshape(-1, len(NAMES)) for label in (1, 0)]
+        good, bad = (x[np.lexsort(x.T)] for x in own)  # rows come in any order
+        if not len(good) or not len(bad):
+            return pd.DataFrame({"block": [], "pairs": [], "weights": []})
+        bad = np.random.default_rng(1).permutation(bad)
+        g, b = (np.clip((x - middle) / scale, -8, 8) for x in (good, bad))
+        return pd.DataFrame({"block": [f["block"].iat[0]], "pairs": [float(len(g)) * len(b)], "weights": [descend(g, b).tolist()]})
+
+    return run
+
+
+def dealt(rows: DataFrame, counts: dict[int, int], size: int, few: int) -> DataFrame:
+    """rows(quality, key, ...) with block: of about ``size`` rows; a label rarer than ``few`` a block is in several, in all at most."""
+    blocks = max(1, math.ceil(sum(counts.values()) / size))
+    copies = {label: min(blocks, max(1, math.ceil(few * blocks / n))) for label, n in counts.items()}
+    own = F.when(F.col("quality") == 1, copies[1]).otherwise(copies[0])
+    return rows.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), own - 1), lambda k: F.pmod(F.pmod("key", F.lit(blocks)) + k, F.lit(blocks)))))
 
 
-def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield pd.DataFrame({"quality": f["quality"], "features": [features(t) for t in f["text"]]})
+def _middle_of(placed: DataFrame, keys: list[str], n: int) -> dict:
+    """Medians of n rows each: the mean of the two in the middle."""
+    rows = placed.where(F.col("place").isin((n + 1) // 2, n // 2 + 1)).groupBy(*keys).agg(F.avg("value").alias("value")).collect()  # one for each key
+    return {r[0]: r["value"] for r in rows}
 
 
-def train(docs: DataFrame, labels: DataFrame, cut: float = 0.7, max_each: int = 6000) -> Ranker:
+def train(docs: DataFrame, labels: DataFrame, cut: float = 0.7, size: int = BLOCK, few: int = FEW) -> Ranker:
     """docs(doc_id, text), labels(doc_id, quality): labels that are neither 0 nor 1, or repeat, are not used.
 
-    The sample is drawn from the labels; only its documents' texts move.
+    No text moves, only its features.
     """
     common.importable(docs.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def featured(text: pd.Series) -> pd.Series:
+        return pd.Series([features(t) for t in text])
+
     rows = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").dropDuplicates(["doc_id"])
-    rows = common.written(rows.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled")  # labels of other documents don't count
-    shares = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    picked = [common.bounded_sample(rows.where(F.col("quality") == label), max_each, 5) for label in (1, 0)]
-    chosen = common.written(picked[0].union(picked[1]), "chosen")  # 2 * max_each rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = texts.mapInPandas(_featured, "quality int, features array<double>").collect()
-    own = [np.array([r["features"] for r in found if r["quality"] == label]).reshape(-1, len(NAMES)) for label in (1, 0)]
-    own = [x[np.lexsort(x.T)] for x in own]  # rows come in any order
-    # a label that was thinned out keeps its share in the quantile
-    if len(own[0]) and len(own[1]):
-        want = shares.get(0, 0) / sum(shares.values())
-        keep = min(len(own[1]), max(1, round(len(own[0]) * want / max(1e-9, 1 - want))))
-        own[1] = np.random.default_rng(1).permutation(own[1])[:keep]
-    return fit(own[0], own[1], cut)
+    found = docs.where("doc_id is not null").select("doc_id", featured("text").alias("features")).join(rows, "doc_id")
+    found = common.written(found.select("quality", F.xxhash64(F.lit(5), "doc_id").alias("key"), "features"), "featured")
+    counts = {r["quality"]: r["n"] for r in found.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return Ranker(np.zeros(len(NAMES)), np.zeros(len(NAMES)), np.ones(len(NAMES)), -1.0, 1.0, cut)
+    deviations = found.agg(*[F.stddev_pop(F.col("features")[k]).alias(f"_{k}") for k in range(len(NAMES))]).first()
+    scale = np.maximum(np.array(list(deviations), float), 1e-3)
+    values = found.where("quality = 1").select(F.posexplode("features").alias("feature", "value"))
+    medians = _middle_of(common.places_of(values, "feature", [F.col("value")]), ["feature"], counts[1])
+    middle = np.array([medians[k] for k in range(len(NAMES))])
+
+    parts = dealt(found, counts, size, few).groupBy("block").applyInPandas(_of_blocks(middle, scale), "block long, pairs double, weights array<double>").collect()  # a row for each block
+    parts.sort(key=lambda r: r["block"])
+    shares = np.array([r["pairs"] for r in parts])
+    weights = (shares / shares.sum()) @ np.array([r["weights"] for r in parts])
+
+    model = Ranker(weights, middle, scale, 0.0, 1.0, cut)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def strength(features: pd.Series) -> pd.Series:
+        return pd.Series(held.value.strengths(np.stack(features)) if len(features) else [], dtype="float64")
+
+    strengths = common.written(found.select("quality", strength("features").alias("value")), "strengths")
+    # the quantile lies between two documents: the threshold takes the middle of that gap
+    n = counts[0] + counts[1]
+    k = min(max(1, round(counts[0] / n * n)), n - 1)
+    at = common.global_places(strengths, [F.col("value")]).where(F.col("place").isin(k, k + 1))
+    by_label = common.places_of(strengths, "quality", [F.col("value")])
+    strong, weak = (_middle_of(by_label.where(F.col("quality") == label), ["quality"], counts[label])[label] for label in (1, 0))
+    model.threshold, model.width = float(at.agg(F.avg("value")).first()[0]), float(max(1e-6, (strong - weak) / 8))
+    return model
 
 
 def _score(docs: DataFrame, model: Ranker) -> Column:

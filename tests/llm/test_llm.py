@@ -440,6 +440,27 @@ def test_quality_ranks_and_thresholds(spark):
     assert quality.scored(df, alone).where("predicted = 0").count() == 0
 
 
+def test_quality_learns_from_every_labelled_document(spark):
+    rows = [(k, " ".join(["x" * (k * 7 % 211 + 1)] * (k % 13 + 1)), 1) for k in range(6400)] + [(10000 + k, "$$$ " * (k % 7 + 1) + "y" * k, 0) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    model = quality.train(df, df, size=2000, few=20)
+    good, bad = (np.array([quality.features(t) for _, t, q in rows if q == kind]) for kind in (1, 0))
+    assert np.allclose(model.middle, np.median(good, axis=0), atol=1e-12)
+    assert np.allclose(model.scale, np.maximum(np.concatenate([good, bad]).std(axis=0), 1e-3), atol=1e-9)
+    strong, weak = model.strengths(good), model.strengths(bad)
+    both = np.sort(np.concatenate([strong, weak]))
+    assert abs(model.threshold - (both[39] + both[40]) / 2) < 1e-9
+    assert abs(model.width - max(1e-6, (np.median(strong) - np.median(weak)) / 8)) < 1e-9
+    # four blocks: a label of 40 documents is in two of them each, the other in one
+    keyed = spark.range(6440).select((F.col("id") < 40).cast("int").alias("quality"), F.xxhash64("id").alias("key"), "id")
+    dealt = quality.dealt(keyed, {1: 40, 0: 6400}, 2000, 20)
+    counts = {(r["quality"], r["n"]): r["count"] for r in dealt.groupBy("id", "quality").agg(F.count_distinct("block").alias("n")).groupBy("quality", "n").count().collect()}
+    assert counts == {(1, 2): 40, (0, 1): 6400} and dealt.select("block").distinct().count() == 4
+    # no row is left without a pair
+    g, b = np.eye(3, 3), np.zeros((500, 3))
+    assert (quality.descend(np.concatenate([np.zeros((500, 3)), g]), b, max_pairs=1, steps=50) > 0).all()
+
+
 # 3
 
 MODEL, BPE = tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.json")
