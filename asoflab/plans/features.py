@@ -118,8 +118,8 @@ REVISED = "revised AS (SELECT *, 0 AS lag_days, close AS value FROM bars_a UNION
 SELECT symbol, trade_date, lag_days, round(value, 6) AS value FROM ranked WHERE k = 1""")
 def latest_revision(spark, sf):
     bars = V.bars_a(spark, sf)
-    late = bars.withColumn("lag_days", (F.col("symbol") % 5 + 1).cast("int")).withColumn("value", F.col("close") * 1.01)
-    revised = bars.withColumn("lag_days", F.lit(0)).withColumn("value", F.col("close")).unionByName(late)
+    revisions = ((F.lit(0), F.col("close")), ((F.col("symbol") % 5 + 1).cast("int"), F.col("close") * 1.01))
+    revised = bars.select("symbol", "trade_date", F.inline(F.array(*[F.struct(lag.alias("lag_days"), value.alias("value")) for lag, value in revisions])))
     known = revised.where(F.date_add("trade_date", F.col("lag_days")) <= F.to_date(F.lit("2000-01-01")))
     return r(pit.latest_revision(known, ["symbol", "trade_date"], [F.desc("lag_days"), F.asc("value")]), ["symbol", "trade_date", "lag_days"], value=F.col("value"))
 

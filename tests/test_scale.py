@@ -124,3 +124,8 @@ def test_allocations_hold_no_window_of_a_whole_sector(spark):
     told = plan(D.allocations(spark, SF))
     windows = [x for x in told.splitlines() if "Window [" in x]
     assert windows and not [x for x in windows if "min(symbol" in x]
+
+
+def test_both_revisions_come_from_one_set_of_bars(spark):
+    told = plan(PF.latest_revision(spark, SF))
+    assert told.count("parquet") == 1 and "Union" not in told
