@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asoflab.functions.columns import average_rank, clip, col, min_rank, pearson, ratio, scaled_rank, zscore
+from asoflab.functions.columns import average_rank, clip, col, pearson, ratio, scaled_rank, zscore
+from asoflab.sources import shared
 
 
 def _mean_of(columns: Sequence[Column], count: Column) -> Column:
@@ -43,15 +46,53 @@ def composite_packets(df: DataFrame, features: Sequence[tuple[str, int, str]], r
     }).drop(*z)
 
 
+def _correlation(a: np.ndarray, b: np.ndarray) -> float | None:
+    if a.min() == a.max() or b.min() == b.max():
+        return None
+    a, b = a - a.mean(), b - b.mean()
+    scale = np.sqrt((a * a).mean()) * np.sqrt((b * b).mean())
+    return float((a * b).mean() / scale) if scale > 0 else None
+
+
+def _places(x: np.ndarray) -> np.ndarray:
+    """Ranks, of equal values the smallest."""
+    return np.searchsorted(np.sort(x), x).astype(float)
+
+
+def _method_day(methods: Sequence[str], least: int, columns: Sequence[str]):
+    """The figures of a day, from its packets and its labels."""
+
+    def run(packets: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        rows = labels.drop(columns="trade_date").merge(packets, on="symbol").sort_values("symbol", kind="stable")
+        for (label_type, horizon), g in rows.groupby(["label_type", "horizon"], dropna=False):
+            for method in methods:
+                x, y = g[method].to_numpy(float), g["y"].to_numpy(float)
+                seen = ~np.isnan(x)
+                x, y, n = x[seen], y[seen], int(seen.sum())
+                if n < max(least, 1):
+                    continue
+                by_x = y[np.argsort(x, kind="stable")]  # ties by symbol
+                fifth = n // 5
+                q5, q1 = by_x[n - fifth :].mean() if fifth else None, by_x[: fifth + (n % 5 > 0)].mean()
+                out.append((method, label_type, horizon, g["trade_date"].iat[0], n, _correlation(x, y), _correlation(_places(x), _places(y)), q5, q1))
+        return pd.DataFrame(out, columns=list(columns))
+
+    return run
+
+
 def method_days(packets: DataFrame, labels: DataFrame, methods: Sequence[str], least: int = 20) -> DataFrame:
     """(method, label_type, horizon, trade_date, n, ic, rank_ic, q5, q1) of packets(symbol, trade_date, methods...) against the
-    complete labels(symbol, trade_date, label_type, horizon, ret, status); days with fewer rows are left out."""
-    long = packets.unpivot(["symbol", "trade_date"], list(methods), "method", "x").where("x IS NOT NULL")
-    pairs = long.join(labels.where("status = 'COMPLETE' AND ret IS NOT NULL").select("symbol", "trade_date", "label_type", "horizon", F.col("ret").alias("y")), ["symbol", "trade_date"])
-    keys = ["method", "label_type", "horizon", "trade_date"]
-    ranked = pairs.withColumns({"rx": min_rank("x", *keys), "ry": min_rank("y", *keys), "q": F.ntile(5).over(Window.partitionBy(*keys).orderBy("x", "symbol"))})
-    day = ranked.groupBy(*keys).agg(F.count("*").alias("n"), pearson("x", "y").alias("ic"), pearson("rx", "ry").alias("rank_ic"), F.avg(F.when(F.col("q") == 5, F.col("y"))).alias("q5"), F.avg(F.when(F.col("q") == 1, F.col("y"))).alias("q1"))
-    return day.where(F.col("n") >= least)
+    complete labels(symbol, trade_date, label_type, horizon, ret, status); days with fewer rows are left out.
+
+    A day's packets and labels meet in one task, once for all methods; no row moves for each method and label."""
+    shared.importable(packets.sparkSession)
+    left = packets.where("symbol IS NOT NULL").select("symbol", "trade_date", *[F.col(m).cast("double").alias(m) for m in methods])
+    right = labels.where("status = 'COMPLETE' AND ret IS NOT NULL AND symbol IS NOT NULL").select("symbol", "trade_date", "label_type", "horizon", F.col("ret").cast("double").alias("y"))
+    kinds = dict(right.dtypes)
+    schema = f"method string, label_type {kinds['label_type']}, horizon {kinds['horizon']}, trade_date {kinds['trade_date']}, n long, ic double, rank_ic double, q5 double, q1 double"
+    day = _method_day(methods, least, ["method", "label_type", "horizon", "trade_date", "n", "ic", "rank_ic", "q5", "q1"])
+    return left.groupBy("trade_date").cogroup(right.groupBy("trade_date")).applyInPandas(day, schema)
 
 
 def composite_evaluation(days: DataFrame, by: Sequence[str] = ()) -> DataFrame:

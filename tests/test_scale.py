@@ -134,3 +134,25 @@ def test_both_revisions_come_from_one_set_of_bars(spark):
 def test_cohorts_see_both_ends_of_a_holding_only(spark):
     told = plan(P.observations(spark, SF))
     assert "collect_list" not in told and "lead(" in told
+
+
+def test_a_day_of_packets_moves_once_for_all_methods_and_labels(spark):
+    r = np.random.default_rng(4)
+    packets = [(s, d, *(None if r.random() < 0.1 else float(r.integers(0, 6)) for _ in "ab"), 1.0) for d in ("2024-01-02", "2024-01-03") for s in range(13)]
+    labels = [(s, d, kind, h, float(r.normal()), "COMPLETE" if r.random() < 0.9 else "PARTIAL") for s, d, *_ in packets for kind in ("X", "Y") for h in (1, 5)]
+    left = spark.createDataFrame(packets, "symbol long, trade_date string, a double, b double, same double").withColumn("trade_date", F.to_date("trade_date"))
+    right = spark.createDataFrame(labels, "symbol long, trade_date string, label_type string, horizon int, ret double, status string").withColumn("trade_date", F.to_date("trade_date"))
+    days = R.method_days(left, right, ("a", "b", "same"), 5)
+    told = plan(days)
+    assert "Window" not in told and "Expand" not in told
+    got = {(x["method"], x["label_type"], x["horizon"], str(x["trade_date"])): x for x in days.collect()}
+    keys = ["method", "label_type", "horizon", "trade_date"]
+    pairs = left.unpivot(["symbol", "trade_date"], ["a", "b", "same"], "method", "x").where("x IS NOT NULL").join(right.where("status = 'COMPLETE'").withColumnRenamed("ret", "y"), ["symbol", "trade_date"])
+    ranked = pairs.withColumns({"rx": C.min_rank("x", *keys), "ry": C.min_rank("y", *keys), "q": F.ntile(5).over(Window.partitionBy(*keys).orderBy("x", "symbol"))})
+    want = ranked.groupBy(*keys).agg(F.count("*").alias("n"), C.pearson("x", "y").alias("ic"), C.pearson("rx", "ry").alias("rank_ic"), F.avg(F.when(F.col("q") == 5, F.col("y"))).alias("q5"), F.avg(F.when(F.col("q") == 1, F.col("y"))).alias("q1")).where("n >= 5").collect()
+    assert len(want) == len(got) == 24
+    for x in want:
+        y = got[x["method"], x["label_type"], x["horizon"], str(x["trade_date"])]
+        assert y["n"] == x["n"]
+        for c in ("ic", "rank_ic", "q5", "q1"):
+            assert y[c] == pytest.approx(x[c], abs=1e-12) if x[c] is not None else y[c] is None, c
