@@ -13,7 +13,9 @@ from asoflab.functions.columns import average_rank, col, normal_p_value, pearson
 
 def price_grid(bars: DataFrame, calendar: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """Symbols x calendar with closes, opens and, for each horizon, forward extremes and observed bars: one shuffle for all."""
-    grid = bars.select("symbol").distinct().crossJoin(F.broadcast(calendar)).join(bars, ["symbol", "trade_date"], "left")
+    # few bytes that become many rows: as many tasks as keep every core busy, which sizes alone would not give
+    symbols = bars.select("symbol").distinct().repartition(4 * bars.sparkSession.sparkContext.defaultParallelism, "symbol")
+    grid = symbols.crossJoin(F.broadcast(calendar)).join(bars, ["symbol", "trade_date"], "left")
     by = Window.partitionBy("symbol").orderBy("trade_index")
     out = {}
     for h in horizons:

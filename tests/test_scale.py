@@ -156,3 +156,11 @@ def test_a_day_of_packets_moves_once_for_all_methods_and_labels(spark):
         assert y["n"] == x["n"]
         for c in ("ic", "rank_ic", "q5", "q1"):
             assert y[c] == pytest.approx(x[c], abs=1e-12) if x[c] is not None else y[c] is None, c
+
+
+def test_a_price_grid_is_spread_before_it_grows(spark):
+    bars = spark.createDataFrame([(s, "2024-01-02", 1.0) for s in range(40)], "symbol long, trade_date string, close double").selectExpr("*", "close AS open", "close AS high", "close AS low")
+    days = spark.createDataFrame([("2024-01-02", 1), ("2024-01-03", 2)], "trade_date string, trade_index int")
+    grid = E.price_grid(bars, days, (1,))
+    assert grid.count() == 80
+    assert grid.select(F.spark_partition_id().alias("p")).distinct().count() > 2  # small as it is
