@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +54,22 @@ def interval_join(left: DataFrame, intervals: DataFrame, on: str, at: str, start
     return out.drop("_key") if how not in ("left_semi", "left_anti") else out
 
 
+def covering(points: DataFrame, intervals: DataFrame, on: str, at: str, start: str, end: str, counts: Mapping[str, Column]) -> DataFrame:
+    """(on, at, each of counts): how many of the intervals that cover a date fulfil a condition; dates that none covers are left out.
+
+    What ``interval_join`` and a grouping would tell, without a row for each pair: intervals add 1 on their first day and take it
+    back after their last, in one sort of a key's days. Points may repeat; an open end is NULL, ends are covered.
+    """
+    held = {"_n": F.lit(1)} | {c: F.when(x, 1).otherwise(0) for c, x in counts.items()}
+    i = intervals.where(F.col(start).isNotNull() & F.col(on).isNotNull() & (F.col(end).isNull() | (F.col(end) >= F.col(start))))
+    opened = i.select(on, F.col(start).alias(at), F.lit(0).alias("_side"), *[x.alias(c) for c, x in held.items()])
+    closed = i.where(F.col(end).isNotNull()).select(on, F.date_add(end, 1).alias(at), F.lit(0).alias("_side"), *[(-x).alias(c) for c, x in held.items()])
+    p = points.where(F.col(at).isNotNull() & F.col(on).isNotNull()).select(on, at, F.lit(1).alias("_side"), *[F.lit(0).alias(c) for c in held])
+    by = Window.partitionBy(on).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    told = p.unionByName(opened).unionByName(closed).select(on, at, "_side", *[F.sum(c).over(by).alias(c) for c in held], (~F.struct("_side", at).eqNullSafe(F.lag(F.struct("_side", at)).over(Window.partitionBy(on).orderBy(at, "_side")))).alias("_first"))
+    return told.where("_side = 1 AND _first AND _n > 0").select(on, at, *counts)
+
+
 def pit_membership(rows: DataFrame, memberships: DataFrame, row_id: Sequence[str], at: str, cutoff: str) -> DataFrame:
     """Each row with the membership valid at its date and known by its cutoff: newest valid_from, then availability, then id.
 

@@ -173,8 +173,10 @@ def star(spark, sf):
 
 @query("JOIN_3_intervals", f"""{A}, {V.SQL['statuses']} SELECT b.symbol, trade_date, bool_or(status = 'P') AS stopped, count(*) AS n FROM bars_a b JOIN statuses s ON b.symbol = s.symbol AND trade_date >= valid_from AND (valid_to IS NULL OR trade_date <= valid_to) GROUP BY ALL""")
 def intervals(spark, sf):
-    joined = pit.interval_join(V.bars_a(spark, sf), V.statuses(spark, sf), "symbol", "trade_date", "valid_from", "valid_to")
-    return joined.groupBy("symbol", "trade_date").agg(F.bool_or(F.col("status") == "P").alias("stopped"), F.count("*").alias("n"))
+    days = V.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("trade_date"))  # the keys of bars_a
+    counts = {"n": F.lit(True), "known": F.col("status").isNotNull(), "paused": F.col("status") == "P"}
+    told = pit.covering(days, V.statuses(spark, sf), "symbol", "trade_date", "valid_from", "valid_to", counts)
+    return told.select("symbol", "trade_date", F.when(F.col("known") > 0, F.col("paused") > 0).alias("stopped"), "n")
 
 
 @query("JOIN_4_pit_membership", f"""{A}, {V.SQL['statuses']}, j AS (SELECT b.symbol, trade_date, status, status_id, row_number() OVER (PARTITION BY b.symbol, trade_date ORDER BY valid_from DESC NULLS LAST, valid_from + 3 DESC NULLS LAST, status_id DESC NULLS LAST) AS k

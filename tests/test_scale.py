@@ -10,11 +10,13 @@ from asoflab.operators import evaluate as E
 from asoflab.operators import moments as M
 from asoflab.operators import optimise as O
 from asoflab.operators import outcomes as T
+from asoflab.operators import pit
 from asoflab.operators import timeseries as TS
 from asoflab.operators import research as R
 from asoflab.operators import walkforward as W
 from asoflab.plans import deeper as D
 from asoflab.plans import features as PF
+from asoflab.plans import joins as J
 from asoflab.plans import trading as P
 from conftest import SF
 
@@ -164,3 +166,16 @@ def test_a_price_grid_is_spread_before_it_grows(spark):
     grid = E.price_grid(bars, days, (1,))
     assert grid.count() == 80
     assert grid.select(F.spark_partition_id().alias("p")).distinct().count() > 2  # small as it is
+
+
+def test_intervals_are_counted_without_a_row_for_each_pair(spark):
+    told = plan(J.intervals(spark, SF))
+    assert "Join" not in told and "Aggregate" not in told
+    r = np.random.default_rng(8)
+    day = lambda: f"2024-01-{int(r.integers(1, 29)):02d}"
+    points = spark.createDataFrame([(int(r.integers(5)), day() if r.random() < 0.9 else None) for _ in range(200)], "k int, d string").select("k", F.to_date("d").alias("d"))
+    rows = [(int(r.integers(4)) if r.random() < 0.9 else None, day() if r.random() < 0.9 else None, day() if r.random() < 0.7 else None, "P" if r.random() < 0.3 else None) for _ in range(40)]
+    spans = spark.createDataFrame(rows, "k int, a string, b string, s string").select("k", F.to_date("a").alias("a"), F.to_date("b").alias("b"), "s")
+    got = sorted(tuple(x) for x in pit.covering(points, spans, "k", "d", "a", "b", {"n": F.lit(True), "p": F.col("s") == "P"}).collect())
+    joined = pit.interval_join(points.distinct(), spans, "k", "d", "a", "b").groupBy("k", "d").agg(F.count("*").alias("n"), F.count_if(F.col("s") == "P").alias("p"))
+    assert got == sorted(tuple(x) for x in joined.collect()) and len(got) > 50
