@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,113 +48,182 @@ def spread_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return told.select("row", *columns, F.array(*[F.col("ranks")[k] for k in range(len(columns))]).alias("ranks"))
 
 
-#: Rows that are packed together, and distinct values of a column that a range holds on average.
-CHUNK, RANGE = 1 << 17, 1 << 18
-PACKED = "chunk long, c long, rows long, marks array<double>, values binary, counts binary, codes binary, sums array<double>"
-
-
-def _sums(x: np.ndarray) -> np.ndarray:
-    """(column, columns * SUMS) of a chunk's rows."""
-    there = ~np.isnan(x)
-    m, z = there.astype(float), np.where(there, x, 0.0)
-    return np.stack([m.T @ m, z.T @ m, m.T @ z, (z * z).T @ m, m.T @ (z * z), z.T @ z]).transpose(1, 2, 0).reshape(x.shape[1], -1)
-
-
-def _packed(width: int):
-    """Chunks of a task's rows: for each column its distinct values in order, how often they come, each row's place among them (-1: NULL), and sums of values."""
-
-    def chunk(number: int, x: np.ndarray) -> pd.DataFrame:
-        out, sums = [], _sums(x)
-        for c in range(width):
-            there = ~np.isnan(x[:, c])
-            values, codes, counts = np.unique(x[there, c] + 0.0, return_inverse=True, return_counts=True)
-            own = np.full(len(x), -1, np.int32)
-            own[there] = codes
-            marks = values[np.linspace(0, len(values) - 1, min(len(values), 64)).astype(int)].tolist() if len(values) else []
-            out.append((number, c, len(values), marks, values.tobytes(), counts.astype(np.int32).tobytes(), own.tobytes(), sums[c].tolist()))
-        return pd.DataFrame(out, columns=[p.split()[0] for p in PACKED.split(", ")])
+#: Rows that are packed together at least, and rows of a column that a range of its values holds on average.
+CHUNK, RANGE = 1 << 18, 1 << 19
+#: Rows whose moments are taken at once.
+BLOCK = 1 << 14
+PACKED = "chunk long, data array<binary>, marks array<array<double>>, sums array<array<double>>"
+#: Of arrays of columns, keys together and in order, the arrays of the columns that are correlated.
+Made = Callable[[Mapping[str, np.ndarray]], Sequence[np.ndarray]]
+
+
+def _told(x: np.ndarray, rising: bool = False) -> bytes:
+    """Doubles, NaN too, in few bytes and exactly: as multiples of a decimal unit where they are some, in steps if they rise, byte by byte of all of them."""
+    kind, whole = 255, x.view(np.int64)
+    for digits in (0, 2, 4, 6):
+        y = x * 10.0**digits
+        if np.isfinite(y).all() and (np.abs(y) < 2**52).all() and (np.rint(y) / 10.0**digits == x).all():
+            kind, whole = digits, np.rint(y).astype(np.int64)
+            break
+    if rising and len(whole):
+        whole = np.r_[whole[0], whole[1:] - whole[:-1]]  # ends where it began, should it overflow
+    bytes_of = np.ascontiguousarray(whole).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return bytes([kind, rising]) + len(x).to_bytes(8, "little") + (pa.compress(bytes_of, codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def _read(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[2:10], "little")
+    if n == 0:
+        return np.empty(0)
+    whole = np.frombuffer(pa.decompress(raw[10:], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n).T.copy().view(np.int64)[:, 0]
+    whole = np.cumsum(whole) if raw[1] else whole
+    return whole.view(float) if raw[0] == 255 else whole / 10.0 ** raw[0]
+
+
+def _sums(columns: Sequence[np.ndarray]) -> np.ndarray:
+    """(column, columns * SUMS) of rows."""
+    out = np.zeros((len(SUMS), len(columns), len(columns)))
+    for k in range(0, len(columns[0]), BLOCK):
+        x = np.column_stack([c[k : k + BLOCK] for c in columns])
+        there = ~np.isnan(x)
+        m, z = there.astype(float), np.where(there, x, 0.0)
+        out += np.stack([m.T @ m, z.T @ m, m.T @ z, (z * z).T @ m, m.T @ (z * z), z.T @ z])
+    return out.transpose(1, 2, 0).reshape(len(columns), -1)
+
+
+def _packed(names: Sequence[str], made: Made, key: str | None):
+    """Chunks of a task's rows: their columns, 64 values of each made column in order, and sums of values. Rows of a key are in one chunk."""
+    at = names.index(key) if key else None
+
+    def chunk(number: int, rows: list[np.ndarray]) -> pd.DataFrame:
+        columns = made(dict(zip(names, rows, strict=True)))
+        marks = []
+        for c in columns:
+            values = np.sort(c[~np.isnan(c)])
+            marks.append(values[np.linspace(0, len(values) - 1, min(len(values), 64)).astype(int)].tolist() if len(values) else [])
+        return pd.DataFrame([(number, [_told(x) for x in rows], marks, _sums(columns).tolist())], columns=["chunk", "data", "marks", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, n = TaskContext.get().partitionId() << 32, [], 0
+        told = lambda rows: pa.RecordBatch.from_pandas(chunk(number, rows), schema=SHAPE, preserve_index=False)
         for b in batches:
-            held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) if b.num_rows else np.empty((0, width)))
-            n += b.num_rows
+            if b.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False).astype(float) + 0.0 for c in b.columns])
+                n += b.num_rows
             if n >= CHUNK:
-                yield pa.RecordBatch.from_pandas(chunk(number, np.concatenate(held)), preserve_index=False)
-                number, held, n = number + 1, [], 0
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                # up to the last row of the last key that has ended
+                same = np.zeros(n - 1, bool) if at is None else (rows[at][1:] == rows[at][:-1]) | (np.isnan(rows[at][1:]) & np.isnan(rows[at][:-1]))
+                cut = n if at is None else int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+                if cut:
+                    yield told([x[:cut] for x in rows])
+                    number += 1
+                held, n = ([[x[cut:] for x in rows]], n - cut) if cut < n else ([], 0)
         if n:
-            yield pa.RecordBatch.from_pandas(chunk(number, np.concatenate(held)), preserve_index=False)
+            yield told([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+SHAPE = pa.schema([("chunk", pa.int64()), ("data", pa.list_(pa.binary())), ("marks", pa.list_(pa.list_(pa.float64()))), ("sums", pa.list_(pa.list_(pa.float64())))])
+
+
+def _columns(data: Sequence[bytes], names: Sequence[str], made: Made) -> Sequence[np.ndarray]:
+    return made(dict(zip(names, map(_read, data), strict=True)))
+
+
+def _counted(names: Sequence[str], made: Made):
+    """Rows of a chunk by column and range of values."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for data, bounds in zip(f["data"], f["bounds"], strict=True):
+                for c, x in enumerate(_columns(data, names, made)):
+                    n = np.bincount(np.searchsorted(np.asarray(bounds[c], float), x[~np.isnan(x)], side="right"))
+                    out += [(c, int(part), int(n[part])) for part in np.flatnonzero(n)]
+            yield pd.DataFrame(out, columns=["c", "part", "n"])
 
     return run
 
 
-def _dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _dealt(names: Sequence[str], made: Made):
     """A chunk's distinct values of a column, cut at the column's bounds: (c, part, chunk, values, counts)."""
-    for f in frames:
-        out = []
-        for chunk, c, raw, counts, bounds in zip(f["chunk"], f["c"], f["values"], f["counts"], f["bounds"], strict=True):
-            values, counts = np.frombuffer(raw, float), np.frombuffer(counts, np.int32)
-            part = np.searchsorted(np.unique(np.asarray(bounds, float)), values, side="right")
-            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-            out += [(c, int(part[i]), chunk, values[i:j].tobytes(), counts[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-        yield pd.DataFrame(out, columns=["c", "part", "chunk", "values", "counts"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for chunk, data, bounds in zip(f["chunk"], f["data"], f["bounds"], strict=True):
+                out = []
+                for c, x in enumerate(_columns(data, names, made)):
+                    values, counts = np.unique(x[~np.isnan(x)], return_counts=True)
+                    part = np.searchsorted(np.asarray(bounds[c], float), values, side="right")
+                    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(values) else []
+                    out += [(c, int(part[i]), chunk, _told(values[i:j], True), _told(counts[i:j].astype(float))) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+                yield pd.DataFrame(out, columns=["c", "part", "chunk", "values", "counts"])
+
+    return run
 
 
 def _ranked(f: pd.DataFrame) -> pd.DataFrame:
-    """Average ranks inside a range of a column, for each chunk's values, and the range's number of rows."""
-    own = [np.frombuffer(v, float) for v in f["values"]]
-    counts = np.concatenate([np.frombuffer(v, np.int32) for v in f["counts"]])
+    """Twice the average ranks of each chunk's values in a range of a column, as ``before`` rows are in ranges before."""
+    own = [_read(v) for v in f["values"]]
+    counts = np.concatenate([_read(v) for v in f["counts"]])
     distinct, at = np.unique(np.concatenate(own), return_inverse=True)
     ties = np.bincount(at, weights=counts)
-    ranks = (np.cumsum(ties) - ties + 1 + (ties - 1) / 2.0)[at]
+    ranks = (2 * (np.cumsum(ties) - ties + 1 + f["before"].iat[0]) + ties - 1)[at]
     cuts = np.cumsum([len(v) for v in own])[:-1]
-    return pd.DataFrame({"c": f["c"], "part": f["part"], "chunk": f["chunk"], "ranks": [r.tobytes() for r in np.split(ranks, cuts)], "n": int(counts.sum())})
+    return pd.DataFrame({"c": f["c"], "part": f["part"], "chunk": f["chunk"], "ranks": [_told(r, True) for r in np.split(ranks, cuts)]})
 
 
-def _rank_sums(width: int):
+def _rank_sums(names: Sequence[str], made: Made):
     """Sums of a chunk's ranks, by its rows' places among the distinct values and these values' ranks."""
 
-    def run(key: tuple, codes: pd.DataFrame, ranks: pd.DataFrame) -> pd.DataFrame:
-        x = [np.frombuffer(v, np.int32) for v in codes.sort_values("c")["codes"]]
-        out = np.full((len(x[0]), width), np.nan)
-        for c, g in ranks.sort_values(["c", "part"]).groupby("c"):
-            own = np.concatenate([np.frombuffer(r, float) + before for r, before in zip(g["ranks"], g["before"], strict=True)])
-            there = x[c] >= 0
-            out[there, c] = own[x[c][there]]
-        return pd.DataFrame({"i": range(width), "sums": _sums(out).tolist()})
+    def run(key: tuple, chunk: pd.DataFrame, ranks: pd.DataFrame) -> pd.DataFrame:
+        own, columns = dict(iter(ranks.sort_values(["c", "part"]).groupby("c")["ranks"])), list(_columns(chunk["data"].iat[0], names, made))
+        for c, x in enumerate(columns):
+            there = ~np.isnan(x)
+            columns[c] = np.full(len(x), np.nan)
+            if there.any():
+                columns[c][there] = np.concatenate([_read(r) for r in own[c]])[np.unique(x[there], return_inverse=True)[1]] / 2
+        return pd.DataFrame({"i": range(len(columns)), "sums": _sums(columns).tolist()})
 
     return run
 
 
-def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def pair_moments(df: DataFrame, columns: Sequence[str], made: Made | None = None, key: str | None = None) -> DataFrame:
     """(kind, i, j, n, sx, sy, sxx, syy, sxy) of pairs i < j, kind 0 of values and 1 of average ranks over a column's own non-NULLs, over rows where both are there.
 
-    Rows are packed into chunks once, and only arrays move: a chunk's distinct values of a column and their counts go to ranges of values, their
-    ranks come back to the chunk, and a row's place among them is four bytes. A value that many rows share is one entry of a chunk. The ranges'
+    Where ``made`` is given, it makes the columns of df's (numbers; NULL is NaN), for runs of whole keys if df's partitions hold the rows of a key in order.
+
+    Rows are packed into chunks once, and what moves are arrays in few bytes: a chunk's distinct values of a column and their counts go to ranges of values,
+    their ranks come back to the chunk, whose columns are made again. A value that many rows share is one entry of a chunk. The ranges'
     bounds are taken from the chunks' values; they decide who does the work, not what comes out, as equal values are in one range.
     """
-    k, m = len(columns), len(SUMS)
+    k, m, names = len(columns), len(SUMS), list(df.columns if made else columns)
+    made = made or (lambda x: list(x.values()))
     shared.importable(df.sparkSession)
-    chunks = shared.written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(_packed(k), PACKED), "chunks")
-    total = chunks.groupBy("c").agg(F.sum("rows").alias("n"))
-    parts = chunks.select("c", F.explode("marks").alias("v")).groupBy("c").agg(F.array_sort(F.collect_set("v")).alias("v"))  # 64 values of a chunk and column
+    chunks = shared.written(df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(_packed(names, made, key), PACKED), "chunks")
+    marks = chunks.select("chunk", F.posexplode("marks").alias("c", "v"), F.get(F.get("sums", F.col("c")), F.col("c") * m).alias("n"))  # 64 values of a chunk and column
+    parts = marks.groupBy("c").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))).alias("v"), F.sum("n").alias("n"))
     step = F.greatest(F.lit(1), F.floor(F.size("v") / (F.floor(F.col("n") / RANGE) + 1))).cast("int")
-    bounds = parts.join(total, "c").select("c", F.filter("v", lambda v, i: (i > 0) & (i % step == 0)).alias("bounds"))
-    dealt = chunks.where("rows > 0").select("chunk", "c", "values", "counts").join(F.broadcast(bounds), "c").mapInPandas(_dealt, "c long, part int, chunk long, values binary, counts binary")
-    ranked = shared.written(dealt.groupBy("c", "part").applyInPandas(_ranked, "c long, part int, chunk long, ranks binary, n long"), "ranks")
+    bounds = parts.select("c", F.filter("v", lambda v, i: (i > 0) & (i % step == 0)).alias("bounds"))
+    bounds = bounds.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "bounds"))), lambda x: x["bounds"]).alias("bounds"))  # one row
+    bounded = chunks.select("chunk", "data").crossJoin(F.broadcast(bounds))
     ahead = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranked.groupBy("c", "part").agg(F.max("n").alias("n")).select("c", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))  # a row for each range
-    own = ranked.join(F.broadcast(before), ["c", "part"]).select("chunk", "c", "part", "ranks", "before")
-    of_ranks = chunks.select("chunk", "c", "codes").groupBy("chunk").cogroup(own.groupBy("chunk")).applyInPandas(_rank_sums(k), "i long, sums array<double>")
-    both = chunks.select(F.lit(0).alias("kind"), F.col("c").alias("i"), "sums").unionByName(of_ranks.select(F.lit(1).alias("kind"), "i", "sums"))
+    counted = bounded.mapInPandas(_counted(names, made), "c int, part int, n long").groupBy("c", "part").agg(F.sum("n").alias("n"))  # a row for each range
+    before = counted.select("c", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    dealt = bounded.mapInPandas(_dealt(names, made), "c int, part int, chunk long, values binary, counts binary").join(F.broadcast(before), ["c", "part"])
+    ranked = dealt.groupBy("c", "part").applyInPandas(_ranked, "c int, part int, chunk long, ranks binary")
+    of_ranks = chunks.select("chunk", "data").groupBy("chunk").cogroup(ranked.groupBy("chunk")).applyInPandas(_rank_sums(names, made), "i int, sums array<double>")
+    both = chunks.select(F.lit(0).alias("kind"), F.posexplode("sums").alias("i", "sums")).unionByName(of_ranks.select(F.lit(1).alias("kind"), "i", "sums"))
     each = both.select("kind", "i", F.posexplode("sums").alias("at", "x")).groupBy("kind", "i", "at").agg(F.sum("x").alias("x"))
     j, s = F.floor(F.col("at") / m), F.col("at") % m
     return each.groupBy("kind", "i", j.alias("j")).agg(*[F.max(F.when(s == q, F.col("x"))).alias(n) for q, n in enumerate(SUMS)]).where("i < j")
 
 
-def all_correlations(df: DataFrame, columns: Sequence[str], least: int = 20) -> DataFrame:
-    """(a, b, n, pearson, spearman) of all pairs of columns over rows where both are there; NULL for fewer than ``least`` rows or a constant side."""
-    m = pair_moments(df, columns)
+def all_correlations(df: DataFrame, columns: Sequence[str], least: int = 20, made: Made | None = None, key: str | None = None) -> DataFrame:
+    """(a, b, n, pearson, spearman) of all pairs of columns (see ``pair_moments``) over rows where both are there; NULL for fewer than ``least`` rows or a constant side."""
+    m = pair_moments(df, columns, made, key)
     sxx, syy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     flat = (sxx <= F.abs("sxx") * 1e-12) | (syy <= F.abs("syy") * 1e-12)
     r = F.when((F.col("n") >= least) & ~flat, ratio(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(sxx * syy)))

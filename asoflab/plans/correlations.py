@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +42,55 @@ ranked AS (SELECT *, rank() OVER (PARTITION BY c ORDER BY v) + (count(*) OVER (P
 pairs AS (SELECT x.c AS a, y.c AS b, count(*) AS n, CASE WHEN count(*) >= 20 THEN covar_pop(x.v, y.v) / nullif(stddev_pop(x.v) * stddev_pop(y.v), 0) END AS pearson, CASE WHEN count(*) >= 20 THEN covar_pop(x.rv, y.rv) / nullif(stddev_pop(x.rv) * stddev_pop(y.rv), 0) END AS spearman FROM ranked x JOIN ranked y ON x.row = y.row AND x.k < y.k GROUP BY 1, 2)"""
 
 
+def made(bars: Mapping[str, np.ndarray]) -> list[np.ndarray]:
+    """FEATURES, rounded, of bars(symbol, open, close, high, low, volume, amount), symbols together and in order of time."""
+    s, n = bars["symbol"], len(bars["symbol"])
+    same = np.r_[False, (s[1:] == s[:-1]) | (np.isnan(s[1:]) & np.isnan(s[:-1]))] if n else np.zeros(0, bool)
+    rows = np.arange(n)
+    place = rows - np.maximum.accumulate(np.where(same, 0, rows)) if n else rows
+
+    def lag(x: np.ndarray, k: int) -> np.ndarray:
+        return np.where(place >= k, np.r_[np.full(min(k, n), np.nan), x[: max(n - k, 0)]], np.nan)
+
+    def past(x: np.ndarray, widths: Sequence[int], merge: np.ufunc) -> dict[int, np.ndarray]:
+        """The merge of the last rows of each width, x among them."""
+        out, own, early = {}, x.copy(), np.flatnonzero(place < max(widths))
+        for k in range(max(widths)):
+            if 0 < k < n:
+                alone = early[place[early] < k]  # what is k rows before is another symbol's
+                kept = own[alone]
+                merge(own[k:], x[:-k], out=own[k:])
+                own[alone] = kept
+            if k + 1 in widths:
+                out[k + 1] = own.copy()
+        return out
+
+    def mean(x: np.ndarray, widths: Sequence[int]) -> dict[int, np.ndarray]:
+        none = np.isnan(x)
+        counts = past(np.where(none, 0.0, 1.0), widths, np.add) if none.any() else {k: np.minimum(place + 1.0, k) for k in widths}
+        return {k: over(v, counts[k]) for k, v in past(np.where(none, 0.0, x), widths, np.add).items()}
+
+    over = lambda a, b: a / np.where(b == 0, np.nan, b)
+    open_, close, high, low, volume, amount = (bars[c] for c in ("open", "close", "high", "low", "volume", "amount"))
+    top, bottom, averages = past(high, (5, 20, 60), np.fmax), past(low, (5, 20, 60), np.fmin), mean(close, (3, 5, 10, 20, 60))
+    out = {f"ret_{k}": over(close, lag(close, k)) - 1 for k in (1, 2, 3, 5, 10, 20, 60)} | {f"gap_{k}": over(open_, lag(close, k)) - 1 for k in (1, 2, 3)}
+    out |= {"intraday": over(close, open_) - 1, "amplitude": over(high - low, open_), "location": over(close - low, high - low)}
+    out |= {f"sma_{k}": over(close, v) - 1 for k, v in averages.items()}
+    out |= {f"high_{k}": over(close, v) - 1 for k, v in top.items()} | {f"low_{k}": over(close, v) - 1 for k, v in bottom.items()}
+    out |= {f"{name}_{k}": over(x, v) for name, x in (("volume", volume), ("amount", amount)) for k, v in mean(x, (2, 5, 20, 60)).items()}
+    out |= {"volume": volume, "amount": amount, "unit": over(amount, volume)} | {f"range_{k}": over(v - bottom[k], close) for k, v in top.items()}
+    return [rounded(out[name]) for name in NAMES]
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To six digits, halves away from zero."""
+    y = np.abs(x) * 1e6
+    return np.where(y < 2**52, np.copysign(np.floor(y + 0.5), x) / 1e6, x) + 0.0
+
+
 def correlated(spark, sf) -> DataFrame:
-    bars = V.bars_c(spark, sf).selectExpr(*[f"round({e}, 6) AS {n}" for n, (_, e) in FEATURES.items()])
-    return M.all_correlations(bars, NAMES)
+    bars = V.bars_c(spark, sf, together=True).sortWithinPartitions("symbol", "trade_date")
+    return M.all_correlations(bars.select("symbol", "open", "close", "high", "low", "volume", "amount"), NAMES, made=made, key="symbol")
 
 
 @query("AGG_31_matrix_of_features", f"{CORRELATED_SQL} SELECT a, b, n, round(pearson, 5) AS pearson, round(spearman, 5) AS spearman FROM pairs")

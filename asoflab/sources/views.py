@@ -72,11 +72,13 @@ def dates_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date"))
 
 
-def bars_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem")
+def bars_c(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """together: line items move once, by symbol, so a symbol's bars are in one partition."""
     key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey")
-    price = F.round(100 + 4 * (F.log(F.col("l_extendedprice") / F.col("l_quantity")) - 7.5), 2)
-    return _bars(rows.select(F.floor(F.col("l_suppkey") / 8).alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), price.alias("p"), key.alias("k"), F.col("l_quantity").alias("volume"), F.col("l_extendedprice").alias("amount")))
+    price = F.round(100 + 4 * (F.log(F.col("amount") / F.col("volume")) - 7.5), 2)
+    rows = read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_suppkey") / 8).alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), key.alias("k"), F.col("l_quantity").alias("volume"), F.col("l_extendedprice").alias("amount"))
+    rows = rows.repartition("symbol") if together else rows
+    return _bars(rows.select("symbol", "trade_date", price.alias("p"), "k", "volume", "amount"))
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,12 @@ from asoflab.operators import pit
 from asoflab.operators import timeseries as TS
 from asoflab.operators import research as R
 from asoflab.operators import walkforward as W
+from asoflab.plans import correlations as K
 from asoflab.plans import deeper as D
 from asoflab.plans import features as PF
 from asoflab.plans import joins as J
 from asoflab.plans import trading as P
+from asoflab.sources import views as V
 from conftest import SF
 
 
@@ -179,3 +181,42 @@ def test_intervals_are_counted_without_a_row_for_each_pair(spark):
     got = sorted(tuple(x) for x in pit.covering(points, spans, "k", "d", "a", "b", {"n": F.lit(True), "p": F.col("s") == "P"}).collect())
     joined = pit.interval_join(points.distinct(), spans, "k", "d", "a", "b").groupBy("k", "d").agg(F.count("*").alias("n"), F.count_if(F.col("s") == "P").alias("p"))
     assert got == sorted(tuple(x) for x in joined.collect()) and len(got) > 50
+
+
+def test_features_of_arrays_are_those_of_windows(spark):
+    bars = V.bars_c(spark, SF)
+    keep = F.pmod(F.xxhash64("symbol", "trade_date"), F.lit(9))
+    bars = bars.select("symbol", "trade_date", *[F.when(keep != k, F.col(c)).alias(c) for k, c in enumerate(("open", "close", "high", "low"))], F.when(keep != 4, F.when(keep != 5, F.col("volume")).otherwise(0.0)).alias("volume"), F.when(keep != 6, F.col("amount")).alias("amount"))
+    want = bars.selectExpr("symbol", "trade_date", *[f"round({e}, 6) AS {n}" for n, (_, e) in K.FEATURES.items()]).toPandas().sort_values(["symbol", "trade_date"])
+    rows = bars.toPandas().sort_values(["symbol", "trade_date"])
+    got = K.made({c: rows[c].to_numpy(float) for c in rows.columns if c not in ("trade_date",)})
+    assert len(rows) > 1000
+    for name, x in zip(K.NAMES, got, strict=True):
+        y = want[name].to_numpy(float)
+        assert (np.isnan(x) == np.isnan(y)).all(), name
+        assert np.nanmax(np.abs(x - y)) < 2e-6, name
+
+
+def test_arrays_are_told_in_few_bytes_and_exactly():
+    r = np.random.default_rng(5)
+    for x in (r.integers(0, 50, 9000) / 1.0, r.integers(-10**9, 10**9, 9000) / 100, r.normal(size=9000), np.array([]), np.array([np.nan, 1.5, np.inf, -np.inf, 0.0]), np.r_[r.integers(0, 9, 50) / 1.0, np.nan]):
+        for rising in (False, True):
+            y = np.sort(x) if rising else x
+            assert np.array_equal(M._read(M._told(y, rising)), y, equal_nan=True)
+    ranks = np.cumsum(r.integers(1, 200, 9000)).astype(float)
+    assert len(M._told(ranks, True)) < 1.3 * len(ranks)  # eight bytes each before
+
+
+def test_bars_of_correlations_move_once_and_codes_do_not(spark):
+    told = V.bars_c(spark, SF, together=True).sortWithinPartitions("symbol", "trade_date")._jdf.queryExecution().executedPlan().toString()
+    assert told.count("Exchange hashpartitioning(symbol") == 1 and told.count("Exchange") == 1, told
+    assert "codes" not in M.PACKED
+
+
+def test_chunks_hold_whole_keys(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", 50)
+    rows = [(float(s), float(k)) for s in range(40) for k in range(s + 1)]
+    df = spark.createDataFrame(rows, "s double, v double").repartition(3, "s").sortWithinPartitions("s", "v")
+    steps = lambda x: [x["v"], np.r_[np.nan, np.where(np.diff(x["s"]) == 0, np.diff(x["v"]), np.nan)] if len(x["v"]) else x["v"]]
+    (r,) = [x for x in M.pair_moments(df, ["v", "step"], steps, "s").collect() if x["kind"] == 0]
+    assert r["n"] == len(rows) - 40 and r["sy"] == len(rows) - 40
